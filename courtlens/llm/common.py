@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once an application, unless their PYTHONPATH has it already."""
+    top, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    out = tempfile.mkdtemp(prefix="package-")
+    copied = shutil.copytree(Path(__file__).resolve().parents[1], f"{out}/tree/courtlens", ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{out}/courtlens", "zip", Path(copied).parent))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that a lost executor costs no recomputation of what lies before."""
     shared_dir(df.sparkSession)

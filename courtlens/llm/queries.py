@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlens.llm import bpe, chat, mixing
-from courtlens.llm.common import documents
+from courtlens.llm import bpe, chat, langid, mixing, quality, vectors
+from courtlens.llm.common import documents, ship
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the Python workers have got this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +54,32 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held))
+    out = langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held).select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    out = quality.classify(documents(spark, sf_dir, "doc_id", "text"), labels).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_bpe": op5_bpe,
+    "op5_bpe": shipped(op5_bpe),
     "op6_mix": op6_mix,
     "op7_chat": op7_chat,
+    "op8_vectors": shipped(op8_vectors),
+    "op9_language": shipped(op9_language),
+    "op10_quality": shipped(op10_quality),
 }
 
 ORACLE_SQLS: dict[str, str] = {
