@@ -62,8 +62,8 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     # every ancestor is some sum of powers of two above the leaf
     marked = leaves
     for up in reversed(ups[:-1] or ups):
-        higher = marked.join(up.where("up is not null"), ["tree", "node"]).select("tree", "leaf", "branch", F.col("up").alias("node"))
-        marked = marked.unionByName(higher)
+        both = F.array_compact(F.array("node", "up"))
+        marked = marked.join(up, ["tree", "node"], "left").select("tree", "leaf", "branch", F.explode(both).alias("node"))
     return marked.distinct().join(step.where("up is null").select("tree", "node", "depth"), ["tree", "node"])
 
 
