@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,3 +69,38 @@ def slices(sizes, limit: int):
         total += size
     if len(sizes) > start:
         yield start, len(sizes)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps whose results are written and whose plans are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def map_column(df: DataFrame, column: str, fields: str, make, limit: int = 3_000_000, size=lambda x: len(x or "")) -> DataFrame:
+    """Replace ``column`` by the columns ``fields`` that ``make`` computes from its values in each task.
+
+    All other columns pass through as Arrow arrays, so nulls and large integers stay as they are. ``make`` gets lists of
+    values whose sizes add up to about ``limit`` (a longer value comes alone) and returns a list of columns.
+    """
+    rest = [c for c in df.columns if c != column]
+    schema = T.StructType([df.schema[c] for c in rest] + list(T._parse_datatype_string(fields).fields))
+    kinds = [_arrow(f.dataType) for f in schema.fields[len(rest) :]]
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(len(rest)).to_pylist()
+            for a, b in slices([size(x) for x in values], limit):
+                made = [pa.array(x, kind) for x, kind in zip(make(values[a:b]), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(rest))] + made, names)
+
+    return df.select(*rest, column).mapInArrow(run, schema)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+    return {"bigint": pa.int64(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[kind.simpleString()]

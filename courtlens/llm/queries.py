@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlens.llm import bpe, chat, fingerprints, langid, mixing, quality, vectors
+from courtlens.llm import bpe, chat, fingerprints, langid, mixing, quality, substring, vectors
 from courtlens.llm.common import documents, ship
 
 
@@ -27,6 +27,11 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(documents(spark, sf_dir, "doc_id", "text"), digest=True)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_substring": shipped(op2_substring),
     "op5_bpe": shipped(op5_bpe),
     "op6_mix": op6_mix,
     "op7_chat": op7_chat,
