@@ -7,15 +7,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import slices
+from courtlens.llm.common import map_column
 
 #: Code points of a chunk, and of the text behind it that the next chunk reads too.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -57,43 +55,11 @@ def encode_pretokens(text: str, path: str, pattern: str) -> np.ndarray:
     return np.asarray(out, dtype="<u4")
 
 
-def _ids_of(column: str, path: str, pattern: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf[column].fillna("").tolist()
-            for a, b in slices([len(x) for x in texts], 4_000_000):
-                part = pdf.iloc[a:b].drop(columns=column)
-                yield part.assign(ids=[encode_text(x, path, pattern).tobytes() for x in texts[a:b]])
-
-    return run
-
-
-def _bounds(pattern: str, chunk: int, overlap: int):
-    """Of each chunk: the sure boundaries in its first and in its last overlap, as positions in the document."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            heads, tails = [], []
-            for n, text in zip(pdf["chunk_no"], pdf["piece"]):
-                ends = np.fromiter((m.end() for m in _pretokens(pattern).finditer(text)), dtype=np.int64)
-                ends = ends[ends <= len(text) - AHEAD]
-                heads.append((ends[ends <= overlap] + n * chunk).tolist())
-                tails.append((ends[ends >= chunk] + n * chunk).tolist())
-            yield pdf.assign(heads=heads, tails=tails)
-
-    return run
-
-
-def _encode_ranges(path: str, pattern: str, chunk: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = [
-                encode_pretokens(text[max(0, int(a) - n * chunk) : None if pd.isna(b) else int(b) - n * chunk], path, pattern).tobytes()
-                for n, text, a, b in zip(pdf["chunk_no"], pdf["piece"], pdf["begin"], pdf["finish"])
-            ]
-            yield pdf[["doc_key", "chunk_no"]].assign(ids=ids)
-
-    return run
+def bounds(n: int, text: str, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """The sure boundaries in chunk n's first and last overlap, as positions in the document."""
+    ends = np.fromiter((m.end() for m in _pretokens(pattern).finditer(text)), dtype=np.int64)
+    ends = ends[ends <= len(text) - AHEAD]
+    return (ends[ends <= overlap] + n * chunk).tolist(), (ends[ends >= chunk] + n * chunk).tolist()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: Column | str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -103,70 +69,68 @@ def encode(docs: DataFrame, path: str, pattern: str, key: Column | str = "doc_id
     chunks that overlap; each chunk is pre-tokenised from its own start, and chunk i hands over to chunk i + 1 at the
     first boundary that both found in the overlap: from there on both must go on alike, since matching only looks ahead.
     A document with an overlap in which no boundary agrees (one unbroken run) is encoded whole. Null texts are empty and
-    get no ids; rows with equal keys stay separate rows if short, and long ones must have distinct (key, text).
-    Other columns are ignored; an empty table gives an empty table.
+    get no ids; each repeated row gets its own result. Other columns are ignored; an empty table gives an empty table.
     """
     if overlap >= chunk:
         raise ValueError("the overlap must be shorter than the chunk")
     key = F.col(key) if isinstance(key, str) else key
-    kind = docs.select(key.alias("k")).schema["k"].dataType.simpleString()
     rows = docs.select(key.alias("doc_key"), F.coalesce(text, F.lit("")).alias("text"))
     n = F.char_length("text")
-    short = rows.where(n <= chunk).mapInPandas(_ids_of("text", path, pattern), f"doc_key {kind}, ids binary")
+    ids = lambda texts: [[encode_text(x, path, pattern).tobytes() for x in texts]]
+    short = map_column(rows.where(n <= chunk), "text", "ids binary", ids)
+    doc = ("doc_key", "h", "times")
     pieces = (
-        rows.where(n > chunk)
-        .select("doc_key", F.xxhash64("text").alias("h"), "text", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("chunk_no"))
-        .select("doc_key", "h", "chunk_no", F.substring("text", F.col("chunk_no") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
-        .repartition("doc_key", "h", "chunk_no")
+        rows.where(n > chunk).groupBy("doc_key", "text").agg(F.count("*").alias("times"))
+        .select("doc_key", F.xxhash64("text").alias("h"), "times", "text", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("chunk_no"))
+        .select(*doc, "chunk_no", F.substring("text", F.col("chunk_no") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
+        .repartition(*doc, "chunk_no").withColumn("_x", F.struct("chunk_no", "piece"))
     )
-    doc = Window.partitionBy("doc_key", "h")
-    order = doc.orderBy("chunk_no")
-    bounds = pieces.mapInPandas(_bounds(pattern, chunk, overlap), f"doc_key {kind}, h long, chunk_no int, piece string, heads array<long>, tails array<long>")
+    length = lambda x: len(x["piece"])
+    ends = lambda xs: list(zip(*(bounds(x["chunk_no"], x["piece"], pattern, chunk, overlap) for x in xs)))
+    w = Window.partitionBy(*doc)
+    order = w.orderBy("chunk_no")
     begin = F.when(F.col("chunk_no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tails").over(order), "heads")))
     stitched = (
-        bounds.withColumn("begin", begin).withColumn("finish", F.lead("begin").over(order))
-        .withColumn("torn", F.max(F.col("begin").isNull()).over(doc)).drop("heads", "tails")
+        map_column(pieces, "_x", "heads array<bigint>, tails array<bigint>", ends, size=length)
+        .withColumn("begin", begin).withColumn("finish", F.lead("begin").over(order))
+        .withColumn("torn", F.max(F.col("begin").isNull()).over(w)).drop("heads", "tails")
     )
+
+    def ranges(xs: list[dict]) -> list:
+        own = lambda x, k: None if x[k] is None else x[k] - x["chunk_no"] * chunk
+        return [[encode_pretokens(x["piece"][own(x, "begin") : own(x, "finish")], path, pattern).tobytes() for x in xs]]
+
+    parts = stitched.where(~F.col("torn")).repartition(*doc, "chunk_no").select(*doc, "chunk_no", F.struct("chunk_no", "piece", "begin", "finish").alias("_x"))
     joined = (
-        stitched.where(~F.col("torn")).repartition("doc_key", "h", "chunk_no")
-        .select(F.struct("doc_key", "h").alias("doc_key"), "chunk_no", "piece", "begin", "finish")
-        .mapInPandas(_encode_ranges(path, pattern, chunk), f"doc_key struct<doc_key:{kind},h:long>, chunk_no int, ids binary")
-        .groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "ids"))).alias("parts"))
-        .select("doc_key.doc_key", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+        map_column(parts, "_x", "ids binary", ranges, size=length)
+        .groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "ids"))).alias("parts"))
+        .select("doc_key", "times", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     )
     whole = (
-        stitched.where("torn").groupBy("doc_key", "h")
+        stitched.where("torn").groupBy(*doc)
         .agg(F.array_sort(F.collect_list(F.struct("chunk_no", F.substring("piece", 1, chunk).alias("piece")))).alias("parts"))
-        .select("doc_key", F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("text"))
-        .mapInPandas(_ids_of("text", path, pattern), f"doc_key {kind}, ids binary")
+        .select("doc_key", "times", F.array_join(F.transform("parts", lambda x: x["piece"]), "").alias("text"))
     )
-    return short.unionByName(joined).unionByName(whole)
+    long = joined.unionByName(map_column(whole, "text", "ids binary", ids))
+    return short.unionByName(long.select("doc_key", "ids", F.explode(F.array_repeat("ids", F.col("times").cast("int"))).alias("_again")).drop("_again"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_key, data): the bytes of (doc_key, ids)."""
-    kind = encoded.schema["doc_key"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in slices([len(x) for x in pdf["ids"]], 8_000_000):
-                part = pdf.iloc[a:b]
-                yield part[["doc_key"]].assign(data=[decode_ids(np.frombuffer(x, "<u4"), path, pattern) for x in part["ids"]])
-
-    return encoded.select("doc_key", "ids").mapInPandas(run, f"doc_key {kind}, data binary")
+    make = lambda rows: [[decode_ids(np.frombuffer(x, "<u4"), path, pattern) for x in rows]]
+    return map_column(encoded.select("doc_key", "ids"), "ids", "data binary", make, 8_000_000)
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids."""
-    kind = encoded.schema["doc_key"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, raw in zip(pdf["doc_key"], pdf["ids"]):
-                ids = np.frombuffer(raw, "<u4")
-                plain = repr(ids.tolist())[1:-1].replace(" ", "")
-                out.append((key, len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decode_ids(ids, path, pattern)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_key", "ids").mapInPandas(run, f"doc_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def make(rows: list[bytes]) -> list:
+        out: list[list] = [[], [], []]
+        for raw in rows:
+            ids = np.frombuffer(raw, "<u4")
+            plain = repr(ids.tolist())[1:-1].replace(" ", "")
+            for store, v in zip(out, (len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decode_ids(ids, path, pattern)).hexdigest())):
+                store.append(v)
+        return out
+
+    return map_column(encoded.select("doc_key", "ids"), "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", make, 8_000_000)

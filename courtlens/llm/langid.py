@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import slices
+from courtlens.llm.common import map_column, slices
 
 #: Letter trigrams are hashed into this many counts a language, which bounds the model whatever the corpus.
 BUCKETS = 1 << 16
@@ -182,34 +182,26 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     are ``und`` with score 0, as is every text if nothing was learned. With ``spans`` there is also the list of
     (first word, end, lang). Repeated rows get equal results; the whole text counts, however long.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*cols, F.coalesce(text, F.lit("")).alias("whole"))
-    kinds = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "spans")] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in batches:
-            texts = pdf["whole"].tolist()
-            for a, b in slices([len(x) for x in texts], 2_000_000):
-                part, names, share, found = pdf.iloc[a:b].drop(columns="whole"), ["und"] * (b - a), np.zeros(b - a), [[] for _ in range(b - a)]
-                if m.langs:
-                    w, labels = label_words(texts[a:b], m, switch)
-                    by = _shares(w, labels, b - a, len(m.langs))
-                    total = by.sum(1)
-                    share = by.max(1) / np.maximum(total, 1) if len(by) else share
-                    names = [m.langs[k] if t else "und" for k, t in zip(by.argmax(1), total)]
-                    if spans:
-                        for i in range(b - a):
-                            own = labels[w.first[i] : w.first[i + 1]]
-                            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
-                            found[i] = [{"begin": x, "finish": y, "lang": m.langs[own[x]]} for x, y in zip(cuts, cuts[1:])]
-                part = part.assign(lang_pred=names, score=share)
-                yield part.assign(spans=found) if spans else part
-
-    out = rows.mapInPandas(run, ", ".join(x for x in (kinds, "lang_pred string, score double", "spans array<struct<begin:int,finish:int,lang:string>>" if spans else "") if x))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    def make(texts: list[str | None]) -> list:
+        m, n = shared.value, len(texts)
+        names, share, found = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+        if m.langs:
+            w, labels = label_words([x or "" for x in texts], m, switch)
+            by = _shares(w, labels, n, len(m.langs))
+            total = by.sum(1)
+            share = by.max(1) / np.maximum(total, 1)
+            names = [m.langs[k] if t else "und" for k, t in zip(by.argmax(1), total)]
+            for i in range(n if spans else 0):
+                own = labels[w.first[i] : w.first[i + 1]]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
+                found[i] = [{"begin": x, "finish": y, "lang": m.langs[own[x]]} for x, y in zip(cuts, cuts[1:])]
+        return [names, share, found][: 3 if spans else 2]
+
+    fields = "lang_pred string, score double" + ", spans array<struct<begin:int,finish:int,lang:string>>" * spans
+    return map_column(docs.select(*keep, F.col(text).alias("_whole")), "_whole", fields, make, 2_000_000)
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import checkpoint
+from courtlens.llm.common import checkpoint, map_column
 
 FEATURES = (
     "chars", "words", "lines", "word_len", "word_len_spread", "line_words", "upper", "digit", "space", "symbol", "punct",
@@ -61,13 +59,7 @@ def statistics(text: str | None) -> list[float]:
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, stats): the statistics of every whole text."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["key"]].assign(stats=[statistics(x) for x in pdf["text"]])
-
-    return rows.mapInPandas(run, f"key {kind}, stats array<float>")
+    return map_column(rows, "text", "stats array<float>", lambda texts: [[statistics(x) for x in texts]])
 
 
 @dataclass
@@ -146,15 +138,9 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 def score(stats: DataFrame, forest: Forest) -> DataFrame:
     """(key, score) of (key, stats)."""
-    kind = stats.schema["key"].dataType.simpleString()
     shared = stats.sparkSession.sparkContext.broadcast(forest)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["stats"].tolist(), dtype=np.float32).reshape(len(pdf), len(FEATURES))
-            yield pdf[["key"]].assign(score=shared.value.scores(x))
-
-    return stats.mapInPandas(run, f"key {kind}, score double")
+    make = lambda rows: [shared.value.scores(np.array(rows, dtype=np.float32).reshape(len(rows), len(FEATURES)))]
+    return map_column(stats, "stats", "score double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
