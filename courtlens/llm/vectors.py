@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtlens.llm.blocks import FIELDS, join_blocks, meets
 from courtlens.llm.common import checkpoint
 from courtlens.llm.components import components
 
@@ -62,8 +63,8 @@ def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, f
             times = parts[cell]
             row, block = np.repeat(row, times), np.repeat(firsts[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             mine = home[row]
-            meets = (block == mine) | (((block + mine) % 2 == 0) == (block < mine)) & (block != mine)
-            row, block = row[meets], block[meets]
+            both = meets(block, mine)
+            row, block = row[both], block[both]
             data = unit.astype("<f8")
             for a in range(0, len(row), 4_096):
                 r, b = row[a : a + 4_096], block[a : a + 4_096]
@@ -75,106 +76,21 @@ def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, f
     return run
 
 
-def _spread(hit: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches through a symmetric matrix of links."""
-    label = np.arange(len(hit))
-    while True:
-        new = np.where(hit, label[None, :], len(hit)).min(1)
-        new = np.minimum(new, label)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _load(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
 
 
-def _join(threshold: float):
-    """Blocks against their guests, in streams: a task holds one block and one batch of guests at a time.
-
-    Comes out: (uid, links, None), and (uid, 0, other) for enough links to connect whatever hangs together.
-    """
-
+def _hits(threshold: float):
     def hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        cos = a.astype(np.float32) @ b.astype(np.float32).T
-        hit = cos >= threshold
-        for i, j in zip(*np.nonzero(np.abs(cos - threshold) < UNSURE)):
-            hit[i, j] = a[i] @ b[j] >= threshold
-        return hit
-
-    def close(block) -> pd.DataFrame | None:
-        if block is None or not len(block["uid"]):
-            return None
-        got = block["links"] > 0
-        root = block["label"][got]
-        uid = block["uid"]
-        other = root != np.flatnonzero(got)
-        return pd.DataFrame({
-            "uid": np.concatenate([uid[got], uid[got][other]]),
-            "links": np.concatenate([block["links"][got], np.zeros(other.sum(), dtype=np.int64)]),
-            "other": pd.array(np.concatenate([np.zeros(got.sum(), dtype=np.int64), uid[root[other]]]), dtype="Int64"),
-            "edge": np.concatenate([np.zeros(got.sum(), dtype=bool), np.ones(other.sum(), dtype=bool)]),
-        })
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, waiting = None, []
-
-        def finish():
-            """All of the block's own rows are there: link them with each other."""
-            nonlocal waiting
-            if not waiting:
-                return
-            rows = pd.concat(waiting, ignore_index=True)
-            waiting = []
-            block["uid"], block["n"] = rows["uid"].to_numpy(), rows["n"].to_numpy()
-            block["unit"] = np.frombuffer(b"".join(rows["unit"]), "<f8").reshape(len(rows), -1)
-            hit = np.zeros((len(rows), len(rows)), dtype=bool)
-            for a in range(0, len(rows), 1_024):
-                hit[a : a + 1_024] = hits(block["unit"][a : a + 1_024], block["unit"])
-            np.fill_diagonal(hit, False)
-            hit |= hit.T
-            block["links"] = hit @ block["n"].astype(np.float64)
-            block["links"] = np.rint(block["links"]).astype(np.int64)
-            some = np.flatnonzero(block["links"])
-            block["label"] = np.arange(len(rows))
-            block["label"][some] = some[_spread(hit[np.ix_(some, some)])] if len(some) else some
-
-        for pdf in batches:
-            for (number, guest), rows in pdf.groupby(["block", "guest"], sort=True):
-                if block is None or block["number"] != number:
-                    if block is not None:
-                        finish()
-                        if (out := close(block)) is not None:
-                            yield out
-                    block = {"number": number, "uid": np.zeros(0, dtype=np.int64)}
-                if not guest:
-                    waiting.append(rows)
-                    continue
-                finish()
-                if not len(block["uid"]):
-                    continue
-                for a in range(0, len(rows), 1_024):
-                    part = rows.iloc[a : a + 1_024]
-                    unit = np.frombuffer(b"".join(part["unit"]), "<f8").reshape(len(part), -1)
-                    hit = hits(block["unit"], unit)
-                    if not hit.any():
-                        continue
-                    block["links"] += np.rint(hit @ part["n"].to_numpy(dtype=np.float64)).astype(np.int64)
-                    counts = np.rint(block["n"].astype(np.float64) @ hit).astype(np.int64)
-                    got = np.flatnonzero(counts)
-                    home, away = np.nonzero(hit)
-                    pairs = np.unique(away * len(block["uid"]) + block["label"][home])
-                    uid = part["uid"].to_numpy()
-                    yield pd.DataFrame({
-                        "uid": np.concatenate([uid[got], uid[pairs // len(block["uid"])]]),
-                        "links": np.concatenate([counts[got], np.zeros(len(pairs), dtype=np.int64)]),
-                        "other": pd.array(np.concatenate([np.zeros(len(got), dtype=np.int64), block["uid"][pairs % len(block["uid"])]]), dtype="Int64"),
-                        "edge": np.concatenate([np.zeros(len(got), dtype=bool), np.ones(len(pairs), dtype=bool)]),
-                    })
-        if block is not None:
-            finish()
-            if (out := close(block)) is not None:
-                yield out
+        out, right = np.zeros((len(a), len(b)), dtype=bool), b.astype(np.float32).T
+        for k in range(0, len(a), 1_024):
+            cos = a[k : k + 1_024].astype(np.float32) @ right
+            out[k : k + 1_024] = cos >= threshold
+            for i, j in zip(*np.nonzero(np.abs(cos - threshold) < UNSURE)):
+                out[k + i, j] = a[k + i] @ b[j] >= threshold
+        return out
 
-    return run
+    return hits
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
@@ -205,11 +121,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         spread = max(2, int(parts.sum()))
         dealt = (
             one.select("uid", "n", "v").mapInPandas(_deal(pivots, width, parts, near, far, radius), "block long, guest boolean, uid long, n long, unit binary")
-            .repartition(spread, "block").sortWithinPartitions("block", "guest")
+            .repartition(spread, "block").sortWithinPartitions("block", "guest", "uid")
         )
-        linked = checkpoint(dealt.mapInPandas(_join(threshold), "uid long, links long, other long, edge boolean"))
-        counts = linked.where("not edge").groupBy("uid").agg(F.sum("links").alias("links"))
-        nodes = components(linked.where("edge"), "uid", "other")
+        linked = checkpoint(dealt.mapInArrow(join_blocks(_load, _hits(threshold)), FIELDS))
+        counts = linked.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
+        nodes = components(linked.where("other is not null"), "uid", "other")
         found = counts.join(nodes.withColumnRenamed("node", "uid"), "uid", "left")
     members = one.select("uid", "least", "n").join(found, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
