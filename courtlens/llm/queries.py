@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, quality, substring, vectors
+from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, quality, substring, tokenfile, vectors
 from courtlens.llm.common import documents, ship
 
 
@@ -32,6 +32,14 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    to = tokenfile.scratch(spark)
+    tokenfile.write(documents(spark, sf_dir, "doc_id", "text"), to, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return tokenfile.digests(spark, to).withColumnRenamed("key", "doc_id")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "class_id", "n_links")
 
@@ -89,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_substring": shipped(op2_substring),
+    "op3_tokens": shipped(op3_tokens),
     "op4_jaccard": shipped(op4_jaccard),
     "op5_bpe": shipped(op5_bpe),
     "op6_mix": op6_mix,
