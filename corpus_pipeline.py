@@ -1,17 +1,82 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of documents. Stages read their input more than once, so ``run`` writes it in between.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtlens.llm import bpe, jaccard, langid, mixing, substring
+from courtlens.llm.common import checkpoint, ship
+
+#: Least share of a document's letters that its main language must have.
+MAIN_SHARE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those of which no language has MAIN_SHARE; all stay if no language is known."""
+    ship(spark)
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs
+    columns = docs.columns
+    labelled = langid.predict(docs.withColumn("_text", F.col("text")), model, text="_text")
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_SHARE)).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the least id."""
+    ship(spark)
+    return jaccard.keep_one(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
-QUERIES: dict = {}
-ORACLE_SQLS: dict = {}
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that also stand elsewhere are cut out; other documents stay as they are."""
+    ship(spark)
+    cut = substring.remove_repeats(docs)
+    length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids as little-endian 32-bit numbers, decoded again."""
+    import public_tokenizers
+
+    ship(spark)
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern)
+    read = bpe.digests(encoded.select("doc_key", F.col("ids").alias("coded"), "ids"), path, pattern)
+    return read.select(F.col("doc_key").alias("doc_id"), F.col("coded").alias("ids"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language identification", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring deduplication", repeated_passages),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", tokens),
+]
+#: SQL can't express the language model nor the tokenizer; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = checkpoint(docs) if k + 1 < len(STAGES) else docs
     return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE_SQLS = {"pipeline": ORACLE_SQL}

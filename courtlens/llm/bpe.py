@@ -122,7 +122,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids."""
+    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids; other columns stay."""
 
     def make(rows: list[bytes]) -> list:
         out: list[list] = [[], [], []]
@@ -133,4 +133,4 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 store.append(v)
         return out
 
-    return map_column(encoded.select("doc_key", "ids"), "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", make, 8_000_000)
+    return map_column(encoded, "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", make, 8_000_000)

@@ -39,38 +39,52 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, cap: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3) -> DataFrame:
-    """How many words of each document the mix takes: (id, h, source, size, source_size, target, taken, copies).
+    """How many words of each document the mix takes: (doc_id, h, source, size, source_size, target, taken, copies).
 
     Whole copies first, then one more copy of the documents whose hash lies under the source's threshold. The
     threshold's first bits come from a histogram of sizes by source and hash bucket; the bucket in which the budget
     ends, and only that, is split by the next bits. Rows with equal id and text share a hash and go together, so reruns
     agree. Null texts have size 0; null sources are a source. Empty tables give empty results.
     """
-    sized = checkpoint(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS).alias("h"),
-    ))
-    return apply_targets(sized, source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap=cap), cap)
+    rows = hashed(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "size", "h")
+    sized = checkpoint(rows)
+    return take(sized, plan(sized, cap))
 
 
-def apply_targets(sized: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns."""
+    sized = checkpoint(hashed(docs, id_col, text_col).select(F.col(source_col).alias("source"), "size", "h"))
+    inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+    rows = hashed(docs, id_col, text_col).select(*inner, F.col(source_col).alias("source"), "size", "h")
+    taken = take(rows, plan(sized, cap)).where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
+    return docs.withColumns({"size": word_count(F.col(text_col)), "h": h})
+
+
+def plan(sized: DataFrame, cap: int) -> DataFrame:
+    """(s, source_size, target, copies, threshold) of each source of (source, size, h)."""
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap=cap)
     size = F.col("source_size")
     copies = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(cap))).otherwise(F.lit(0)).cast("long")
-    plan = targets.withColumn("copies", copies).withColumn("budget", F.col("target") - F.col("copies") * size)
-    plan = checkpoint(plan.withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("budget") > 0).withColumn("last", F.lit(0).cast("long")))
+    state = targets.withColumn("copies", copies).withColumn("budget", F.col("target") - F.col("copies") * size)
+    state = checkpoint(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("budget") > 0).withColumn("last", F.lit(0).cast("long")))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        at = plan.where("open").select(F.col("source").alias("s"), "prefix")
+        at = state.where("open").select(F.col("source").alias("s"), "prefix")
         inside = sized.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
         hist = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("cum", F.sum("n").over(upto)).alias("x")
         ends = (
-            hist.join(plan.where("open").select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
+            hist.join(state.where("open").select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
             .where("cum > budget").groupBy("source").agg(F.min(F.struct("bucket", "cum", "n")).alias("e"))
             .select(F.col("source").alias("s"), "e.*")
         )
-        plan = checkpoint(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        state = checkpoint(state.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
             "source", "source_size", "target", "copies",
             F.when(F.col("bucket").isNotNull(), F.col("budget") - (F.col("cum") - F.col("n"))).otherwise(F.col("budget")).alias("budget"),
             F.when(F.col("bucket").isNotNull(), F.col("bucket")).otherwise(F.shiftleft(F.col("prefix") + F.when(F.col("open"), 1).otherwise(0), BITS)).alias("prefix"),
@@ -78,12 +92,14 @@ def apply_targets(sized: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
             F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("last"),
         ))
     # what is left of the boundary bucket goes in if that comes nearer to the target
-    plan = plan.select(
+    return state.select(
         F.col("source").alias("s"), "source_size", "target", "copies",
         (F.col("prefix") + F.when(F.col("open") & (2 * F.col("budget") >= F.col("last")), 1).otherwise(0)).alias("threshold"),
     )
-    more = (F.col("h") < F.col("threshold")).cast("long")
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "h", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("copies") + more)).alias("taken"), (F.col("copies") + more).alias("copies"),
-    )
+
+
+def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add source_size, target, copies and taken to rows (source, size, h, ...)."""
+    copies = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("threshold")
