@@ -156,6 +156,12 @@ def match_artifacts(people: DataFrame, key: str, team: str, name: str, files: Da
     return p.select("p").join(exact.unionByName(held), "p", "left").select(F.col("p").alias(key), F.col("f").alias(file), "step")
 
 
+def _merge_maps(low: Column, high: str) -> Column:
+    """The keys of both maps, with the values of the higher one where it has them."""
+    rest = F.map_filter(low, lambda k, _: ~F.map_contains_key(F.col(high), k))
+    return F.when(F.col(high).isNull(), low).otherwise(F.map_concat(rest, F.col(high)))
+
+
 def overlay(base: DataFrame, key: str, layers: Sequence[DataFrame], maps: Sequence[str] = ()) -> DataFrame:
     """Later layers win where they have a value; map columns merge key by key."""
     out = base
@@ -165,10 +171,7 @@ def overlay(base: DataFrame, key: str, layers: Sequence[DataFrame], maps: Sequen
     for c in [c for c in base.columns if c != key]:
         own = [f"_{k}_{c}" for k, layer in enumerate(layers) if c in layer.columns]
         if c in maps:
-            merged = F.coalesce(F.col(c), F.create_map().cast(base.schema[c].dataType))
-            for name in own:
-                merged = F.when(F.col(name).isNull(), merged).otherwise(F.map_concat(F.map_filter(merged, lambda k, _, name=name: ~F.map_contains_key(F.col(name), k)), F.col(name)))
-            out = out.withColumn(c, merged)
+            out = out.withColumn(c, reduce(_merge_maps, own, F.coalesce(F.col(c), F.create_map().cast(base.schema[c].dataType))))
         elif own:
             out = out.withColumn(c, F.coalesce(*reversed(own), c))
     return out.select(*base.columns)
