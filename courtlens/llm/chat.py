@@ -47,10 +47,12 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
         if step.where("up is not null").isEmpty():
             break
         other = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        step = checkpoint(
-            step.join(other, ["tree", "up"], "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+        # nodes that have reached their root wait; each step's others are those of twice the depth
+        higher = (
+            step.where("up is not null").join(other, ["tree", "up"])
+            .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
         )
+        step = checkpoint(step.where("up is null").unionByName(higher))
         ups.append(step.select("tree", "node", "up"))
     inner = ups[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
