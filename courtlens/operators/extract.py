@@ -103,7 +103,7 @@ def table_rows(pages: DataFrame, required: Sequence[str], id_pattern: str | None
     of the page's first table. link_id comes from the first link in a row that fits ``id_pattern``."""
     all_rows = tables(pages)
     heads = all_rows.where("row_no = 0").select("page_id", "table_no", F.transform("cells", lambda x: F.lower(x)).alias("names"), F.col("cells").alias("header"))
-    fits = reduce(lambda a, b: a & b, (F.exists("names", lambda x, w=w: F.contains(x, F.lit(w.lower()))) for w in required), F.lit(True))
+    fits = reduce(lambda a, b: a & b, (F.exists("names", lambda x: F.contains(x, F.lit(w.lower()))) for w in required), F.lit(True))
     best = heads.groupBy("page_id").agg(F.min_by(F.struct("table_no", "header"), F.struct(F.when(fits, 0).otherwise(1).alias("k"), "table_no")).alias("b"))
     rows = all_rows.where("row_no > 0").join(best.select("page_id", F.col("b.table_no").alias("table_no"), F.col("b.header").alias("header")), ["page_id", "table_no"])
     n = F.least(F.size("header"), F.size("cells"))
