@@ -113,12 +113,13 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     def put(at, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
         t = span[at] >> bits
         new_low, new_span = low[at] + t * start, t * freq
-        over = new_low >> 32
-        if over.any():
-            for c in np.flatnonzero(over).tolist():
-                lane = c if isinstance(at, slice) else int(at[c])
-                _carry(words, lane, int(pos[lane]) - lane * width - 1)
-            new_low &= 0xFFFFFFFF
+        over = np.flatnonzero(new_low >> 32)
+        if len(over):
+            lane = over if isinstance(at, slice) else at[over]
+            flat[pos[lane] - 1] += 1
+            for x in lane[flat[pos[lane] - 1] == 0].tolist():  # it runs on over words that were full, which is rare
+                _carry(words, x, int(pos[x]) - x * width - 2)
+            new_low[over] &= 0xFFFFFFFF
         short = np.flatnonzero(new_span < 1 << 16)
         if len(short):
             lane, full = short if isinstance(at, slice) else at[short], new_low[short]
@@ -234,7 +235,7 @@ def _decode(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
 
 def pack(docs: list[np.ndarray]) -> list[np.ndarray]:
     """Cut the ids of documents in a row into the blocks of one record."""
-    ids = np.concatenate([np.zeros(0, dtype=np.int64), *docs])
+    ids = np.concatenate([np.zeros(0, dtype=np.uint16), *docs])
     return [ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
 
 

@@ -46,23 +46,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ends, and only that, is split by the next bits. Rows with equal id and text share a hash and go together, so reruns
     agree. Null texts have size 0; null sources are a source. Empty tables give empty results.
     """
-    rows = hashed(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "size", "h")
-    sized = checkpoint(rows)
+    sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), *facts(id_col, text_col, source_col)))
     return take(sized, plan(sized, cap))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns."""
-    sized = checkpoint(hashed(docs, id_col, text_col).select(F.col(source_col).alias("source"), "size", "h"))
+    sized = checkpoint(docs.select(*facts(id_col, text_col, source_col)))
     inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
-    rows = hashed(docs, id_col, text_col).select(*inner, F.col(source_col).alias("source"), "size", "h")
+    rows = docs.select(*inner, *facts(id_col, text_col, source_col))
     taken = take(rows, plan(sized, cap)).where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
-def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def facts(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """source, size and h of a document."""
     h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
-    return docs.withColumns({"size": word_count(F.col(text_col)), "h": h})
+    return [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")]
 
 
 def plan(sized: DataFrame, cap: int) -> DataFrame:

@@ -184,9 +184,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
     are judged on the input. Repeated rows are documents of their own, so they lose what they share; texts below
     ``window`` words lose nothing.
     """
-    rows = docs.drop("n_words", "n_removed", "spans", "kept_sha256").withColumn("_doc", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted({*docs.columns} & {"doc_id", text})]))
-    factors = repeated_windows(rows.select(F.col("_doc").alias("doc"), F.coalesce(text, F.lit("")).alias("text")), window).withColumnRenamed("doc", "_doc")
-    joined = rows.join(factors, "_doc", "left").drop("_doc").withColumn("_both", F.struct(F.col(text).alias("text"), "factors")).drop(text, "factors")
+    mine = ("n_words", "n_removed", "spans", "kept_sha256", text)
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in mine}
+    identity = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", text) if c in docs.columns]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("_text"), F.xxhash64(*identity).alias("_doc"))
+    found = repeated_windows(rows.select(F.col("_doc").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), window)
+    found = found.select(F.col("doc").alias("_doc"), F.col("factors").alias("_factors"))
+    joined = rows.join(found, "_doc", "left").select(*names.values(), F.struct(F.col("_text").alias("text"), F.col("_factors").alias("factors")).alias("_both"))
 
     def make(both: list[dict]) -> list[list]:
         out: list[list] = [[], [], [], []]
@@ -204,4 +208,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
         return out
 
     fields = f"{'kept_sha256' if digest else text} string, n_words long, n_removed long, spans array<struct<begin:int,finish:int>>"
-    return map_column(joined, "_both", fields, make, size=lambda x: len(x["text"] or ""))
+    out = map_column(joined, "_both", fields, make, size=lambda x: len(x["text"] or ""))
+    return out.withColumnsRenamed({n: c for c, n in names.items()})

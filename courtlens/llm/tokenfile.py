@@ -23,11 +23,11 @@ from courtlens.llm import coder
 from courtlens.llm.common import map_column, shared_dir, slices
 
 #: Ids of a record, characters that a task tokenises at a time, and words whose ids a worker remembers.
-RECORD, TEXT, CACHE = 65_536, 6_000_000, 300_000
+RECORD, TEXT, CACHE = 65_536, 6_000_000, 1_200_000
 #: Documents of a shard, and the most shards.
 SHARD_ROWS, MAX_SHARDS = 2_000, 20_000
 _ODD_SPACE = re.compile(r"\s ")
-_known: dict[str, dict[str, tuple[int, ...]]] = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
 @lru_cache(maxsize=2)
@@ -40,32 +40,29 @@ def tokenizer(path: str):
     return out
 
 
-def tokenize(texts: list[str | None], path: str) -> list[list[int]]:
-    """Ids of each whole text by the tokenizers library, without special tokens.
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u2").tobytes()
+
+
+def tokenize(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids (below 2^16) of each whole text by the tokenizers library, without special tokens.
 
     A byte-level pre-token never goes from a character on to a space, so a text falls into pieces in front of each
     space that follows no white space, and each distinct piece needs the library only once. Other texts go to it whole.
     """
     tok, known = tokenizer(path), _known.setdefault(path, {})
-    pieces: list[list[str] | None] = []
-    for text in texts:
-        if not text:
-            pieces.append([])
-        elif _ODD_SPACE.search(text):
-            pieces.append(None)
-        else:
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            pieces.append([x for x in parts if x] if parts is not None else None)
-    fresh = list(set(chain.from_iterable(p for p in pieces if p)).difference(known))
+    pieces = [None if text and ("\0" in text or _ODD_SPACE.search(text)) else (text or "").replace(" ", "\0 ").split("\0") for text in texts]
+    wanted = set(chain.from_iterable(p for p in pieces if p))
+    fresh = list(wanted.difference(known))
     if len(known) + len(fresh) > CACHE:
         known.clear()
-        fresh = list(set(chain.from_iterable(p for p in pieces if p)))
-    for a in range(0, len(fresh), 50_000):
-        part = fresh[a : a + 50_000]
-        known.update(zip(part, (tuple(x.ids) for x in tok.encode_batch(part, add_special_tokens=False))))
+        fresh = list(wanted)
+    for a in range(0, len(fresh), 20_000):
+        part = fresh[a : a + 20_000]
+        known.update(zip(part, (_packed(x.ids) for x in tok.encode_batch_fast(part, add_special_tokens=False))))
     look = known.__getitem__
     return [
-        list(chain.from_iterable(map(look, p))) if p is not None else tok.encode(text, add_special_tokens=False).ids
+        np.frombuffer(b"".join(map(look, p)) if p is not None else _packed(tok.encode(text, add_special_tokens=False).ids), "<u2")
         for text, p in zip(texts, pieces)
     ]
 
@@ -76,7 +73,7 @@ def _write(path: str, end: int):
         for batch in batches:
             shard, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for a, b in slices([len(x or "") for x in texts], TEXT):
-                docs = [np.array([*x, end], dtype=np.int64) for x in tokenize(texts[a:b], path)]
+                docs = [np.append(x, np.uint16(end)) for x in tokenize(texts[a:b], path)]
                 at = np.flatnonzero(np.diff(shard[a:b])) + 1
                 cuts = []
                 for lo, hi in zip([0, *at.tolist()], [*at.tolist(), b - a]):
