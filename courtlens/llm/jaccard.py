@@ -116,8 +116,9 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         met = checkpoint(met.select("uid", "bucket", "size", "least", *(f"p{x}" for x in range(d + 1, DEEP + 1))))
         few = met.where(F.col("size") <= SMALL).select("bucket", "uid")
         small = few if small is None else small.unionByName(few)
-        active = met.where(F.col("size") > SMALL)
-        dense = active.select(F.col("uid").alias("a"), F.col("least").alias("b"))
+        large = met.where(F.col("size") > SMALL)
+        dense = large.select(F.col("uid").alias("a"), F.col("least").alias("b"))
+        active = large.drop("bucket", "size", "least")
         if active.isEmpty():
             break
     slack = 4.5 * math.sqrt(threshold * (1 - threshold) / SIGNATURE)
@@ -209,5 +210,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     found = join(docs, key, text, threshold).withColumnRenamed(key, "_key")
     best = found.where("not empty").groupBy("class_id").agg(F.min(F.struct("_key", "row")).alias("x")).select(F.col("x.row").alias("_row"))
     kept = best.unionByName(found.where("empty").select(F.col("row").alias("_row"))).distinct()
-    rows = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.col(text)))
-    return rows.join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*inner, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.col(text)).alias("_row"))
+    return rows.join(kept, "_row").dropDuplicates(["_row"]).select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
