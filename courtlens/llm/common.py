@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -34,7 +36,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once an application, unless their PYTHONPATH has it already."""
+    """Send this package to the Python workers once an application, unless their PYTHONPATH has it already.
+
+    Batches that go to Python are kept small, whatever the length of the texts: a worker holds a few of them at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     top, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
     if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
@@ -77,7 +83,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def map_column(df: DataFrame, column: str, fields: str, make, limit: int = 3_000_000, size=lambda x: len(x or "")) -> DataFrame:
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library, which needs no such call
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system: Python workers live on from task to task beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def map_column(df: DataFrame, column: str, fields: str, make, limit: int = 1_500_000, size=lambda x: len(x or "")) -> DataFrame:
     """Replace ``column`` by the columns ``fields`` that ``make`` computes from its values in each task.
 
     All other columns pass through as Arrow arrays, so nulls and large integers stay as they are. ``make`` gets lists of
@@ -94,6 +114,9 @@ def map_column(df: DataFrame, column: str, fields: str, make, limit: int = 3_000
             for a, b in slices([size(x) for x in values], limit):
                 made = [pa.array(x, kind) for x, kind in zip(make(values[a:b]), kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(rest))] + made, names)
+                del made
+            del values
+            tidy()
 
     return df.select(*rest, column).mapInArrow(run, schema)
 

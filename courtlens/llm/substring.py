@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import checkpoint, map_column, release, slices
+from courtlens.llm.common import checkpoint, map_column, release, slices, tidy
 
 #: Words of a window: the shortest factor that counts. Words of an anchor.
 WINDOW, ANCHOR = 35, 8
@@ -102,12 +102,14 @@ def _blocks(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in slices([len(x) for x in texts], 3_000_000):
+            for a, b in slices([len(x) for x in texts], 1_500_000):
                 doc, start, count, at, hashed = blocks(texts[a:b], window, anchor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at), pa.array(hashed)],
                     ["doc", "start", "n", "anchor", "block"],
                 )
+            del texts
+            tidy()
 
     return run
 
@@ -118,16 +120,19 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices([len(x) for x in texts], 3_000_000):
+            for a, b in slices([len(x) for x in texts], 1_500_000):
                 words, first = word_hashes(texts[a:b])
                 base = np.concatenate([np.full(len(p), first[k]) for k, p in enumerate(parts[a:b])])
                 doc = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts[a:b])]).astype(np.int64)
                 start = np.array([x["start"] for p in parts[a:b] for x in p], dtype=np.int64)
                 count = np.array([x["n"] for p in parts[a:b] for x in p], dtype=np.int64)
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                times = np.repeat(np.array([x["times"] for p in parts[a:b] for x in p], dtype=np.int64), count)
                 start, doc, base = np.repeat(start, count) + step, np.repeat(doc, count), np.repeat(base, count).astype(np.int64)
                 hashed = Ranges(words).of(base + start, base + start + window)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(hashed.view(np.int64))], ["doc", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(times)], ["doc", "start", "hash", "times"])
+            del texts, parts
+            tidy()
 
     return run
 
@@ -144,14 +149,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         .where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
     release(spark)
-    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed"))
+    only = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
+    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed", only("anchor"), only("block")))
     release(spark)
-    unsure = hits.where("mixed").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
-    windows = checkpoint(docs.join(unsure, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, hash long"))
+    # of equal blocks one is looked into for all of them; should its row be there twice, its windows count as repeated anyway
+    equal = checkpoint(hits.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("one")))
+    parts = equal.select("one.*", "times").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "times")).alias("parts"))
+    windows = checkpoint(docs.join(parts, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, hash long, times long"))
     release(spark)
-    again = windows.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    single = windows.join(again, "hash").select("doc", "start", F.lit(1).alias("n"))
-    out = checkpoint(hits.where("not mixed").select("doc", "start", "n").unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("factors")))
+    again = checkpoint(windows.groupBy("hash").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("hash"))
+    several = equal.where("times > 1").select("anchor", "block")
+    single = windows.where("times = 1").join(again, "hash").select("doc", "start", F.lit(1).alias("n"))
+    sure = hits.where("not mixed").select("doc", "start", "n").unionByName(hits.where("mixed").join(several, ["anchor", "block"]).select("doc", "start", "n"))
+    out = checkpoint(sure.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("factors")))
     release(spark)
     return out
 
