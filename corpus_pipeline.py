@@ -55,8 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern)
-    read = bpe.digests(encoded.select("doc_key", F.col("ids").alias("coded"), "ids"), path, pattern)
-    return read.select(F.col("doc_key").alias("doc_id"), F.col("coded").alias("ids"), "n_tokens", "ids_sha256", "decoded_sha256")
+    read = bpe.digests(encoded, path, pattern, keep_ids=True)
+    return read.select(F.col("doc_key").alias("doc_id"), "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from courtlens.llm.common import tidy
+
 FIELDS = "uid long, links long, other long"
 #: Guests that are compared with a block at once.
 GUESTS = 1_024
@@ -127,6 +129,7 @@ def join_blocks(load: Callable[[list[bytes]], object], hits: Callable[[object, o
                     block.n += n[a:b].tolist()
                     block.raw += raw
             yield out.batch()
+            tidy()
         if block is not None:
             block.close(out)
             yield out.batch()

@@ -121,8 +121,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_column(encoded.select("doc_key", "ids"), "ids", "data binary", make, 8_000_000)
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids; other columns stay."""
+def digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids; with ``keep_ids`` also ids."""
 
     def make(rows: list[bytes]) -> list:
         out: list[list] = [[], [], []]
@@ -131,6 +131,7 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             plain = repr(ids.tolist())[1:-1].replace(" ", "")
             for store, v in zip(out, (len(ids), hashlib.sha256(plain.encode()).hexdigest(), hashlib.sha256(decode_ids(ids, path, pattern)).hexdigest())):
                 store.append(v)
-        return out
+        return [*out, rows] if keep_ids else out
 
-    return map_column(encoded, "ids", "n_tokens long, ids_sha256 string, decoded_sha256 string", make, 8_000_000)
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return map_column(encoded.select("doc_key", "ids"), "ids", fields, make, 4_000_000)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlens.llm.blocks import FIELDS, join_blocks
-from courtlens.llm.common import checkpoint, map_column, release
+from courtlens.llm.common import checkpoint, map_column, release, tidy
 from courtlens.llm.components import components
 from courtlens.llm.substring import mix, word_hashes
 
@@ -98,6 +98,8 @@ def _alike(least: float):
             rest = (bucket[keep], uid[keep], sig[keep])
             none = np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+            del batch, size, sig, a, b
+            tidy()
 
     return run
 

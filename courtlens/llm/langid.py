@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import map_column, slices
+from courtlens.llm.common import map_column, slices, tidy
 
 #: Letter trigrams are hashed into this many counts a language, which bounds the model whatever the corpus.
 BUCKETS = 1 << 16
@@ -81,10 +81,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = group["text"].tolist()
             g = grams.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             s = scripts.setdefault(lang, np.zeros(len(_NAMES), dtype=np.int64))
-            for a, b in slices([len(x) for x in texts], 2_000_000):
+            for a, b in slices([len(x) for x in texts], 1_000_000):
                 w = words_of(texts[a:b])
                 g += np.bincount(w.grams, minlength=BUCKETS)
                 s += np.bincount(w.script, weights=w.letters, minlength=len(_NAMES)).astype(np.int64)
+        tidy()
     for lang in grams:
         for kind, counts in ((0, grams[lang]), (1, scripts[lang])):
             k = np.flatnonzero(counts)
@@ -201,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         return [names, share, found][: 3 if spans else 2]
 
     fields = "lang_pred string, score double" + ", spans array<struct<begin:int,finish:int,lang:string>>" * spans
-    return map_column(docs.select(*keep, F.col(text).alias("_whole")), "_whole", fields, make, 2_000_000)
+    return map_column(docs.select(*keep, F.col(text).alias("_whole")), "_whole", fields, make, 1_000_000)
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
