@@ -3,7 +3,7 @@
 Word shingles form sets; each set is embedded as SIGNATURE tokens (i, least hash i). A run splits all sets recursively:
 the path so far chooses one token position, and sets that share the token there go on together. Buckets that have become
 small are compared by brute force on the embedded tokens; runs repeat until pairs at the threshold meet with the target
-probability. Sets that may be alike form families, within which all pairs are compared exactly on the whole sets.
+probability, and more often for sets whose buckets are split deeper. Sets that may be alike form families, within which all pairs are compared exactly on the whole sets.
 """
 
 from __future__ import annotations
@@ -68,9 +68,20 @@ def embed(texts: list[str | None], n: int = WORDS) -> list[list]:
     return [uid, sig]
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met in a bucket with the target probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**SHALLOW))
+def runs_for(threshold: float, recall: float, depth: int = SHALLOW) -> int:
+    """Runs after which a pair at the threshold has met in a bucket after ``depth`` splits with the target probability.
+
+    All runs draw from the same embedded tokens: the chance is averaged over how many of them agree.
+    """
+    agree = [(math.comb(SIGNATURE, k) * threshold**k * (1 - threshold) ** (SIGNATURE - k), (k / SIGNATURE) ** depth) for k in range(SIGNATURE + 1)]
+    missed = lambda runs: sum(p * (1 - met) ** runs for p, met in agree)
+    low, high = 0, 1
+    while missed(high) > 1 - recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > 1 - recall else (low, mid)
+    return high
 
 
 def _alike(least: float):
@@ -104,14 +115,15 @@ def _alike(least: float):
     return run
 
 
-def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Links (a, b) that join the sets (uid, sig) which may be alike into families."""
-    rows = sets.select("uid", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs_for(threshold, recall)))).alias("run"))
+def _meet(sets: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the runs from first to last: (bucket, uid) of buckets to compare, links (a, b) of those that stay large after
+    all splits, and the sets (uid) that were in a bucket which is split further."""
+    rows = sets.select("uid", "sig", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run"))
     for d in range(1, DEEP + 1):  # each path builds on the column before it
         before = F.col(f"p{d - 1}") if d > 1 else F.xxhash64("run")
         rows = rows.withColumn(f"p{d}", F.xxhash64(before, F.element_at("sig", (F.pmod(before, F.lit(SIGNATURE)) + 1).cast("int"))))
     active = rows.select("uid", *(f"p{d}" for d in range(SHALLOW, DEEP + 1)))
-    small, dense = None, None
+    small, dense, crowded = None, None, None
     for d in range(SHALLOW, DEEP + 1):
         sizes = active.groupBy(F.col(f"p{d}").alias("bucket")).agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
         met = active.withColumn("bucket", F.col(f"p{d}")).join(sizes, "bucket")
@@ -119,10 +131,26 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         few = met.where(F.col("size") <= SMALL).select("bucket", "uid")
         small = few if small is None else small.unionByName(few)
         large = met.where(F.col("size") > SMALL)
+        crowded = large.select("uid").distinct() if crowded is None else crowded
         dense = large.select(F.col("uid").alias("a"), F.col("least").alias("b"))
         active = large.drop("bucket", "size", "least")
         if active.isEmpty():
             break
+    return small, dense, crowded
+
+
+def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Links (a, b) that join the sets (uid, sig) which may be alike into families.
+
+    A pair meets in a bucket of SHALLOW splits with the target probability. If that bucket is split further, both of its
+    sets take part in as many more runs as a pair needs to stay together through DEEP splits. Each part may miss half
+    of what the target lets go.
+    """
+    runs, more = (runs_for(threshold, (1 + recall) / 2, depth) for depth in (SHALLOW, DEEP))
+    small, dense, crowded = _meet(sets, 1, runs)
+    crowded = checkpoint(sets.join(crowded, "uid", "left_semi"))
+    if more > runs and not crowded.isEmpty():
+        small, dense = (x.unionByName(y) for x, y in zip((small, dense), _meet(crowded, runs + 1, more)))
     slack = 4.5 * math.sqrt(threshold * (1 - threshold) / SIGNATURE)
     close = (
         small.join(sets, "uid").select("bucket", "uid", "sig").repartition("bucket").sortWithinPartitions("bucket", "uid")

@@ -143,6 +143,34 @@ def test_jaccard_recall_in_large_buckets(spark, monkeypatch):
     assert got == {i: sum(i != j and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
 
 
+def test_jaccard_edited_copies_of_large_groups(spark):
+    """A copy just above the threshold of one of many near copies, which differ at their ends, whose embedded tokens agree least."""
+    rnd = random.Random(3)
+    new = lambda: "z" + str(rnd.getrandbits(40))
+    sig = lambda texts: np.stack(jaccard.embed(texts)[1])
+    alike = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+    def edited(words, n, a, b):
+        words = list(words)
+        for k in rnd.sample(range(a, b), n):
+            words[k] = new()
+        return " ".join(words)
+
+    texts, want = [], []
+    for _ in range(12):
+        base = [new() for _ in range(600)]
+        group = [edited(base, 1, 580, 600) for _ in range(100)]
+        first = shingle_set(group[0])
+        tried = [t for t in (edited(group[0].split(" "), 13, 5, 570) for _ in range(300)) if alike(first, shingle_set(t))]
+        group.append(tried[int((sig(tried) == sig(group[:1])).mean(1).argmin())])
+        sets = [shingle_set(t) for t in group]
+        want += [sum(i != j and alike(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+        assert want[-1]
+        texts += group
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(clashing(docs)).collect()
     assert len(got) == len(rows)
