@@ -194,13 +194,14 @@ def _hits(threshold: float):
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.9999, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """(key, row, class_id, n_links, empty) of every row: its class of near-duplicates and its links.
+    """(key, row, component, class_id, n_links, empty) of every row: its class of near-duplicates and its links.
 
     Two documents are linked if their sets of word shingles have a Jaccard similarity of at least ``threshold``; a class
     is what hangs together by links, and its id the least key in it. Documents with equal sets are compared once and
     counted by weight. Texts of fewer than ``words`` words have one shingle; those without words (empty, null) link with
     nothing, and their class is their own key. Repeated rows link with each other; null keys are no class id, unless
-    all keys of the class are null. ``row`` is a hash of key and text that tells rows apart; ``empty`` marks rows without words. Sets are told apart by 64 bits.
+    all keys of the class are null. So classes may share an id; ``component`` tells them apart and is null without words.
+    ``row`` is a hash of key and text that tells rows apart; ``empty`` marks rows without words. Sets are told apart by 64 bits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), text).alias("row"), F.col(text).alias("text"))
@@ -227,18 +228,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     classes = components(linked.where("other is not null"), "uid", "other").withColumnRenamed("node", "uid")
     found = sets.select("uid", "least", "n").join(counts, "uid", "left").join(classes, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = found.groupBy("component").agg(F.min("least").alias("class_id"))
-    found = found.join(least, "component").select("uid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
+    found = found.join(least, "component").select("uid", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
     return all_rows.select("key", "row", "uid").join(found, "uid", "left").select(
-        F.col("key").alias(key), "row", F.when(F.col("uid").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("key").alias(key), "row", "component", F.when(F.col("uid").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("uid").isNull().alias("empty"),
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row of each class of near-duplicates, the one with the least key; rows without words all stay, unless they
+    """One row of each class of near-duplicates, the one with the least key (null only if all are); rows without words all stay, unless they
     repeat a row's key and text."""
     found = join(docs, key, text, threshold).withColumnRenamed(key, "_key")
-    best = found.where("not empty").groupBy("class_id").agg(F.min(F.struct("_key", "row")).alias("x")).select(F.col("x.row").alias("_row"))
+    best = found.where("not empty").groupBy("component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "row")).alias("x")).select(F.col("x.row").alias("_row"))
     kept = best.unionByName(found.where("empty").select(F.col("row").alias("_row"))).distinct()
     inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(*inner, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.col(text)).alias("_row"))

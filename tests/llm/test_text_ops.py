@@ -171,6 +171,17 @@ def test_jaccard_edited_copies_of_large_groups(spark):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_keep_one_without_usable_keys(spark):
+    """Null keys and a repeated key tell no classes apart: unrelated texts stay, copies go, and a key that is there counts first."""
+    rnd = random.Random(4)
+    said = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(40)) for _ in range(9)]
+    data = [(None, said[0]), (None, said[1]), (None, said[2]), (7, said[3]), (7, said[4]), (7, said[5]), (8, said[6]), (None, said[6]), (None, said[7]), (None, said[7] + " more"), (None, said[0])]
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    last = [x for x in kept if x[1].startswith(said[7])]
+    assert len(last) == 1
+    assert sorted(map(str, kept)) == sorted(map(str, [*data[:7], *last]))
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(clashing(docs)).collect()
     assert len(got) == len(rows)
