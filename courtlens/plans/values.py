@@ -168,6 +168,23 @@ ORACLE_SQL["canonical_name"] = """
 """
 
 
+def canonical_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As canonical_documents, of whole texts."""
+    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return df.select("doc_id", text.canonical_name(F.col("text")).alias("canonical"), text.alias_key(F.col("text"), {}).alias("key"), text.hyphen_slug(F.col("text")).alias("slug"))
+
+
+QUERIES["canonical_name_whole"] = canonical_whole_documents
+ORACLE_SQL["canonical_name_whole"] = """
+    with h as (select doc_id, lower(coalesce(text, '')) as s from documents)
+    select doc_id,
+        array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(s, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> ''))), ' ') as canonical,
+        trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) as key,
+        regexp_replace(regexp_replace(replace(s, '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug
+    from h
+"""
+
+
 def season_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     year = dates.season_year(F.col("o_orderdate"))
