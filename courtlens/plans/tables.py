@@ -322,6 +322,28 @@ ORACLE_SQL["dq_contacts_in_text"] = r"""
     union all select 'contact_phone', doc_id, phone from k where phone <> '' and not regexp_matches(phone, '^\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(\s*(x|ext\.?)\s*[0-9]+)?$')
 """
 
+
+MAIL, DIAL = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+)", r"([+(]?[0-9][0-9() .\-]{8,}[0-9])"
+
+
+def dq_all_contacts_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dq_contacts_in_text, but with every e-mail address and phone number of a document, each a contact."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    every = lambda pattern: F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+    none = F.lit(None).cast("string")
+    contacts = d.select("doc_id", every(MAIL).alias("email"), none.alias("phone")).unionByName(d.select("doc_id", none.alias("email"), every(DIAL).alias("phone")))
+    return quality.contact_issues(d, "doc_id", contacts)
+
+
+QUERIES["dq_all_contacts_in_text"] = dq_all_contacts_in_text
+ORACLE_SQL["dq_all_contacts_in_text"] = rf"""
+    with m as (select doc_id, unnest(regexp_extract_all(text, '{MAIL}', 1)) as email from documents),
+    p as (select doc_id, unnest(regexp_extract_all(text, '{DIAL}', 1)) as phone from documents)
+    select 'no_contact' as check, doc_id as entity, '' as detail from documents where doc_id not in (select doc_id from m union all select doc_id from p)
+    union all select 'contact_email', doc_id, email from m where not regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}$')
+    union all select 'contact_phone', doc_id, phone from p where not regexp_matches(phone, '^\+?1?[-.\s]?\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}}(\s*(x|ext\.?)\s*[0-9]+)?$')
+"""
+
 # ---- pages and logs
 
 

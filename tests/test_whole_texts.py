@@ -3,6 +3,13 @@
 from courtlens.plans import QUERIES
 
 
+def test_all_contacts(spark, tmp_path):
+    rows = [(1, "to a.b@c.org or x@broken, call 317-555-0100 or 12 34 56 78 90 12"), (2, "nobody"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["dq_all_contacts_in_text"](spark, str(tmp_path)).collect())
+    assert [(str(a), str(b), c) for a, b, c in got] == [("contact_email", "1", "x@broken"), ("contact_phone", "1", "12 34 56 78 90 12"), ("no_contact", "2", ""), ("no_contact", "3", "")]
+
+
 def test_whole_texts(spark, tmp_path):
     late = "word " * 30 + "zebra"
     spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
