@@ -1,10 +1,13 @@
 """An adaptive context-mixing range coder for token ids, in independent blocks that numpy codes side by side.
 
-Each block starts afresh. The ids that last followed the two ids before (order 2) and the one id before (order 1) are
-the first guesses; how often guesses of such a record came true, as counted so far, sets their shares of the range. An
-id that neither guessed is coded by adaptive counts of its own (order 0): its upper bits, its middle bits given those,
-and its lowest five bits evenly. All blocks of a call advance together, one id a step, so that a step is a few array
-operations over the blocks; the coder is a range coder with 32-bit range, 16-bit output and carries.
+Each block starts afresh and numbers its ids by first appearance. An id is coded by a mixture of three predictions:
+order 0, the counts of all ids of the block so far and of ids that were new; order 1 and order 2, the id that follows
+the last id, or the last two, as far as seen. Their shares depend on how sure both guesses are, and move to whichever
+prediction gave the ids that came (each is credited with its part of the probability). An id that is new to the block
+is spelt out: its magnitude and two more bits by adaptive counts, the rest evenly. Ids have up to 32 bits.
+
+All blocks of a call advance together, one id a step, so that a step is a few array operations over the blocks. Weights
+are whole numbers, and divisions are rounded alike everywhere; the coder is a range coder with 50-bit range, 16-bit output and carries.
 """
 
 from __future__ import annotations
@@ -14,77 +17,141 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, blocks that are coded side by side, and steps between two looks at the counts.
-BLOCK, LANES, REFRESH = 4_096, 2_048, 32
-_SLOTS2, _SLOTS1, _BITS, _MIDDLE_BITS = 4_096, 2_048, 12, 15
-_MAGIC = b"CMR1"
-
-
-def _shares(counts: np.ndarray, total: int) -> np.ndarray:
-    """Cumulative shares of ``total`` along the last axis, at least 1 each, in front of each symbol and at the end."""
-    cum = counts.cumsum(-1, dtype=np.int32)
-    n = counts.shape[-1]
-    out = np.zeros((*counts.shape[:-1], n + 1), dtype=np.int32)
-    out[..., 1:] = (cum.astype(np.int64) * (total - n) // cum[..., -1:]).astype(np.int32)
-    return out + np.arange(n + 1, dtype=np.int32)
+#: Ids of a block, and blocks that are coded side by side.
+BLOCK, LANES = 4_096, 1_024
+#: What an id adds to its count, and a new id to the count of new ones; the most that a guess weighs against order 0.
+_ADD, _NEW, _MOST = 4, 3, 4
+#: States of the two guesses (sureness 0 to 3 each, equal or not), and what is shared out among predictions at each id.
+_STATES, _CREDIT = 32, 32
+#: Magnitudes of ids that are new, each with two more bits, and what one adds to its count.
+_SPELT, _SPELT_ADD = 33 * 4, 16
+_BITS, _LEAST = 50, 1 << 34
+_MAGIC = b"CMR2"
+_AFTER = (np.arange(64)[None, :] > np.arange(64)[:, None]).astype(np.int16) * _ADD
+_AFTER_SPELT = (np.arange(_SPELT + 1)[None, :] > np.arange(_SPELT)[:, None]).astype(np.int32) * _SPELT_ADD
 
 
 class _Models:
-    """What each block has learned so far. Tables are flat, a stretch for each block; guesses hold id * 4 + record."""
+    """What each block has learned so far. Tables are flat, a stretch for each block; guesses hold number * 4 + sureness."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.table2, self.base2 = np.full(lanes * _SLOTS2, -4, dtype=np.int32), lane * _SLOTS2
-        self.table1, self.base1 = np.full(lanes * _SLOTS1, -4, dtype=np.int32), lane * _SLOTS1
-        self.outcome, self.base = np.ones((lanes, 32, 3), dtype=np.int32), lane * 32
-        self.high, self.middle = np.ones((lanes, 64), dtype=np.int32), np.ones((lanes, 64, 32), dtype=np.int16)
-        self.a, self.b = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.middle_shares = _shares(self.middle[:1, :1], 1 << (_MIDDLE_BITS - 5)).repeat(64, 1).repeat(lanes, 0)
-        self.refresh(lanes, 0)
-
-    def refresh(self, k: int, step: int) -> None:
-        """Turn the counts into shares of the range; old counts fade."""
-        if step:
-            big = self.outcome[:k].sum(2) > 600
-            self.outcome[:k][big] = (self.outcome[:k][big] + 1) >> 1
-        cum = _shares(self.outcome[:k], 1 << _BITS)
-        self.first, self.second = cum[:, :, 1].ravel(), cum[:, :, 2].ravel()
-        self.high_shares = _shares(self.high[:k], 1 << _BITS)
-        # the middle bits come in turn: an eighth of the upper parts each time
-        part = slice((step // REFRESH % 8) * 8, (step // REFRESH % 8) * 8 + 8)
-        self.middle_shares[:k, part] = _shares(self.middle[:k, part], 1 << (_MIDDLE_BITS - 5))
-
-    def guess(self, k: int) -> tuple:
-        a, b = self.a[:k], self.b[:k]
-        i1 = self.base1[:k] + ((b * 40503 >> 2) & (_SLOTS1 - 1))
-        i2 = self.base2[:k] + ((a * 40503 + b * 60493 >> 3) & (_SLOTS2 - 1))
-        v2, v1 = self.table2.take(i2), self.table1.take(i1)
-        g2, g1 = v2 >> 2, v1 >> 2
-        mix = self.base[:k] + (((v2 & 3) << 3) | ((v1 & 3) << 1) | (g1 == g2))
-        return i2, i1, v2, v1, g2, g1, mix, self.first.take(mix), self.second.take(mix)
-
-    def learn(self, k: int, guess: tuple, ids: np.ndarray, outcome: np.ndarray) -> None:
-        i2, i1, v2, v1, g2, g1, mix, _, _ = guess
-        new = ids << 2
-        self.table2[i2] = new | np.where(ids == g2, np.minimum((v2 & 3) + 1, 3), 0)
-        self.table1[i1] = new | np.where(ids == g1, np.minimum((v1 & 3) + 1, 3), 0)
-        self.outcome.reshape(-1)[mix * 3 + outcome] += 1
-        self.a[:k], self.b[:k] = self.b[:k], ids
-
-    def learn_miss(self, lane: np.ndarray, hi: np.ndarray, mid: np.ndarray) -> None:
-        self.high.reshape(-1)[lane * 64 + hi] += 24
-        self.middle.reshape(-1)[lane * 2_048 + hi * 32 + mid] += 4
-
-
-def _sizes(blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in blocks], dtype=np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    active = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
-    return sizes, order, active
+        self.lane = np.arange(lanes)
+        self.wide, self.states = self.lane * BLOCK, self.lane * _STATES
+        self.table1, self.table2 = np.zeros(lanes * BLOCK, dtype=np.int16), np.zeros(lanes * BLOCK, dtype=np.int16)
+        state = np.arange(_STATES)
+        sure2, sure1 = state >> 3, (state >> 1) & 3
+        self.w0 = np.tile(np.full(_STATES, 6.0 * _CREDIT), lanes)
+        self.w1, self.w2 = np.tile(1.0 * sure1 * _CREDIT, lanes), np.tile(2.0 * sure2 * _CREDIT, lanes)
+        # counts by number, and what stands before each of 64 groups of 64 numbers and before each number of its group
+        self.count = np.zeros(lanes * BLOCK, dtype=np.int16)
+        self.groups, self.inner = np.zeros((lanes, 64), dtype=np.int16), np.zeros((lanes * 64, 64), dtype=np.int16)
+        self.known, self.p, self.q = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
+        self.spelt = np.tile(np.arange(_SPELT + 1, dtype=np.int32), (lanes, 1))
+        self.flat_groups, self.flat_inner = self.groups.reshape(-1), self.inner.reshape(-1)
+
+    def guess(self, k: int, t: int) -> None:
+        """The guesses for the next id of the first k blocks, which have t ids behind them, and their weights."""
+        self.i1 = self.wide[:k] + self.p[:k]
+        self.i2 = self.wide[:k] + ((self.q[:k] * 1021 + self.p[:k] * 5) & (BLOCK - 1))
+        self.v1, self.v2 = self.table1.take(self.i1).astype(np.int64), self.table2.take(self.i2).astype(np.int64)
+        self.s1, self.s2 = self.v1 >> 2, self.v2 >> 2
+        self.j = self.states[:k] + (((self.v2 & 3) << 3) | ((self.v1 & 3) << 1) | (self.s1 == self.s2))
+        self.new = self.known[:k] * _NEW + _ADD
+        base = self.new + _ADD * t
+        share = base / self.w0.take(self.j)
+        self.m1 = np.minimum(share * self.w1.take(self.j), _MOST * base).astype(np.int64)
+        self.m2 = np.minimum(share * self.w2.take(self.j), _MOST * base).astype(np.int64)
+        self.total = base + self.m1 + self.m2
+
+    def before(self, k: int, x: np.ndarray) -> np.ndarray:
+        """Counts of the numbers below x."""
+        return self.flat_groups.take((self.lane[:k] << 6) + (x >> 6)).astype(np.int64) + self.flat_inner.take(self.wide[:k] + x)
+
+    def interval(self, k: int, x: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the number x lies in the mixture: what comes before it, and its own part."""
+        self.e1, self.e2 = x == self.s1, x == self.s2
+        start = self.new + self.before(k, x) + self.m1 * (x > self.s1) + self.m2 * (x > self.s2)
+        self.own = np.where(fresh, self.new, self.count.take(self.wide[:k] + x) + self.m1 * self.e1 + self.m2 * self.e2)
+        return np.where(fresh, 0, start), self.own
+
+    def find(self, k: int, t: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number at a place of the mixture, and whether it is a new one: both guesses are taken out in turn."""
+        fresh = at < self.new
+        at = at - self.new
+        swap = self.s1 > self.s2
+        low, high = np.where(swap, self.s2, self.s1), np.where(swap, self.s1, self.s2)
+        m_low, m_high = np.where(swap, self.m2, self.m1), np.where(swap, self.m1, self.m2)
+        x = np.full(k, -1)
+        for s, m in ((low, m_low), (high, m_high)):
+            begin = self.before(k, s)
+            end = begin + self.count.take(self.wide[:k] + s) + m
+            x = np.where((x < 0) & (at >= begin) & (at < end), s, x)
+            at = at - m * (at >= end)
+        at = np.clip(at, 0, max(0, _ADD * t - 1))
+        group = _below(self.groups[:k], at)
+        row = (self.lane[:k] << 6) + group
+        inner = _below(self.inner.take(row, axis=0), at - self.flat_groups.take(row))
+        return np.where(fresh, self.known[:k], np.where(x < 0, (group << 6) + inner, x)), fresh
+
+    def learn(self, k: int, x: np.ndarray, fresh: np.ndarray) -> None:
+        hit1, hit2 = np.flatnonzero(self.e1), np.flatnonzero(self.e2)
+        self.w0[self.j] += _CREDIT
+        for hit, m, w in ((hit1, self.m1, self.w1), (hit2, self.m2, self.w2)):
+            j = self.j[hit]
+            credit = np.floor(m[hit] * float(_CREDIT) / self.own[hit])
+            w[j] += credit
+            self.w0[j] -= credit
+        one = (x << 2) | 1
+        for table, i, v, e in ((self.table1, self.i1, self.v1, self.e1), (self.table2, self.i2, self.v2, self.e2)):
+            sure = v & 3
+            table[i] = np.where(e & (sure > 0), v + (sure < 3), np.where(sure > 1, v - 1, one))
+        group, row = x >> 6, (self.lane[:k] << 6) + (x >> 6)
+        self.count[self.wide[:k] + x] += _ADD
+        self.groups[:k] += _AFTER.take(group, axis=0)
+        self.inner[row] = self.inner.take(row, axis=0) + _AFTER.take(x & 63, axis=0)
+        self.known[:k] += fresh
+        self.p, self.q = x, self.p
+
+    def learn_spelt(self, lane: np.ndarray, symbol: np.ndarray) -> None:
+        self.spelt[lane] += _AFTER_SPELT[symbol]
+
+
+def _part(span: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A range over its number of parts. The quotient is rounded, so one less is never too much."""
+    return (span / total).astype(np.int64) - 1
+
+
+def _below(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The last of 64 rising starts that is not above a place."""
+    hit = (rows <= at.astype(np.int16)[:, None]).view(np.uint64)
+    eight = hit.sum(1, dtype=np.uint64) * np.uint64(0x0101010101010101)
+    return (eight >> np.uint64(56)).astype(np.int64) - 1
+
+
+def _sizes(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array(sizes, dtype=np.int64)
+    order = np.argsort(-n, kind="stable")
+    active = np.searchsorted(-n[order], -np.arange(n.max(initial=0)), side="left")
+    return n, order, active
+
+
+def _numbers(block: np.ndarray) -> np.ndarray:
+    """The number of each id of a block by first appearance."""
+    block = block.astype(np.uint16) if len(block) and block.max() < 1 << 16 else block
+    order = np.argsort(block, kind="stable")
+    ordered = block[order]
+    begins = np.ones(len(block), dtype=bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    first = order[begins]
+    number = np.empty(len(first), dtype=np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    out = np.empty(len(block), dtype=np.int64)
+    out[order] = number[np.cumsum(begins) - 1]
+    return out
 
 
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """Code each array of ids below 2^16 by itself into little-endian 16-bit words."""
+    """Code each array of at most BLOCK ids below 2^32 by itself into little-endian 16-bit words."""
     out: list = []
     for a in range(0, len(blocks), LANES):
         out += _encode(blocks[a : a + LANES])
@@ -100,66 +167,66 @@ def _carry(words: np.ndarray, lane: int, j: int) -> None:
 
 
 def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    sizes, order, active = _sizes(blocks)
+    sizes, order, active = _sizes([len(x) for x in blocks])
     lanes, steps = len(blocks), len(active)
-    ids = np.zeros((steps, lanes), dtype=np.int64)
+    ids, numbers = np.zeros((lanes, steps), dtype=np.uint32), np.zeros((lanes, steps), dtype=np.int16)
     for lane, k in enumerate(order):
-        ids[: sizes[k], lane] = blocks[k]
-    width = 3 * steps + 4
+        ids[lane, : sizes[k]], numbers[lane, : sizes[k]] = blocks[k], _numbers(blocks[k])
+    numbers = np.ascontiguousarray(numbers.T)
+    width = 3 * steps + 8
     words = np.zeros((lanes, width), dtype=np.uint16)
     flat, pos = words.reshape(-1), np.arange(lanes) * width
-    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << 32) - 1, dtype=np.int64)
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << _BITS) - 1, dtype=np.int64)
 
-    def put(at, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        t = span[at] >> bits
-        new_low, new_span = low[at] + t * start, t * freq
-        over = np.flatnonzero(new_low >> 32)
+    def put(at, start: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+        part = _part(span[at], total)
+        new_low, new_span = low[at] + part * start, part * own
+        over = np.flatnonzero(new_low >> _BITS)
         if len(over):
             lane = over if isinstance(at, slice) else at[over]
             flat[pos[lane] - 1] += 1
             for x in lane[flat[pos[lane] - 1] == 0].tolist():  # it runs on over words that were full, which is rare
                 _carry(words, x, int(pos[x]) - x * width - 2)
-            new_low[over] &= 0xFFFFFFFF
-        short = np.flatnonzero(new_span < 1 << 16)
+            new_low[over] &= (1 << _BITS) - 1
+        short = np.flatnonzero(new_span < _LEAST)
         if len(short):
             lane, full = short if isinstance(at, slice) else at[short], new_low[short]
-            flat[pos[lane]] = full >> 16
+            flat[pos[lane]] = full >> (_BITS - 16)
             pos[lane] += 1
-            new_low[short] = (full & 0xFFFF) << 16
+            new_low[short] = (full & (_LEAST - 1)) << 16
             new_span[short] <<= 16
         low[at], span[at] = new_low, new_span
 
     models = _Models(lanes)
     for t in range(steps):
         k = active[t]
-        if t % REFRESH == 0 and t:
-            models.refresh(k, t)
-        now = ids[t, :k]
-        guess = models.guess(k)
-        g2, g1, f2, f12 = guess[4], guess[5], guess[7], guess[8]
-        outcome = np.where(now == g2, 0, np.where(now == g1, 1, 2))
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f12))
-        put(slice(0, k), start, np.where(outcome == 0, f2, np.where(outcome == 1, f12, 1 << _BITS)) - start, _BITS)
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            x = now[miss]
-            hi, mid, lo = x >> 10, (x >> 5) & 31, x & 31
-            i = miss * 65 + hi
-            before = models.high_shares.take(i)
-            put(miss, before, models.high_shares.take(i + 1) - before, _BITS)
-            i = (miss * 64 + hi) * 33 + mid
-            before = models.middle_shares.take(i)
-            own = models.middle_shares.take(i + 1) - before
-            put(miss, before * 32 + lo * own, own, _MIDDLE_BITS)
-            models.learn_miss(miss, hi, mid)
-        models.learn(k, guess, now, outcome)
+        x = numbers[t, :k].astype(np.int64)
+        fresh = x == models.known[:k]
+        models.guess(k, t)
+        start, own = models.interval(k, x, fresh)
+        put(slice(0, k), start, own, models.total)
+        lane = np.flatnonzero(fresh)
+        if len(lane):
+            value = ids[lane, t].astype(np.int64) + 1
+            size = np.frexp(value)[1].astype(np.int64) - 1
+            symbol = (size << 2) | (((value << 2) >> size) & 3)
+            start = models.spelt[lane, symbol].astype(np.int64)
+            put(lane, start, models.spelt[lane, symbol + 1] - start, models.spelt[lane, _SPELT].astype(np.int64))
+            models.learn_spelt(lane, symbol)
+            rest = np.maximum(size - 2, 0)
+            for shift, bits in ((16, np.maximum(rest - 16, 0)), (0, np.minimum(rest, 16))):
+                some = slice(None) if bits.all() else np.flatnonzero(bits)
+                if bits.any():
+                    mask = (1 << bits[some]) - 1
+                    put(lane[some], (value[some] >> shift) & mask, np.ones(len(mask), dtype=np.int64), mask + 1)
+        models.learn(k, x, fresh)
     out: list = [None] * lanes
     for lane, k in enumerate(order):
-        # two words say where in the last range the code lies
+        # two words say where in the last range the code lies; what follows them is read as zeros
         value, end = int(low[lane] + span[lane] - 1), int(pos[lane]) - lane * width
-        if value >> 32:
+        if value >> _BITS:
             _carry(words, lane, end - 1)
-        words[lane, end], words[lane, end + 1] = (value >> 16) & 0xFFFF, value & 0xFFFF
+        words[lane, end], words[lane, end + 1] = (value >> (_BITS - 16)) & 0xFFFF, (value >> (_BITS - 32)) & 0xFFFF
         out[k] = words[lane, : end + 2].astype("<u2") if sizes[k] else np.zeros(0, dtype="<u2")
     return out
 
@@ -173,69 +240,70 @@ def decode(coded: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
 
 
 def _decode(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
-    sizes, order, active = _sizes([range(n) for n in lengths])
+    sizes, order, active = _sizes(lengths)
     lanes, steps = len(coded), len(active)
-    width = max((len(x) for x in coded), default=0) + 4
+    width = max((len(x) for x in coded), default=0) + 8
     words = np.zeros((lanes, width), dtype=np.uint16)
     for lane, k in enumerate(order):
         words[lane, : len(coded[k])] = coded[k]
-    flat = words.reshape(-1)
-    code, pos = (words[:, 0].astype(np.int64) << 16) | words[:, 1], np.arange(lanes) * width + 2
-    span = np.full(lanes, (1 << 32) - 1, dtype=np.int64)
-    ids = np.zeros((steps, lanes), dtype=np.int64)
-
-    def take(at, t: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        new_code, new_span = code[at] - t * start, t * freq
-        short = np.flatnonzero(new_span < 1 << 16)
+    flat, pos = words.reshape(-1), np.arange(lanes) * width + 4
+    first = words[:, :4].astype(np.int64)
+    # the range has 50 bits: three whole words and the top of the fourth, whose other bits wait
+    code = (first[:, 0] << 34) | (first[:, 1] << 18) | (first[:, 2] << 2) | (first[:, 3] >> 14)
+    span = np.full(lanes, (1 << _BITS) - 1, dtype=np.int64)
+    numbers, names = np.zeros((steps, lanes), dtype=np.int16), np.zeros((lanes, BLOCK), dtype=np.int64)
+
+    def take(at, part: np.ndarray, start: np.ndarray, own: np.ndarray) -> None:
+        new_code, new_span = code[at] - part * start, part * own
+        short = np.flatnonzero(new_span < _LEAST)
         if len(short):
             lane = short if isinstance(at, slice) else at[short]
-            new_code[short] = (new_code[short] << 16) | flat[pos[lane]]
+            i = pos[lane]
+            new_code[short] = (new_code[short] << 16) | ((flat[i - 1].astype(np.int64) << 2) & 0xFFFF) | (flat[i] >> 14)
             pos[lane] += 1
             new_span[short] <<= 16
         code[at], span[at] = new_code, new_span
 
     models = _Models(lanes)
-    for step in range(steps):
-        k = active[step]
-        if step % REFRESH == 0 and step:
-            models.refresh(k, step)
-        guess = models.guess(k)
-        g2, g1, f2, f12 = guess[4], guess[5], guess[7], guess[8]
-        t = span[:k] >> _BITS
-        slot = code[:k] // t
-        outcome = np.where(slot < f2, 0, np.where(slot < f12, 1, 2))
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f12))
-        take(slice(0, k), t, start, np.where(outcome == 0, f2, np.where(outcome == 1, f12, 1 << _BITS)) - start)
-        now = np.where(outcome == 0, g2, g1).astype(np.int64)
-        miss = np.flatnonzero(outcome == 2)
-        if len(miss):
-            t = span[miss] >> _BITS
-            slot = (code[miss] // t).astype(np.int32)
-            hi = (models.high_shares[miss] <= slot[:, None]).sum(1) - 1
-            i = miss * 65 + hi
-            before = models.high_shares.take(i)
-            take(miss, t, before, models.high_shares.take(i + 1) - before)
-            t = span[miss] >> _MIDDLE_BITS
-            slot = (code[miss] // t).astype(np.int32)
-            mid = (models.middle_shares.reshape(-1, 33)[miss * 64 + hi] <= (slot >> 5)[:, None]).sum(1) - 1
-            i = (miss * 64 + hi) * 33 + mid
-            before = models.middle_shares.take(i)
-            own = models.middle_shares.take(i + 1) - before
-            lo = (slot - before * 32) // own
-            take(miss, t, before * 32 + lo * own, own)
-            now[miss] = (hi << 10) | (mid << 5) | lo
-            models.learn_miss(miss, hi, mid)
-        ids[step, :k] = now
-        models.learn(k, guess, now, outcome)
+    for t in range(steps):
+        k = active[t]
+        models.guess(k, t)
+        part = _part(span[:k], models.total)
+        x, fresh = models.find(k, t, np.minimum(code[:k] // part, models.total - 1))
+        start, own = models.interval(k, x, fresh)
+        take(slice(0, k), part, start, own)
+        lane = np.flatnonzero(fresh)
+        if len(lane):
+            rows = models.spelt[lane]
+            part = _part(span[lane], rows[:, -1])
+            at = np.minimum(code[lane] // part, rows[:, -1] - 1)
+            symbol = (rows <= at[:, None]).sum(1) - 1
+            start = rows[np.arange(len(lane)), symbol].astype(np.int64)
+            take(lane, part, start, rows[np.arange(len(lane)), symbol + 1] - start)
+            models.learn_spelt(lane, symbol)
+            size = symbol >> 2
+            rest = np.maximum(size - 2, 0)
+            value = ((4 | (symbol & 3)) << size) >> 2
+            for shift, bits in ((16, np.maximum(rest - 16, 0)), (0, np.minimum(rest, 16))):
+                some = slice(None) if bits.all() else np.flatnonzero(bits)
+                if bits.any():
+                    total = 1 << bits[some]
+                    part = _part(span[lane[some]], total)
+                    at = np.minimum(code[lane[some]] // part, total - 1)
+                    take(lane[some], part, at, np.ones(len(at), dtype=np.int64))
+                    value[some] |= at << shift
+            names[lane, x[lane]] = value - 1
+        numbers[t, :k] = x
+        models.learn(k, x, fresh)
     out: list = [None] * lanes
     for lane, k in enumerate(order):
-        out[k] = ids[: sizes[k], lane].copy()
+        out[k] = names[lane].take(numbers[: sizes[k], lane])
     return out
 
 
 def pack(docs: list[np.ndarray]) -> list[np.ndarray]:
     """Cut the ids of documents in a row into the blocks of one record."""
-    ids = np.concatenate([np.zeros(0, dtype=np.uint16), *docs])
+    ids = np.concatenate([np.zeros(0, dtype=np.uint32), *docs])
     return [ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
 
 

@@ -6,6 +6,7 @@ the documents in it and ``data`` the coded ids (see ``coder``). Spark writes and
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -13,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,47 +24,82 @@ from pyspark.sql import functions as F
 from courtlens.llm import coder
 from courtlens.llm.common import map_column, shared_dir, slices
 
-#: Ids of a record, characters that a task tokenises at a time, and words whose ids a worker remembers.
-RECORD, TEXT, CACHE = 65_536, 6_000_000, 1_200_000
+#: Ids of a record, characters that a task tokenises at a time, and pieces whose ids a worker remembers.
+RECORD, TEXT, CACHE = 65_536, 10_000_000, 1_200_000
 #: Documents of a shard, and the most shards.
 SHARD_ROWS, MAX_SHARDS = 2_000, 20_000
 _ODD_SPACE = re.compile(r"\s ")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: A word of Latin letters and marks behind it: for a byte-level pre-tokenizer these are two pre-tokens.
+_PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([.,;:!?]*)")
 _known: dict[str, dict[str, bytes]] = {}
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
+def tokenizer(path: str) -> tuple:
+    """The tokenizer of a file, with its own treatment of special tokens, and whether it goes by byte-level pre-tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    parts = json.loads(Path(path).read_text(encoding="utf-8"))
+    before, model, added = parts.get("pre_tokenizer") or {}, parts["model"], [x["content"] for x in parts.get("added_tokens", [])]
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    alone = all(" " not in x and not re.search(f"[{_LETTERS}.,;:!?]$", x) for x in added)
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return Tokenizer.from_file(path), bool(level and alone and plain and not parts.get("normalizer") and not parts.get("post_processor"))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in printable)}
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u2").tobytes()
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def _fresh(tok, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    """(piece, ids) by the library: plain words straight by its model, all others through the whole of it."""
+    table, marks, rest = _letters(), {}, []
+    for p in pieces:
+        found = _PLAIN.fullmatch(p)
+        if not found:
+            rest.append(p)
+            continue
+        word, mark = found.groups()
+        ids = [x.id for x in tok.model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))]
+        if mark:
+            if mark not in marks:
+                marks[mark] = [x.id for x in tok.model.tokenize(mark)]
+            ids += marks[mark]
+        yield p, _packed(ids)
+    for a in range(0, len(rest), 20_000):
+        part = rest[a : a + 20_000]
+        yield from zip(part, (_packed(x.ids) for x in tok.encode_batch_fast(part, add_special_tokens=False)))
 
 
 def tokenize(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids (below 2^16) of each whole text by the tokenizers library, without special tokens.
+    """Ids (32 bits) of each whole text by the tokenizers library, which adds no special tokens; what of a text matches a
+    special token gets that token's id, as the library's default is.
 
-    A byte-level pre-token never goes from a character on to a space, so a text falls into pieces in front of each
-    space that follows no white space, and each distinct piece needs the library only once. Other texts go to it whole.
+    A byte-level pre-token never goes from a character on to a space, so under such a vocabulary a text falls into pieces
+    in front of each space that follows no white space, and each distinct piece needs the library only once. Other texts
+    go to it whole, as do all under other vocabularies.
     """
-    tok, known = tokenizer(path), _known.setdefault(path, {})
-    pieces = [None if text and ("\0" in text or _ODD_SPACE.search(text)) else (text or "").replace(" ", "\0 ").split("\0") for text in texts]
+    tok, level = tokenizer(path)
+    known = _known.setdefault(path, {})
+    pieces = [None if not level or (text and ("\0" in text or _ODD_SPACE.search(text))) else (text or "").replace(" ", "\0 ").split("\0") for text in texts]
     wanted = set(chain.from_iterable(p for p in pieces if p))
     fresh = list(wanted.difference(known))
     if len(known) + len(fresh) > CACHE:
         known.clear()
         fresh = list(wanted)
-    for a in range(0, len(fresh), 20_000):
-        part = fresh[a : a + 20_000]
-        known.update(zip(part, (_packed(x.ids) for x in tok.encode_batch_fast(part, add_special_tokens=False))))
+    known.update(_fresh(tok, fresh))
     look = known.__getitem__
     return [
-        np.frombuffer(b"".join(map(look, p)) if p is not None else _packed(tok.encode(text, add_special_tokens=False).ids), "<u2")
+        np.frombuffer(b"".join(map(look, p)) if p is not None else _packed(tok.encode(text or "", add_special_tokens=False).ids), "<u4")
         for text, p in zip(texts, pieces)
     ]
 
@@ -73,7 +110,7 @@ def _write(path: str, end: int):
         for batch in batches:
             shard, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for a, b in slices([len(x or "") for x in texts], TEXT):
-                docs = [np.append(x, np.uint16(end)) for x in tokenize(texts[a:b], path)]
+                docs = [np.append(x, np.uint32(end)) for x in tokenize(texts[a:b], path)]
                 at = np.flatnonzero(np.diff(shard[a:b])) + 1
                 cuts = []
                 for lo, hi in zip([0, *at.tolist()], [*at.tolist(), b - a]):
@@ -130,7 +167,7 @@ def read_ids(records: DataFrame, fields: str, make) -> DataFrame:
 
     names = [x.split()[0] for x in fields.split(", ")]
     typed = ",".join(f"{x.split()[0]}:{x.split()[1]}" for x in fields.split(", "))
-    rows = map_column(records.select("shard", "seq", "keys", "data"), "data", f"docs array<struct<at:bigint,{typed}>>", run, 6_000_000)
+    rows = map_column(records.select("shard", "seq", "keys", "data"), "data", f"docs array<struct<at:bigint,{typed}>>", run, 4_000_000)
     return rows.select("shard", "seq", F.explode(F.arrays_zip("keys", "docs")).alias("x")).select("shard", "seq", F.col("x.keys").alias("key"), "x.docs.*")
 
 
