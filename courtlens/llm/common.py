@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -61,8 +63,9 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def whole_text(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def slices(sizes, limit: int):
@@ -103,6 +106,7 @@ def map_column(df: DataFrame, column: str, fields: str, make, limit: int = 1_500
     All other columns pass through as Arrow arrays, so nulls and large integers stay as they are. ``make`` gets lists of
     values whose sizes add up to about ``limit`` (a longer value comes alone) and returns a list of columns.
     """
+    ship(df.sparkSession)
     rest = [c for c in df.columns if c != column]
     schema = T.StructType([df.schema[c] for c in rest] + list(T._parse_datatype_string(fields).fields))
     kinds = [_arrow(f.dataType) for f in schema.fields[len(rest) :]]

@@ -27,7 +27,8 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that can be reached. Only nodes with an edge to another node appear.
 
-    Nulls and loops in the edges are left out; repeated edges count once. An empty table gives an empty table.
+    Nulls and loops in the edges are left out; repeated edges count once. An empty table gives an empty table. Rounds
+    grow with the logarithm of the longest chain; what isn't done after ``max_rounds`` raises an error.
     """
     now = checkpoint(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
@@ -48,6 +49,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         if state == before and state["n"] == state["d"]:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

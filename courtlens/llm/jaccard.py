@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlens.llm.blocks import FIELDS, join_blocks
-from courtlens.llm.common import checkpoint, map_column, release, tidy
+from courtlens.llm.common import checkpoint, column, map_column, release, ship, tidy
 from courtlens.llm.components import components
 from courtlens.llm.substring import mix, word_hashes
 
@@ -204,6 +204,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     ``row`` is a hash of key and text that tells rows apart; ``empty`` marks rows without words. Sets are told apart by 64 bits.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), text).alias("row"), F.col(text).alias("text"))
     all_rows = checkpoint(map_column(rows, "text", "uid long, sig array<int>", lambda x: embed(x, words)))
     sets = checkpoint(all_rows.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("row").alias("row"), F.min("sig").alias("sig")))
@@ -241,6 +242,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     found = join(docs, key, text, threshold).withColumnRenamed(key, "_key")
     best = found.where("not empty").groupBy("component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "row")).alias("x")).select(F.col("x.row").alias("_row"))
     kept = best.unionByName(found.where("empty").select(F.col("row").alias("_row"))).distinct()
-    inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+    inner = [column(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(*inner, F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.col(text)).alias("_row"))
     return rows.join(kept, "_row").dropDuplicates(["_row"]).select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))

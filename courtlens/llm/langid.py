@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import map_column, slices, tidy
+from courtlens.llm.common import column, map_column, ship, slices, tidy
 
 #: Letter trigrams are hashed into this many counts a language, which bounds the model whatever the corpus.
 BUCKETS = 1 << 16
@@ -49,10 +49,11 @@ def words_of(texts: list[str]) -> Words:
     codes = np.frombuffer(lower.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
     seen = np.zeros(0x110000, dtype=bool)
     seen[codes] = True
-    table = np.zeros(0x110000, dtype=bool)
+    table = np.zeros(0x110000, dtype=np.int8)  # 2 for letters, 1 for marks, which go with the word they stand in
     for c in np.flatnonzero(seen):
-        table[c] = unicodedata.category(chr(c))[0] in "LM"
-    inside = table[codes]
+        table[c] = {"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0)
+    kind = table[codes]
+    inside = kind > 0
     c0 = np.where(inside, codes, 0).astype(np.uint32)
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -68,7 +69,7 @@ def words_of(texts: list[str]) -> Words:
     where = np.flatnonzero(used)
     ends = np.cumsum([len(x) + 2 for x in texts])
     first = np.concatenate([[0], np.searchsorted(starts, ends)])
-    letters = np.bincount(at[inside], minlength=len(starts)) if len(starts) else np.zeros(0, dtype=int)
+    letters = np.bincount(at[kind == 2], minlength=len(starts)) if len(starts) else np.zeros(0, dtype=int)
     script = _SCRIPT[np.searchsorted(_STARTS, codes[starts], side="right") - 1] if len(starts) else np.zeros(0, dtype=int)
     return Words((mixed[where] >> np.uint32(16)).astype(np.int64), at[where], script, letters, first)
 
@@ -104,6 +105,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     Each task counts its rows, and Spark adds the counts up; the driver gets at most BUCKETS counts a language.
     """
+    ship(docs.sparkSession)
     counted = (
         docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
         .mapInPandas(_count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -180,29 +182,35 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     """Add lang_pred and score to the columns ``keep`` (all but the text by default).
 
     lang_pred is the language of most letters, score its share of the letters. Texts that are null or have no letter
-    are ``und`` with score 0, as is every text if nothing was learned. With ``spans`` there is also the list of
-    (first word, end, lang). Repeated rows get equal results; the whole text counts, however long.
+    (combining marks are none) are ``und`` with score 0, as is every text if nothing was learned; of equal shares the
+    first language in alphabetical order counts. With ``spans`` there is also the list of (first word, end, lang).
+    Repeated rows get equal results; the whole text counts, however long (a word is one step for all texts of a batch).
+    Columns of ``keep`` pass unchanged whatever their names, but for those called like a result, which it replaces. An
+    empty table gives an empty table.
     """
-    keep = [c for c in docs.columns if c not in (text, "lang_pred", "score", "spans")] if keep is None else keep
+    made = ["lang_pred", "score"] + ["spans"] * spans
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    names = {f"_c{k}": c for k, c in enumerate(c for c in keep if c not in made)}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> list:
         m, n = shared.value, len(texts)
-        names, share, found = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+        labelled, share, found = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
         if m.langs:
             w, labels = label_words([x or "" for x in texts], m, switch)
             by = _shares(w, labels, n, len(m.langs))
             total = by.sum(1)
             share = by.max(1) / np.maximum(total, 1)
-            names = [m.langs[k] if t else "und" for k, t in zip(by.argmax(1), total)]
+            labelled = [m.langs[k] if t else "und" for k, t in zip(by.argmax(1), total)]
             for i in range(n if spans else 0):
                 own = labels[w.first[i] : w.first[i + 1]]
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
                 found[i] = [{"begin": x, "finish": y, "lang": m.langs[own[x]]} for x, y in zip(cuts, cuts[1:])]
-        return [names, share, found][: 3 if spans else 2]
+        return [labelled, share, found][: 3 if spans else 2]
 
     fields = "lang_pred string, score double" + ", spans array<struct<begin:int,finish:int,lang:string>>" * spans
-    return map_column(docs.select(*keep, F.col(text).alias("_whole")), "_whole", fields, make, 1_000_000)
+    inner = docs.select(*(column(c).alias(n) for n, c in names.items()), column(text).alias("_whole"))
+    return map_column(inner, "_whole", fields, make, 1_000_000).withColumnsRenamed(names)
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import WORD, checkpoint
+from courtlens.llm.common import WORD, checkpoint, column
 
 #: Bits of the document hash that each histogram level looks at, and the levels.
 BITS, LEVELS = 12, 3
@@ -53,15 +53,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns."""
     sized = checkpoint(docs.select(*facts(id_col, text_col, source_col)))
-    inner = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+    inner = [column(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(*inner, *facts(id_col, text_col, source_col))
     taken = take(rows, plan(sized, cap)).where("copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def facts(id_col: str, text_col: str, source_col: str) -> list[Column]:
-    """source, size and h of a document."""
-    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
+    """source, size and h of a document: the first bits of the MD5 of id and text, which SQL engines share."""
+    whole = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))
+    h = F.conv(F.substring(F.md5(whole), 1, BITS * LEVELS // 4), 16, 10).cast("long")
     return [F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")]
 
 

@@ -3,36 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, quality, substring, tokenfile, vectors
-from courtlens.llm.common import documents, ship
-
-
-def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, after the Python workers have got this package."""
-
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return query(spark, sf_dir)
-
-    return run
+from courtlens.llm.common import documents
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every whole text and its edited text. Null texts are empty, null ids come last, equal ids go by hash; an empty table gives none."""
     return fingerprints.compare_edited(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside repeated windows, a row a document. Null and short texts lose nothing; repeated rows lose what they share; an empty table gives none."""
     out = substring.remove_repeats(documents(spark, sf_dir, "doc_id", "text"), digest=True)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as written to and read back from a token file. Null texts are empty, null ids first, repeated rows separate; an empty table gives none."""
     import public_tokenizers
 
     to = tokenfile.scratch(spark)
@@ -41,10 +32,12 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of each document. Texts without words link with nothing; repeated rows link with each other; an empty table gives none."""
     return jaccard.join(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to. Null texts are empty, repeated rows separate, long texts stitched; an empty table gives none."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -53,14 +46,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document. Null texts have size 0, null sources are one, repeated rows go together; an empty table gives none."""
     mixed = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as read back from its formatted text. Null texts and roles are empty, null ids one conversation, ties by role and text."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    hostile = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    row = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit(said)}
+    hostile = spark.range(2).select(*(v.cast(turns.schema[k].dataType).alias(k) for k, v in row.items()))
     out = chat.format_trees(chat.turn_tree(turns.unionByName(hostile)))
     said = chat.read_turns(F.col("formatted"))
     trained = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
@@ -76,10 +72,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector. Null, zero and non-finite vectors link with nothing; repeated rows are separate; an empty table gives none."""
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from what isn't held out. Null texts and those without letters are und; an empty table gives none."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held = langid.held_out(F.col("doc_id"), 4, 2)
     model = langid.fit(docs.where(~held))
@@ -88,6 +86,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text, learned from labels that aren't held out. Null texts are empty; null labels teach nothing; an empty table gives none."""
     held = langid.held_out(F.col("doc_id"), 3, 1)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held).select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
     out = quality.classify(documents(spark, sf_dir, "doc_id", "text"), labels).withColumnRenamed("key", "doc_id")
@@ -96,18 +95,109 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
-    "op2_substring": shipped(op2_substring),
-    "op3_tokens": shipped(op3_tokens),
-    "op4_jaccard": shipped(op4_jaccard),
-    "op5_bpe": shipped(op5_bpe),
+    "op2_substring": op2_substring,
+    "op3_tokens": op3_tokens,
+    "op4_jaccard": op4_jaccard,
+    "op5_bpe": op5_bpe,
     "op6_mix": op6_mix,
     "op7_chat": op7_chat,
-    "op8_vectors": shipped(op8_vectors),
-    "op9_language": shipped(op9_language),
-    "op10_quality": shipped(op10_quality),
+    "op8_vectors": op8_vectors,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQLS: dict[str, str] = {
+    "op2_substring": r"""
+        with split as (
+            select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+        ), windows as (
+            select r, i, array_to_string(w[i:i + 34], ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from split where len(w) >= 35)
+        ), repeated as (
+            select s from windows group by s having count(*) > 1
+        ), gone as (
+            select distinct r, p from (select r, unnest(range(i, i + 35)) as p from windows join repeated using (s))
+        ), words as (
+            select r, p, w[p] as word from (select r, w, unnest(range(1, len(w) + 1)) as p from split)
+        ), kept as (
+            select words.r, count(gone.p) as n_removed, string_agg(word, ' ' order by words.p) filter (where gone.p is null) as said
+            from words left join gone on gone.r = words.r and gone.p = words.p group by words.r
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(said, '')) as kept_sha256
+        from split left join kept using (r)
+    """,
+    # 9 * both >= 4 * (a + b) is a Jaccard similarity of at least 0.8
+    "op4_jaccard": r"""
+        with recursive split as (
+            select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+        ), sets as (
+            select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) as s
+            from split where len(w) > 0
+        ), sizes as (
+            select r, count(*) as n from sets group by r
+        ), common as (
+            select a.r as a, b.r as b, count(*) as both from sets a join sets b on a.s = b.s and a.r < b.r group by a.r, b.r
+        ), half as (
+            select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 9 * both >= 4 * (x.n + y.n)
+        ), links as (
+            select a, b from half union all select b, a from half
+        ), reach as (
+            select distinct a as r, a as t from links union select reach.r, links.b from reach join links on links.a = reach.t
+        ), classes as (
+            select reach.r, min(doc_id) as class_id from reach join split on split.r = reach.t group by reach.r
+        ), counts as (
+            select a as r, count(*) as n from links group by a
+        )
+        select doc_id, coalesce(class_id, doc_id) as class_id, cast(coalesce(counts.n, 0) as bigint) as n_links
+        from split left join classes using (r) left join counts using (r)
+    """,
+    "op6_mix": r"""
+        with sized as (
+            select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+                substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 9) as h
+            from documents
+        ), ranked as (
+            select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) as rank from sized group by source
+        ), filled as (
+            select *, cast((rank - 1) % 3 + 1 as double) as weight, cast(3 * source_size as double) as cap from ranked
+        ), levels as (
+            select *, cap / weight as fill,
+                (sum(source_size) over () - coalesce(sum(cap) over earlier, 0)) / (sum(weight) over () - coalesce(sum(weight) over earlier, 0)) as level
+            from filled window earlier as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)
+        ), water as (
+            select level as water from levels where fill >= level order by fill, rank limit 1
+        ), targets as (
+            select source, source_size, least(cap, coalesce((select water from water), 0) * weight) as target from levels
+        ), plans as (
+            select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end as copies from targets
+        ), hist as (
+            select source, h, sum(size) as n, sum(sum(size)) over (partition by source order by h) as cum from sized group by source, h
+        ), cut as (
+            select hist.source, h, n, cum, target - copies * source_size as budget, row_number() over (partition by hist.source, cum > target - copies * source_size order by h) as k
+            from hist join plans on hist.source is not distinct from plans.source
+        ), extra as (
+            select source, h, cum <= budget or (k = 1 and 2 * (budget - (cum - n)) >= n) as more from cut
+        )
+        select doc_id, size, source_size, target, cast(size * (copies + case when more then 1 else 0 end) as bigint) as taken
+        from sized join plans on sized.source is not distinct from plans.source
+        join extra on sized.source is not distinct from extra.source and sized.h = extra.h
+    """,
+    "op8_vectors": r"""
+        with recursive vectors as (
+            select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings
+        ), sound as (
+            select r, e from vectors where len(list_filter(e, x -> x <> 0)) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+        ), links as (
+            select a.r as a, b.r as b from sound a join sound b on a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach as (
+            select distinct a as r, a as t from links union select reach.r, links.b from reach join links on links.a = reach.t
+        ), classes as (
+            select reach.r, min(vec_id) as component_id from reach join vectors on vectors.r = reach.t group by reach.r
+        ), counts as (
+            select a as r, count(*) as n from links group by a
+        )
+        select vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+        from vectors left join classes using (r) left join counts using (r)
+    """,
     # the markers' lengths: <|im_start|> 12, line end after the role 1, <|im_end|> with line end 11
     "op7_chat": r"""
         with said as (

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlens.llm import coder
-from courtlens.llm.common import map_column, shared_dir, slices
+from courtlens.llm.common import map_column, shared_dir, ship, slices
 
 #: Ids of a record, characters that a task tokenises at a time, and pieces whose ids a worker remembers.
 RECORD, TEXT, CACHE = 65_536, 10_000_000, 1_200_000
@@ -140,6 +140,7 @@ def write(docs: DataFrame, to: str, path: str, end: int = 0, key: str = "doc_id"
     """
     from pyspark.ml.feature import Bucketizer
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308)).alias("_at"))
     number = max(1, min(MAX_SHARDS, rows.count() // SHARD_ROWS))
     cuts = sorted(set(rows.approxQuantile("_at", [k / number for k in range(1, number)], 1 / (4 * number)))) if number > 1 else []

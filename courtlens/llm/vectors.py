@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtlens.llm.blocks import FIELDS, join_blocks, meets
-from courtlens.llm.common import checkpoint
+from courtlens.llm.common import checkpoint, ship
 from courtlens.llm.components import components
 
 #: Vectors of a block that a task holds at once, and the most pivots (with their radii they bound what is broadcast).
@@ -101,6 +101,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     padded with zeros. Rows with equal ids stay separate rows; a null id is no component's id unless it stands alone.
     Equal vectors are recognised by a 64-bit hash of their components.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))  # no negative zeros
