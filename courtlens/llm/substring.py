@@ -1,9 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
 Reference blocks are chosen by content: each window of 35 words picks the 8-gram in it with the least hash, its anchor,
-and the windows in a row that pick the same anchor form one block. Every block of every document is indexed, in a hash
-table that Spark deals by anchor. A document's factors are its maximal runs of blocks that the index has from elsewhere;
-where a block agrees only in its anchor (the boundaries of factors), its windows are checked one by one.
+and the windows in a row that pick the same anchor occurrence form one block. Every block of every document is indexed by
+its anchor, in a table that Spark deals by anchor, with the places of its first and last occurrence as references. A
+document is parsed greedily: a factor begins at the first block that the index has from elsewhere, and grows as long as
+the next block goes on at the same reference; then the next factor begins. Where occurrences of an anchor agree in the
+anchor but not in the whole block - at the boundaries of factors - the windows are checked one by one. Blocks and windows
+are equal if 128-bit digests of their words are; hashes of words only choose anchors.
 """
 
 from __future__ import annotations
@@ -16,15 +19,14 @@ from itertools import chain, compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtlens.llm.common import checkpoint, map_column, release, slices, tidy
+from courtlens.llm.common import checkpoint, column, map_column, release, ship, slices, tidy
 
 #: Words of a window: the shortest factor that counts. Words of an anchor.
 WINDOW, ANCHOR = 35, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -35,13 +37,29 @@ def split_words(text: str) -> list[bytes]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and where each text's words begin (and end)."""
-    words = [split_words(x) for x in texts]
+    return hashed([split_words(x) for x in texts])
+
+
+def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
     flat = np.empty(first[-1], dtype=object)
     flat[:] = list(chain.from_iterable(words))
     return (pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, dtype=np.uint64)), first
 
 
+class Digests:
+    """128-bit digests of ranges of the words of some texts, over the words themselves."""
+
+    def __init__(self, words: list[list[bytes]]):
+        self.text = b" ".join(chain.from_iterable(words)) + b" "
+        sizes = np.fromiter((len(w) + 1 for x in words for w in x), dtype=np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        text, blake = self.text, hashlib.blake2b
+        return [blake(text[a:b], digest_size=16).digest() for a, b in zip(self.at[begin].tolist(), self.at[end].tolist())]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -56,28 +74,16 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
-class Ranges:
-    """Hashes of any ranges of words, by prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, words: np.ndarray):
-        def powers(base: np.uint64) -> np.ndarray:
-            out = np.full(len(words) + 1, base, dtype=np.uint64)
-            out[0] = 1
-            return np.cumprod(out, dtype=np.uint64)
-
-        self.inverse = powers(_INVERSE)
-        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * powers(_BASE)[:-1], dtype=np.uint64, out=self.sums[1:])
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
-
+def blocks(texts: list[str], window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64) -> tuple:
+    """(text, first window, windows, anchor hash, digest) of each block; a window counts by its first word.
 
-def blocks(texts: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor hash, block hash) of each block; a window counts by its first word."""
-    words, first = word_hashes(texts)
+    ``bits`` of the words' hashes are used, which says how often different anchors fall together, but never what is equal.
+    """
+    split = [split_words(x) for x in texts]
+    words, first = hashed(split)
     if len(words) < window:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    words = words >> np.uint64(64 - bits)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     gram = grams(words, anchor)
     least = (gram & ~_POSITION) | np.arange(len(gram), dtype=np.uint64)
@@ -94,18 +100,17 @@ def blocks(texts: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> tupl
     head = np.flatnonzero(new)
     count = np.diff(np.concatenate([head, [len(begin)]]))
     start = begin[head]
-    hashed = Ranges(words).of(start, start + count - 1 + window)
-    return doc[start], start - first[doc[start]], count, gram[at[head]].view(np.int64), hashed.view(np.int64)
+    return doc[start], start - first[doc[start]], count, gram[at[head]].view(np.int64), Digests(split).of(start, start + count - 1 + window)
 
 
-def _blocks(window: int, anchor: int):
+def _blocks(window: int, anchor: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
-                doc, start, count, at, hashed = blocks(texts[a:b], window, anchor)
+                doc, start, count, at, digest = blocks(texts[a:b], window, anchor, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at), pa.array(hashed)],
+                    [pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at), pa.array(list(digest), pa.binary())],
                     ["doc", "start", "n", "anchor", "block"],
                 )
             del texts
@@ -115,13 +120,14 @@ def _blocks(window: int, anchor: int):
 
 
 def _windows(window: int):
-    """The hash of each window of the given blocks."""
+    """The digest of each window of the given blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
-                words, first = word_hashes(texts[a:b])
+                split = [split_words(x) for x in texts[a:b]]
+                first = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
                 base = np.concatenate([np.full(len(p), first[k]) for k, p in enumerate(parts[a:b])])
                 doc = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts[a:b])]).astype(np.int64)
                 start = np.array([x["start"] for p in parts[a:b] for x in p], dtype=np.int64)
@@ -129,48 +135,78 @@ def _windows(window: int):
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 times = np.repeat(np.array([x["times"] for p in parts[a:b] for x in p], dtype=np.int64), count)
                 start, doc, base = np.repeat(start, count) + step, np.repeat(doc, count), np.repeat(base, count).astype(np.int64)
-                hashed = Ranges(words).of(base + start, base + start + window)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(times)], ["doc", "start", "hash", "times"])
+                digest = Digests(split).of(base + start, base + start + window)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(times)], ["doc", "start", "digest", "times"])
             del texts, parts
             tidy()
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, factors) of documents (doc, text): the runs (start, n) of windows whose words also start elsewhere.
+def _place(kind) -> Column:
+    return kind(F.struct("doc", "start")).alias("first" if kind is F.min else "last")
+
+
+def repeated_blocks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64) -> DataFrame:
+    """(doc, parts) of documents (doc, text): the runs (start, n, ref, at) of windows whose words also start elsewhere.
 
-    Blocks are compared by two 64-bit hashes (anchor and block), windows by one.
+    ``ref`` and ``at`` are the document and first word of another occurrence: of a whole block its first one (for that
+    itself the last), of a single window at a factor's boundary likewise. Rows with the same doc have the same parts.
     """
     spark = docs.sparkSession
-    found = docs.mapInArrow(_blocks(window, anchor), "doc long, start int, n int, anchor long, block long")
+    ship(spark)
+    found = docs.mapInArrow(_blocks(window, anchor, bits), "doc long, start int, n int, anchor long, block binary")
     index = checkpoint(
-        found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"))
-        .where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+        found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"), _place(F.min), _place(F.max))
+        .where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), *(F.when(F.col("lo") == F.col("hi"), F.col(c)).alias(c) for c in ("first", "last")))
     )
     release(spark)
     only = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
-    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed", only("anchor"), only("block")))
+    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed", only("anchor"), only("block"), "first", "last"))
     release(spark)
     # of equal blocks one is looked into for all of them; should its row be there twice, its windows count as repeated anyway
-    equal = checkpoint(hits.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("one")))
-    parts = equal.select("one.*", "times").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "times")).alias("parts"))
-    windows = checkpoint(docs.join(parts, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, hash long, times long"))
+    equal = checkpoint(
+        hits.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("one"), _place(F.max))
+        .withColumn("first", F.struct("one.doc", "one.start"))
+    )
+    parts = equal.select("one.*", "times").groupBy("doc").agg(F.collect_set(F.struct("start", "n", "times")).alias("parts"))
+    windows = checkpoint(docs.join(parts, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, digest binary, times long"))
     release(spark)
-    again = checkpoint(windows.groupBy("hash").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("hash"))
-    several = equal.where("times > 1").select("anchor", "block")
-    single = windows.where("times = 1").join(again, "hash").select("doc", "start", F.lit(1).alias("n"))
-    sure = hits.where("not mixed").select("doc", "start", "n").unionByName(hits.where("mixed").join(several, ["anchor", "block"]).select("doc", "start", "n"))
-    out = checkpoint(sure.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("factors")))
+    again = checkpoint(windows.groupBy("digest").agg(F.sum("times").alias("all"), _place(F.min), _place(F.max)).where(F.col("all") > 1).drop("all"))
+    several = equal.where("times > 1").select("anchor", "block", "first", "last")
+    single = windows.where("times = 1").join(again, "digest").select("doc", "start", F.lit(1).alias("n"), "first", "last")
+    whole = hits.where("not mixed").select("doc", "start", "n", "first", "last").unionByName(
+        hits.where("mixed").drop("first", "last").join(several, ["anchor", "block"]).select("doc", "start", "n", "first", "last")
+    )
+    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
+    ref = lambda c: F.when(own, F.col(f"last.{c}")).otherwise(F.col(f"first.{c}"))
+    out = checkpoint(whole.unionByName(single).groupBy("doc").agg(F.collect_set(F.struct("start", "n", ref("doc").alias("ref"), ref("start").alias("at"))).alias("parts")))
     release(spark)
     return out
 
 
-def _covered(n: int, factors: list[dict], window: int) -> np.ndarray:
+def parse(parts: list[dict], window: int) -> list[dict]:
+    """The factors (begin, finish, ref, at) of a document, by a greedy parse over its repeated blocks and windows.
+
+    A factor begins at the first part behind the last one and takes in the next part as long as that begins in the
+    document and in the same reference right where the factor's windows end.
+    """
+    out: list[dict] = []
+    end = -1
+    for x in sorted(parts, key=lambda x: (x["start"], -x["n"])):
+        last = out[-1] if out else None
+        if last and x["start"] == end and x["ref"] == last["ref"] and x["at"] - last["at"] == x["start"] - last["begin"]:
+            last["finish"] = max(last["finish"], x["start"] + x["n"] - 1 + window)
+        else:
+            out.append({"begin": x["start"], "finish": x["start"] + x["n"] - 1 + window, "ref": x["ref"], "at": x["at"]})
+        end = x["start"] + x["n"]
+    return out
+
+
+def _covered(n: int, factors: list[dict]) -> np.ndarray:
     edge = np.zeros(n + 1, dtype=np.int64)
-    start = np.array([x["start"] for x in factors], dtype=np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(n, start + np.array([x["n"] for x in factors], dtype=np.int64) - 1 + window), -1)
+    np.add.at(edge, np.array([x["begin"] for x in factors], dtype=np.int64), 1)
+    np.add.at(edge, np.minimum(n, np.array([x["finish"] for x in factors], dtype=np.int64)), -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -185,38 +221,40 @@ def _cut(text: str, gone: np.ndarray) -> str:
     return "".join(kept) + text[last:]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, digest: bool = False, key: str = "doc_id", bits: int = 64) -> DataFrame:
     """Remove each word that lies in a window whose word sequence also starts anywhere else, its own document included.
 
     All columns stay; ``text`` becomes the kept text (documents that lose nothing keep theirs untouched; null stays
-    null), and n_words, n_removed and the removed ``spans`` (first word, end) are added; they replace columns of those
-    names. With ``digest`` the text gives way to kept_sha256, the SHA-256 of the kept words joined by one space. Windows
-    are judged on the input. Repeated rows are documents of their own, so they lose what they share; texts below
-    ``window`` words lose nothing.
+    null), and n_words, n_removed, the removed ``spans`` (first word, end) and the ``factors`` they come from (begin,
+    finish, and the reference: a hash of the row and its first word) are added; they replace columns of those names.
+    With ``digest`` the text gives way to kept_sha256, the SHA-256 of the kept words joined by one space. Windows are
+    judged on the input. Repeated rows are documents of their own, so they lose what they share, and equal keys with
+    different texts are different documents; null keys are keys like others. Null and empty texts, and those below
+    ``window`` words, lose nothing; an empty table gives an empty table. Other columns may have any names.
     """
-    mine = ("n_words", "n_removed", "spans", "kept_sha256", text)
+    mine = ("n_words", "n_removed", "spans", "factors", "kept_sha256", text)
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in mine}
-    identity = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", text) if c in docs.columns]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("_text"), F.xxhash64(*identity).alias("_doc"))
-    found = repeated_windows(rows.select(F.col("_doc").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), window)
-    found = found.select(F.col("doc").alias("_doc"), F.col("factors").alias("_factors"))
-    joined = rows.join(found, "_doc", "left").select(*names.values(), F.struct(F.col("_text").alias("text"), F.col("_factors").alias("factors")).alias("_both"))
+    identity = [F.coalesce(column(c).cast("string"), F.lit("\0")) for c in (key, text) if c in docs.columns]
+    rows = docs.select(*(column(c).alias(n) for c, n in names.items()), column(text).alias("_text"), F.xxhash64(*identity).alias("_doc"))
+    found = repeated_blocks(rows.select(F.col("_doc").alias("doc"), F.coalesce("_text", F.lit("")).alias("text")), window, bits=bits)
+    found = found.select(F.col("doc").alias("_doc"), F.col("parts").alias("_parts"))
+    joined = rows.join(found, "_doc", "left").select(*names.values(), F.struct(F.col("_text").alias("text"), F.col("_parts").alias("parts")).alias("_both"))
 
     def make(both: list[dict]) -> list[list]:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for x in both:
-            words = split_words(x["text"] or "")
-            gone = _covered(len(words), x["factors"] or [], window)
+            words, factors = split_words(x["text"] or ""), parse(x["parts"] or [], window)
+            gone = _covered(len(words), factors)
             removed = int(gone.sum())
             if digest:
                 kept = hashlib.sha256(b" ".join(compress(words, ~gone) if removed else words)).hexdigest()
             else:
                 kept = _cut(x["text"], gone) if removed else x["text"]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            for store, v in zip(out, (kept, len(words), removed, [{"begin": int(a), "finish": int(b)} for a, b in zip(edges[::2], edges[1::2])])):
+            for store, v in zip(out, (kept, len(words), removed, [{"begin": int(a), "finish": int(b)} for a, b in zip(edges[::2], edges[1::2])], factors)):
                 store.append(v)
         return out
 
-    fields = f"{'kept_sha256' if digest else text} string, n_words long, n_removed long, spans array<struct<begin:int,finish:int>>"
+    fields = f"{'kept_sha256' if digest else '_kept'} string, n_words long, n_removed long, spans array<struct<begin:int,finish:int>>, factors array<struct<begin:int,finish:int,ref:bigint,at:int>>"
     out = map_column(joined, "_both", fields, make, size=lambda x: len(x["text"] or ""))
-    return out.withColumnsRenamed({n: c for c, n in names.items()})
+    return out.withColumnsRenamed({n: c for c, n in names.items()} | {"_kept": text})
