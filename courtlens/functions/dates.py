@@ -15,5 +15,11 @@ def incoming_year(ts: Column) -> Column:
     return F.when(F.month(ts) >= 8, F.year(ts) + 1).otherwise(F.year(ts))
 
 
+def run_times(now: Column | None = None) -> dict[str, Column]:
+    """started and finished of a run; give ``now`` for a run that can be repeated."""
+    at = F.current_timestamp() if now is None else now.cast("timestamp")
+    return {"started": at, "finished": at}
+
+
 def season_label(year: Column) -> Column:
     return F.concat_ws("-", year.cast("string"), (year + 1).cast("string"))

@@ -34,8 +34,8 @@ def text(c: Column | str) -> Column:
 
 
 def clean(c: Column | str) -> Column:
-    """Every run of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text(c), r"\s+", " "))
+    """Every run of white space, no-break and other Unicode blanks too, as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
 
 
 def to_null(c: Column | str, tokens: tuple[str, ...] = MISSING) -> Column:

@@ -26,9 +26,11 @@ def top_groups(df: DataFrame, group: str, n: int, name: str = "n") -> DataFrame:
 
 def top_with_rest(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
     """(group, items, more): the first n distinct items in order, and how many more there are."""
-    names = F.array_sort(F.collect_set(item))
-    out = df.where(F.col(group).isNotNull()).groupBy(group).agg(names.alias("_a"))
-    return out.select(group, F.array_join(F.slice("_a", 1, n), ", ").alias("items"), F.greatest(F.lit(0), F.size("_a") - n).alias("more"))
+    items = df.where(F.col(group).isNotNull()).select(group, F.col(item).alias("_i")).distinct()
+    first = items.where("_i is not null").withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_i"))).where(F.col("_k") <= n)
+    first = first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_i"))), lambda x: x["_i"]), ", ").alias("items"))
+    more = items.groupBy(group).agg(F.greatest(F.lit(0), F.count("_i") - n).cast("int").alias("more"))
+    return more.join(first, group, "left").select(group, F.coalesce("items", F.lit("")).alias("items"), "more")
 
 
 def code_counts(df: DataFrame, codes: Column) -> DataFrame:
@@ -74,6 +76,9 @@ def diversity(df: DataFrame, group: str, amount: Column) -> DataFrame:
     return out.withColumn("diversity_label", label)
 
 
-def with_total(df: DataFrame, name: str = "total") -> DataFrame:
-    """The row count on each row, for paging; an aggregate joined back, so no task sees all rows."""
-    return df.join(F.broadcast(df.agg(F.count("*").alias(name))), how="cross")
+def with_total(df: DataFrame, name: str = "total", counted: DataFrame | None = None) -> DataFrame:
+    """The row count on each row, for paging; an aggregate (one row) joined back, so no task sees all rows.
+
+    ``counted``: a frame with as many rows that is cheaper to count, say before joins that add only columns.
+    """
+    return df.join(F.broadcast((df if counted is None else counted).agg(F.count("*").alias(name))), how="cross")

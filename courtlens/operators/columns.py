@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtlens.functions.text import text
 
@@ -107,3 +108,27 @@ def label_or(first: Column | str, second: Column | str) -> Column:
     return F.coalesce(F.nullif(text(first), F.lit("")), F.col(second) if isinstance(second, str) else second)
 
 
+
+
+def season_row(rows: Column, season: Column | int, field: str = "season") -> Column:
+    """The first struct of the season in an array, else the array's first; null if it is empty."""
+    want = F.lit(season) if isinstance(season, int) else season
+    return F.coalesce(F.get(F.filter(rows, lambda x: x[field] == want), 0), F.get(rows, 0))
+
+
+def side_tables(dim: DataFrame, name: str, fields: dict[str, Column]) -> dict[str, DataFrame]:
+    """A table (name, field) for each field of a dimension, of the rows that have it filled. Structs count as filled if
+    one of their fields is."""
+    out = {}
+    for field, value in fields.items():
+        rows = dim.where(F.col(name).isNotNull()).select(name, value.alias(field))
+        kind = rows.schema[field].dataType
+        parts = [F.col(field)[x] for x in kind.names] if isinstance(kind, T.StructType) else [F.col(field)]
+        filled = F.concat(*(F.trim(F.coalesce(x.cast("string"), F.lit(""))) for x in parts)) != ""
+        out[field] = rows.where(filled)
+    return out
+
+
+def base_name(path: Column | str) -> Column:
+    """What follows the last slash."""
+    return F.regexp_extract(text(path), "[^/]*$", 0)

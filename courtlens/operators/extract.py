@@ -10,13 +10,32 @@ from pyspark.sql import functions as F
 
 from courtlens.functions.text import clean, is_blank, text, to_null, words
 
+# The named character references that names and texts of pages use, and their characters.
+REFERENCES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—",
+    "hellip": "…", "bull": "•", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "aacute": "á", "eacute": "é", "iacute": "í",
+    "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "auml": "ä", "ouml": "ö", "uuml": "ü", "ccedil": "ç", "egrave": "è", "agrave": "à",
+}
 TITLES = "head coach|assistant coach|associate head coach|director of operations|coach"
 
 
+def unescape(c: Column) -> Column:
+    """Character references as their characters: numbers in decimal and hex, and the names of REFERENCES and amp."""
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    value = lambda n: F.when(F.lower(F.substring(n, 1, 1)) == "x", F.conv(F.substr(n, F.lit(2)), 16, 10)).otherwise(n).cast("int")
+    sound = lambda v: v.between(1, 0xD7FF) | v.between(0xE000, 0x10FFFF)
+    char = lambda n: F.when(sound(value(n)), F.decode(F.unhex(F.lpad(F.hex(value(n)), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    out = F.aggregate(numbers, c, lambda s, n: F.replace(s, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
+    for name, plain in REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
+    # an ampersand that was written as a reference begins no other one
+    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+
+
 def page_text(html: Column | str) -> Column:
-    """The text of a page: scripts, styles and tags go, white space collapses."""
+    """The text of a page: scripts, styles and tags go, character references are resolved, white space collapses."""
     bare = F.regexp_replace(text(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return clean(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
+    return clean(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
 
 
 def inner(html: Column | str, tag: str, k: int = 0) -> Column:
@@ -113,18 +132,42 @@ def table_rows(pages: DataFrame, required: Sequence[str], id_pattern: str | None
     return rows.where(n > 0).select("page_id", "row_no", F.map_from_entries(last).alias("cells"), F.nullif(link, F.lit("")).alias("link_id"))
 
 
+def marked_blocks(html: Column, marks: str) -> Column:
+    """array<struct<pos, n, b>>: each div or li whose class holds a mark, whole, with all blocks inside it.
+
+    ``pos`` numbers the page's block tags, and a block takes ``n`` of the pieces between them: up to the tag that closes
+    it, or to the page's end if none does.
+    """
+    opens = lambda p: F.when(p.rlike("(?i)^<(div|li)\\b"), 1).when(p.rlike("(?i)^</(div|li)\\b"), -1).otherwise(0)
+    marked = lambda p: p.rlike(rf"(?is)^<(?:div|li)\b[^>]*class=[\"'][^\"']*(?:{marks})")
+
+    def blocks(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(True).alias("open"))
+        grow = lambda s, p: F.when(s["open"], F.struct((s["n"] + 1).alias("n"), (s["depth"] + opens(p)).alias("depth"), (s["depth"] + opens(p) > 0).alias("open"))).otherwise(s)
+        size = lambda i: F.aggregate(F.slice(pieces, i + 1, F.size(pieces)), start, grow, lambda s: s["n"])
+        # of the last piece only the closing tag belongs to the block
+        body = lambda x: F.concat(F.array_join(F.slice(pieces, x["pos"] + 1, x["n"] - 1), ""), F.regexp_replace(pieces[x["pos"] + x["n"] - 1], r"(?s)^(</[^>]*>).*$", "$1"))
+        found = F.filter(F.transform(pieces, lambda p, i: F.when(marked(p), i)), lambda i: i.isNotNull())
+        sized = F.transform(found, lambda i: F.struct(i.alias("pos"), size(i).alias("n")))
+        return F.transform(sized, lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), body(x).alias("b")))
+
+    return F.transform(F.array(F.split(html, r"(?i)(?=</?(?:div|li)\b)")), blocks)[0]
+
+
 def staff_contacts(pages: DataFrame) -> DataFrame:
     """(page_id, strategy, pos, name, title, email, phone, photo) by the first of three strategies that finds anyone.
 
-    1: blocks marked as staff; 2: rows of tables with a name and a title; 3: links next to a coaching title.
+    1: blocks marked as staff, with what is nested in them, the innermost that have a name and a title; 2: rows of
+    tables with a name and a title; 3: links next to a coaching title.
     """
     mail, tel = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", r"(\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ][0-9]{4})"
     title = lambda c: F.trim(F.regexp_extract(c, rf"(?i)((?:associate |assistant )?(?:{TITLES}))", 1))
-    block = F.regexp_extract_all("html", F.lit(r"(?is)<(?:div|li)\b[^>]*class=[\"'][^\"']*(?:staff|coach)[^\"']*[\"'][^>]*>(.*?)</(?:div|li)>"), F.lit(1))
     named = F.coalesce(*[F.nullif(inner("b", t), F.lit("")) for t in ("h2", "h3", "h4", "a", "strong")])
     img = attribute(F.regexp_extract("b", r"(?is)<img\b[^>]*>", 0), "src")
     fields = [F.regexp_extract("b", mail, 1).alias("email"), F.regexp_extract(page_text("b"), tel, 1).alias("phone"), F.nullif(img, F.lit("")).alias("photo")]
-    one = pages.select("page_id", F.posexplode(block).alias("pos", "b")).select("page_id", F.lit(1).alias("strategy"), "pos", named.alias("name"), title(page_text("b")).alias("title"), *fields)
+    one = pages.select("page_id", F.inline(marked_blocks(F.col("html"), "staff|coach"))).select("page_id", F.lit(1).alias("strategy"), "pos", named.alias("name"), title(page_text("b")).alias("title"), *fields, "n")
+    inner_too = F.lead("pos").over(Window.partitionBy("page_id").orderBy("pos")) < F.col("pos") + F.col("n")
+    one = one.where("name <> '' and title <> ''").withColumn("_in", F.coalesce(inner_too, F.lit(False))).where("not _in").drop("_in", "n")
     cells = tables(pages).where(F.size("cells") >= 2).withColumn("b", F.array_join("raw", " "))
     two = cells.select("page_id", F.lit(2).alias("strategy"), (F.col("table_no") * 10_000 + F.col("row_no")).alias("pos"), F.get("cells", 0).alias("name"), title(F.get("cells", 1)).alias("title"), *fields)
     near = F.regexp_extract_all("html", F.lit(rf"(?is)(<a\b[^>]*>[^<]*</a>[^<]*(?:<[^>]*>[^<]*){{0,3}}?(?:{TITLES}))"), F.lit(1))
@@ -182,21 +225,28 @@ def faqs(html: Column | str, n: int = 3) -> Column:
     return F.slice(F.filter(F.coalesce(pairs, F.array().cast("array<struct<question:string,answer:string>>")), lambda x: (x["question"] != "") & (x["answer"] != "")), 1, n)
 
 
-def find_object(df: DataFrame, key: str, json: str, required: Sequence[str], depth: int = 6) -> DataFrame:
+def find_object(df: DataFrame, key: str, json: str, required: Sequence[str]) -> DataFrame:
     """(key, found): the first object, in pre-order, that has all required keys (letters only, no case), as map<string,string>.
 
-    Each level opens all objects and lists of the level before, down to ``depth``; paths order the finds. Text that is
-    no JSON has no object.
+    Each level opens all objects and lists of the level before, down to the deepest nesting of brackets in any text;
+    paths order the finds. Text that is no JSON has no object.
     """
-    level = df.select(key, F.try_parse_json(json).alias("v"), F.array().cast("array<int>").alias("path")).where("v is not null")
-    hits: DataFrame | None = None
-    for _ in range(depth):
+    parsed = df.select(key, F.try_parse_json(json).alias("v"), F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*"|[^\[\]{}"]', "").alias("_b")).where("v is not null")
+    nesting = F.aggregate(
+        F.split("_b", ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, b: F.struct((s["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(b.isin("{", "["), 1).otherwise(0)).alias("most")),
+        lambda s: s["most"],
+    )
+    deepest = parsed.agg(F.max(nesting)).first()[0] or 0  # one number
+    level = parsed.select(key, "v", F.array().cast("array<int>").alias("path"))
+    hits: DataFrame = level.where("false").select(key, "path", F.lit(None).cast("map<string,string>").alias("found"))
+    for _ in range(deepest):
         asmap = F.try_variant_get("v", "$", "map<string,variant>")
         own = level.withColumn("m", asmap)
         names = F.transform(F.map_keys("m"), lambda k: F.regexp_replace(F.lower(k), "[^a-z]", ""))
         fits = F.size(F.array_intersect(names, F.array(*map(F.lit, required)))) == len(set(required))
         new = own.where(fits).select(key, "path", F.transform_values("m", lambda k, v: F.to_json(v)).alias("found"))
-        hits = new if hits is None else hits.unionByName(new)
+        hits = hits.unionByName(new)
         kids = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.map_values("m"))
         level = own.select(key, "path", F.posexplode(kids).alias("i", "v")).select(key, F.col("v"), F.concat("path", F.array("i")).alias("path")).where("v is not null")
     return hits.groupBy(key).agg(F.min_by("found", "path").alias("found"))

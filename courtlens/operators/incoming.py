@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlens.functions.classify import lookup
-from courtlens.functions.text import text
+from courtlens.functions.text import player_name, text
 
 # Class words in the hints.
 CLASS_WORDS = {"fr": "Fr", "fr.": "Fr", "so": "So", "so.": "So", "soph": "So", "jr": "Jr", "jr.": "Jr", "sr": "Sr", "sr.": "Sr", "gr": "Gr", "gs": "Gr"}
@@ -32,6 +32,20 @@ def parse_lines(lines: DataFrame, group: list[str], pos: str, line: str, need_he
     return (rows.where("conference is not null") if need_header else rows).drop("_s")
 
 
+def parse_transfers(lines: DataFrame, group: list[str], pos: str, line: str) -> DataFrame:
+    """"Conference:" headers and "name - school - position" lines of at least three parts: adds conference (empty before
+    the first header), name, school, position without what follows a parenthesis, and is_transfer."""
+    s = F.trim(text(line))
+    header = F.when(F.endswith(s, F.lit(":")), F.trim(F.regexp_replace(s, ":$", "")))
+    rows = carry_header(lines.withColumn("_s", s), group, pos, header, "conference").where(~F.endswith("_s", F.lit(":")) & (F.col("_s") != ""))
+    parts = F.transform(F.split("_s", " - "), lambda x: F.trim(x))
+    rows = rows.where(F.size(parts) >= 3).withColumns({
+        "conference": F.coalesce("conference", F.lit("")), "name": player_name(parts[0]), "school": parts[1], "position": F.trim(F.regexp_replace(parts[2], r"(?s)\(.*$", "")),
+        "is_transfer": F.contains(F.lower(parts[2]), F.lit("transfer")),
+    })
+    return rows.drop("_s")
+
+
 def parse_list(raw: Column | str, default_position: str) -> Column:
     """array<struct<name, position, class, is_transfer>> of "Name (So. Setter - Transfer), ..."; the last hint of a kind wins."""
     parts = F.filter(F.transform(F.split(text(raw), ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtlens.functions.numbers import haversine_miles
 from courtlens.functions.text import coach_title, file_slug, index_key, phone, scorecard_key, text, to_null, words
@@ -16,17 +17,28 @@ from courtlens.functions.text import coach_title, file_slug, index_key, phone, s
 LOW, MEDIUM, RATIO = 0.60, 0.80, 0.78
 
 
+def settling(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
+    """The columns that can settle a tie: all with an order but the ones given."""
+
+    def ordered(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    return [f.name for f in df.schema.fields if f.name not in but and ordered(f.dataType)]
+
+
 def last_by(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
-    """The last row of each key in the order given; null keys are no identity and go."""
+    """The last row of each key in the order given, ties by the other columns; null keys are no identity and go."""
     df = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, df)
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*ordinal)).alias("_r")
+    best = F.max_by(F.struct(*rest), F.struct(*ordinal, *settling(df, [*keys, *ordinal]))).alias("_r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def first_by(df: DataFrame, keys: Sequence[Column], ordinal: Sequence[str]) -> DataFrame:
-    """The first-seen row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*ordinal)
+    """The first-seen row of each key, ties by the other columns."""
+    w = Window.partitionBy(*keys).orderBy(*ordinal, *settling(df, ordinal))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -46,13 +58,13 @@ def two_step(left: DataFrame, key: str, fallback: str, dim: DataFrame, dim_key:
     return out.withColumn(value, F.coalesce("_v1", "_v2")[value]).drop("_k1", "_k2", "_v1", "_v2")
 
 
-def nearest(points: DataFrame, point: str, sites: DataFrame, site: str, cell: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, point: str, sites: DataFrame, site: str, cell: float = 1.0) -> DataFrame:
     """(point, site, miles) of the nearest site to each point; of equals the one with the least id.
 
-    Both frames have lat and lon; rows without either are left out. By default every site is compared with every point:
-    the site table is a small dimension. With ``cell`` (degrees) points and sites meet on a grid first: a point takes
-    the best site of its own and neighbouring cells if that is nearer than any other cell can be, and only the
-    remaining points are compared with all sites.
+    Both frames have lat and lon; rows without either are left out. Points and sites meet on a grid of cells (degrees):
+    a point takes the best site of its own and neighbouring cells if that is nearer than any other cell can be. The
+    remaining points try again with cells four times as wide; those that are left at the widest ones (near a pole or the
+    date line, or very far from any site) are compared with all sites.
     """
     p = points.where("lat is not null and lon is not null").select(F.col(point).alias("_p"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     s = sites.where("lat is not null and lon is not null").select(F.col(site).alias("_s"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
@@ -62,26 +74,36 @@ def nearest(points: DataFrame, point: str, sites: DataFrame, site: str, cell: fl
         out = pairs.withColumn("_d", miles).groupBy("_p").agg(F.min(F.struct("_d", "_s")).alias("b"), F.first("_plat").alias("_plat"), F.first("_plon").alias("_plon"))
         return out.select(F.col("_p").alias(point), F.col("b._s").alias(site), F.col("b._d").alias("miles"), "_plat", "_plon")
 
-    if cell is None:
-        return best(p.join(s)).drop("_plat", "_plon")
-    at = lambda c: F.floor(F.col(c) / cell)
-    steps = F.array(*map(F.lit, (-1, 0, 1)))
-    around = p.withColumn("_cy", F.explode(F.transform(steps, lambda d: at("_plat") + d))).withColumn("_cx", F.explode(F.transform(steps, lambda d: at("_plon") + d)))
-    near = best(around.join(s.withColumn("_cy", at("_slat")).withColumn("_cx", at("_slon")), ["_cy", "_cx"]))
-    # a site outside the nine cells is a cell of latitude or of longitude away, the latter shorter towards the poles
-    polar = F.least(F.abs("_plat") + cell, F.lit(90.0))
-    sure = F.asin(F.sin(F.radians(F.lit(cell))) * F.cos(F.radians(polar))) * (6371.0 * 0.621371) * 0.999
-    near = near.where((F.col("miles") < sure) & (F.abs("_plat") + cell < 89) & (F.abs("_plon") + cell < 180) & F.lit(cell < 45)).drop("_plat", "_plon")
-    rest = p.join(near.select(F.col(point).alias("_p")), "_p", "left_anti")
-    return near.unionByName(best(rest.join(s)).drop("_plat", "_plon"))
+    out, steps = None, F.array(*map(F.lit, (-1, 0, 1)))
+    while cell < 20:
+        at = lambda c, w=cell: F.floor(F.col(c) / w)
+        around = s.withColumn("_cy", F.explode(F.transform(steps, lambda d: at("_slat") + d))).withColumn("_cx", F.explode(F.transform(steps, lambda d: at("_slon") + d)))
+        near = best(p.withColumn("_cy", at("_plat")).withColumn("_cx", at("_plon")).join(around, ["_cy", "_cx"]))
+        # a site outside the nine cells is a cell of latitude or of longitude away, the latter shorter towards the poles
+        polar = F.least(F.abs("_plat") + cell, F.lit(90.0))
+        sure = F.asin(F.sin(F.radians(F.lit(cell))) * F.cos(F.radians(polar))) * (6371.0 * 0.621371) * 0.999
+        near = near.where((F.col("miles") < sure) & (F.abs("_plat") + cell < 89) & (F.abs("_plon") + cell < 180)).drop("_plat", "_plon")
+        out = near if out is None else out.unionByName(near)
+        p, cell = p.join(near.select(F.col(point).alias("_p")), "_p", "left_anti"), 4 * cell
+    left = best(p.join(s)).drop("_plat", "_plon")
+    return left if out is None else out.unionByName(left)
+
+
+def rarest(df: DataFrame, keys: Sequence[str], items: str, known: DataFrame, first: Callable[[Column], Column]) -> DataFrame:
+    """Each row with each of its rarest items as ``w``, as many as ``first`` gives for their number. ``known``: w, times."""
+    rows = df.select(*keys, F.explode(items).alias("w")).join(known, "w")
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("times", "w"))).alias("_o"))
+    kept = F.slice(F.transform("_o", lambda x: x["w"]), F.lit(1), F.greatest(F.lit(0), first(F.size("_o"))).cast("int"))
+    return df.join(rows.select(*keys, kept.alias("_o")), list(keys)).withColumn("w", F.explode("_o")).drop("_o")
 
 
 def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame, row: str, name: str) -> DataFrame:
     """(entity, row, score, confidence): override, exact key, else the best token overlap.
 
     ``entities``: entity, an array of candidate names in order, and optionally ``override`` (a row id). Rows with an
-    overlap of at least LOW count; ties go to the row that comes first, then to the earlier candidate. Names without a
-    word in common have no overlap, so rows meet by word, which loses nothing.
+    overlap of at least LOW count; ties go to the row that comes first, then to the earlier candidate. Of the n words of
+    a name, rarest first, two names with that overlap share one among the first n - ceil(LOW * n) + 1 each, so they meet
+    by those words alone, which loses nothing and leaves common words out.
     """
     have = "override" in entities.columns
     e = entities.select(F.col(entity).alias("e"), names, (F.col("override") if have else F.lit(None)).alias("o"))
@@ -92,16 +114,14 @@ def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame,
     hits = left.join(r, F.col("n") == F.col("m")).groupBy("e").agg(F.min(F.struct("c", "r")).alias("x"))
     exact = hits.select("e", F.col("x.r").alias("r"), F.lit(1.0).alias("score"), F.lit("high").alias("confidence"))
     tokens = lambda c: F.array_distinct(words(F.col(c)))
-    a = left.join(exact.select("e"), "e", "left_anti").withColumn("ta", tokens("n"))
-    b = r.withColumn("tb", tokens("m"))
-    # a shared word is counted once for each pair of candidate and row, without carrying the word lists through the join
-    common = (
-        a.select("e", "c", F.size("ta").alias("na"), F.explode("ta").alias("w"))
-        .join(b.select("r", F.size("tb").alias("nb"), F.explode("tb").alias("w")), "w")
-        .groupBy("e", "c", "r", "na", "nb").agg(F.count("*").alias("both"))
-    )
-    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    best = common.withColumn("score", score).groupBy("e").agg(F.min(F.struct((-F.col("score")).alias("s"), "r", "c")).alias("x"))
+    a = left.join(exact.select("e"), "e", "left_anti").select("e", "c", tokens("n").alias("ta"))
+    b = r.select("r", tokens("m").alias("tb"))
+    known = a.select(F.explode("ta").alias("w")).unionByName(b.select(F.explode("tb").alias("w"))).groupBy("w").agg(F.count("*").alias("times"))
+    first = lambda n: n - F.ceil(LOW * n - 1e-9) + 1
+    met = rarest(a, ["e", "c"], "ta", known, first).join(rarest(b, ["r"], "tb", known, first), "w")
+    both = F.size(F.array_intersect("ta", "tb"))
+    score = both / (F.size("ta") + F.size("tb") - both)
+    best = met.withColumn("score", score).groupBy("e").agg(F.min(F.struct((-F.col("score")).alias("s"), "r", "c")).alias("x"))
     fuzzy = (
         best.select("e", F.col("x.r").alias("r"), (-F.col("x.s")).alias("score")).where(F.col("score") >= LOW)
         .withColumn("confidence", F.when(F.col("score") >= MEDIUM, "medium").otherwise("low"))
@@ -115,7 +135,8 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
 
     ``levenshtein`` is 1 - distance / longer length and runs natively; ``ratio`` is the matching-blocks ratio of the
     standard library, over Arrow batches. The two scores differ. Unmatched entities have type none and score 0. Keys
-    of lengths that rule the threshold out are not compared.
+    meet by pairs of letters: those that reach the threshold differ in so few edits that some of each key's pairs, the
+    rarest but for those that the edits can spoil, are left in common. Keys too short for that meet by their lengths.
     """
     e = entities.select(F.col(entity).alias("e")).distinct().withColumn("k", index_key("e"))
     r = rows.select(F.col(row).alias("r")).distinct().withColumn("m", index_key("r"))
@@ -123,7 +144,7 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
     rest = e.join(exact.select("e"), "e", "left_anti").where("k <> ''")
     n, m = F.length("k"), F.length("m")
     able = (F.least(n, m) / F.greatest(n, m) >= threshold) if method == "levenshtein" else (2 * F.least(n, m) / (n + m) >= threshold)
-    pairs = rest.join(r.where("m <> ''"), able)
+    pairs = near_keys(rest, r.where("m <> ''"), method, threshold).where(able)
     if method == "levenshtein":
         scored = pairs.withColumn("score", 1 - F.levenshtein("k", "m") / F.greatest(n, m))
     else:
@@ -134,6 +155,31 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
     return out.select(F.col("e").alias(entity), F.col("r").alias(row), F.coalesce("match_type", F.lit("none")).alias("match_type"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def near_keys(a: DataFrame, b: DataFrame, method: str, threshold: float) -> DataFrame:
+    """(e, k, r, m): all pairs of (e, k) and (r, m) that can reach the threshold, among others."""
+    # pairs of letters of a key of n letters that are spoilt at most: an edit spoils two (but an insertion one)
+    if method == "levenshtein":
+        longest, spoilt = 1 / threshold, lambda n: 2 * F.floor((1 - threshold) / threshold * n + 1e-9)
+    else:
+        longest, spoilt = (2 - threshold) / threshold, lambda n: F.floor(n * (1 - (1.5 * threshold - 1) * (1 + threshold / (2 - threshold))) + 1e-9)
+
+    def lettered(df: DataFrame, key: str) -> DataFrame:
+        two = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(F.col(key), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        two = F.transform(F.array(two), lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, 1, i), lambda y: y == x)).cast("string"))))[0]
+        return df.withColumns({"_g": two, "_n": F.length(key)}).withColumn("_short", spoilt(F.col("_n")) >= F.col("_n") - 1)
+
+    a, b = lettered(a, "k"), lettered(b, "m")
+    known = a.select(F.explode("_g").alias("w")).unionByName(b.select(F.explode("_g").alias("w"))).groupBy("w").agg(F.count("*").alias("times"))
+    few = lambda df, keys: rarest(df.where("not _short"), keys, "_g", known, lambda n: spoilt(n + 1) + 1).select(*keys, "w")
+    met = few(a, ["e", "k"]).join(few(b, ["r", "m"]), "w").select("e", "k", "r", "m").distinct()
+    # a pair with a short key on either side: the other one is at most so much longer
+    able = F.explode(F.sequence(F.floor(F.col("_n") / longest), F.ceil(F.col("_n") * longest))).alias("_m")
+    own = F.col("_n").cast("long").alias("_m")
+    one = a.where("_short").select("e", "k", able).join(b.select("r", "m", own), "_m")
+    two = a.where("not _short").select("e", "k", own).join(b.where("_short").select("r", "m", able), "_m")
+    return met.unionByName(one.select("e", "k", "r", "m")).unionByName(two.select("e", "k", "r", "m"))
+
+
 def _ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from difflib import SequenceMatcher
 

@@ -1,11 +1,14 @@
-"""Data-quality checks: every check gives rows of (check, entity, detail); metrics and lists come from those."""
+"""Data-quality checks: every check gives rows of (check, entity, name, detail); metrics and lists come from those.
+
+``name`` is the person or contact of a row-level issue, and empty for issues of a whole entity.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlens.functions.text import is_blank, text
@@ -44,14 +47,30 @@ def non_player(*columns: str) -> Column:
     return F.coalesce(*found)
 
 
-def issues(df: DataFrame, entity: str, checks: Sequence[Column]) -> DataFrame:
-    """(check, entity, detail) of all row checks, in one pass."""
-    return df.select(F.col(entity).alias("entity"), F.explode(F.array_compact(F.array(*checks))).alias("x")).select("x.check", "entity", "x.detail")
+def issues(df: DataFrame, entity: str, checks: Sequence[Column], name: str | None = None) -> DataFrame:
+    """(check, entity, name, detail) of all row checks, in one pass; ``name`` is the column with the person."""
+    who = F.lit("") if name is None else text(name)
+    return df.select(F.col(entity).alias("entity"), who.alias("name"), F.explode(F.array_compact(F.array(*checks))).alias("x")).select("x.check", "entity", "name", "x.detail")
+
+
+def whole(check: str, rows: DataFrame, entity: str, detail: Column | None = None) -> DataFrame:
+    """A row of an issue for each row, without a person."""
+    return rows.select(F.lit(check).alias("check"), F.col(entity).alias("entity"), F.lit("").alias("name"), (F.lit("") if detail is None else detail).alias("detail"))
+
+
+def unparsed_examples(df: DataFrame, raws: dict[str, str], name: str, n: int = 3) -> DataFrame:
+    """(column, raw, n, examples): raw values that normalized to nothing, how often, and the first names with them."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.when(~is_blank(raw) & is_blank(c), F.trim(text(raw))).alias("raw")) for c, raw in raws.items()])
+    rows = df.select(text(name).alias("_who"), F.inline(pairs)).where("raw is not null")
+    counts = rows.groupBy("column", "raw").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("column", "raw").orderBy("_who")
+    few = rows.distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).groupBy("column", "raw").agg(F.array_sort(F.collect_list("_who")).alias("examples"))
+    return counts.join(few, ["column", "raw"])
 
 
 def duplicates(df: DataFrame, entity: str, keys: Sequence[str]) -> DataFrame:
     d = duplicate_groups(df, [entity, *keys])
-    return d.select(F.lit("duplicate").alias("check"), F.col(entity).alias("entity"), F.concat_ws("|", *keys, "n").alias("detail"))
+    return whole("duplicate", d, entity, F.concat_ws("|", *keys, "n"))
 
 
 def team_sizes(df: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:
@@ -71,19 +90,19 @@ def invalid_emails(df: DataFrame, entity: str) -> DataFrame:
     """Every column whose name holds "email"."""
     cols = [c for c in df.columns if "email" in c.lower()]
     long = df.select(F.col(entity).alias("entity"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in cols])))
-    return long.where((F.trim("v") != "") & ~valid_email(F.trim("v"))).select(F.lit("invalid_email").alias("check"), "entity", F.concat_ws(":", "column", "v").alias("detail"))
+    return whole("invalid_email", long.where((F.trim("v") != "") & ~valid_email(F.trim("v"))), "entity", F.concat_ws(":", "column", "v"))
 
 
 def contact_issues(entities: DataFrame, entity: str, contacts: DataFrame) -> DataFrame:
     """Entities without a contact, and contacts with an invalid e-mail or phone. ``contacts``: entity, name, email, phone."""
-    none = entities.select(entity).join(contacts, entity, "left_anti").select(F.lit("no_contact").alias("check"), F.col(entity).alias("entity"), F.lit("").alias("detail"))
+    none = whole("no_contact", entities.select(entity).join(contacts, entity, "left_anti"), entity)
     bad = [issue("contact_email", ~is_blank("email") & ~valid_email("email"), text("email")), issue("contact_phone", ~is_blank("phone") & ~valid_phone("phone"), text("phone"))]
-    return none.unionByName(issues(contacts, entity, bad))
+    return none.unionByName(issues(contacts, entity, bad, "name" if "name" in contacts.columns else None))
 
 
 def entity_sets(expected: DataFrame, actual: DataFrame, entity: str) -> DataFrame:
     """Expected entities that are missing, and entities nobody expects."""
-    side = lambda a, b, name: a.select(entity).distinct().join(b, entity, "left_anti").select(F.lit(name).alias("check"), F.col(entity).alias("entity"), F.lit("").alias("detail"))
+    side = lambda a, b, name: whole(name, a.select(entity).distinct().join(b, entity, "left_anti"), entity)
     return side(expected, actual, "missing_entity").unionByName(side(actual, expected, "unexpected_entity"))
 
 
@@ -103,8 +122,6 @@ def log_scan(lines: DataFrame) -> DataFrame:
     An error belongs to the last "Analyzing team: X" before it; lines are told apart by ``source`` (a file), in which
     ``pos`` orders them.
     """
-    from pyspark.sql import Window
-
     line = F.col("line")
     name = F.nullif(F.trim(F.regexp_extract("line", r"Analyzing team: (.*)$", 1)), F.lit(""))
     rows = lines.select("source", "pos", "line", name.alias("named"))

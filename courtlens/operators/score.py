@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from courtlens.functions.classify import advance_class, looks_graduating, position_keys
 from courtlens.functions.numbers import airport_codes, experience, grade, grade_rank, haversine_miles, minutes, production, round_even, scaled, weighted_mean
-from courtlens.functions.text import text, to_null
+from courtlens.functions.text import politics_label, text, to_null
 from courtlens.operators.columns import fixed
 from courtlens.operators.filters import keep_flagged
-from courtlens.operators.joins import first_by
+from courtlens.operators.joins import first_by, merge_contacts, resolve_aliases
 
 # Fixed values of the models.
 CONGESTED = ("ATL", "ORD", "LAX", "JFK", "EWR", "DFW", "DEN", "SFO", "CLT", "IAH", "PHX", "BOS", "LGA")
@@ -120,6 +120,35 @@ def opportunity_by_count(position: str | None, row: DataFrame, fallback: Column)
     return F.greatest(F.lit(2.0), F.least(F.lit(3.0), base - F.when(crowded, 0.2).otherwise(0.0)))
 
 
+def enrich_schools(schools: DataFrame, name: str, pivot: DataFrame, aliases: DataFrame, contacts: DataFrame, position: str | None) -> DataFrame:
+    """Schools with what the pivot knows of them, the opportunity that follows from it, and their coaches.
+
+    ``schools``: the name and, where known, conference, offense_type, rpi_rank, record, vb_opp_score, politics_label.
+    ``pivot``: team, conference, offense_type, rank, record, politics_label and the projected counts. ``aliases``: alias,
+    canonical, ordinal. ``contacts``: team (the school's or the pivot's name), source (the lower counts first), ordinal,
+    name, title, email, phone. Schools that the pivot lacks keep what they have and get no coaches. Adds coaches, an
+    array of (name, title, email, phone) in order.
+    """
+    found = resolve_aliases(schools, name, aliases, "_team").withColumn("_have", F.coalesce("vb_opp_score", F.lit(2.5)))
+    row = pivot.select(*[F.col(c).alias(f"_p_{c}") for c in ("team", "conference", "offense_type", "rank", "record", "politics_label")], *[c for c in pivot.columns if c.startswith("projected_")])
+    joined = found.join(row, F.col("_team") == F.col("_p_team"), "left")
+    known = F.col("_p_team").isNotNull()
+    scored = joined.withColumn("offense_type", F.when(known, F.col("_p_offense_type")).otherwise(F.col("offense_type")))
+    scored = scored.withColumns({
+        "conference": F.when(known, F.col("_p_conference")).otherwise(F.col("conference")), "rpi_rank": F.when(known, F.col("_p_rank").cast("double")).otherwise(F.col("rpi_rank")),
+        "record": F.when(known, F.coalesce("_p_record", F.lit("N/A"))).otherwise(F.col("record")),
+        "vb_opp_score": F.when(known, opportunity_by_count(position, scored, F.col("_have"))).otherwise(F.col("vb_opp_score")),
+        "politics_label": F.when(known & to_null("politics_label").isNull(), politics_label("_p_politics_label")).otherwise(F.col("politics_label")),
+    })
+    names = scored.where(known).select(F.col(name).alias("_s"), F.explode(F.array_distinct(F.array(F.col("_team"), F.col(name)))).alias("team"))
+    own = names.join(contacts, "team").select(F.col("_s").alias("team"), "source", "ordinal", "name", "title", "email", "phone")
+    staff = merge_contacts(own, "team").groupBy("team").agg(F.array_sort(F.collect_list(F.struct("position", "name", "title", "email", "phone"))).alias("_c"))
+    staff = staff.select(F.col("team").alias("_t"), F.transform("_c", lambda x: F.struct(x["name"].alias("name"), x["title"].alias("title"), x["email"].alias("email"), x["phone"].alias("phone"))).alias("coaches"))
+    out = scored.join(staff, F.col(name) == F.col("_t"), "left")
+    none = F.array().cast("array<struct<name:string,title:string,email:string,phone:string>>")
+    return out.select(*schools.columns, F.coalesce("coaches", none).alias("coaches"))
+
+
 def risk_text() -> Column:
     """Warnings from conference, opportunity, distance and tier; risk_watchouts stays where it is given."""
     opp = F.coalesce("vb_opp_score", F.lit(2.0))

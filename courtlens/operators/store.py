@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlens.functions.text import to_null
-from courtlens.operators.joins import last_by
+from courtlens.operators.joins import last_by, settling
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
@@ -45,7 +45,8 @@ def fruitless(attempted: DataFrame, keys: Sequence[str], result: DataFrame) -> D
 
 
 def keep_latest(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order)
+    """The first n rows of each group in the order given, ties by the other columns."""
+    w = Window.partitionBy(*group).orderBy(*order, *settling(df, group))
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -55,13 +56,16 @@ def seed_missing(dim: DataFrame, key: str, keys: DataFrame, defaults: dict[str,
     return out.withColumns({c: F.coalesce(to_null(c), F.lit(v)) for c, v in defaults.items()}).select(*dim.columns)
 
 
-def audit_row(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row of counts, a column a table."""
+def audit_row(tables: dict[str, DataFrame], run: dict[str, object] | None = None) -> DataFrame:
+    """One row of counts, a column a table; ``run`` adds what else is known of the run (started, finished, season, notes).
+
+    Times are values of the caller's, so that a test can give its own; ``dates.run_times`` has those of the clock.
+    """
     counts = [df.agg(F.count("*").alias(f"n_{name}")) for name, df in tables.items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.join(c, how="cross")
-    return out
+    return out.select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in (run or {}).items()], "*")
 
 
 def publish(df: DataFrame, path: str, version: str, replace: bool = False) -> str:
@@ -73,7 +77,8 @@ def publish(df: DataFrame, path: str, version: str, replace: bool = False) -> st
 
 def current(spark: SparkSession, path: str, below: str | None = None) -> DataFrame:
     """The highest published version, or the highest below a given one. Versions compare as text."""
-    df = spark.read.option("basePath", path).option("inferSchema", False).parquet(path).withColumn("version", F.format_string("%08d", F.col("version").cast("long")))
-    known = df.where(F.col("version") < below) if below else df
-    top = known.agg(F.max("version").alias("version"))
-    return known.join(F.broadcast(top), "version", "left_semi").drop("version")
+    df = spark.read.option("basePath", path).parquet(path)
+    said = F.coalesce(F.format_string("%08d", F.col("version").try_cast("long")), F.col("version").cast("string"))
+    known = df.where(said < below) if below else df
+    top = known.agg(F.max_by("version", said)).first()[0]  # one value: partitions other than that are never read
+    return df.where(F.col("version") == F.lit(top)).drop("version")

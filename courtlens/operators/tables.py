@@ -37,7 +37,8 @@ def filter_teams(teams: DataFrame, conferences: DataFrame, conference: str | Non
 
 def list_teams(teams: DataFrame, conferences: DataFrame, limit: int = 50, offset: int = 0, **filters: str | None) -> DataFrame:
     """A page of teams by name, each row with the total of all that match."""
-    rows = with_total(filter_teams(teams, conferences, **filters))
+    rows = filter_teams(teams, conferences, **filters)
+    rows = with_total(rows, counted=rows.select("id"))
     return rows.orderBy(F.asc_nulls_first("name"), "id").offset(offset).limit(bounded(limit, TEAM_LIMIT))
 
 
@@ -69,7 +70,8 @@ def list_players(
     t = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"), "conference_id")
     c = conferences.select(F.col("id").alias("conference_id"), F.col("name").alias("conference"))
     own = stats.where(F.col("season") == season if season else F.lit(False)).select(F.col("player_id").alias("id"), *fields)
-    rows = with_total(found.join(t, "team_id").join(c, "conference_id", "left").join(own, "id", "left"))
+    kept = found.join(t, "team_id")
+    rows = with_total(kept.join(c, "conference_id", "left").join(own, "id", "left"), counted=kept.select("id"))
     order: dict[str, Column] = {k: F.asc_nulls_first(k) for k in ("conference", "team", "name")}
     turn = F.desc_nulls_last if (sort_dir or "").lower() == "desc" else F.asc_nulls_first
     if sort_field in order:

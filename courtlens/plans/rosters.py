@@ -248,9 +248,9 @@ ORACLE_SQL["program_enrich"] = f"""
 
 
 def incoming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers and lines made of conversations: each conversation's user turns head what follows."""
+    """Headers and lines made of whole turns of conversations: each conversation's user turns head what follows."""
     c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    head = F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z ]", "")
+    head = F.regexp_replace("text", "[^A-Za-z ]", "")
     line = F.when(F.col("role") == "user", F.concat(F.lit("Conf "), head, F.lit(":"))).otherwise(F.concat(F.lit("P - "), head, F.lit(" - OH (Club)")))
     rows = incoming.parse_lines(c.select("conv_id", "turn", line.alias("line")), ["conv_id"], "turn", "line")
     return rows.select("conv_id", "turn", "conference", "name", "school", "position", "club")
@@ -258,23 +258,6 @@ def incoming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["incoming_parse"] = incoming_parse
 ORACLE_SQL["incoming_parse"] = """
-    with h as (select conv_id, turn, role, regexp_replace(substr(text, 1, 20), '[^A-Za-z ]', '', 'g') as head from conversations),
-    c as (select *, last_value(case when role = 'user' then trim('Conf ' || head) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as conference from h)
-    select conv_id, turn, conference, 'P' as name, trim(head) as school, 'OH' as position, 'Club' as club from c where role <> 'user' and conference is not null
-"""
-
-
-def incoming_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As incoming_parse, of whole turns."""
-    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    head = F.regexp_replace("text", "[^A-Za-z ]", "")
-    line = F.when(F.col("role") == "user", F.concat(F.lit("Conf "), head, F.lit(":"))).otherwise(F.concat(F.lit("P - "), head, F.lit(" - OH (Club)")))
-    rows = incoming.parse_lines(c.select("conv_id", "turn", line.alias("line")), ["conv_id"], "turn", "line")
-    return rows.select("conv_id", "turn", "conference", "name", "school", "position", "club")
-
-
-QUERIES["incoming_parse_whole"] = incoming_parse_whole
-ORACLE_SQL["incoming_parse_whole"] = """
     with h as (select conv_id, turn, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') as head from conversations),
     c as (select *, last_value(case when role = 'user' then trim('Conf ' || head) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as conference from h)
     select conv_id, turn, conference, 'P' as name, trim(head) as school, 'OH' as position, 'Club' as club from c where role <> 'user' and conference is not null

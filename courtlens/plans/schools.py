@@ -75,16 +75,16 @@ ORACLE_SQL["entity_match_jaccard"] = f"""
 def entity_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     names = p.select("p_name").distinct()
-    e = names.select(F.concat("p_name", F.when(F.length("p_name") % 2 == 0, F.lit("")).otherwise(F.lit(" xy"))).alias("name"))
-    out = joins.match_sequences(e, "name", names.where("length(p_name) % 3 <> 0"), "p_name")
+    e = names.select(F.concat("p_name", F.when(F.length("p_name") % 2 == 0, F.lit("")).when(F.length("p_name") % 3 == 0, F.lit(" quite another name")).otherwise(F.lit(" xy"))).alias("name"))
+    out = joins.match_sequences(e, "name", names, "p_name")
     return out.select("name", F.col("p_name").alias("match"), "match_type", F.bround(F.col("score") * 1e6, 0).cast("long").alias("score"))
 
 
 QUERIES["entity_match_ratio"] = entity_match_ratio
 _INDEX = "trim(regexp_replace(regexp_replace(lower({0}), '\\b(university|the|college|at|of|state|campus)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 ORACLE_SQL["entity_match_ratio"] = f"""
-    with n as (select distinct p_name from part), e as (select p_name || case when length(p_name) % 2 = 0 then '' else ' xy' end as name from n),
-    ek as (select name, {_INDEX.format('name')} as k from e), r as (select p_name, {_INDEX.format('p_name')} as m from n where length(p_name) % 3 <> 0),
+    with n as (select distinct p_name from part), e as (select p_name || case when length(p_name) % 2 = 0 then '' when length(p_name) % 3 = 0 then ' quite another name' else ' xy' end as name from n),
+    ek as (select name, {_INDEX.format('name')} as k from e), r as (select p_name, {_INDEX.format('p_name')} as m from n),
     s as (select name, p_name, k = m as same, 1 - levenshtein(k, m) / cast(greatest(length(k), length(m)) as double) as s from ek, r),
     b as (select name, arg_min(p_name, row(not same, -s, p_name)) as match, bool_or(same) as same, max(s) as s from s where s >= 0.78 group by name)
     select ek.name, match, case when same then 'exact' when match is not null then 'similar' else 'none' end as match_type,

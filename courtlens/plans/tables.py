@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,31 +236,31 @@ def dq_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _people(spark, sf_dir)
     staff = quality.non_player("name", "position")
     checks = [*quality.row_checks(["position", "class", "height"], {"class": "class_raw", "height": "height_raw"}), quality.issue("non_player", staff.isNotNull(), staff)]
-    found = quality.issues(p, "team", checks).unionByName(quality.team_sizes(p, "team", ["position", "height"])).unionByName(quality.teams_without(p, "team", {"stats": ["stat"]}))
+    found = quality.issues(p, "team", checks, "name").unionByName(quality.team_sizes(p, "team", ["position", "height"])).unionByName(quality.teams_without(p, "team", {"stats": ["stat"]}))
     return found.unionByName(quality.invalid_emails(p, "team"))
 
 
 QUERIES["dq_issues"] = dq_issues
 _DQ_SQL = f"""
-    with p as (select cast(c_nationkey as varchar) as team, c_nationkey, {cycle_sql('c_custkey', [1, 1, 0, 0, 1])} as has_position, {cycle_sql('c_custkey', [None, 'XX', None, None, None])} as bad_position,
+    with p as (select cast(c_nationkey as varchar) as team, c_nationkey, {cycle_sql('c_custkey', _STAFF)} as name, {cycle_sql('c_custkey', [1, 1, 0, 0, 1])} as has_position, {cycle_sql('c_custkey', [None, 'XX', None, None, None])} as bad_position,
         {cycle_sql('c_custkey', _CLASS)} as class, {cycle_sql('c_custkey', _CLASS_RAW)} as class_raw, {cycle_sql('c_custkey', _HEIGHT)} as height, {cycle_sql('c_custkey', _HEIGHT_RAW)} as height_raw,
         {cycle_sql('c_custkey', _HIT)} as staff, {cycle_sql('c_custkey', ['a@b.edu', 'bad', None])} as mail from customer),
     t as (select team, count(*) as n, avg(1 - has_position) as mp, avg(case when height = '' then 1 else 0 end) as mh, max(c_nationkey) as k from p group by team)
-    select 'missing_position' as check, team as entity, '' as detail from p where has_position = 0
-    union all select 'missing_class', team, '' from p where coalesce(class, '') = ''
-    union all select 'missing_height', team, '' from p where height = ''
-    union all select 'unparsed_class', team, class_raw from p where coalesce(class, '') = '' and class_raw <> 'nan'
-    union all select 'unparsed_height', team, height_raw from p where height = ''
-    union all select 'invalid_position', team, bad_position from p where bad_position is not null
-    union all select 'invalid_height', team, height from p where height = '9-9'
-    union all select 'invalid_class', team, class from p where class = 'Xx'
-    union all select 'non_player', team, staff from p where staff is not null
-    union all select 'small_team', team, cast(n as varchar) from t where n < 10
-    union all select 'large_team', team, cast(n as varchar) from t where n > 25
-    union all select 'mostly_missing_position', team, '' from t where round_even(mp * 10000, 0) / 10000 > 0.5
-    union all select 'mostly_missing_height', team, '' from t where round_even(mh * 10000, 0) / 10000 > 0.5
-    union all select 'no_stats', team, '' from t where k % 3 <> 0
-    union all select 'invalid_email', team, 'head_email:bad' from p where mail = 'bad'
+    select 'missing_position' as check, team as entity, name, '' as detail from p where has_position = 0
+    union all select 'missing_class', team, name, '' from p where coalesce(class, '') = ''
+    union all select 'missing_height', team, name, '' from p where height = ''
+    union all select 'unparsed_class', team, name, class_raw from p where coalesce(class, '') = '' and class_raw <> 'nan'
+    union all select 'unparsed_height', team, name, height_raw from p where height = ''
+    union all select 'invalid_position', team, name, bad_position from p where bad_position is not null
+    union all select 'invalid_height', team, name, height from p where height = '9-9'
+    union all select 'invalid_class', team, name, class from p where class = 'Xx'
+    union all select 'non_player', team, name, staff from p where staff is not null
+    union all select 'small_team', team, '', cast(n as varchar) from t where n < 10
+    union all select 'large_team', team, '', cast(n as varchar) from t where n > 25
+    union all select 'mostly_missing_position', team, '', '' from t where round_even(mp * 10000, 0) / 10000 > 0.5
+    union all select 'mostly_missing_height', team, '', '' from t where round_even(mh * 10000, 0) / 10000 > 0.5
+    union all select 'no_stats', team, '', '' from t where k % 3 <> 0
+    union all select 'invalid_email', team, '', 'head_email:bad' from p where mail = 'bad'
 """
 ORACLE_SQL["dq_issues"] = _DQ_SQL
 
@@ -287,7 +289,7 @@ def dq_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["dq_duplicates"] = dq_duplicates
-ORACLE_SQL["dq_duplicates"] = "select 'duplicate' as check, l_orderkey as entity, l_linenumber || '|' || count(*) as detail from lineitem group by l_orderkey, l_linenumber having count(*) > 1"
+ORACLE_SQL["dq_duplicates"] = "select 'duplicate' as check, l_orderkey as entity, '' as name, l_linenumber || '|' || count(*) as detail from lineitem group by l_orderkey, l_linenumber having count(*) > 1"
 
 
 def dq_missing_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,49 +301,48 @@ def dq_missing_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["dq_missing_entities"] = dq_missing_entities
 ORACLE_SQL["dq_missing_entities"] = """
     with s as (select distinct s_nationkey + case when s_suppkey % 3 = 0 then 20 else 0 end as key from supplier)
-    select 'missing_entity' as check, n_nationkey as entity, '' as detail from nation where n_nationkey not in (select key from s)
-    union all select 'unexpected_entity', key, '' from s where key not in (select n_nationkey from nation)
+    select 'missing_entity' as check, n_nationkey as entity, '' as name, '' as detail from nation where n_nationkey not in (select key from s)
+    union all select 'unexpected_entity', key, '', '' from s where key not in (select n_nationkey from nation)
 """
 
 
+MAIL, DIAL = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+)", r"([+(]?[0-9][0-9() .\-]{8,}[0-9])"
+
+
 def dq_contacts_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mail addresses and phone numbers in documents, as contacts: who has none, and which are malformed."""
+    """Every e-mail address and phone number in documents, as contacts: who has none, and which are malformed. A contact
+    is named by what it is and its place among the document's own."""
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    mail = F.regexp_extract("text", r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+)", 1)
-    dial = F.regexp_extract("text", r"([+(]?[0-9][0-9() .\-]{8,}[0-9])", 1)
-    contacts = d.select("doc_id", mail.alias("email"), dial.alias("phone")).where(~is_blank("email") | ~is_blank("phone"))
-    return quality.contact_issues(d, "doc_id", contacts)
+    every = lambda pattern: F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+    none = F.lit(None).cast("string")
+    named = lambda kind: F.concat(F.lit(f"{kind} "), (F.col("pos") + 1).cast("string")).alias("name")
+    mails = d.select("doc_id", every(MAIL).alias("pos", "email")).select("doc_id", named("email"), "email", none.alias("phone"))
+    dials = d.select("doc_id", every(DIAL).alias("pos", "phone")).select("doc_id", named("phone"), none.alias("email"), "phone")
+    return quality.contact_issues(d, "doc_id", mails.unionByName(dials))
 
 
 QUERIES["dq_contacts_in_text"] = dq_contacts_in_text
-ORACLE_SQL["dq_contacts_in_text"] = r"""
-    with c as (select doc_id, regexp_extract(text, '([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+)', 1) as email, regexp_extract(text, '([+(]?[0-9][0-9() .\-]{8,}[0-9])', 1) as phone from documents),
-    k as (select * from c where email <> '' or phone <> '')
-    select 'no_contact' as check, doc_id as entity, '' as detail from documents where doc_id not in (select doc_id from k)
-    union all select 'contact_email', doc_id, email from k where email <> '' and not regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$')
-    union all select 'contact_phone', doc_id, phone from k where phone <> '' and not regexp_matches(phone, '^\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(\s*(x|ext\.?)\s*[0-9]+)?$')
+ORACLE_SQL["dq_contacts_in_text"] = rf"""
+    with m as (select doc_id, unnest(e) as email, 'email ' || generate_subscripts(e, 1) as name from (select doc_id, regexp_extract_all(text, '{MAIL}', 1) as e from documents)),
+    p as (select doc_id, unnest(e) as phone, 'phone ' || generate_subscripts(e, 1) as name from (select doc_id, regexp_extract_all(text, '{DIAL}', 1) as e from documents))
+    select 'no_contact' as check, doc_id as entity, '' as name, '' as detail from documents where doc_id not in (select doc_id from m union all select doc_id from p)
+    union all select 'contact_email', doc_id, name, email from m where not regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}$')
+    union all select 'contact_phone', doc_id, name, phone from p where not regexp_matches(phone, '^\+?1?[-.\s]?\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}}(\s*(x|ext\.?)\s*[0-9]+)?$')
 """
 
 
-MAIL, DIAL = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+)", r"([+(]?[0-9][0-9() .\-]{8,}[0-9])"
-
-
-def dq_all_contacts_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As dq_contacts_in_text, but with every e-mail address and phone number of a document, each a contact."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    every = lambda pattern: F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
-    none = F.lit(None).cast("string")
-    contacts = d.select("doc_id", every(MAIL).alias("email"), none.alias("phone")).unionByName(d.select("doc_id", none.alias("email"), every(DIAL).alias("phone")))
-    return quality.contact_issues(d, "doc_id", contacts)
+def dq_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw values that normalized to nothing, with the first names that have them."""
+    found = quality.unparsed_examples(_people(spark, sf_dir), {"class": "class_raw", "height": "height_raw"}, "name", 2)
+    return found.select("column", "raw", "n", F.array_join("examples", "|").alias("examples"))
 
 
-QUERIES["dq_all_contacts_in_text"] = dq_all_contacts_in_text
-ORACLE_SQL["dq_all_contacts_in_text"] = rf"""
-    with m as (select doc_id, unnest(regexp_extract_all(text, '{MAIL}', 1)) as email from documents),
-    p as (select doc_id, unnest(regexp_extract_all(text, '{DIAL}', 1)) as phone from documents)
-    select 'no_contact' as check, doc_id as entity, '' as detail from documents where doc_id not in (select doc_id from m union all select doc_id from p)
-    union all select 'contact_email', doc_id, email from m where not regexp_matches(email, '^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}$')
-    union all select 'contact_phone', doc_id, phone from p where not regexp_matches(phone, '^\+?1?[-.\s]?\(?[0-9]{{3}}\)?[-.\s]?[0-9]{{3}}[-.\s]?[0-9]{{4}}(\s*(x|ext\.?)\s*[0-9]+)?$')
+QUERIES["dq_unparsed"] = dq_unparsed
+ORACLE_SQL["dq_unparsed"] = f"""
+    with p as (select {cycle_sql('c_custkey', _STAFF)} as name, {cycle_sql('c_custkey', _CLASS)} as class, {cycle_sql('c_custkey', _CLASS_RAW)} as class_raw,
+        {cycle_sql('c_custkey', _HEIGHT)} as height, {cycle_sql('c_custkey', _HEIGHT_RAW)} as height_raw from customer),
+    u as (select 'class' as col, class_raw as raw, name from p where coalesce(class, '') = '' and class_raw <> 'nan' union all select 'height', height_raw, name from p where height = '')
+    select col as "column", raw, count(*) as n, array_to_string(list_sort(list(distinct name))[1:2], '|') as examples from u group by all
 """
 
 # ---- pages and logs
@@ -352,7 +353,9 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", extract.inner("html", "title").alias("title"), extract.inner("html", "h1").alias("h1"), extract.summary("html").alias("summary"))
 
 
-_TEXT = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NAMED = reduce(lambda sql, x: f"replace({sql}, '&{x[0]};', '{x[1]}')", [(k, v.replace("'", "''")) for k, v in extract.REFERENCES.items()] + [("amp", "&")], "{0}")
+_BARE = "regexp_replace(regexp_replace({0}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_TEXT = "trim(regexp_replace(" + _NAMED.replace("{0}", _BARE) + ", '\\s+', ' ', 'g'))"
 _INNER = "regexp_extract(html, '(?is)<{0}(?:\\s[^>]*)?>(.*?)</{0}>', 1)"
 QUERIES["page_fields"] = page_fields
 ORACLE_SQL["page_fields"] = f"select page_id, {_TEXT.format(_INNER.format('title'))} as title, {_TEXT.format(_INNER.format('h1'))} as h1, {_TEXT.format(_INNER.format('p'))} as summary from pages"

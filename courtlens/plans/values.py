@@ -151,31 +151,13 @@ ORACLE_SQL["safe_numeric"] = f"""
 
 
 def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the first words of texts in several languages."""
+    """Keys of whole texts in several languages."""
     df = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    head = F.substring("text", 1, 80)
-    return df.select("doc_id", text.canonical_name(head).alias("canonical"), text.alias_key(head, {}).alias("key"), text.hyphen_slug(head).alias("slug"))
+    return df.select("doc_id", text.canonical_name(F.col("text")).alias("canonical"), text.alias_key(F.col("text"), {}).alias("key"), text.hyphen_slug(F.col("text")).alias("slug"))
 
 
 QUERIES["canonical_name"] = canonical_documents
 ORACLE_SQL["canonical_name"] = """
-    with h as (select doc_id, lower(coalesce(substr(text, 1, 80), '')) as s from documents)
-    select doc_id,
-        array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(s, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> ''))), ' ') as canonical,
-        trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) as key,
-        regexp_replace(regexp_replace(replace(s, '&', ' and '), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug
-    from h
-"""
-
-
-def canonical_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As canonical_documents, of whole texts."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return df.select("doc_id", text.canonical_name(F.col("text")).alias("canonical"), text.alias_key(F.col("text"), {}).alias("key"), text.hyphen_slug(F.col("text")).alias("slug"))
-
-
-QUERIES["canonical_name_whole"] = canonical_whole_documents
-ORACLE_SQL["canonical_name_whole"] = """
     with h as (select doc_id, lower(coalesce(text, '')) as s from documents)
     select doc_id,
         array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(s, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> ''))), ' ') as canonical,
