@@ -24,7 +24,7 @@ from courtlens.llm.substring import mix, word_hashes
 #: Words of a shingle and tokens of an embedded set.
 WORDS, SIGNATURE = 5, 64
 #: Splits before a bucket is compared, at most, and the size from which a bucket is split further.
-SHALLOW, DEEP, SMALL = 3, 6, 64
+SHALLOW, DEEP, SMALL = 3, 5, 64
 #: Sets of a family that one task compares with others at a time.
 BLOCK = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
