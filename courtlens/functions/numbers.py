@@ -134,12 +134,17 @@ def ordinal(c: Column | str) -> Column:
     return F.coalesce(F.when(n.between(1, 49), n), word.cast("int"))
 
 
+# How biographies tell the season that begins, and the year of a start.
+BEGINS_SEASON = r"(?i)\b(?:enter(?:ing|s)?|heading into|in|returns for|embarks on)\s+(?:his |her |their )?\s*"
+SINCE_YEAR = r"(?i)(?:since|hired|joined|named|promoted|appointed|took over)\s+(?:in\s+)?(20[0-9]{2})"
+
+
 def tenure(c: Column | str, year: int) -> Column:
     """struct(start_year, seasons) from "enters her third season" or else "hired in 2019"; a year to come has no seasons."""
     body = clean(c)
     number_ = r"([0-9]{1,2}|" + "|".join(ORDINALS) + ")"
-    seasons = ordinal(F.regexp_extract(body, r"(?i)\b(?:enter(?:ing|s)?|heading into|in|returns for|embarks on)\s+(?:his |her |their )?\s*" + number_ + r"(?:st|nd|rd|th)?\s+(?:season|year)", 1))
-    since = F.regexp_extract(body, r"(?i)(?:since|hired|joined|named|promoted|appointed|took over)\s+(?:in\s+)?(20[0-9]{2})", 1).try_cast("int")
+    seasons = ordinal(F.regexp_extract(body, BEGINS_SEASON + number_ + r"(?:st|nd|rd|th)?\s+(?:season|year)", 1))
+    since = F.regexp_extract(body, SINCE_YEAR, 1).try_cast("int")
     start = F.coalesce(F.lit(year) - seasons + 1, since)
     return F.struct(start.cast("int").alias("start_year"), F.coalesce(seasons, F.when(since <= year, F.greatest(F.lit(1), F.lit(year) - since + 1))).cast("int").alias("seasons"))
 

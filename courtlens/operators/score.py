@@ -16,6 +16,38 @@ from courtlens.operators.joins import first_by, merge_contacts, resolve_aliases
 CONGESTED = ("ATL", "ORD", "LAX", "JFK", "EWR", "DFW", "DEN", "SFO", "CLT", "IAH", "PHX", "BOS", "LGA")
 POWER = ("Big 12", "ACC", "Big East", "Big Ten", "SEC", "Pac-12")
 TIERS = {"A": 3.0, "A-": 2.7, "B+": 2.3, "B": 2.0}
+# The sentences of explanations and warnings; {} stands for a value.
+RATES = "Our Scorecard-based model rates this school around a {} overall."
+BREAKS_DOWN, FOR_ACADEMICS, FOR_VALUE = "That breaks down to {}.", "{} for academics", "{} for value"
+OTHER_HIGHER = "Niche lists the overall experience closer to a {}, but federal outcome data (graduation, cost, and earnings) make it look weaker in this model."
+OTHER_LOWER = "Niche lists the overall experience around a {}, but based on Scorecard outcomes this model sees somewhat stronger performance."
+OTHER_SAME = "Niche’s overall grade of {} is broadly in line with this Scorecard-based estimate."
+DRIVERS = "Key drivers behind these grades: {}."
+GRADUATION = (
+    "graduation rate is solid at roughly {}",
+    "graduation rate is moderate at about {}",
+    "graduation rate is on the low side at around {}, which drags down academics",
+)
+RETENTION = ("first-year retention is strong at about {}", "first-year retention is somewhat low at about {}")
+EARNINGS = (
+    "alumni earnings are high, with median 10-year salaries around {}",
+    "alumni earnings are decent, with median 10-year salaries around {}",
+    "median 10-year earnings are relatively modest at about {}",
+)
+COST = (
+    "average annual cost after aid is relatively low at roughly {}, helping the value score",
+    "average annual cost after aid is mid-range at about {}",
+    "average annual cost after aid is on the higher side at roughly {}, which hurts value",
+)
+ADMISSION = ("admission is fairly selective with an acceptance rate near {}", "admission is relatively open with an acceptance rate around {}")
+RISK_POWER = "Power-conference competition; playing time may depend on winning a role early."
+RISK_CROWDED = "Position group may be crowded; monitor depth chart and portal additions closely."
+RISK_OPEN = "High current opportunity, but staff may add competition quickly."
+RISK_FAR = "Long-distance travel and separation from home are non-trivial factors."
+RISK_ACADEMIC = "Stronger academic profile may come with higher workload and expectations."
+RISK_NONE = "No major structural risks flagged; focus on staff fit, culture, and major alignment."
+# Notes about stops on the way.
+NONSTOP, MANY_STOPS = r"\bnon[- ]?stop\b|\bdirect\b", r"\b2[- ]?stop|\btwo[- ]?stop|\bmulti[- ]?stop"
 
 
 def academic_scores(df: DataFrame) -> DataFrame:
@@ -34,36 +66,35 @@ def dollars(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.bround(c, 0).cast("bigint"), 0))
 
 
+def say(sentence: str, *values: Column) -> Column:
+    """A sentence with its {} filled in order; null if a value is."""
+    parts = [F.lit(x) for x in sentence.split("{}")]
+    return F.concat(parts[0], *[x for pair in zip(values, parts[1:]) for x in pair])
+
+
 def score_explanation(other_grade: Column) -> Column:
     """Text from graded scores: the grades, how another grade compares, and the first three drivers."""
     overall, academic, value = F.col("overall_grade"), F.col("academic_grade"), F.col("value_grade")
-    parts = F.array_join(F.array_compact(F.array(F.concat(academic, F.lit(" for academics")), F.concat(value, F.lit(" for value")))), " and ")
+    parts = F.array_join(F.array_compact(F.array(say(FOR_ACADEMICS, academic), say(FOR_VALUE, value))), " and ")
     other = to_null(other_grade)
     gap = grade_rank(overall) - grade_rank(other)
-    compared = (
-        F.when(gap >= 2, F.concat(F.lit("Niche lists the overall experience closer to a "), other, F.lit(", but federal outcome data (graduation, cost, and earnings) make it look weaker in this model.")))
-        .when(gap <= -2, F.concat(F.lit("Niche lists the overall experience around a "), other, F.lit(", but based on Scorecard outcomes this model sees somewhat stronger performance.")))
-        .otherwise(F.concat(F.lit("Niche’s overall grade of "), other, F.lit(" is broadly in line with this Scorecard-based estimate.")))
-    )
+    compared = F.when(gap >= 2, say(OTHER_HIGHER, other)).when(gap <= -2, say(OTHER_LOWER, other)).otherwise(say(OTHER_SAME, other))
     pct = lambda c: F.concat(fixed(F.col(c), 0), F.lit("%"))
-    say = lambda a, x, b="": F.concat(F.lit(a), x, F.lit(b))
     g, r, s, c, a = (F.col(x) for x in ("graduation_rate", "retention_rate", "salary", "cost", "acceptance_rate"))
+    graduation, retention, admission = pct("graduation_rate"), pct("retention_rate"), pct("acceptance_rate")
     bits = F.array_compact(F.array(
-        F.when(g >= 75, say("graduation rate is solid at roughly ", pct("graduation_rate"))).when(g >= 60, say("graduation rate is moderate at about ", pct("graduation_rate")))
-        .when(g.isNotNull(), say("graduation rate is on the low side at around ", pct("graduation_rate"), ", which drags down academics")),
-        F.when(r >= 85, say("first-year retention is strong at about ", pct("retention_rate"))).when(r < 75, say("first-year retention is somewhat low at about ", pct("retention_rate"))),
-        F.when(s >= 65_000, say("alumni earnings are high, with median 10-year salaries around ", dollars(s))).when(s >= 50_000, say("alumni earnings are decent, with median 10-year salaries around ", dollars(s)))
-        .when(s.isNotNull(), say("median 10-year earnings are relatively modest at about ", dollars(s))),
-        F.when(c <= 20_000, say("average annual cost after aid is relatively low at roughly ", dollars(c), ", helping the value score")).when(c <= 35_000, say("average annual cost after aid is mid-range at about ", dollars(c)))
-        .when(c.isNotNull(), say("average annual cost after aid is on the higher side at roughly ", dollars(c), ", which hurts value")),
-        F.when(a <= 30, say("admission is fairly selective with an acceptance rate near ", pct("acceptance_rate"))).when(a >= 75, say("admission is relatively open with an acceptance rate around ", pct("acceptance_rate"))),
+        F.when(g >= 75, say(GRADUATION[0], graduation)).when(g >= 60, say(GRADUATION[1], graduation)).when(g.isNotNull(), say(GRADUATION[2], graduation)),
+        F.when(r >= 85, say(RETENTION[0], retention)).when(r < 75, say(RETENTION[1], retention)),
+        F.when(s >= 65_000, say(EARNINGS[0], dollars(s))).when(s >= 50_000, say(EARNINGS[1], dollars(s))).when(s.isNotNull(), say(EARNINGS[2], dollars(s))),
+        F.when(c <= 20_000, say(COST[0], dollars(c))).when(c <= 35_000, say(COST[1], dollars(c))).when(c.isNotNull(), say(COST[2], dollars(c))),
+        F.when(a <= 30, say(ADMISSION[0], admission)).when(a >= 75, say(ADMISSION[1], admission)),
     ))
     return F.concat_ws(
         " ",
-        F.when(overall.isNotNull(), say("Our Scorecard-based model rates this school around a ", overall, " overall.")),
-        F.when(parts != "", say("That breaks down to ", parts, ".")),
+        F.when(overall.isNotNull(), say(RATES, overall)),
+        F.when(parts != "", say(BREAKS_DOWN, parts)),
         F.when(overall.isNotNull() & other.isNotNull(), compared),
-        F.when(F.size(bits) > 0, say("Key drivers behind these grades: ", F.array_join(F.slice(bits, 1, 3), "; "), ".")),
+        F.when(F.size(bits) > 0, say(DRIVERS, F.array_join(F.slice(bits, 1, 3), "; "))),
     )
 
 
@@ -79,7 +110,7 @@ def travel_and_fit(df: DataFrame, home_lat: float, home_lon: float) -> DataFrame
     df = df.withColumns({"flight_dist_mi": zero(round_even(F.col("_d"), 1)), "drive_dist_mi": zero(round_even(F.col("_d") * 1.15, 1))})
     df = df.withColumns({"drive_time_hr": round_even(F.col("drive_dist_mi") / 60, 1), "flight_time_hr": round_even(F.col("flight_dist_mi") / 450, 2)})
     notes, drive, flight = F.lower(text("airport_notes")), F.col("drive_dist_mi"), F.col("flight_dist_mi")
-    stops = F.when(notes.rlike(r"\bnon[- ]?stop\b|\bdirect\b"), -10).when(notes.rlike(r"\b2[- ]?stop|\btwo[- ]?stop|\bmulti[- ]?stop"), 10).otherwise(0)
+    stops = F.when(notes.rlike(NONSTOP), -10).when(notes.rlike(MANY_STOPS), 10).otherwise(0)
     crowded = F.when(F.arrays_overlap(airport_codes("airport_code"), F.array(*map(F.lit, CONGESTED))), 8).otherwise(0)
     fly = flight / 18 + minutes("airport_drive_time") / 3 + 20 + stops + crowded + F.when(flight > 1600, 5).otherwise(0)
     hard = F.when(drive <= 350, drive / 18 + 6).otherwise(fly)
@@ -153,12 +184,12 @@ def risk_text() -> Column:
     """Warnings from conference, opportunity, distance and tier; risk_watchouts stays where it is given."""
     opp = F.coalesce("vb_opp_score", F.lit(2.0))
     msgs = F.array_compact(F.array(
-        F.when(F.trim(text("conference")).isin(*POWER), "Power-conference competition; playing time may depend on winning a role early."),
-        F.when(opp <= 2.2, "Position group may be crowded; monitor depth chart and portal additions closely.").when(opp >= 2.9, "High current opportunity, but staff may add competition quickly."),
-        F.when((F.coalesce("drive_dist_mi", F.lit(0.0)) > 800) | (F.coalesce("travel_difficulty", F.lit(0)) >= 60), "Long-distance travel and separation from home are non-trivial factors."),
-        F.when(F.trim(text("tier")).isin("A", "A-"), "Stronger academic profile may come with higher workload and expectations."),
+        F.when(F.trim(text("conference")).isin(*POWER), RISK_POWER),
+        F.when(opp <= 2.2, RISK_CROWDED).when(opp >= 2.9, RISK_OPEN),
+        F.when((F.coalesce("drive_dist_mi", F.lit(0.0)) > 800) | (F.coalesce("travel_difficulty", F.lit(0)) >= 60), RISK_FAR),
+        F.when(F.trim(text("tier")).isin("A", "A-"), RISK_ACADEMIC),
     ))
-    made = F.when(F.size(msgs) == 0, "No major structural risks flagged; focus on staff fit, culture, and major alignment.").otherwise(F.array_join(msgs, " "))
+    made = F.when(F.size(msgs) == 0, RISK_NONE).otherwise(F.array_join(msgs, " "))
     return F.coalesce(to_null("risk_watchouts"), made)
 
 
