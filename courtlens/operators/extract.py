@@ -100,15 +100,26 @@ def links(pages: DataFrame) -> DataFrame:
     return out.withColumn("target", target).drop("a")
 
 
-def find_link(pages: DataFrame, anchors: Sequence[str], patterns: Sequence[str]) -> DataFrame:
-    """(page_id, target): the first link whose text has one of the anchors, in their order, else whose address has a pattern."""
-    rank = F.coalesce(
+def link_rank(anchors: Sequence[str], patterns: Sequence[str]) -> Column:
+    """The first of the anchors that a link's text has, else the first pattern that its address has; null if none."""
+    return F.coalesce(
         *[F.when(F.contains(F.lower("anchor"), F.lit(a.lower())), k) for k, a in enumerate(anchors)], *[F.when(F.lower("href").rlike(p), len(anchors) + k) for k, p in enumerate(patterns)]
     )
-    hits = links(pages).withColumn("rank", rank).where("rank is not null")
+
+
+def find_link(pages: DataFrame, anchors: Sequence[str], patterns: Sequence[str]) -> DataFrame:
+    """(page_id, target): the first link whose text has one of the anchors, in their order, else whose address has a pattern."""
+    hits = links(pages).withColumn("rank", link_rank(anchors, patterns)).where("rank is not null")
     return hits.groupBy("page_id").agg(F.min_by("target", F.struct("rank", "pos")).alias("target"))
 
 
+def links_with_pick(pages: DataFrame, anchors: Sequence[str], patterns: Sequence[str], name: str = "picked") -> DataFrame:
+    """All links, and on each the target that ``find_link`` finds on its page (null if none), from one extraction."""
+    rows = links(pages).withColumn("_r", link_rank(anchors, patterns))
+    best = F.min_by("target", F.when(F.col("_r").isNotNull(), F.struct("_r", "pos"))).over(Window.partitionBy("page_id"))
+    return rows.withColumn(name, best).drop("_r")
+
+
 def tables(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, cells, raw): the rows of all tables that don't nest; raw keeps the cells' html."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))

@@ -377,8 +377,7 @@ ORACLE_SQL["page_paragraphs"] = f"""
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
-    first = extract.find_link(p, ["home", "about"], ["^/", "http"]).withColumnRenamed("target", "picked")
-    return extract.links(p).select("page_id", "pos", "href", "anchor").join(first, "page_id", "left")
+    return extract.links_with_pick(p, ["home", "about"], ["^/", "http"]).select("page_id", "pos", "href", "anchor", "picked")
 
 
 QUERIES["page_links"] = page_links

@@ -191,7 +191,7 @@ def display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         "c_custkey", show_height(inches).alias("height_text"), show_number("HIT%", stat / 100).alias("hit_text"), show_number("K/S", stat).alias("rate_text"), show_number("K", stat).alias("count_text"),
         label_or(F.when(k % 3 == 0, F.col("c_mktsegment")), F.lit("Independent")).alias("label"),
-        *[c.alias(n) for n, c in report_columns(rank, stat, stat, stat, stat).items() if n != "drive_hr_text"],
+        *[c.alias(n) for n, c in report_columns(rank, stat, stat, stat, stat).items()],
     )
 
 
@@ -210,7 +210,7 @@ ORACLE_SQL["display_columns"] = f"""
         coalesce({_fixed_sql('((stat / 100) * 100)', 1)}, '—') as hit_text, coalesce({_fixed_sql('stat', 2)}, '—') as rate_text, coalesce({_fixed_sql('stat', 0)}, '—') as count_text,
         case when c_custkey % 3 = 0 then c_mktsegment else 'Independent' end as label,
         case when c_custkey % 5 <> 0 then cast(c_custkey % 350 as varchar) else 'N/A' end as rank_text,
-        {_fixed_sql('stat', 0)} as drive_text, {_fixed_sql('stat', 2)} as flight_hr_text, {_fixed_sql('stat', 2)} as fit_text
+        {_fixed_sql('stat', 0)} as drive_text, {_fixed_sql('stat', 1)} as drive_hr_text, {_fixed_sql('stat', 2)} as flight_hr_text, {_fixed_sql('stat', 2)} as fit_text
     from s
 """
 
