@@ -3,7 +3,9 @@
 A text is cut into paragraph units and each unit hashed to a 64-bit digest. A digest adds itself to one cell of each
 subtable of a sketch: a count, the xor of the digests and the xor of their check hashes. The sketches of two versions
 subtract cell by cell; a cell left with one digest gives it away, and taking it out of its other cells frees more
-(peeling), until all digests that differ are known. If peeling gets stuck, larger sketches with another seed follow.
+(peeling), until all digests that differ are known. The published fingerprints, which are sketches of one small size,
+are subtracted first, row by row. Only where peeling gets stuck do larger sketches of both versions follow, with another
+seed and of a size that fits the difference as the stuck sketch shows it.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from courtlens.llm.common import checkpoint
 UNIT_MIN, UNIT_MAX = 96, 255
 UNITS = rf"[^\n]{{{UNIT_MIN},{UNIT_MAX}}}?[.!?](?=\s|$)|[^\n]{{1,{UNIT_MAX}}}"
 #: Subtables of a sketch, cells of a subtable of the base sketch, and the fewest of a larger one.
-TABLES, PLACES, LARGER = 3, 8, 64
+TABLES, PLACES, LARGER = 3, 8, 32
 CELLS = TABLES * PLACES
-#: Peeling rounds of one sketch, and retries with a sketch four times as large.
-ROUNDS, RETRIES = 5, 4
+#: Peeling rounds of one larger sketch, tries with sketches that are each four times as large, and digests of a partition.
+ROUNDS, TRIES, PART = 5, 12, 150_000
 #: Documents of a bucket of consecutive ids, and the most buckets (which bounds what is broadcast).
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 20_000
 
@@ -39,13 +41,12 @@ def units(text: Column) -> Column:
 
 
 def _places(digest: Column, seed: int, places: Column) -> list[Column]:
-    """The cell of a digest in each subtable; ``places`` is a power of two below 2^20."""
-    h = F.xxhash64(F.lit(seed), digest)
-    return [F.shiftrightunsigned(h, 20 * t).bitwiseAND(places - 1) + t * places for t in range(TABLES)]
+    """The cell of a digest in each subtable; ``places`` is their number of cells."""
+    return [F.pmod(F.xxhash64(F.lit(3 * seed + t), digest), places) + t * places for t in range(TABLES)]
 
 
 def _check(digest: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed + 1), digest)
+    return F.xxhash64(F.lit(-seed - 1), digest)
 
 
 def sketch(digests: Column, seed: int = 0) -> Column:
@@ -61,6 +62,36 @@ def sketch(digests: Column, seed: int = 0) -> Column:
     return let(F.transform(digests, cells), lambda keyed: F.concat(*(table(keyed, t) for t in range(TABLES))))
 
 
+def subtract(a: Column, b: Column) -> Column:
+    """The sketch of the differences of two base sketches."""
+    less = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check"))
+    return F.zip_with(a, b, less)
+
+
+def peel_base(cells: Column) -> Column:
+    """struct(plus, minus, stuck, empty) of a difference of base sketches: the digests on either side only, whether
+    some cells resist, and how many cells were empty at first, which says how large the difference is."""
+    blank = lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)
+    state = lambda cells, plus, minus, more: F.struct(cells.alias("cells"), plus.alias("plus"), minus.alias("minus"), more.alias("more"))
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, _: Column) -> Column:
+        def remove(p: Column) -> Column:
+            out = lambda c: F.struct((c["n"] - p["n"]).alias("n"), c["key"].bitwiseXOR(p["key"]).alias("key"), c["check"].bitwiseXOR(p["check"]).alias("check"))
+            left = lambda at: F.transform(s["cells"], lambda c, i: F.when(F.array_contains(at, i.cast("long")), out(c)).otherwise(c))
+            cells = let(F.array(*_places(p["key"], 0, F.lit(PLACES).cast("long"))), left)
+            return F.when(p.isNull(), state(s["cells"], s["plus"], s["minus"], F.lit(False))).otherwise(
+                state(cells, s["plus"] + (p["n"] == 1).cast("long"), s["minus"] + (p["n"] == -1).cast("long"), F.lit(True))
+            )
+
+        pure = F.get(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"], 0))), 0)
+        return F.when(s["more"], let(pure, remove)).otherwise(s)
+
+    done = lambda s: F.struct(s["plus"].alias("plus"), s["minus"].alias("minus"), F.exists(s["cells"], lambda c: ~blank(c)).alias("stuck"))
+    peeled = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), state(d, zero, zero, F.lit(True)), step, done)
+    return let(cells, lambda d: let(peeled(d), lambda x: F.struct(x["plus"].alias("plus"), x["minus"].alias("minus"), x["stuck"].alias("stuck"), F.size(F.filter(d, blank)).alias("empty"))))
+
+
 STATE = ("n", "key", "chk", "plus", "minus")
 
 
@@ -106,32 +137,35 @@ def peel(pairs: DataFrame, seed: int) -> DataFrame:
     return state.groupBy("rid", "pair").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.count_if(F.col("kind") == 0).alias("stuck"))
 
 
-def differences(versions: DataFrame) -> DataFrame:
-    """(rid, pair, plus, minus) of rows (rid, pair, a, b), trying larger sketches until all digests are recovered.
+def expected(empty: Column, both: Column) -> Column:
+    """How many digests differ if ``empty`` of the base sketch's cells are empty; all of ``both`` if none is."""
+    guess = F.ceil(F.log(F.greatest(empty, F.lit(1)) / F.lit(float(CELLS))) / F.log(F.lit(1 - 1 / PLACES)))
+    return F.when(empty == 0, both).otherwise(F.least(both, guess.cast("int")))
 
-    Pairs of few units start with the base sketch, others with one that suits as many differences as they can have.
-    What is stuck after the last retry (not one pair in a million) is compared outright.
-    """
-    both = F.size("a") + F.size("b")
-    fitting = F.greatest(F.lit(LARGER), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(both, F.lit(1)).cast("double")))))
-    todo = versions.withColumn("places", F.when(both <= CELLS / 2, F.lit(PLACES)).otherwise(fitting).cast("long"))
+
+def differences(versions: DataFrame) -> DataFrame:
+    """(rid, pair, plus, minus) of rows (rid, pair, empty, a, b) whose base sketches didn't peel: ``a`` and ``b`` are the
+    digests, ``empty`` the cells that the base sketches' difference left empty. Sketches grow until all are recovered."""
+    wanted = F.greatest(F.lit(LARGER), expected(F.col("empty"), F.size("a") + F.size("b"))).cast("double")
+    todo = versions.withColumn("places", F.pow(F.lit(2.0), F.ceil(F.log2(wanted))).cast("long")).drop("empty")
     found = None
-    for level in range(RETRIES + 1):
-        now = checkpoint(peel(todo.repartition("rid"), 10 * level))
+    for level in range(1, TRIES + 1):
+        load = todo.agg(F.sum((F.size("a") + F.size("b")).cast("long"))).first()[0] or 0
+        now = checkpoint(peel(todo.repartition(max(1, -(-load // PART)), "rid"), level))
         done = now.where("stuck = 0").drop("stuck")
         found = done if found is None else found.unionByName(done)
         stuck = now.where("stuck > 0").select("rid", "pair")
         if stuck.isEmpty():
             return found
-        todo = todo.join(stuck, ["rid", "pair"]).withColumn("places", F.least(F.greatest(4 * F.col("places"), F.lit(LARGER)), F.lit(1 << 19)).cast("long"))
-    outright = todo.select("rid", "pair", F.size(F.array_except("a", "b")).cast("long").alias("plus"), F.size(F.array_except("b", "a")).cast("long").alias("minus"))
-    return found.unionByName(outright)
+        todo = todo.join(stuck, ["rid", "pair"]).withColumn("places", 4 * F.col("places"))
+    raise RuntimeError("sketches don't peel at any size")  # each try fails by chance alone
 
 
-def likeness(a: Column, plus: Column, minus: Column) -> Column:
-    """Share of units in common, 0 to 1, from the recovered differences; two versions without units are alike."""
-    both = F.size(a) + minus
-    return F.when(both == 0, F.lit(1.0)).otherwise((F.size(a) - plus) / both)
+def likeness(n: Column, plus: Column, minus: Column) -> Column:
+    """Share of units in common, 0 to 1, from the recovered differences of a version of n units; two versions without
+    units are alike."""
+    both = n + minus
+    return F.when(both == 0, F.lit(1.0)).otherwise((n - plus) / both)
 
 
 def fingerprint(cells: Column) -> Column:
@@ -175,8 +209,10 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Fingerprint every whole text and its edited text, and compare it with that and with the next document.
 
     The edited text has its last third (rounded down, in code points) replaced by as many of the first code points of
-    the next document in descending key order. Null texts are empty; a lone document is its own next. Returns (doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    the next document in descending key order. Null texts are empty; null keys come last and equal keys go by the hash of
+    their text; repeated rows are documents of their own; a lone document is its own next; an empty table gives an empty
+    table. Other columns are ignored. Returns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next).
     """
     whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
     rows = with_next(whole.withColumn("u", units(F.col("t"))), "doc_id", ["t", "u"])
@@ -184,12 +220,22 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.substring("t", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_t", F.lit(1), k))
     rows = rows.withColumn("n_chars", F.char_length("t").cast("long")).withColumn("edited", edited)
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "u", "next_u", units(F.col("edited")).alias("e"))
-    rows = checkpoint(rows.withColumn("rid", F.monotonically_increasing_id()))
-    versions = rows.select("rid", F.explode(F.array(F.struct(F.lit("edited").alias("pair"), F.col("e").alias("b")), F.struct(F.lit("next").alias("pair"), F.col("next_u").alias("b")))).alias("x"), F.col("u").alias("a"))
-    found = differences(versions.select("rid", "x.pair", "a", "x.b"))
+    both = F.struct(sketch(F.col("u")).alias("u"), sketch(F.col("e")).alias("e"), sketch(F.col("next_u")).alias("n"))
+    base = lambda s: F.struct(
+        fingerprint(s["u"]).alias("fingerprint"), fingerprint(s["e"]).alias("edited_fingerprint"),
+        peel_base(subtract(s["u"], s["e"])).alias("edited"), peel_base(subtract(s["u"], s["n"])).alias("next"),
+    )
+    rows = rows.withColumn("base", let(both, base))
+    stuck_edited, stuck_next = F.col("base.edited.stuck"), F.col("base.next.stuck")
+    rows = checkpoint(rows.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", "base", F.size("u").cast("long").alias("n"),
+        F.when(stuck_edited | stuck_next, F.col("u")).alias("u"), F.when(stuck_edited, F.col("e")).alias("e"), F.when(stuck_next, F.col("next_u")).alias("next_u"),
+    ))
+    stuck = lambda pair, b: rows.where(f"base.{pair}.stuck").select("rid", F.lit(pair).alias("pair"), F.col(f"base.{pair}.empty").alias("empty"), F.col("u").alias("a"), F.col(b).alias("b"))
+    found = differences(stuck("edited", "e").unionByName(stuck("next", "next_u")))
     wide = found.groupBy("rid").agg(*(F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{p}_{c}") for p in ("edited", "next") for c in ("plus", "minus")))
-    return rows.join(wide, "rid").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(sketch(F.col("u"))).alias("fingerprint"), fingerprint(sketch(F.col("e"))).alias("edited_fingerprint"),
-        likeness(F.col("u"), F.col("edited_plus"), F.col("edited_minus")).alias("near_edited"),
-        likeness(F.col("u"), F.col("next_plus"), F.col("next_minus")).alias("near_next"),
+    known = lambda p, c: F.when(F.col(f"base.{p}.stuck"), F.col(f"{p}_{c}")).otherwise(F.col(f"base.{p}.{c}"))
+    return rows.join(wide, "rid", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "base.fingerprint", "base.edited_fingerprint",
+        *(likeness(F.col("n"), known(p, "plus"), known(p, "minus")).alias(f"near_{p}") for p in ("edited", "next")),
     )

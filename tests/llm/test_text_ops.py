@@ -71,8 +71,13 @@ def test_larger_sketches_after_failure(spark):
         b = a[: len(a) // 2] + [rnd.getrandbits(62) for _ in range(rnd.randint(0, 60))]
         data.append((k, "x", a, b))
     df = spark.createDataFrame(data, "rid long, pair string, a array<long>, b array<long>")
-    want = {(k, len(set(a) - set(b)), len(set(b) - set(a))) for k, _, a, b in data}
-    assert {(r.rid, r.plus, r.minus) for r in fingerprints.differences(df).collect()} == want
+    want = {k: (len(set(a) - set(b)), len(set(b) - set(a))) for k, _, a, b in data}
+    base = df.withColumn("x", fingerprints.peel_base(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))))).select("rid", "x.*").collect()
+    assert any(r.stuck for r in base) and any(not r.stuck for r in base)
+    assert all((r.plus, r.minus) == want[r.rid] for r in base if not r.stuck)
+    for empty in (0, 12, 20):  # sized right, too small, far too small
+        got = fingerprints.differences(df.withColumn("empty", F.lit(empty))).collect()
+        assert {r.rid: (r.plus, r.minus) for r in got} == want
     small = fingerprints.peel(df.withColumn("places", F.lit(8).cast("long")), 0).collect()
     assert any(r.stuck for r in small)
 
