@@ -130,14 +130,14 @@ ORACLE_SQLS: dict[str, str] = {
         with recursive split as (
             select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
         ), sets as (
-            select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) as s
+            select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) as s
             from split where len(w) > 0
         ), sizes as (
             select r, count(*) as n from sets group by r
         ), common as (
-            select a.r as a, b.r as b, count(*) as both from sets a join sets b on a.s = b.s and a.r < b.r group by a.r, b.r
+            select a.r as a, b.r as b, count(*) as shared from sets a join sets b on a.s = b.s and a.r < b.r group by a.r, b.r
         ), half as (
-            select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 9 * both >= 4 * (x.n + y.n)
+            select a, b from common join sizes x on x.r = a join sizes y on y.r = b where 9 * shared >= 4 * (x.n + y.n)
         ), links as (
             select a, b from half union all select b, a from half
         ), reach as (
@@ -185,7 +185,7 @@ ORACLE_SQLS: dict[str, str] = {
         with recursive vectors as (
             select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings
         ), sound as (
-            select r, e from vectors where len(list_filter(e, x -> x <> 0)) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0
+            select r, e from vectors where len(list_filter(e, lambda x: x <> 0)) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
         ), links as (
             select a.r as a, b.r as b from sound a join sound b on a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.9
         ), reach as (
