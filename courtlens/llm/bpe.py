@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from courtlens.llm.common import map_column
+from courtlens.llm.common import map_column, ship, tidy
 
 #: Code points of a chunk, and of the text behind it that the next chunk reads too.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -62,6 +65,23 @@ def bounds(n: int, text: str, pattern: str, chunk: int, overlap: int) -> tuple[l
     return (ends[ends <= overlap] + n * chunk).tolist(), (ends[ends >= chunk] + n * chunk).tolist()
 
 
+def _cut(chunk: int, overlap: int):
+    """Each text (the last column) as its chunks with their numbers, read once from front to back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.select(range(batch.num_columns - 1))
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for a in range(0, len(text), 64 * chunk):
+                    begins = range(a, min(len(text), a + 64 * chunk), chunk)
+                    own = keys.take(pa.array([row] * len(begins)))
+                    made = [pa.array([b // chunk for b in begins], pa.int32()), pa.array([text[b : b + chunk + overlap] for b in begins], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *made], [*own.schema.names, "chunk_no", "piece"])
+            tidy()
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: Column | str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_key, ids): every whole text as little-endian unsigned 32-bit ids.
 
@@ -73,18 +93,16 @@ def encode(docs: DataFrame, path: str, pattern: str, key: Column | str = "doc_id
     """
     if overlap >= chunk:
         raise ValueError("the overlap must be shorter than the chunk")
+    ship(docs.sparkSession)
     key = F.col(key) if isinstance(key, str) else key
     rows = docs.select(key.alias("doc_key"), F.coalesce(text, F.lit("")).alias("text"))
     n = F.char_length("text")
     ids = lambda texts: [[encode_text(x, path, pattern).tobytes() for x in texts]]
     short = map_column(rows.where(n <= chunk), "text", "ids binary", ids)
     doc = ("doc_key", "h", "times")
-    pieces = (
-        rows.where(n > chunk).groupBy("doc_key", "text").agg(F.count("*").alias("times"))
-        .select("doc_key", F.xxhash64("text").alias("h"), "times", "text", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("chunk_no"))
-        .select(*doc, "chunk_no", F.substring("text", F.col("chunk_no") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
-        .repartition(*doc, "chunk_no").withColumn("_x", F.struct("chunk_no", "piece"))
-    )
+    long = rows.where(n > chunk).groupBy("doc_key", "text").agg(F.count("*").alias("times")).select("doc_key", F.xxhash64("text").alias("h"), "times", "text")
+    cut = T.StructType([*long.schema.fields[:3], T.StructField("chunk_no", T.IntegerType()), T.StructField("piece", T.StringType())])
+    pieces = long.mapInArrow(_cut(chunk, overlap), cut).repartition(*doc, "chunk_no").withColumn("_x", F.struct("chunk_no", "piece"))
     length = lambda x: len(x["piece"])
     ends = lambda xs: list(zip(*(bounds(x["chunk_no"], x["piece"], pattern, chunk, overlap) for x in xs)))
     w = Window.partitionBy(*doc)
