@@ -9,13 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtlens.llm.blocks import FIELDS, join_blocks, meets
 from courtlens.llm.common import checkpoint, ship
 from courtlens.llm.components import components
 
 #: Vectors of a block that a task holds at once, and the most pivots (with their radii they bound what is broadcast).
-BLOCK, MAX_PIVOTS = 4_096, 256
+BLOCK, MAX_PIVOTS = 4_096, 1_024
+#: Vectors that are compared with all pivots at once.
+ROWS = 2_048
 #: Between cosines this near to the threshold the single-precision product doesn't decide.
 UNSURE = 1e-4
 
@@ -33,13 +36,14 @@ def _assign(pivots: np.ndarray, width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cos = _unit(pdf["v"], width) @ pivots.T
-            yield pd.DataFrame({"cell": cos.argmax(1), "far": np.sqrt(np.maximum(0, 2 - 2 * cos.max(1)))})
+            for a in range(0, len(pdf), ROWS):
+                cos = _unit(pdf["v"].iloc[a : a + ROWS], width) @ pivots.T
+                yield pd.DataFrame({"cell": cos.argmax(1), "far": np.sqrt(np.maximum(0, 2 - 2 * cos.max(1)))})
 
     return run
 
 
-def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, far: np.ndarray, radius: float):
+def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, far: np.ndarray, radius: float, kind: str):
     """Each vector to a block of its own cell, and as a guest to blocks of the cells that a neighbour may lie in.
 
     A neighbour u of v lies in cell j only if v is within ``radius`` of the cell's ring about its pivot, and within
@@ -50,7 +54,7 @@ def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, f
     slack = radius + 1e-6
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[a : a + ROWS] for whole in batches for a in range(0, len(whole), ROWS)):
             unit = _unit(pdf["v"], width)
             cos = unit @ pivots.T
             own = cos.argmax(1)
@@ -65,7 +69,9 @@ def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, f
             mine = home[row]
             both = meets(block, mine)
             row, block = row[both], block[both]
-            data = unit.astype("<f8")
+            data = np.zeros((len(unit), width), dtype=kind)
+            for k, x in enumerate(pdf["v"]):
+                data[k, : len(x)] = x
             for a in range(0, len(row), 4_096):
                 r, b = row[a : a + 4_096], block[a : a + 4_096]
                 yield pd.DataFrame({
@@ -76,8 +82,14 @@ def _deal(pivots: np.ndarray, width: int, parts: np.ndarray, near: np.ndarray, f
     return run
 
 
-def _load(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _load(kind: str):
+    """Rows of unit length from vectors as they came, which have single precision if the table's have."""
+
+    def load(raw: list[bytes]) -> np.ndarray:
+        rows = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+    return load
 
 
 def _hits(threshold: float):
@@ -99,9 +111,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Equal vectors are joined once and counted by weight, so a large group of copies is one vector. Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing and are kept. Shorter vectors count as
     padded with zeros. Rows with equal ids stay separate rows; a null id is no component's id unless it stands alone.
-    Equal vectors are recognised by a 64-bit hash of their components.
+    Equal vectors are recognised by a 64-bit hash of their components. An empty table gives an empty table; other
+    columns are ignored, whatever their names.
     """
     ship(vectors.sparkSession)
+    kind = "<f4" if vectors.schema[vector].dataType.elementType == T.FloatType() else "<f8"
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))  # no negative zeros
@@ -121,10 +135,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
         spread = max(2, int(parts.sum()))
         dealt = (
-            one.select("uid", "n", "v").mapInPandas(_deal(pivots, width, parts, near, far, radius), "block long, guest boolean, uid long, n long, unit binary")
+            one.select("uid", "n", "v").mapInPandas(_deal(pivots, width, parts, near, far, radius, kind), "block long, guest boolean, uid long, n long, unit binary")
             .repartition(spread, "block").sortWithinPartitions("block", "guest", "uid")
         )
-        linked = checkpoint(dealt.mapInArrow(join_blocks(_load, _hits(threshold)), FIELDS))
+        linked = checkpoint(dealt.mapInArrow(join_blocks(_load(kind), _hits(threshold)), FIELDS))
         counts = linked.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
         nodes = components(linked.where("other is not null"), "uid", "other")
         found = counts.join(nodes.withColumnRenamed("node", "uid"), "uid", "left")
