@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -68,6 +70,12 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_that_are_not_done(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, "a", "b", max_rounds=1)
+
+
 @pytest.mark.parametrize("block,pivots", [(40, 9), (4096, 256)])
 def test_vectors(spark, block, pivots):
     r = np.random.RandomState(1)
@@ -139,6 +147,49 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"} and langid.predict(odd.limit(0), model).count() == 0
 
 
+def brute_model(rows):
+    """Counts of hashed trigrams and of letters by script, by a loop over characters."""
+    grams, scripts = {}, {}
+    kind = lambda c: unicodedata.category(c)[0]
+    for text, lang in rows:
+        if text is None or lang is None:
+            continue
+        g, s = grams.setdefault(lang, np.zeros(langid.BUCKETS)), scripts.setdefault(lang, np.zeros(len(langid._NAMES)))
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        for word in re.findall(r"[^\0]+", "".join(c if kind(c) in "LM" else "\0" for c in low)):
+            own = max(k for k, (_, start) in enumerate(langid.SCRIPTS) if start <= ord(word[0]))
+            s[langid._NAMES.index(langid.SCRIPTS[own][0])] += sum(kind(c) == "L" for c in word)
+            codes = [0, 0, *map(ord, word), 0]
+            for c2, c1, c0 in zip(codes, codes[1:], codes[2:]):
+                h = (c0 * 2654435761 ^ c1 * 2246822519 ^ (c2 if c1 else 0) * 3266489917) % 2**32
+                h = (h ^ h >> 15) * 668265263 % 2**32
+                g[h >> 16] += 1
+    return grams, scripts
+
+
+def test_counts_and_scripts(spark):
+    """The model of a few texts in several scripts, and the languages that a script leaves."""
+    rows = [("Der Hund läuft. Größe!", "de"), ("The dog's run 12", "en"), ("Собака бежит", "ru"), ("собака the", "ru"), (None, "de"), ("x", None), ("ÀÉ e\u0301 İ", "fr"), ("", "en")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    grams, scripts = brute_model(rows)
+    assert model.langs == sorted(grams)
+    for k, lang in enumerate(model.langs):
+        want = np.log(grams[lang] + 0.3) - np.log(grams[lang].sum() + 0.3 * langid.BUCKETS)
+        assert np.allclose(model.scores[:, k], want, atol=1e-5)
+        few = scripts[lang] >= langid.RARE * max(1, scripts[lang].sum())
+        some = model.allowed.any(1) & ~model.allowed.all(1)
+        assert (model.allowed[some, k] == few[some]).all()
+    got = langid.predict(spark.createDataFrame([(1, "бежит"), (2, "\u0301"), (3, "\u0903\u0903"), (4, "e\u0301")], "k int, text string"), model)
+    assert {r.k: r.lang_pred for r in got.collect() if r.k < 4} == {1: "ru", 2: "und", 3: "und"}
+    assert [r.lang_pred != "und" for r in got.where("k = 4").collect()] == [True]
+
+
+def test_predict_keeps_other_columns(spark):
+    model = langid.fit(spark.createDataFrame([("a b", "x")], "text string, lang string"))
+    df = spark.createDataFrame([(1, "a", "s", "t", "w", "c")], "k int, text string, spans string, _text string, _whole string, _c0 string")
+    assert langid.predict(df, model).first().asDict() == {"k": 1, "spans": "s", "_text": "t", "_whole": "w", "_c0": "c", "lang_pred": "x", "score": 1.0}
+
+
 def test_held_out(spark):
     df = spark.createDataFrame([(k,) for k in range(50)] + [(None,)], "doc_id long").select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("h"))
     assert all(r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2) for r in df.collect())
@@ -164,6 +215,41 @@ def test_forest_is_boosted_by_splits():
     assert ((forest.scores(x) >= 0.5) == y).mean() > 0.98
 
 
+def plain_forest(x, y, trees, depth, rate=0.12, l2=2.0):
+    """Boosting by loops over rows, features and limits; scores of the rows."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in nodes:
+                best, cut = 1e-6, None
+                for f, limits in enumerate(edges):
+                    for limit in limits:
+                        left = x[rows, f] <= limit
+                        a, b = rows[left], rows[~left]
+                        if h[a].sum() < 1 or h[b].sum() < 1:
+                            continue
+                        gain = g[a].sum() ** 2 / (h[a].sum() + l2) + g[b].sum() ** 2 / (h[b].sum() + l2) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                        if gain > best + 1e-12:
+                            best, cut = gain, (a, b)
+                after += cut or (rows, rows[:0])
+            nodes = after
+        for rows in nodes:
+            total[rows] += rate * g[rows].sum() / (h[rows].sum() + l2)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_forest_against_plain_loops():
+    r = np.random.RandomState(7)
+    x = r.rand(300, 3).astype(np.float32)
+    y = ((x[:, 0] + 0.3 * x[:, 1] > 0.6) ^ (r.rand(300) < 0.1)).astype(float)
+    assert np.abs(quality.fit_forest(x, y, trees=4, depth=3).scores(x) - plain_forest(x, y, 4, 3)).max() < 1e-6
+
+
 def test_hash_of_turns(spark):
     got = QUERIES["op7_chat"](spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"

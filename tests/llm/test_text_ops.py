@@ -102,6 +102,37 @@ def test_substring(docs, rows, window):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_substring_compares_words(docs, rows, bits):
+    """Hashes of three bits make most anchors fall together; what is equal is still a matter of words."""
+    got = substring.remove_repeats(docs, window=9, digest=True, bits=bits).collect()
+    want = [(str(r.doc_id), *x) for r, x in zip(rows, brute_removed([r.text or "" for r in rows], 9))]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_factors_point_at_their_references(docs):
+    """A factor's words stand at its reference too, elsewhere; factors cover what goes, and some are longer than a block."""
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("\0")))
+    texts = {r.h: (r.text or "").encode().split() for r in docs.select(own.alias("h"), "text").collect()}
+    longest = 0
+    for r in substring.remove_repeats(docs, window=9, digest=True).join(docs.select("doc_id", own.alias("h")).distinct(), "doc_id").where("doc_id is not null").collect():
+        words = texts[r.h]
+        for f in r.factors:
+            n = f.finish - f.begin
+            assert n >= 9 and words[f.begin : f.finish] == texts[f.ref][f["at"] : f["at"] + n]
+            longest = max(longest, n)
+        covered = {k for f in r.factors for k in range(f.begin, f.finish)}
+        assert covered == {k for x in r.spans for k in range(x.begin, x.finish)} and len(covered) == r.n_removed
+    assert longest > 60
+
+
+def test_parse_is_greedy():
+    part = lambda start, n, ref, at: {"start": start, "n": n, "ref": ref, "at": at}
+    got = substring.parse([part(5, 3, 7, 50), part(0, 5, 7, 45), part(8, 2, 8, 0), part(20, 1, 8, 9), part(21, 4, 8, 10)], 4)
+    assert [(f["begin"], f["finish"], f["ref"], f["at"]) for f in got] == [(0, 11, 7, 45), (8, 13, 8, 0), (20, 28, 8, 9)]
+    assert substring.parse([], 4) == []
+
+
 def test_substring_keeps_clean_texts(docs, rows):
     kept = substring.remove_repeats(docs).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in kept if not r.n_removed) == sorted((str(r.doc_id), str(r.text)) for r, x in zip(rows, brute_removed([r.text or "" for r in rows])) if not x[1])
