@@ -167,6 +167,57 @@ ORACLE_SQL["canonical_name"] = """
 """
 
 
+_BLANKS = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name keys and slugs of whole texts of documents."""
+    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return df.select(
+        "doc_id", F.md5(text.clean("text")).alias("cleaned"), F.md5(text.school_key("text")).alias("school"), F.md5(text.scorecard_key("text")).alias("scorecard"),
+        F.md5(F.array_join(text.wish_keys("text"), "|")).alias("wishes"), F.md5(text.file_slug("text")).alias("file"), F.md5(text.lower_slug("text")).alias("slug"),
+        text.politics_label(F.substring_index("text", " ", 2)).alias("label"), text.coach_title(F.lower("text")).isin("Associate Head Coach", "Assistant Head Coach", "Head Coach").alias("titled"),
+    )
+
+
+QUERIES["document_keys"] = document_keys
+_WITHOUT = "array_to_string(list_filter(string_split({0}, ' '), lambda w: w <> '' and w not in {1}), ' ')"
+_LADDER = "contains(lower(two), '{0}') then '{1}'"
+ORACLE_SQL["document_keys"] = f"""
+    with d as (select doc_id, coalesce(text, '') as t, array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') as two from documents),
+    k as (select *, lower(t) as low, trim(regexp_replace(t, '{_BLANKS}', ' ', 'g')) as cleaned,
+        regexp_replace(regexp_replace(t, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as file,
+        trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) as w1, trim(regexp_replace(lower(regexp_replace(t, '\\(.*?\\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')) as w2 from d)
+    select doc_id, md5(cleaned) as cleaned, md5({_WITHOUT.format("regexp_replace(low, '[^a-z0-9]+', ' ', 'g')", text.SCHOOL_STOP)}) as school,
+        md5({_WITHOUT.format("regexp_replace(regexp_replace(regexp_replace(replace(low, '&', ' and '), '[,.-]', ' ', 'g'), '[’'']', '', 'g'), '" + _BLANKS + "', ' ', 'g')", text.SCORECARD_STOP)}) as scorecard,
+        md5(case when w1 = w2 then w1 else w1 || '|' || w2 end) as wishes, md5(file) as file, md5(case when file = '' then 'player' else lower(file) end) as slug,
+        case when {_LADDER.format("very liberal", "Very liberal")} when {_LADDER.format("liberal", "Liberal")} when {_LADDER.format("very conservative", "Very conservative")} when {_LADDER.format("conservative", "Conservative")}
+            when {_LADDER.format("moderate", "Moderate / independent")} when {_LADDER.format("independent", "Moderate / independent")} else trim(two) end as label,
+        contains(low, 'associate') or contains(low, 'assistant') or contains(low, 'head') as titled
+    from k
+"""
+
+
+def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phone number in documents in its one form, and every amount of dollars and quantity, as numbers."""
+    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    every = lambda p: F.posexplode(F.regexp_extract_all("text", F.lit(p), F.lit(1)))
+    dials = df.select("doc_id", every(PHONES).alias("pos", "raw")).select("doc_id", F.lit("phone").alias("kind"), "pos", text.phone("raw").alias("said"), F.lit(None).cast("double").alias("value"))
+    sums = df.select("doc_id", every(AMOUNTS).alias("pos", "raw")).select("doc_id", F.lit("number").alias("kind"), "pos", F.col("raw").alias("said"), numbers.number(F.col("raw")).alias("value"))
+    return dials.unionByName(sums)
+
+
+PHONES, AMOUNTS = r"([+(]?[0-9][0-9() .\-]{8,}[0-9])", r"\b([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+)\b"
+QUERIES["numbers_in_text"] = numbers_in_text
+ORACLE_SQL["numbers_in_text"] = rf"""
+    with p as (select doc_id, unnest(m) as raw, generate_subscripts(m, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '{PHONES}', 1) as m from documents)),
+    q as (select *, regexp_replace(regexp_replace(raw, '\D', '', 'g'), '^1([0-9]{{10}})$', '\1') as n from p),
+    a as (select doc_id, unnest(m) as raw, generate_subscripts(m, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '{AMOUNTS}', 1) as m from documents))
+    select doc_id, 'phone' as kind, cast(pos as integer) as pos, case when length(n) = 10 then '(' || n[1:3] || ') ' || n[4:6] || '-' || n[7:10] else trim(raw) end as said, cast(null as double) as value from q
+    union all select doc_id, 'number', cast(pos as integer), raw, cast(replace(raw, ',', '') as double) from a
+"""
+
+
 def season_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     year = dates.season_year(F.col("o_orderdate"))
