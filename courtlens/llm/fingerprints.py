@@ -10,6 +10,7 @@ seed and of a size that fits the difference as the stuck sketch shows it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -180,29 +181,36 @@ def with_next(docs: DataFrame, key: str, columns: list[str], bucket_rows: int =
     """Add ``next_<column>`` of the next row in descending order of the key; behind the last row comes the first.
 
     Rows are dealt to buckets of consecutive keys, whose limits are quantiles, and each bucket also gets the first row
-    of the bucket below it. Equal keys go by the hash of the columns; null keys come last.
+    of the bucket that follows. Equal keys go by the hash of the columns, by which a key with very many rows is dealt to
+    several buckets; null keys come last.
     """
     from pyspark.ml.feature import Bucketizer
 
+    rows = docs.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308))).withColumn("_tie", F.xxhash64(*columns))
     n = docs.count()
-    number = max(1, min(MAX_BUCKETS, n // bucket_rows))
-    rows = docs.withColumn("_at", F.col(key).cast("double")).withColumn("_tie", F.xxhash64(*columns))
-    cuts = sorted(set(rows.approxQuantile("_at", [k / number for k in range(1, number)], 1 / (4 * number)))) if number > 1 else []
-    rows = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(
-        rows.withColumn("_at", F.coalesce("_at", F.lit(-1.7e308)))
-    )
-    order = (F.desc_nulls_last(key), "_tie")
-    first = (F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308)), -F.col("_tie").cast("double"))
-    tops = rows.groupBy("_bucket").agg(F.max(F.struct(first[0].alias("at"), first[1].alias("tie"))).alias("top"))
-    above, lowest = Window.orderBy("_bucket"), Window.partitionBy()
-    tops = tops.withColumn("to", F.coalesce(F.lead("_bucket").over(above), F.min("_bucket").over(lowest)))
-    marked = rows.join(F.broadcast(tops), "_bucket")
-    is_top = (first[0] == F.col("top.at")) & (first[1] == F.col("top.tie"))
-    places = F.when(is_top, F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("b"), F.lit(True).alias("guest"))))
-    dealt = marked.select(*docs.columns, "_tie", F.explode(F.coalesce(places, F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest"))))).alias("_to"))
-    dealt = dealt.select(*docs.columns, "_tie", F.col("_to.b").alias("_bucket"), F.col("_to.guest").alias("_guest"))
-    w = Window.partitionBy("_bucket").orderBy("_guest", *order)
-    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not _guest").drop("_tie", "_bucket", "_guest")
+    number, heavy = max(1, min(MAX_BUCKETS, n // bucket_rows)), max(2 * bucket_rows, n // MAX_BUCKETS)
+    # at most MAX_BUCKETS keys have so many rows; keys that are one number as doubles are not split
+    hot = rows.groupBy("_at").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where((F.col("n") > heavy) & F.col("lo").eqNullSafe(F.col("hi")))
+    hot = checkpoint(hot.select("_at", F.ceil(F.col("n") / bucket_rows).alias("_parts")))
+    cuts = {*(rows.approxQuantile("_at", [k / number for k in range(1, number)], 1 / (4 * number)) if number > 1 else [])}
+    for x in hot.collect():
+        cuts |= {x["_at"], math.nextafter(x["_at"], math.inf)}
+    rows = Bucketizer(splits=[float("-inf"), *(sorted(cuts) or [0.0]), float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(rows)
+    share = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * F.col("_parts"))
+    rows = rows.join(F.broadcast(hot), "_at", "left").withColumn("_sub", F.coalesce(F.least(share, F.col("_parts") - 1), F.lit(0)))
+    order, first = (F.desc_nulls_last(key), "_tie"), (F.col(key), F.bitwise_not(F.col("_tie")))
+    tops = rows.groupBy("_bucket", "_sub").agg(F.max(F.struct(first[0].alias("key"), first[1].alias("tie"))).alias("top"))
+    down, place = Window.orderBy(F.desc("_bucket"), "_sub"), F.struct(F.col("_bucket").alias("b"), F.col("_sub").alias("s"))
+    last = F.last(place).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select("_bucket", "_sub", "top", F.coalesce(F.lag(place).over(down), last).alias("to"))
+    marked = rows.join(F.broadcast(tops), ["_bucket", "_sub"])
+    is_top = first[0].eqNullSafe(F.col("top.key")) & (first[1] == F.col("top.tie"))
+    to = lambda b, s, guest: F.struct(b.alias("b"), s.alias("s"), F.lit(guest).alias("guest"))
+    own = to(F.col("_bucket"), F.col("_sub"), False)
+    places = F.when(is_top, F.array(own, to(F.col("to.b"), F.col("to.s"), True))).otherwise(F.array(own))
+    dealt = marked.select(*docs.columns, "_tie", F.explode(places).alias("_to"))
+    w = Window.partitionBy("_to.b", "_to.s").orderBy("_to.guest", *order)
+    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not _to.guest").drop("_tie", "_to")
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,6 +62,19 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprints.compare_edited(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first().near_next == 1.0
 
 
+def test_next_rows_with_hot_keys(spark):
+    """Keys with very many rows (null too) are dealt to several buckets; the order is that of key and hash all the same."""
+    rnd = random.Random(8)
+    ids = [None] * 70 + [5] * 90 + [rnd.randint(0, 12) for _ in range(60)] + [-3] * 40
+    df = spark.createDataFrame([(k, f"t{n}") for n, k in enumerate(ids)] + [(5, "same")] * 3, "k long, t string").repartition(5)
+    tie = {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((r.k, r.t) for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
+    want = sorted(map(str, zip(order, [t for _, t in order[1:] + order[:1]])))
+    for bucket_rows in (3, 10, 1000):
+        got = fingerprints.with_next(df, "k", ["t"], bucket_rows).collect()
+        assert sorted(str(((r.k, r.t), r.next_t)) for r in got) == want
+
+
 def test_larger_sketches_after_failure(spark):
     """Base sketches that are far too small still give exact differences."""
     rnd = random.Random(1)
