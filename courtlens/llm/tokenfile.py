@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -57,7 +58,7 @@ def _letters() -> dict[int, int]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _fresh(tok, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
