@@ -17,6 +17,8 @@ from courtlens.llm.common import column, map_column, ship, slices, tidy
 BUCKETS = 1 << 16
 #: Nats that a change of language costs, and letters of one language in a script below which it is no candidate there.
 SWITCH, RARE = 14.0, 0.002
+#: Words after which a long text is cut into runs that are labelled side by side.
+RUN = 32_768
 #: First code points of the script ranges that matter for candidates (fixed values of the Unicode blocks).
 SCRIPTS = (
     ("other", 0x0), ("latin", 0x41), ("greek", 0x370), ("cyrillic", 0x400), ("armenian", 0x530), ("hebrew", 0x590),
@@ -123,44 +125,87 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(langs, scores.astype(np.float32), allowed)
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best label of each word. scores: word x label; the words of text k are first[k] to first[k + 1].
+def _forward(scores: np.ndarray, begin: np.ndarray, sizes: np.ndarray, enter: np.ndarray, switch: float, back: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The totals behind the last word of each run of words, which comes with the totals before its first word; and what
+    was taken off all totals of a run on the way to keep them small.
 
-    All texts go step by step together, longest first, so a step is a few array operations. As any change costs the
-    same, a word's best predecessor is either the same label or the best label so far.
+    Runs go step by step together, longest first, so a step is a few array operations. As any change costs the same, a
+    word's best predecessor is either the same label or the best label so far. ``back`` gets what backtracking needs.
     """
-    sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    begin, sizes = first[:-1][order], sizes[order]
-    labels = np.zeros(len(scores), dtype=np.int16)
-    if not len(scores):
-        return labels
-    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts with more than t words
-    changed = np.zeros(scores.shape, dtype=bool)
-    best = np.zeros(len(scores), dtype=np.int16)
-    total = scores[begin[: active[0]]].copy()
-    final = np.zeros(len(begin), dtype=np.int16)
-    for t in range(1, sizes[0]):
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # runs with more than t words
+    total, out, off = enter.astype(scores.dtype), np.empty_like(enter, dtype=scores.dtype), np.zeros(len(enter))
+    for t in range(sizes[0]):
         k = active[t]
         if k < len(total):
-            final[k : len(total)] = total[k:].argmax(1)
+            out[k : len(total)] = total[k:]
             total = total[:k]
         at = begin[:k] + t
         top = total.argmax(1)
         most = total[np.arange(k), top]
+        off[:k] += most
         total = total - most[:, None]
         move = total < -switch
         total[move] = -switch
         total += scores[at]
-        changed[at], best[at] = move, top
-    final[: len(total)] = total.argmax(1)
-    state = final.copy()
+        if back:
+            back[0][at], back[1][at] = move, top
+    out[: len(total)] = total
+    return out, off
+
+
+def _backward(begin: np.ndarray, sizes: np.ndarray, end: np.ndarray, back: tuple, labels: np.ndarray | None) -> np.ndarray:
+    """From the label of each run's last word back to the label before its first word; ``labels`` gets all between."""
+    changed, best = back
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+    state = end.copy()
     for t in range(sizes[0] - 1, -1, -1):
         k = active[t]
-        at = begin[:k] + t
-        now = state[:k]
-        labels[at] = now
+        at, now = begin[:k] + t, state[:k]
+        if labels is not None:
+            labels[at] = now
         state[:k] = np.where(changed[at, now], best[at], now)
+    return state
+
+
+def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH, run: int = RUN) -> np.ndarray:
+    """The best label of each word. scores: word x label; the words of text k are first[k] to first[k + 1].
+
+    Long texts are cut into runs of ``run`` words. What a run makes of each label before it is found for all runs at
+    once, then handed on from run to run; so the steps of a long text are those of a run, and its runs.
+    """
+    labels = np.zeros(len(scores), dtype=np.int16)
+    if not len(scores):
+        return labels
+    n = scores.shape[1]
+    parts = -(-np.diff(first) // run)
+    text = np.repeat(np.arange(len(parts)), parts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[:-1][text] + number * run
+    sizes = np.minimum(first[1:][text] - begin, run)
+    follows, ends = number > 0, number == parts[text] - 1
+    order = np.argsort(-sizes, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    enter = np.zeros((len(text), n))
+    if not ends.all():
+        inner = np.flatnonzero(~ends)  # all of the same size: what each makes of each label before it
+        each = np.where(np.eye(n, dtype=bool), 0.0, -1e9)
+        made, off = _forward(scores.astype(np.float64), np.repeat(begin[inner], n), np.repeat(sizes[inner], n), np.tile(each, (len(inner), 1)), switch)
+        made = (made + off[:, None]).reshape(len(inner), n, n)
+        for i, k in enumerate(inner):
+            reached = (enter[k][:, None] + made[i]).max(0)
+            enter[k + 1] = reached - reached.max()
+    begin_, sizes_ = begin[order], sizes[order]
+    back = np.zeros(scores.shape, dtype=bool), np.zeros(len(scores), dtype=np.int16)
+    final = _forward(scores, begin_, sizes_, enter[order], switch, back)[0].argmax(1)[place]
+    if follows.any():
+        inner = np.flatnonzero(follows)
+        inner = inner[np.argsort(-sizes[inner], kind="stable")]
+        before = np.zeros((len(text), n), dtype=np.int64)
+        before[inner] = _backward(np.repeat(begin[inner], n), np.repeat(sizes[inner], n), np.tile(np.arange(n), len(inner)), back, None).reshape(-1, n)
+        for k in np.flatnonzero(follows)[::-1]:
+            final[k - 1] = before[k, final[k]]
+    _backward(begin_, sizes_, final[order], back, labels)
     return labels
 
 

@@ -121,12 +121,13 @@ def test_viterbi():
     sizes = [0, 1, 5, 200, 0, 37]
     first = np.concatenate([[0], np.cumsum(sizes)])
     scores = (r.randn(first[-1], 3) * 6).astype(np.float32)
-    got = langid.viterbi(scores.copy(), first, 9.0)
-    for a, b in zip(first[:-1], first[1:]):
-        if b > a:
-            want = brute_viterbi(scores[a:b].astype(float), 9.0)
-            cost = lambda p: scores[np.arange(a, b), p].sum() - 9.0 * (np.diff(p) != 0).sum()
-            assert abs(cost(np.array(want)) - cost(got[a:b])) < 1e-2
+    for run in (langid.RUN, 50, 7, 1):  # long texts in runs of so many words
+        got = langid.viterbi(scores.copy(), first, 9.0, run)
+        for a, b in zip(first[:-1], first[1:]):
+            if b > a:
+                want = brute_viterbi(scores[a:b].astype(float), 9.0)
+                cost = lambda p: scores[np.arange(a, b), p].sum() - 9.0 * (np.diff(p) != 0).sum()
+                assert abs(cost(np.array(want)) - cost(got[a:b])) < 1e-2
 
 
 def test_language(spark):
