@@ -1,10 +1,18 @@
 """Each stage of the corpus pipeline on the awkward table, and the whole on the smallest tables."""
 
+import collections
+import hashlib
+
 import corpus_pipeline
-import pytest
+import duckdb
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 from tests.llm.corpus import documents
 
+from courtlens.llm import bpe
+from courtlens.llm.queries import ORACLE_SQLS
+
 
 def test_stages(spark):
     docs = documents(spark)
@@ -28,13 +36,65 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
-def test_run(spark, sf):
-    import hashlib
+def words(text):
+    return (text or "").encode().split()
+
+
+def one_of_each_class(docs):
+    """The ids that stay: the least of each class of texts linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    sets = {}
+    for r in docs:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    least = {k: k for k in sets}
+    find = lambda k: k if least[k] == k else find(least[k])
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = find(a), find(b)
+                least[max(x, y)] = min(x, y)
+    return {find(k) for k in ids}
+
+
+def without_repeats(docs):
+    """The words of each document that no window of 35 words covers which also starts elsewhere."""
+    seen = collections.Counter(tuple(w[i : i + 35]) for r in docs for w in [words(r.text)] for i in range(len(w) - 34))
+    out = {}
+    for r in docs:
+        w = words(r.text)
+        gone = {k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        out[r.doc_id] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
 
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert rows and all(hashlib.sha256(b"").hexdigest() != r.decoded_sha256 or r.n_tokens == 0 for r in rows)
-    assert len({r.doc_id for r in rows}) > 50
+def test_run_stage_by_stage(spark, tmp_path):
+    """Each stage on what the one before it kept, against plain loops, SQL and the library; run() gives the last one's rows."""
+    sf = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(docs.collect())
+    clean, unique, cut, mixed, coded = kept
+    lettered = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(clean) >= 0.97 * len(lettered) and {r.doc_id for r in clean} <= lettered
+    assert {r.doc_id for r in unique} == one_of_each_class(clean) and len(unique) == len({r.doc_id for r in unique})
+    left = without_repeats(unique)
+    assert {r.doc_id: words(r.text) for r in cut} == left
+    whole = {r.doc_id: r.text for r in unique}
+    assert all(r.n_chars == len(r.text) if len(left[r.doc_id]) < len(words(whole[r.doc_id])) else r.text == whole[r.doc_id] for r in cut)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/2/*.parquet'")
+    times = {k: n // size for k, size, n in con.sql(f"select doc_id, size, taken from ({ORACLE_SQLS['op6_mix']})").fetchall() if size}
+    assert collections.Counter(r.doc_id for r in mixed if words(r.text)) == {k: n for k, n in times.items() if n}
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = {r.doc_id: np.array(enc.encode_ordinary(r.text), "<u4").tobytes() for r in mixed}
+    assert len(coded) == len(mixed) and all(bytes(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) // 4 for r in coded)
+    assert {(r.doc_id, r.decoded_sha256) for r in coded} == {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed}
+    again = corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect()
+    assert sorted(map(tuple, again)) == sorted((r.doc_id, r.ids_sha256) for r in coded)
 
 
 CLASHING = ("spans", "score", "_text", "lang_pred", "n_words", "_doc", "_whole", "_d0", "_c1", "size", "copies", "uid", "with.dot")
