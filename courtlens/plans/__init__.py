@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtlens.plans import rosters, schools, tables, values
+from courtlens.plans import documents, rosters, schools, tables, values
 from courtlens.plans.binding import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (values, rosters, schools, tables):
+for _module in (values, rosters, schools, tables, documents):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
