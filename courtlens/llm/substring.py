@@ -55,9 +55,11 @@ class Digests:
         sizes = np.fromiter((len(w) + 1 for x in words for w in x), dtype=np.int64)
         self.at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two numbers of 64 bits for each range."""
         text, blake = self.text, hashlib.blake2b
-        return [blake(text[a:b], digest_size=16).digest() for a, b in zip(self.at[begin].tolist(), self.at[end].tolist())]
+        found = b"".join(blake(text[a:b], digest_size=16).digest() for a, b in zip(self.at[begin].tolist(), self.at[end].tolist()))
+        return np.frombuffer(found, dtype="<i8").reshape(-1, 2).T
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def blocks(texts: list[str], window: int = WINDOW, anchor: int = ANCHOR, bits: i
     split = [split_words(x) for x in texts]
     words, first = hashed(split)
     if len(words) < window:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return (*(np.zeros(0, dtype=np.int64) for _ in range(4)), np.zeros((2, 0), dtype=np.int64))
     words = words >> np.uint64(64 - bits)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     gram = grams(words, anchor)
@@ -110,8 +112,8 @@ def _blocks(window: int, anchor: int, bits: int):
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 doc, start, count, at, digest = blocks(texts[a:b], window, anchor, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at), pa.array(list(digest), pa.binary())],
-                    ["doc", "start", "n", "anchor", "block"],
+                    [pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(at), *map(pa.array, digest)],
+                    ["doc", "start", "n", "anchor", "b1", "b2"],
                 )
             del texts
             tidy()
@@ -136,7 +138,7 @@ def _windows(window: int):
                 times = np.repeat(np.array([x["times"] for p in parts[a:b] for x in p], dtype=np.int64), count)
                 start, doc, base = np.repeat(start, count) + step, np.repeat(doc, count), np.repeat(base, count).astype(np.int64)
                 digest = Digests(split).of(base + start, base + start + window)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(times)], ["doc", "start", "digest", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(start.astype(np.int32)), *map(pa.array, digest), pa.array(times)], ["doc", "start", "w1", "w2", "times"])
             del texts, parts
             tidy()
 
@@ -155,29 +157,28 @@ def repeated_blocks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     spark = docs.sparkSession
     ship(spark)
-    found = docs.mapInArrow(_blocks(window, anchor, bits), "doc long, start int, n int, anchor long, block binary")
+    found = docs.mapInArrow(_blocks(window, anchor, bits), "doc long, start int, n int, anchor long, b1 long, b2 long")
     index = checkpoint(
-        found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"), _place(F.min), _place(F.max))
-        .where("times > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), *(F.when(F.col("lo") == F.col("hi"), F.col(c)).alias(c) for c in ("first", "last")))
+        found.groupBy("anchor").agg(F.count("*").alias("times"), *(f(b).alias(f"{k}{b}") for b in ("b1", "b2") for k, f in (("lo", F.min), ("hi", F.max))))
+        .where("times > 1").select("anchor", F.expr("lob1 <> hib1 or lob2 <> hib2").alias("mixed"))
     )
     release(spark)
-    only = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
-    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed", only("anchor"), only("block"), "first", "last"))
+    # blocks of an anchor whose blocks are all equal need no digest to be told apart
+    only = lambda c: F.when(F.col("mixed"), F.col(c)).otherwise(F.lit(0)).alias(c)
+    hits = checkpoint(found.join(index, "anchor").select("doc", "start", "n", "mixed", "anchor", only("b1"), only("b2")))
     release(spark)
     # of equal blocks one is looked into for all of them; should its row be there twice, its windows count as repeated anyway
-    equal = checkpoint(
-        hits.where("mixed").groupBy("anchor", "block").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("one"), _place(F.max))
-        .withColumn("first", F.struct("one.doc", "one.start"))
-    )
-    parts = equal.select("one.*", "times").groupBy("doc").agg(F.collect_set(F.struct("start", "n", "times")).alias("parts"))
-    windows = checkpoint(docs.join(parts, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, digest binary, times long"))
+    block = ["anchor", "b1", "b2"]
+    equal = checkpoint(hits.groupBy(*block).agg(F.bool_or("mixed").alias("mixed"), F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("one"), _place(F.max)))
+    parts = equal.where("mixed").select("one.*", "times").groupBy("doc").agg(F.collect_set(F.struct("start", "n", "times")).alias("parts"))
+    windows = checkpoint(docs.join(parts, "doc").select("doc", "text", "parts").mapInArrow(_windows(window), "doc long, start int, w1 long, w2 long, times long"))
     release(spark)
-    again = checkpoint(windows.groupBy("digest").agg(F.sum("times").alias("all"), _place(F.min), _place(F.max)).where(F.col("all") > 1).drop("all"))
-    several = equal.where("times > 1").select("anchor", "block", "first", "last")
-    single = windows.where("times = 1").join(again, "digest").select("doc", "start", F.lit(1).alias("n"), "first", "last")
-    whole = hits.where("not mixed").select("doc", "start", "n", "first", "last").unionByName(
-        hits.where("mixed").drop("first", "last").join(several, ["anchor", "block"]).select("doc", "start", "n", "first", "last")
-    )
+    again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("w1", "w2")
+    same = checkpoint(windows.join(again, ["w1", "w2"]))
+    release(spark)
+    single = same.where("times = 1").join(same.groupBy("w1", "w2").agg(_place(F.min), _place(F.max)), ["w1", "w2"]).select("doc", "start", F.lit(1).alias("n"), "first", "last")
+    several = equal.where("not mixed or times > 1").select(*block, F.struct("one.doc", "one.start").alias("first"), "last")
+    whole = hits.drop("mixed").join(several, block).select("doc", "start", "n", "first", "last")
     own = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
     ref = lambda c: F.when(own, F.col(f"last.{c}")).otherwise(F.col(f"first.{c}"))
     out = checkpoint(whole.unionByName(single).groupBy("doc").agg(F.collect_set(F.struct("start", "n", ref("doc").alias("ref"), ref("start").alias("at"))).alias("parts")))
