@@ -3,7 +3,8 @@
 Word shingles form sets; each set is embedded as SIGNATURE tokens (i, least hash i). A run splits all sets recursively:
 the path so far chooses one token position, and sets that share the token there go on together. Buckets that have become
 small are compared by brute force on the embedded tokens; runs repeat until pairs at the threshold meet with the target
-probability, and more often for sets whose buckets are split deeper. Sets that may be alike form families, within which all pairs are compared exactly on the whole sets.
+probability, and more often for sets whose buckets are split deeper. Sets that may be alike form families, within which
+pairs are compared exactly on the whole sets; sets whose sizes rule the threshold out don't meet.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from courtlens.llm.substring import mix, word_hashes
 WORDS, SIGNATURE = 5, 64
 #: Splits before a bucket is compared, at most, and the size from which a bucket is split further.
 SHALLOW, DEEP, SMALL = 3, 5, 64
-#: Sets of a family that one task compares with others at a time.
-BLOCK = 512
+#: Sets of a family that one task compares with others at a time, and bucket sizes (24 bytes each) up to which they are
+#: broadcast; beyond that they are joined by shuffles, of which Spark splits skewed parts.
+BLOCK, BROADCAST = 512, 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.random.RandomState(20).randint(0, 2**63 - 1, SIGNATURE).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -53,9 +55,9 @@ def shingles(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
 
 
 def embed(texts: list[str | None], n: int = WORDS) -> list[list]:
-    """(uid, sig): a 64-bit key of the whole set and its embedded tokens; null for texts without words."""
+    """(uid, sig, size): a 64-bit key of the whole set, its embedded tokens and its size; null for texts without words."""
     sets = shingles(texts, n)
-    uid, sig = [None] * len(sets), [None] * len(sets)
+    uid, sig, size = [None] * len(sets), [None] * len(sets), [len(x) or None for x in sets]
     some = [k for k, x in enumerate(sets) if len(x)]
     if some:
         flat = np.concatenate([sets[k] for k in some])
@@ -65,7 +67,7 @@ def embed(texts: list[str | None], n: int = WORDS) -> list[list]:
         least = (mix(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         for j, k in enumerate(some):
             uid[k], sig[k] = int(keys[j]), least[j]
-    return [uid, sig]
+    return [uid, sig, size]
 
 
 def runs_for(threshold: float, recall: float, depth: int = SHALLOW) -> int:
@@ -126,7 +128,9 @@ def _meet(sets: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame,
     small, dense, crowded = None, None, None
     for d in range(SHALLOW, DEEP + 1):
         sizes = active.groupBy(F.col(f"p{d}").alias("bucket")).agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
-        met = active.withColumn("bucket", F.col(f"p{d}")).join(sizes, "bucket")
+        sizes = checkpoint(sizes)
+        few = sizes.count() <= BROADCAST
+        met = active.withColumn("bucket", F.col(f"p{d}")).join(F.broadcast(sizes) if few else sizes, "bucket")
         met = checkpoint(met.select("uid", "bucket", "size", "least", *(f"p{x}" for x in range(d + 1, DEEP + 1))))
         few = met.where(F.col("size") <= SMALL).select("bucket", "uid")
         small = few if small is None else small.unionByName(few)
@@ -206,21 +210,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), text).alias("row"), F.col(text).alias("text"))
-    all_rows = checkpoint(map_column(rows, "text", "uid long, sig array<int>", lambda x: embed(x, words)))
-    sets = checkpoint(all_rows.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("row").alias("row"), F.min("sig").alias("sig")))
+    all_rows = checkpoint(map_column(rows, "text", "uid long, sig array<int>, size int", lambda x: embed(x, words)))
+    sets = checkpoint(all_rows.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("key").alias("least"), *(F.min(c).alias(c) for c in ("row", "sig", "size"))))
     release(spark)
     families = checkpoint(components(candidates(sets.select("uid", "sig"), threshold, recall), "a", "b").withColumnRenamed("node", "uid").withColumnRenamed("component", "family"))
     release(spark)
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
-    members = families.join(sizes, "family").join(sets.select("uid", "n", "row"), "uid")
-    members = members.withColumn("home", F.pmod(F.xxhash64("uid"), "parts"))
-    texts = rows.join(members, "row").select("uid", "n", "family", "parts", "home", "text")
+    # sizes of linked sets are of one class or of two neighbouring ones
+    width = math.log(1 / threshold) * (1 + 1e-9) if threshold < 1 else 1e-9
+    members = families.join(sets.select("uid", "n", "row", F.floor(F.log(F.col("size").cast("double")) / width).alias("cls")), "uid")
+    sizes = members.groupBy("family", "cls").agg(F.ceil(F.count("*") / block).alias("parts"))
+    above = sizes.select("family", (F.col("cls") - 1).alias("cls"), F.col("parts").alias("above"))
+    members = members.join(sizes, ["family", "cls"]).join(above, ["family", "cls"], "left").withColumn("home", F.pmod(F.xxhash64("uid"), "parts"))
+    texts = rows.dropDuplicates(["row"]).join(members, "row").select("uid", "n", "family", "cls", "parts", "above", "home", "text")
     data = map_column(texts, "text", "data binary", lambda x: [[s.astype("<u8").tobytes() for s in shingles(x, words)]])
-    # a family of several blocks: of two different blocks, one visits the other
-    visits = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda b: (b == F.col("home")) | ((((b + F.col("home")) % 2 == 0) == (b < F.col("home"))) & (b != F.col("home"))))
+    # of two different blocks of a class one visits the other; the blocks of a class visit all those of the class above
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = F.filter(numbers("parts"), lambda b: (b == F.col("home")) | ((((b + F.col("home")) % 2 == 0) == (b < F.col("home"))) & (b != F.col("home"))))
+    visits = F.concat(
+        F.transform(own, lambda b: F.struct(F.col("cls").alias("c"), b.alias("b"))),
+        F.when(F.col("above").isNotNull(), F.transform(numbers("above"), lambda b: F.struct((F.col("cls") + 1).alias("c"), b.alias("b")))).otherwise(F.array().cast("array<struct<c:bigint,b:bigint>>")),
+    )
     dealt = (
-        data.select("uid", "n", "family", "home", "data", F.explode(visits).alias("b"))
-        .select(F.xxhash64("family", "b").alias("block"), (F.col("b") != F.col("home")).alias("guest"), "uid", "n", "data")
+        data.select("uid", "n", "family", "cls", "home", "data", F.explode(visits).alias("v"))
+        .select(F.xxhash64("family", "v.c", "v.b").alias("block"), ((F.col("v.c") != F.col("cls")) | (F.col("v.b") != F.col("home"))).alias("guest"), "uid", "n", "data")
         .repartition("block").sortWithinPartitions("block", "guest", "uid")
     )
     linked = checkpoint(dealt.mapInArrow(join_blocks(_load, _hits(threshold)), FIELDS))
