@@ -11,6 +11,7 @@ from courtlens.functions.text import politics_label, text, to_null
 from courtlens.operators.columns import fixed
 from courtlens.operators.filters import keep_flagged
 from courtlens.operators.joins import first_by, merge_contacts, resolve_aliases
+from courtlens.operators.ranks import rank_rows
 
 # Fixed values of the models.
 CONGESTED = ("ATL", "ORD", "LAX", "JFK", "EWR", "DFW", "DEN", "SFO", "CLT", "IAH", "PHX", "BOS", "LGA")
@@ -126,6 +127,17 @@ def travel_and_fit(df: DataFrame, home_lat: float, home_lon: float) -> DataFrame
     return df.withColumn("fit_score", round_even(fit, 2)).drop("_d", "_rank")
 
 
+def report_ranks(df: DataFrame, tie: str) -> DataFrame:
+    """The places of a school in the three orders of the reports, ties by ``tie``.
+
+    fit_rank: the fit table, best first, unknown last; travel_rank: by travel difficulty, then by the drive, what is
+    unknown last; page_rank: the pages, by fit, where an unknown one counts as 0.
+    """
+    fit, page = [F.desc_nulls_last("fit_score"), F.col(tie)], [F.desc(F.coalesce("fit_score", F.lit(0.0))), F.col(tie)]
+    travel = [F.asc_nulls_last("travel_difficulty"), F.asc_nulls_last("drive_dist_mi"), F.col(tie)]
+    return rank_rows(rank_rows(rank_rows(df, fit, "fit_rank"), travel, "travel_rank"), page, "page_rank")
+
+
 def opportunity(roster: DataFrame, team: str, position: str | None) -> DataFrame:
     """(team, vb_opp_score) from the experience and production of the team's players at a position.
 

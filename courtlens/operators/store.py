@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtlens.functions.text import to_null
 from courtlens.operators.joins import last_by, settling
+from courtlens.operators.ranks import rank_rows
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
@@ -18,10 +19,10 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], ordinal:
 
 
 def insert_absent(dim: DataFrame, id_col: str, name: str, names: DataFrame) -> DataFrame:
-    """Add the distinct new names with ids that go on from the highest. The id window sees only the new names."""
+    """Add the distinct new names, in order, with ids that go on from the highest (see ``rank_rows``)."""
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(dim.select(name), name, "left_anti")
     top = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(name)))
+    numbered = rank_rows(fresh, [F.col(name)], "_n")
     return dim.unionByName(numbered.join(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast(dim.schema[id_col].dataType).alias(id_col), name))
 
 

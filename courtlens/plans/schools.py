@@ -259,7 +259,7 @@ _NOTES, _TIERS, _AIR, _DRIVES = ["Nonstop daily", "two-stop only", "", None, "di
 
 
 def travel_fit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as schools; the ranks by fit, and by travel with what is unknown last."""
+    """Suppliers as schools; their places in the three orders of the reports, what is unknown last."""
     k = F.col("s_suppkey")
     lat, lon = _lat_lon("s_suppkey")
     s = read_table(spark, sf_dir, "supplier", "s_suppkey").select(
@@ -267,12 +267,8 @@ def travel_fit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         cycle("s_suppkey", _NOTES).alias("airport_notes"), cycle("s_suppkey", _TIERS).alias("tier"), F.when(k % 4 != 0, 2.0 + k % 11 / F.lit(10.0)).alias("vb_opp_score"), F.when(k % 6 != 0, k % 400).alias("rank"),
     )
     out = score.travel_and_fit(s, 39.7684, -86.1581)
-    from pyspark.sql import Window
-
-    # one row a school: a small dimension
-    out = out.withColumn("fit_rank", F.row_number().over(Window.orderBy(F.desc("fit_score"), "s_suppkey")))
-    out = out.withColumn("travel_rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("travel_difficulty"), F.asc_nulls_last("drive_dist_mi"), "s_suppkey")))
-    return out.select("s_suppkey", "flight_dist_mi", "drive_dist_mi", "drive_time_hr", "flight_time_hr", "travel_difficulty", "geo_score", "academic_score", "fit_score", "fit_rank", "travel_rank")
+    out = score.report_ranks(out, "s_suppkey")
+    return out.select("s_suppkey", "flight_dist_mi", "drive_dist_mi", "drive_time_hr", "flight_time_hr", "travel_difficulty", "geo_score", "academic_score", "fit_score", "fit_rank", "travel_rank", "page_rank")
 
 
 QUERIES["travel_fit_rank"] = travel_fit_rank
@@ -289,7 +285,8 @@ ORACLE_SQL["travel_fit_rank"] = f"""
         case when rank is not null then 3.0::double - (greatest(1.0::double, least(350.0::double, rank)) - 1) * (1.0::double / 349) else 2.5 end::double as rp from m),
     f as (select *, {half_even_sql('academic_score * 0.40::double + opp * 0.35::double + geo_score * 0.15::double + rp * 0.10::double', 2)} as fit_score from t)
     select s_suppkey, flight_dist_mi, drive_dist_mi, drive_time_hr, flight_time_hr, travel_difficulty, geo_score, academic_score, fit_score,
-        cast(row_number() over (order by fit_score desc, s_suppkey) as integer) as fit_rank, cast(row_number() over (order by travel_difficulty, drive_dist_mi, s_suppkey) as integer) as travel_rank from f
+        row_number() over (order by fit_score desc nulls last, s_suppkey) as fit_rank, row_number() over (order by travel_difficulty nulls last, drive_dist_mi nulls last, s_suppkey) as travel_rank,
+        row_number() over (order by coalesce(fit_score, 0) desc, s_suppkey) as page_rank from f
 """
 
 

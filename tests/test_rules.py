@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtlens.functions import dates
 from courtlens.functions.text import clean, player_name, school_key
-from courtlens.operators import aggregates, columns, extract, filters, incoming, joins, quality, score, store
+from courtlens.operators import aggregates, columns, extract, filters, incoming, joins, quality, ranks, score, store
 
 
 def one(spark, **values):
@@ -97,9 +97,30 @@ def test_orders_of_reports(spark):
     """Travel goes from easy to hard, pages from the best fit down; what is missing comes last."""
     rows = [("Alpha", 40, 200.0, 2.0), ("Beta", 10, 50.0, 2.9), ("Gamma", 25, 120.0, 2.3), ("Delta", None, None, None)]
     df = spark.createDataFrame(rows, "short string, travel_difficulty int, drive_dist_mi double, fit_score double")
-    travel = df.orderBy(F.asc_nulls_last("travel_difficulty"), F.asc_nulls_last("drive_dist_mi"))
-    fit = df.orderBy(F.desc(F.coalesce("fit_score", F.lit(0.0))))
-    assert [r.short for r in travel.collect()] == ["Beta", "Gamma", "Alpha", "Delta"] and [r.short for r in fit.collect()] == ["Beta", "Gamma", "Alpha", "Delta"]
+    got = score.report_ranks(df, "short").collect()
+    order = lambda c: [r.short for r in sorted(got, key=lambda r: r[c])]
+    assert all(order(c) == ["Beta", "Gamma", "Alpha", "Delta"] for c in ("fit_rank", "travel_rank", "page_rank"))
+    below = df.unionByName(df.limit(1).selectExpr("'Low' as short", "99 as travel_difficulty", "1d as drive_dist_mi", "-1d as fit_score"))
+    got = {r.short: r for r in score.report_ranks(below, "short").collect()}
+    assert (got["Delta"].fit_rank, got["Delta"].page_rank, got["Low"].page_rank, got["Low"].travel_rank) == (5, 4, 5, 4)
+
+
+def test_rank_rows(spark):
+    """Ranks are those of a sorted list, with nulls, ties, hot groups and equal rows; no task numbers all rows."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", "a", None, "b"]), rnd.choice([None, 1, 2, 3]), f"t{rnd.randint(0, 40)}") for _ in range(400)] + [(None, None, None)] * 60
+    df = spark.createDataFrame(rows, "g string, v int, t string").repartition(5)
+    got = ranks.rank_rows(df, [F.desc_nulls_last("v"), F.asc_nulls_last("t")], "n", ["g"], partitions=7)
+    assert got.columns == ["g", "v", "t", "n"]
+    for group in ("a", "b", None):
+        mine = sorted(got.where(F.col("g").eqNullSafe(group)).collect(), key=lambda r: r.n)
+        want = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, r[2] or ""))
+        assert [tuple(r[:3]) for r in mine] == want and [r.n for r in mine] == list(range(1, len(want) + 1))
+    whole = ranks.rank_rows(df, [F.col("v")], partitions=5)
+    assert sorted(r["rank"] for r in whole.collect()) == list(range(1, 461))
+    assert ranks.rank_rows(df.limit(0), [F.col("v")]).count() == 0
+    clash = df.select("v", F.col("t").alias("a.b"), F.lit(1).alias("g 1"))
+    assert ranks.rank_rows(clash, [F.col("v")]).columns == ["v", "a.b", "g 1", "rank"]
 
 
 def test_ties_are_settled(spark):
