@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, quality, substring, tokenfile, vectors
+from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, periodic, quality, substring, tokenfile, vectors
 from courtlens.llm.common import documents
 
 
@@ -93,6 +93,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, a tenth of them with a tail that goes round. Null texts have no words, null ids no
+    such tail; repeated rows are separate; an empty table gives none."""
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("text", periodic.looped(F.col("text"), F.col("doc_id")))
+    best = periodic.longest_run(F.col("runs"))
+    rows = periodic.find_runs(docs, digest=True).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs_sha256", "collapsed_sha256")
+    return rows.select("doc_id", "n_runs", "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_substring": op2_substring,
@@ -104,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQLS: dict[str, str] = {
