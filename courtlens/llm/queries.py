@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtlens.llm import bpe, chat, fingerprints, jaccard, langid, mixing, periodic, quality, substring, tokenfile, vectors
+from courtlens.llm import bpe, chat, decontaminate, fingerprints, jaccard, langid, merkle, mixing, periodic, quality, substring, tokenfile, vectors
 from courtlens.llm.common import documents
 
 
@@ -93,6 +93,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside windows of benchmark items. Null texts have no words, null item ids are one item with
+    an empty name; repeated rows are marked alike; an empty table gives none."""
+    out = decontaminate.find_benchmark(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of each document, a tenth of them with a tail that goes round. Null texts have no words, null ids no
     such tail; repeated rows are separate; an empty table gives none."""
@@ -102,6 +109,14 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of each document, and the root of what a third of them have become. Null columns have a mark of
+    their own, null ids come first and stay as they are; repeated rows are leaves each; an empty table gives none."""
+    lower = F.translate("text", decontaminate.UPPER, decontaminate.LOWER)
+    text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower).otherwise(F.col("text"))
+    return merkle.manifest(documents(spark, sf_dir), altered={"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_substring": op2_substring,
@@ -113,9 +128,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_decontaminate": op11_decontaminate,
     "op12_runs": op12_runs,
+    "op13_manifest": op13_manifest,
 }
 
+
+
+def _manifest_sql(depth: int = 8, groups: int = 3) -> str:
+    """SQL of op13 for at most 8**depth leaves a language and 8**groups languages: a level of the tree after the other."""
+    crc = "xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    told = lambda *cs: " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in cs)
+    own = ("doc_id", "source", "lang", "n_chars")
+    out = [
+        "k as (select *, row_number() over () as r, cast(doc_id as varchar) as k from documents)",
+        f"c as (select *, case when {crc} % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as now from k)",
+        f"leaves as (select r, doc_id, case when lang is null then '' else '=' || lang end as g, sha256({told(*own, 'text')}) as leaf, sha256({told(*own, 'now')}) as other from c)",
+        "n0 as (select g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, leaf as h from leaves)",
+        "d0 as (select r, doc_id, leaf, g as lang, g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, other as folded, '' as proof, leaf as node from leaves)",
+    ]
+    for k in range(depth + groups):
+        if k == depth:  # from the languages' subroots on they are the nodes of one group
+            out += [f"s as (select g as lang, h as subroot, row_number() over (order by g) - 1 as i from n{k})", "n as (select '' as g, i, subroot as h from s)", f"d as (select d.* exclude (g, i), '' as g, s.i, s.subroot from d{k} d join s on d.lang = s.lang)"]
+        n, d = ("n", "d") if k == depth else (f"n{k}", f"d{k}")
+        out += [
+            f"u{k} as (select g, i // 8 as i, list(h order by i) as kids from {n} group by g, i // 8)",
+            f"n{k + 1} as (select g, i, case when i = 0 and len(kids) = 1 then kids[1] else sha256(array_to_string(kids, '')) end as h from u{k})",
+            f"d{k + 1} as (select d.* exclude (i, folded, proof), u.i, case when u.i = 0 and len(kids) = 1 then folded else sha256(array_to_string(kids[1:d.i % 8], '') || folded || array_to_string(kids[d.i % 8 + 2:8], '')) end as folded, proof || array_to_string(kids[1:d.i % 8], '') || array_to_string(kids[d.i % 8 + 2:8], '') as proof from {d} d join u{k} u on d.g = u.g and d.i // 8 = u.i)",
+        ]
+    return f"with {', '.join(out)} select doc_id, leaf, subroot, n.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = n.h as verified from d{depth + groups} d join n{depth + groups} n on d.g = n.g"
+
+
 ORACLE_SQLS: dict[str, str] = {
     "op2_substring": r"""
         with split as (
@@ -226,4 +269,32 @@ ORACLE_SQLS: dict[str, str] = {
             cast(sum(length(t) + length(r) + 24) as bigint) as formatted_chars
         from escaped group by conv_id
     """,
+    "op11_decontaminate": r"""
+        with split as (
+            select row_number() over () as r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents
+        ), items as (
+            select coalesce(cast(item_id as varchar), '') as item,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark
+        ), windows as (
+            select distinct item, least(10, len(w)) as n, array_to_string(w[i:i + 9], ' ') as s
+            from (select item, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from items where len(w) > 0)
+        ), lengths as (
+            select distinct n from windows
+        ), places as (
+            select r, n, i, array_to_string(w[i:i + n - 1], ' ') as s from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from split, lengths where len(w) >= n)
+        ), found as (
+            select distinct r, item, places.n, i from places join windows on places.n = windows.n and places.s = windows.s
+        ), words as (
+            select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from found) group by r
+        ), named as (
+            select r, count(*) as n_items, string_agg(item, ',' order by item) as said from (select distinct r, item from found) group by r
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+            sha256(coalesce(said, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from split left join words using (r) left join named using (r)
+    """,
+    "op13_manifest": _manifest_sql(),
 }
