@@ -8,30 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtlens.functions.references import held, unescape
 from courtlens.functions.text import clean, is_blank, text, to_null, words
+from courtlens.operators.page_tables import tables
 
-# The named character references that names and texts of pages use, and their characters.
-REFERENCES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—",
-    "hellip": "…", "bull": "•", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "aacute": "á", "eacute": "é", "iacute": "í",
-    "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "auml": "ä", "ouml": "ö", "uuml": "ü", "ccedil": "ç", "egrave": "è", "agrave": "à",
-}
 TITLES = "head coach|assistant coach|associate head coach|director of operations|coach"
 
 
-def unescape(c: Column) -> Column:
-    """Character references as their characters: numbers in decimal and hex, and the names of REFERENCES and amp."""
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-    value = lambda n: F.when(F.lower(F.substring(n, 1, 1)) == "x", F.conv(F.substr(n, F.lit(2)), 16, 10)).otherwise(n).cast("int")
-    sound = lambda v: v.between(1, 0xD7FF) | v.between(0xE000, 0x10FFFF)
-    char = lambda n: F.when(sound(value(n)), F.decode(F.unhex(F.lpad(F.hex(value(n)), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-    out = F.aggregate(numbers, c, lambda s, n: F.replace(s, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
-    for name, plain in REFERENCES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
-    # an ampersand that was written as a reference begins no other one
-    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
-
-
 def page_text(html: Column | str) -> Column:
     """The text of a page: scripts, styles and tags go, character references are resolved, white space collapses."""
     bare = F.regexp_replace(text(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
@@ -120,29 +103,6 @@ def links_with_pick(pages: DataFrame, anchors: Sequence[str], patterns: Sequence
     return rows.withColumn(name, best).drop("_r")
 
 
-def tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, cells, raw): the rows of all tables that don't nest; raw keeps the cells' html."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("table_no", "t")).select("page_id", "table_no", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "r"))
-    raw = F.regexp_extract_all("r", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1))
-    return rows.select("page_id", "table_no", "row_no", raw.alias("raw")).withColumn("cells", F.transform("raw", lambda x: page_text(x)))
-
-
-def table_rows(pages: DataFrame, required: Sequence[str], id_pattern: str | None = None) -> DataFrame:
-    """(page_id, row_no, cells map<header, text>, link_id) of the first table whose header has all required names, else
-    of the page's first table. link_id comes from the first link in a row that fits ``id_pattern``."""
-    all_rows = tables(pages)
-    heads = all_rows.where("row_no = 0").select("page_id", "table_no", F.transform("cells", lambda x: F.lower(x)).alias("names"), F.col("cells").alias("header"))
-    fits = reduce(lambda a, b: a & b, (F.exists("names", lambda x: F.contains(x, F.lit(w.lower()))) for w in required), F.lit(True))
-    best = heads.groupBy("page_id").agg(F.min_by(F.struct("table_no", "header"), F.struct(F.when(fits, 0).otherwise(1).alias("k"), "table_no")).alias("b"))
-    rows = all_rows.where("row_no > 0").join(best.select("page_id", F.col("b.table_no").alias("table_no"), F.col("b.header").alias("header")), ["page_id", "table_no"])
-    n = F.least(F.size("header"), F.size("cells"))
-    entries = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("header", i).alias("k"), F.element_at("cells", i).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    link = F.regexp_extract(F.array_join("raw", " "), id_pattern or "^$", 1 if id_pattern else 0)
-    return rows.where(n > 0).select("page_id", "row_no", F.map_from_entries(last).alias("cells"), F.nullif(link, F.lit("")).alias("link_id"))
-
-
 def marked_blocks(html: Column, marks: str) -> Column:
     """array<struct<pos, n, b>>: each div or li whose class holds a mark, whole, with all blocks inside it.
 
@@ -166,23 +126,26 @@ def marked_blocks(html: Column, marks: str) -> Column:
 
 
 def staff_contacts(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, pos, name, title, email, phone, photo) by the first of three strategies that finds anyone.
+    """(page_id, strategy, pos struct<table, row>, name, title, email, phone, photo) by the first of three strategies that
+    finds anyone.
 
     1: blocks marked as staff, with what is nested in them, the innermost that have a name and a title; 2: rows of
     tables with a name and a title; 3: links next to a coaching title.
     """
     mail, tel = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", r"(\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ][0-9]{4})"
     title = lambda c: F.trim(F.regexp_extract(c, rf"(?i)((?:associate |assistant )?(?:{TITLES}))", 1))
-    named = F.coalesce(*[F.nullif(inner("b", t), F.lit("")) for t in ("h2", "h3", "h4", "a", "strong")])
+    filled = lambda c: held(c, lambda x: F.when(x != "", x))
+    named = F.coalesce(*[filled(inner("b", t)) for t in ("h2", "h3", "h4", "a", "strong")])
     img = attribute(F.regexp_extract("b", r"(?is)<img\b[^>]*>", 0), "src")
     fields = [F.regexp_extract("b", mail, 1).alias("email"), F.regexp_extract(page_text("b"), tel, 1).alias("phone"), F.nullif(img, F.lit("")).alias("photo")]
     one = pages.select("page_id", F.inline(marked_blocks(F.col("html"), "staff|coach"))).select("page_id", F.lit(1).alias("strategy"), "pos", named.alias("name"), title(page_text("b")).alias("title"), *fields, "n")
     inner_too = F.lead("pos").over(Window.partitionBy("page_id").orderBy("pos")) < F.col("pos") + F.col("n")
     one = one.where("name <> '' and title <> ''").withColumn("_in", F.coalesce(inner_too, F.lit(False))).where("not _in").drop("_in", "n")
-    cells = tables(pages).where(F.size("cells") >= 2).withColumn("b", F.array_join("raw", " "))
-    two = cells.select("page_id", F.lit(2).alias("strategy"), (F.col("table_no") * 10_000 + F.col("row_no")).alias("pos"), F.get("cells", 0).alias("name"), title(F.get("cells", 1)).alias("title"), *fields)
+    one, place = one.withColumn("pos", F.struct(F.lit(0).alias("table"), F.col("pos").alias("row"))), "struct<table:int,row:int>"
+    cells = tables(pages, " ").where(F.size("cells") >= 2).withColumn("b", F.array_join("raw", " "))
+    two = cells.select("page_id", F.lit(2).alias("strategy"), F.struct(F.col("table_no").alias("table"), F.col("row_no").alias("row")).cast(place).alias("pos"), F.get("cells", 0).alias("name"), title(F.get("cells", 1)).alias("title"), *fields)
     near = F.regexp_extract_all("html", F.lit(rf"(?is)(<a\b[^>]*>[^<]*</a>[^<]*(?:<[^>]*>[^<]*){{0,3}}?(?:{TITLES}))"), F.lit(1))
-    three = pages.select("page_id", F.posexplode(near).alias("pos", "b")).select("page_id", F.lit(3).alias("strategy"), "pos", inner("b", "a").alias("name"), title(page_text("b")).alias("title"), *fields)
+    three = pages.select("page_id", F.posexplode(near).alias("pos", "b")).select("page_id", F.lit(3).alias("strategy"), F.struct(F.lit(0).alias("table"), F.col("pos").alias("row")).cast(place).alias("pos"), inner("b", "a").alias("name"), title(page_text("b")).alias("title"), *fields)
     found = one.unionByName(two).unionByName(three).where("name <> '' and title <> ''")
     first = Window.partitionBy("page_id")
     return found.withColumn("_s", F.min("strategy").over(first)).where("strategy = _s").drop("_s")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlens.operators import columns, extract, filters
+from courtlens.operators.page_tables import table_rows
 from courtlens.plans.binding import Query
 from courtlens.sources.files import read_table
 
@@ -31,26 +32,37 @@ ORACLE_SQL["column_rules"] = """
 
 
 def _roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for every twenty customers: a table of news, and one of names, segments and links."""
+    """A page for every twenty customers, laid out by a table that holds a table of news and one of names, segments and
+    numbers, whose rows take turns: open cells, a table inside a cell, a cell over two columns and one over two rows, and
+    the row under that. The layout's tags are never closed."""
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
-    k = F.col("c_custkey").cast("string")
-    row = F.concat(F.lit('<tr class="x"><td><a href="/roster/p'), k, F.lit('">'), "c_name", F.lit("</a></td><td>"), "c_mktsegment", F.lit(" &amp; co</td><td> "), k, F.lit("</td></tr>"))
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    link = say('<a href="/roster/p', k, '">', F.col("c_name"), "</a>")
+    row = (
+        F.when(kind == 0, say("<tr class='x'><td>", link, "<td>", F.col("c_mktsegment"), " &amp; c&ocirc<td> ", k))
+        .when(kind == 1, say("<tr><td>", link, "</td><td>", F.col("c_mktsegment"), "<table><tr><td>in<td>", k, "</table></td><!-- <td>no</td> --><td>", k, "</td></tr>"))
+        .when(kind == 2, say("<TR><TD colspan='2'>", link, "</TD><TD rowspan=2>", k, "</TD></TR>")).otherwise(say("<tr><td>", link, "</td><td>", F.col("c_mktsegment"), "</td></tr>"))
+    )
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "\n")
     pages = c.groupBy(F.floor(F.col("c_custkey") / 20).alias("page_id")).agg(rows.alias("rows"))
-    head = "<table><tr><th>Date</th><th>News</th></tr><tr><td>1</td><td>old</td></tr></table><TABLE id='r'><tr><th>Name</th><th>Position</th><th>No.</th></tr>"
-    return pages.select("page_id", F.lit("http://x.edu/").alias("url"), F.concat(F.lit(head), "rows", F.lit("</TABLE>")).alias("html"))
+    head = "<table><tr><td><table><tr><th>Date</th><th>News</th></tr><tr><td>1</td><td>old</td></tr></table><td><TABLE id='r'><thead><tr><th>Name</th><th>Position</th><th>No.</th></tr></thead><tbody>"
+    return pages.select("page_id", F.lit("http://x.edu/").alias("url"), F.concat(F.lit(head), "rows", F.lit("</tbody></TABLE>")).alias("html"))
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each page's first table with the right headers, and the id in their links."""
-    found = extract.table_rows(_roster_pages(spark, sf_dir), ["name", "position"], r"/roster/p([0-9]+)")
+    found = table_rows(_roster_pages(spark, sf_dir), ["name", "position"], r"/roster/p([0-9]+)")
     return found.select("page_id", "row_no", F.col("cells")["Name"].alias("name"), F.col("cells")["Position"].alias("position"), F.col("cells")["No."].alias("number"), "link_id")
 
 
 QUERIES["page_tables"] = page_tables
 ORACLE_SQL["page_tables"] = """
-    select c_custkey // 20 as page_id, cast(row_number() over (partition by c_custkey // 20 order by c_custkey) as integer) as row_no, c_name as name,
-        c_mktsegment || ' & co' as position, cast(c_custkey as varchar) as number, cast(c_custkey as varchar) as link_id from customer
+    with c as (select *, cast(c_custkey as varchar) as k, c_custkey // 20 as page_id, cast(row_number() over (partition by c_custkey // 20 order by c_custkey) as integer) as row_no from customer)
+    select page_id, row_no, c_name as name, case c_custkey % 4 when 0 then c_mktsegment || ' & cô' when 1 then c_mktsegment || 'in' || k when 2 then c_name else c_mktsegment end as position,
+        case when c_custkey % 4 = 3 then cast(c_custkey - 1 as varchar) else k end as number, k as link_id from c
+    union all -- what still spans behind the last row is a row of its own
+    select page_id, row_no + 1, k, null, null, null from c where c_custkey = (select max(c_custkey) from customer) and c_custkey % 4 = 2
 """
 
 

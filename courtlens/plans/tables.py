@@ -353,7 +353,12 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", extract.inner("html", "title").alias("title"), extract.inner("html", "h1").alias("h1"), extract.summary("html").alias("summary"))
 
 
-_NAMED = reduce(lambda sql, x: f"replace({sql}, '&{x[0]};', '{x[1]}')", [(k, v.replace("'", "''")) for k, v in extract.REFERENCES.items()] + [("amp", "&")], "{0}")
+# Character references that the given pages may have, and their characters.
+_REFERENCES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—",
+    "hellip": "…", "bull": "•", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "amp": "&",
+}
+_NAMED = reduce(lambda sql, x: f"replace({sql}, '&{x[0]};', '{x[1].replace(chr(39), chr(39) * 2)}')", _REFERENCES.items(), "{0}")
 _BARE = "regexp_replace(regexp_replace({0}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 _TEXT = "trim(regexp_replace(" + _NAMED.replace("{0}", _BARE) + ", '\\s+', ' ', 'g'))"
 _INNER = "regexp_extract(html, '(?is)<{0}(?:\\s[^>]*)?>(.*?)</{0}>', 1)"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from courtlens.operators import extract, incoming, quality
+from courtlens.operators.page_tables import table_rows
 
 PAGE = """<html><head><title>T</title><meta content="About us" name="description"></head><body>
 <table><tr><th>X</th></tr><tr><td>1</td></tr></table>
@@ -30,9 +31,9 @@ def test_fields(spark):
 
 def test_tables_links_and_people(spark):
     p = pages(spark)
-    rows = extract.table_rows(p, ["no", "name"], r"/p/([0-9]+)").orderBy("row_no").collect()
+    rows = table_rows(p, ["no", "name"], r"/p/([0-9]+)").orderBy("row_no").collect()
     assert [(r.cells["No"], r.link_id) for r in rows] == [("5", "77"), ("6", None)]
-    assert extract.table_rows(p, ["zzz"]).first().cells == {"X": "1"}
+    assert table_rows(p, ["zzz"]).first().cells == {"X": "1"}
     assert extract.find_link(p, ["coaches"], []).first().target == "http://h/a/coaches"
     assert {r.target for r in extract.links(p).collect()} == {"/p/77" and "http://h/p/77", "http://h/a/coaches", "http://x.org/y"}
     who = extract.staff_contacts(p).collect()
