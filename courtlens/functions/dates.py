@@ -15,10 +15,9 @@ def incoming_year(ts: Column) -> Column:
     return F.when(F.month(ts) >= 8, F.year(ts) + 1).otherwise(F.year(ts))
 
 
-def run_times(now: Column | None = None) -> dict[str, Column]:
-    """started and finished of a run; give ``now`` for a run that can be repeated."""
-    at = F.current_timestamp() if now is None else now.cast("timestamp")
-    return {"started": at, "finished": at}
+def run_times(started: Column, finished: Column | None = None) -> dict[str, Column]:
+    """started and finished of a run as two instants: when it began, and now unless another one is given."""
+    return {"started": started.cast("timestamp"), "finished": F.current_timestamp() if finished is None else finished.cast("timestamp")}
 
 
 def season_label(year: Column) -> Column:

@@ -55,14 +55,18 @@ def keep_flagged(df: DataFrame, group: str, flag: str) -> DataFrame:
 
 
 def wish_list(df: DataFrame, name: str, aliases: str | None, wishes: DataFrame, wish: str) -> DataFrame:
-    """Rows whose name or alias has a key of the wish list, with or without parentheses; all rows if none has."""
+    """Rows whose name or alias has a key of the wish list, with or without parentheses; all rows if none has.
+
+    Rows meet the wishes by their whole set of keys, so repeated rows stay as often as they are there.
+    """
     names = F.array(F.col(name)) if aliases is None else F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
     keyed = df.withColumn("_keys", F.array_distinct(F.flatten(F.transform(names, lambda x: wish_keys(x)))))
     wanted = wishes.select(F.explode(wish_keys(wish)).alias("_wish")).where("_wish <> ''").distinct()
-    hits = keyed.select("_keys").withColumn("_key", F.explode("_keys")).join(wanted, F.col("_key") == F.col("_wish"), "left_semi").select("_key").distinct()
-    found = keyed.withColumn("_key", F.explode("_keys")).join(hits, "_key", "left_semi").drop("_key").distinct()
-    nothing = hits.agg((F.count("*") == 0).alias("_none"))
-    return found.drop("_keys").unionByName(df.join(nothing.where("_none"), how="cross").drop("_none"))
+    sets = keyed.select("_keys").distinct().select("_keys", F.explode("_keys").alias("_key"))
+    hits = sets.join(wanted, F.col("_key") == F.col("_wish"), "left_semi").select("_keys").distinct()
+    nothing = hits.agg((F.count("*") == 0).alias("_none")).where("_none")
+    found = keyed.join(hits, "_keys", "left_semi").select(*df.columns)
+    return found.unionByName(df.join(nothing, how="cross").drop("_none"))
 
 
 def restrict(df: DataFrame, name: str, names: DataFrame, listed: str, by_key: bool = True) -> DataFrame:

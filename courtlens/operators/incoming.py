@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtlens.functions.classify import lookup
 from courtlens.functions.text import player_name, text
+from courtlens.operators.ranks import carry_last
 
 # Class words in the hints.
 CLASS_WORDS = {"fr": "Fr", "fr.": "Fr", "so": "So", "so.": "So", "soph": "So", "jr": "Jr", "jr.": "Jr", "sr": "Sr", "sr.": "Sr", "gr": "Gr", "gs": "Gr"}
 
 
-def carry_header(lines: DataFrame, group: list[str], pos: str, header: Column, name: str) -> DataFrame:
-    """Add the last header at or before each line of its group."""
-    w = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(header, ignorenulls=True).over(w))
-
-
 def parse_lines(lines: DataFrame, group: list[str], pos: str, line: str, need_header: bool = True) -> DataFrame:
     """"Conference:" headers and "name - school - position (club)" lines: adds conference, name, school, position, club
     and drops headers, blank lines, lines of fewer than two parts and, unless told otherwise, lines before a header."""
     s = F.trim(text(line))
     header = F.when(F.endswith(s, F.lit(":")), F.trim(F.regexp_replace(s, ":+$", "")))
-    rows = carry_header(lines.withColumn("_s", s), group, pos, header, "conference").where(~F.endswith("_s", F.lit(":")) & (F.col("_s") != ""))
+    rows = carry_last(lines.withColumn("_s", s), header, group, pos, "conference").where(~F.endswith("_s", F.lit(":")) & (F.col("_s") != ""))
     body = F.trim(F.regexp_replace("_s", r"\(([^()]+|.*)\)\s*$", ""))
     parts = F.transform(F.split(body, " - "), lambda x: F.trim(x))
     rows = rows.withColumns({
@@ -37,7 +32,7 @@ def parse_transfers(lines: DataFrame, group: list[str], pos: str, line: str) ->
     the first header), name, school, position without what follows a parenthesis, and is_transfer."""
     s = F.trim(text(line))
     header = F.when(F.endswith(s, F.lit(":")), F.trim(F.regexp_replace(s, ":$", "")))
-    rows = carry_header(lines.withColumn("_s", s), group, pos, header, "conference").where(~F.endswith("_s", F.lit(":")) & (F.col("_s") != ""))
+    rows = carry_last(lines.withColumn("_s", s), header, group, pos, "conference").where(~F.endswith("_s", F.lit(":")) & (F.col("_s") != ""))
     parts = F.transform(F.split("_s", " - "), lambda x: F.trim(x))
     rows = rows.where(F.size(parts) >= 3).withColumns({
         "conference": F.coalesce("conference", F.lit("")), "name": player_name(parts[0]), "school": parts[1], "position": F.trim(F.regexp_replace(parts[2], r"(?s)\(.*$", "")),

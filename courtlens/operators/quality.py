@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from courtlens.functions.text import is_blank, text
 from courtlens.functions.validity import invalid_positions, valid_class, valid_email, valid_height, valid_phone
 from courtlens.operators.aggregates import any_filled, duplicate_groups, missing_share
+from courtlens.operators.ranks import carry_last
 
 # Words of non-players in their order, and team sizes out of the ordinary.
 NON_PLAYER = ("coach", "assistant", "director", "coordinator", "manager", "trainer", "admin", "staff", "volunteer", "graduate assistant")
@@ -124,10 +125,8 @@ def log_scan(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     name = F.nullif(F.trim(F.regexp_extract("line", r"Analyzing team: (.*)$", 1)), F.lit(""))
-    rows = lines.select("source", "pos", "line", name.alias("named"))
-    team = F.last("named", ignorenulls=True).over(Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = carry_last(lines.select("source", "pos", "line", name.alias("named")), F.col("named"), ["source"], "pos", "team")
     error = line.rlike("ERROR|Could not")
-    rows = rows.withColumn("team", team)
     return rows.agg(
         F.count_if(error).alias("errors"), F.count_if(line.rlike("WARNING")).alias("warnings"), F.countDistinct("named").alias("attempted"),
         F.countDistinct(F.when(error, F.col("team"))).alias("with_errors"),

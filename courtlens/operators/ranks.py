@@ -40,3 +40,20 @@ def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "rank", by: Se
     same = reduce(lambda a, i: a & F.col(f"_g{i}").eqNullSafe(F.col(f"_h{i}")), range(len(by)), F.col("_range") == F.col("_r"))
     number = F.col("_before") + F.col("_at") - F.col("_from") + 1
     return rows.join(starts, same).select(*here, number.alias(name))
+
+
+def carry_last(df: DataFrame, value: Column, by: Sequence[str], pos: str, name: str, chunk: int = 100_000) -> DataFrame:
+    """Add the last value that isn't null at or before each row of its group, in order of ``pos`` (a number).
+
+    Long groups are cut into chunks of ``chunk`` positions: a value is carried on within a chunk, and into the next ones by
+    way of one row for each chunk, so a group of any length is many tasks' work. Nulls in ``by`` are a group, and those in
+    ``pos`` come before all; rows at one position see each other's value. Columns that begin with _k are its own.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.withColumns({k: F.col(c) for k, c in zip(keys, by)} | {"_kc": F.floor(F.col(pos) / chunk), "_kv": value})
+    within = F.last("_kv", ignorenulls=True).over(Window.partitionBy(*keys, "_kc").orderBy(pos).rangeBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy(*keys, "_kc").agg(F.max_by("_kv", F.when(F.col("_kv").isNotNull(), F.struct(pos, "_kv"))).alias("_ke"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_kc").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_kc").alias("_kc_"), F.last("_ke", ignorenulls=True).over(before).alias("_ko"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.col("_kc").eqNullSafe(F.col("_kc_")))
+    return rows.withColumn("_kv", within).join(carried, same).withColumn(name, F.coalesce("_kv", "_ko")).select(*[c for c in df.columns if c != name], name)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlens.functions.text import to_null
@@ -57,11 +62,31 @@ def seed_missing(dim: DataFrame, key: str, keys: DataFrame, defaults: dict[str,
     return out.withColumns({c: F.coalesce(to_null(c), F.lit(v)) for c, v in defaults.items()}).select(*dim.columns)
 
 
-def audit_row(tables: dict[str, DataFrame], run: dict[str, object] | None = None) -> DataFrame:
-    """One row of counts, a column a table; ``run`` adds what else is known of the run (started, finished, season, notes).
+@dataclass
+class Audit:
+    """Counts of tables, taken while they are written (see ``observed``), and the instants of the run."""
 
-    Times are values of the caller's, so that a test can give its own; ``dates.run_times`` has those of the clock.
-    """
+    started: datetime.datetime = field(default_factory=lambda: datetime.datetime.now(datetime.timezone.utc))
+    counts: dict[str, Observation] = field(default_factory=dict)
+
+    def observed(self, name: str, df: DataFrame) -> DataFrame:
+        """The frame, whose rows are counted when it is written, without being read again. Give each name once, and each
+        frame to one write."""
+        self.counts[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self.counts[name], F.count(F.lit(1)).alias("n"))
+
+    def row(self, spark: SparkSession, **known: object) -> DataFrame:
+        """One row when all is written: started and finished as two instants, what else is ``known`` (strings, numbers, None
+        as text), and ``n_`` of each table. It waits for tables that are still being written."""
+        counts = {f"n_{name}": int(o.get["n"]) for name, o in self.counts.items()}
+        times = {"started": self.started, "finished": datetime.datetime.now(datetime.timezone.utc)}
+        value = lambda k, v: F.lit(v).cast("string") if v is None else F.lit(v).cast("long") if k in counts else F.lit(v)
+        return spark.range(1).select(*[value(k, v).alias(k) for k, v in (times | known | counts).items()])
+
+
+def audit_row(tables: dict[str, DataFrame], run: dict[str, object] | None = None) -> DataFrame:
+    """One row of counts, a column a table, for tables that nothing writes (each is read for it; else see ``Audit``);
+    ``run`` adds what else is known of the run (season, notes; times as the caller gives them)."""
     counts = [df.agg(F.count("*").alias(f"n_{name}")) for name, df in tables.items()]
     out = counts[0]
     for c in counts[1:]:
@@ -69,17 +94,64 @@ def audit_row(tables: dict[str, DataFrame], run: dict[str, object] | None = None
     return out.select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in (run or {}).items()], "*")
 
 
+class PublishedMeanwhile(RuntimeError):
+    """Another publisher has committed since this one began; nothing of this one's is seen."""
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of the store that a path is in, and the path there."""
+    jvm, at = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, at.getFileSystem(conf), at, conf
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(number, version, folder) of all commits of a published table; no rows before the first."""
+    _, fs, at, _ = _files(spark, f"{path}/_commits")
+    schema = "version string, folder string"
+    if not fs.exists(at):
+        return spark.createDataFrame([], f"number long, {schema}")
+    found = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{path}/_commits")
+    return found.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9]+)\.json$", 1).cast("long").alias("number"), "version", "folder")
+
+
 def publish(df: DataFrame, path: str, version: str, replace: bool = False) -> str:
-    """Write a new version beside the old ones, never over a path that is being read; returns its path."""
-    to = f"{path}/version={version}"
-    df.write.mode("overwrite" if replace else "errorifexists").parquet(to)
-    return to
+    """Write a new version in a folder of its own and make it the live one; returns the folder.
+
+    The data come first, then a commit record that names them, written whole beside and renamed to the next number. The
+    rename doesn't replace a file, so of two publishers that began on the same state one gets ``PublishedMeanwhile``. A
+    folder that no record names (its publisher died) is never read. A version that is there already is an error unless
+    ``replace``: then it is committed again.
+    """
+    spark, known = df.sparkSession, commits(df.sparkSession, path)
+    last, again = known.agg(F.coalesce(F.max("number"), F.lit(0)), F.coalesce(F.max((F.col("version") == version).cast("int")), F.lit(0))).first()
+    if again and not replace:
+        raise ValueError(f"version {version} is published already")
+    folder = f"data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    jvm, fs, draft, conf = _files(spark, f"{path}/_commits/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"version": version, "folder": folder}).encode()))
+    out.close()
+    final = jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{last + 1:020d}.json")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    whole = fs.makeQualified(draft)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(whole, fs.makeQualified(final), options)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if fs.exists(final):
+            raise PublishedMeanwhile(f"commit {last + 1} of {path} is another publisher's") from e
+        raise
+    return f"{path}/{folder}"
 
 
 def current(spark: SparkSession, path: str, below: str | None = None) -> DataFrame:
-    """The highest published version, or the highest below a given one. Versions compare as text."""
-    df = spark.read.option("basePath", path).parquet(path)
-    said = F.coalesce(F.format_string("%08d", F.col("version").try_cast("long")), F.col("version").cast("string"))
-    known = df.where(said < below) if below else df
-    top = known.agg(F.max_by("version", said)).first()[0]  # one value: partitions other than that are never read
-    return df.where(F.col("version") == F.lit(top)).drop("version")
+    """The version that was committed last, or the last one below a given version (versions compare as text)."""
+    known = commits(spark, path)
+    known = known.where(F.col("version") < below) if below else known
+    folder = known.agg(F.max_by("folder", "number")).first()[0]  # one value
+    if folder is None:
+        raise FileNotFoundError(f"no version of {path} is published")
+    return spark.read.parquet(f"{path}/{folder}")

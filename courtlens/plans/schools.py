@@ -114,14 +114,16 @@ ORACLE_SQL["tiered_id_lookup"] = """
 def wishlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type")
     wishes = p.where("p_partkey % 7 = 0").select(F.concat(F.upper("p_name"), F.lit(" (X)")).alias("wish"))
-    out = filters.wish_list(p.withColumn("aliases", F.array("p_type")), "p_name", "aliases", wishes, "wish")
-    return out.select("p_partkey", "p_name")
+    # each part one to three times over; and a column that can't be compared
+    rows = p.withColumns({"aliases": F.array("p_type"), "extra": F.create_map(F.lit("k"), F.col("p_partkey"))}).withColumn("again", F.explode(F.array_repeat(F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int"))))
+    out = filters.wish_list(rows, "p_name", "aliases", wishes, "wish")
+    return out.select("p_partkey", "p_name", F.col("extra")["k"].alias("extra"))
 
 
 QUERIES["wishlist"] = wishlist
 ORACLE_SQL["wishlist"] = """
     with k as (select p_partkey, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as a, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) as b from part)
-    select p_partkey, p_name from k where a in (select a from k where p_partkey % 7 = 0) or b in (select a from k where p_partkey % 7 = 0)
+    select p_partkey, p_name, p_partkey as extra from k, unnest(range(p_partkey % 3 + 1)) where a in (select a from k where p_partkey % 7 = 0) or b in (select a from k where p_partkey % 7 = 0)
 """
 
 

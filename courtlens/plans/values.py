@@ -176,23 +176,23 @@ def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         "doc_id", F.md5(text.clean("text")).alias("cleaned"), F.md5(text.school_key("text")).alias("school"), F.md5(text.scorecard_key("text")).alias("scorecard"),
         F.md5(F.array_join(text.wish_keys("text"), "|")).alias("wishes"), F.md5(text.file_slug("text")).alias("file"), F.md5(text.lower_slug("text")).alias("slug"),
-        text.politics_label(F.substring_index("text", " ", 2)).alias("label"), text.coach_title(F.lower("text")).isin("Associate Head Coach", "Assistant Head Coach", "Head Coach").alias("titled"),
+        F.md5(text.politics_label("text")).alias("label"), text.coach_title(F.lower("text")).isin("Associate Head Coach", "Assistant Head Coach", "Head Coach").alias("titled"),
     )
 
 
 QUERIES["document_keys"] = document_keys
 _WITHOUT = "array_to_string(list_filter(string_split({0}, ' '), lambda w: w <> '' and w not in {1}), ' ')"
-_LADDER = "contains(lower(two), '{0}') then '{1}'"
+_LADDER = "contains(low, '{0}') then '{1}'"
 ORACLE_SQL["document_keys"] = f"""
-    with d as (select doc_id, coalesce(text, '') as t, array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ') as two from documents),
+    with d as (select doc_id, coalesce(text, '') as t from documents),
     k as (select *, lower(t) as low, trim(regexp_replace(t, '{_BLANKS}', ' ', 'g')) as cleaned,
         regexp_replace(regexp_replace(t, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as file,
         trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) as w1, trim(regexp_replace(lower(regexp_replace(t, '\\(.*?\\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')) as w2 from d)
     select doc_id, md5(cleaned) as cleaned, md5({_WITHOUT.format("regexp_replace(low, '[^a-z0-9]+', ' ', 'g')", text.SCHOOL_STOP)}) as school,
         md5({_WITHOUT.format("regexp_replace(regexp_replace(regexp_replace(replace(low, '&', ' and '), '[,.-]', ' ', 'g'), '[’'']', '', 'g'), '" + _BLANKS + "', ' ', 'g')", text.SCORECARD_STOP)}) as scorecard,
         md5(case when w1 = w2 then w1 else w1 || '|' || w2 end) as wishes, md5(file) as file, md5(case when file = '' then 'player' else lower(file) end) as slug,
-        case when {_LADDER.format("very liberal", "Very liberal")} when {_LADDER.format("liberal", "Liberal")} when {_LADDER.format("very conservative", "Very conservative")} when {_LADDER.format("conservative", "Conservative")}
-            when {_LADDER.format("moderate", "Moderate / independent")} when {_LADDER.format("independent", "Moderate / independent")} else trim(two) end as label,
+        md5(case when {_LADDER.format("very liberal", "Very liberal")} when {_LADDER.format("liberal", "Liberal")} when {_LADDER.format("very conservative", "Very conservative")} when {_LADDER.format("conservative", "Conservative")}
+            when {_LADDER.format("moderate", "Moderate / independent")} when {_LADDER.format("independent", "Moderate / independent")} else trim(t) end) as label,
         contains(low, 'associate') or contains(low, 'assistant') or contains(low, 'head') as titled
     from k
 """

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from courtlens.operators import columns, store
+from courtlens.operators import columns, quality, store
 from courtlens.sources import files
 from courtlens.streaming.incremental import stream_upserts
 
@@ -38,6 +38,36 @@ def test_lines(spark, tmp_path):
     assert {r.file for r in files.list_files(spark, str(tmp_path)).collect()} == {"incoming_players_2025.txt", "incoming_players_2026.txt"}
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    said = [f"line {k} " + "x" * (k % 50) for k in range(5000)] + ["", "Analyzing team: A", "ERROR last", ""]
+    (tmp_path / "a b+1 2025.txt").write_text("\n".join(said) + "\n")
+    (tmp_path / "crlf.txt").write_bytes(b"Analyzing team: B\r\nfine\r\n\r\nWARNING")
+    (tmp_path / "empty.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        lines = files.read_lines(spark, str(tmp_path / "*.txt"))
+        assert spark.read.text(str(tmp_path / "*.txt")).rdd.getNumPartitions() > 8
+        rows = lines.orderBy("file", "pos").collect()
+        assert [r.line for r in rows if r.year == 2025] == said and [r.pos for r in rows if r.file == "a b+1 2025.txt"] == list(range(len(said)))
+        assert [(r.pos, r.line) for r in rows if r.file == "crlf.txt"] == [(0, "Analyzing team: B"), (1, "fine"), (2, ""), (3, "WARNING")]
+        found = quality.log_scan(lines.select(F.col("file").alias("source"), "pos", "line")).first()
+        assert tuple(found) == (1, 1, 2, 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rows_that_dont_fit_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("TeamID,GP\n001,3\n002,x\n003\n004,5,6\n,7\n")
+    df = files.read_csv(spark, str(tmp_path / "a.csv"), "TeamID string, GP double", faults=True)
+    found = files.fault_rows(df, "roster").collect()
+    assert {(r.check, r.entity, r.detail) for r in found} == {("unreadable_row", "roster", x) for x in ("002,x", "003", "004,5,6")}
+    assert sorted(map(tuple, files.sound_rows(df).collect()), key=str) == [("001", 3.0), (None, 7.0)]
+    (tmp_path / "t.json").write_text('[{"team": "A", "n": 1}, {"team": "B", "n": "many"}]')
+    (tmp_path / "u.json").write_text('{"team": ')
+    df = files.read_json_array(spark, str(tmp_path / "*.json"), "team string, n int", {"n": 0}, faults=True)
+    assert len(files.fault_rows(df, "teams").collect()) == 2 and [tuple(r) for r in files.sound_rows(df).collect()] == [("A", 1)]
+
+
 def test_versions_and_partitions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 2024), (2, "b", 2025)], "id int, v string, season int")
     store.publish(df, str(tmp_path / "t"), "00000001")

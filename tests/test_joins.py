@@ -51,6 +51,14 @@ def test_wish_list_without_a_hit_keeps_all(spark):
     assert wish("duke") == {2} and wish("nobody") == {1, 2}
 
 
+def test_wish_list_keeps_repeated_rows(spark):
+    rows = [("Rice", 1, {"a": 1}), ("Rice", 1, {"a": 1}), ("Yale", 2, None), ("RICE (TX)", 3, None), (None, 4, None)]
+    df = spark.createDataFrame(rows, "name string, v int, m map<string,int>")
+    got = filters.wish_list(df, "name", None, spark.createDataFrame([("rice",), ("rice",)], "w string"), "w")
+    assert got.columns == ["name", "v", "m"] and sorted((r.name, r.v, r.m) for r in got.collect()) == [("RICE (TX)", 3, None), ("Rice", 1, {"a": 1}), ("Rice", 1, {"a": 1})]
+    assert filters.wish_list(df, "name", None, spark.createDataFrame([("x",)], "w string"), "w").count() == 5
+
+
 def test_scores(spark):
     roster = spark.createDataFrame([("A", "S", "Jr", 850, 0, 0), ("B", "MB", "Fr", 0, 0, 0)], "team string, position string, class string, assists int, kills int, digs int")
     got = {r.team: r.vb_opp_score for r in score.opportunity(roster, "team", "Setter").collect()}
