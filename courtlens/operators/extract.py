@@ -199,31 +199,66 @@ def faqs(html: Column | str, n: int = 3) -> Column:
     return F.slice(F.filter(F.coalesce(pairs, F.array().cast("array<struct<question:string,answer:string>>")), lambda x: (x["question"] != "") & (x["answer"] != "")), 1, n)
 
 
+#: A JSON text falls into strings, brackets, and what stands between them.
+_JSON_TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|[^"{}\[\]]++|"'
+#: Levels of nesting up to which Spark's parser turns JSON into values.
+PLAIN_NESTING = 900
+
+
+def _nesting(steps: Column) -> Column:
+    """struct<now, most, closed> over steps of 1 for brackets that open, -1 for those that close, and 0: how many are open
+    at the end, the most at any time, and how often the last one was closed."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("closed"))
+    grow = lambda s, k: F.struct((s["now"] + k).alias("now"), F.greatest(s["most"], s["now"] + k).alias("most"), (s["closed"] + F.when((s["now"] == 1) & (k < 0), 1).otherwise(0)).alias("closed"))
+    return F.aggregate(steps, start, grow)
+
+
+def _is_json(text: Column, nesting: Column) -> Column:
+    """Whether a text is one object or list and nothing else, at any depth: the parser is made to skip it whole, which
+    checks its grammar without a stack, where it stands under a key that nobody asks for."""
+    asked = F.from_json(F.concat(F.lit('{"skipped":'), text, F.lit("}")), "struct<other:int,bad:string>", {"columnNameOfCorruptRecord": "bad", "maxNestingDepth": str(2**31 - 1)})
+    return (nesting["now"] == 0) & (nesting["closed"] == 1) & text.rlike(r"^\s*[{\[]") & text.rlike(r"[}\]]\s*$") & asked["bad"].isNull()
+
+
+def _json_marks(tokens: Column, required: Sequence[str]) -> Column:
+    """array<struct<i, kind>>: the brackets (1 and 2, negative where they close) and required keys (from 10) among tokens."""
+    plain = lambda x: F.when(F.contains(x, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"k":'), x, F.lit("}")), "$.k")).otherwise(x)
+    number = lambda x: F.nullif(F.array_position(F.array(*map(F.lit, required)), F.regexp_replace(F.lower(plain(x)), "[^a-z]", "")), F.lit(0))
+    is_key = lambda x, i: F.startswith(x, F.lit('"')) & F.coalesce(F.get(tokens, i + 1).rlike(r"^\s*:"), F.lit(False))
+    kind = lambda x, i: F.when(x == "{", 1).when(x == "[", 2).when(x == "}", -1).when(x == "]", -2).when(is_key(x, i), number(x) + 9)
+    return F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("i"), kind(x, i).cast("int").alias("kind"))), lambda m: m["kind"].isNotNull())
+
+
 def find_object(df: DataFrame, key: str, json: str, required: Sequence[str]) -> DataFrame:
-    """(key, found): the first object, in pre-order, that has all required keys (letters only, no case), as map<string,string>.
+    """(key, found): the first object of each text, in pre-order, that itself has all required keys (letters only, without
+    case), as map<string,string> of its values' JSON.
 
-    Each level opens all objects and lists of the level before, down to the deepest nesting of brackets in any text;
-    paths order the finds. Text that is no JSON has no object.
+    One pass, whatever the depth: the brackets and required keys of a text are put in order by a window, how many brackets
+    are open tells which object a key belongs to. Texts without all the keys are left out before. Null texts and texts
+    that are no JSON have no row; repeated rows have each their own. found is null if what the object holds nests deeper
+    than PLAIN_NESTING levels, which Spark can't turn into values; how deep it stands doesn't matter.
     """
-    parsed = df.select(key, F.try_parse_json(json).alias("v"), F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*"|[^\[\]{}"]', "").alias("_b")).where("v is not null")
-    nesting = F.aggregate(
-        F.split("_b", ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda s, b: F.struct((s["now"] + F.when(b.isin("{", "["), 1).when(b.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(b.isin("{", "["), 1).otherwise(0)).alias("most")),
-        lambda s: s["most"],
+    want = sorted(set(required))
+    rows = df.select(F.struct(F.col(key).alias("key"), F.regexp_extract_all(json, F.lit(_JSON_TOKENS), F.lit(0)).alias("tokens")).alias("row"), F.col(json).alias("_j"), F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumn("marks", _json_marks(F.col("row.tokens"), want))
+    kinds = F.transform("marks", lambda m: m["kind"])
+    step = lambda k: F.when(k.between(1, 2), 1).when(k < 0, -1).otherwise(0)
+    has_all = F.size(F.array_intersect(kinds, F.array(*[F.lit(10 + k) for k in range(len(want))]))) == len(want)
+    rows = rows.where(has_all).withColumn("_n", _nesting(F.transform(kinds, step))).where(_is_json(F.col("_j"), F.col("_n")))
+    first = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("kind")))
+    marks = rows.select("uid", "row", F.explode(F.concat(first, "marks")).alias("m")).select("uid", F.when(F.col("m.i") < 0, F.col("row")).alias("row"), "m.*")
+    order = Window.partitionBy("uid").orderBy("i")
+    marks = marks.withColumn("_open", F.sum(step(F.col("kind"))).over(order))
+    marks = marks.withColumn("_level", F.when(F.col("kind") < 0, F.col("_open") + 1).otherwise(F.col("_open")))
+    at = F.last(F.when(F.col("kind").between(1, 2), F.col("i")), ignorenulls=True).over(Window.partitionBy("uid", "_level").orderBy("i"))
+    owned = marks.withColumn("begin", F.when(F.col("kind") != 0, at).otherwise(-1)).groupBy("uid", "begin").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.max(F.when(F.col("kind") < 0, F.col("i"))).alias("end"), F.countDistinct(F.when(F.col("kind") >= 10, F.col("kind"))).alias("n"),
     )
-    deepest = parsed.agg(F.max(nesting)).first()[0] or 0  # one number
-    level = parsed.select(key, "v", F.array().cast("array<int>").alias("path"))
-    hits: DataFrame = level.where("false").select(key, "path", F.lit(None).cast("map<string,string>").alias("found"))
-    for _ in range(deepest):
-        asmap = F.try_variant_get("v", "$", "map<string,variant>")
-        own = level.withColumn("m", asmap)
-        names = F.transform(F.map_keys("m"), lambda k: F.regexp_replace(F.lower(k), "[^a-z]", ""))
-        fits = F.size(F.array_intersect(names, F.array(*map(F.lit, required)))) == len(set(required))
-        new = own.where(fits).select(key, "path", F.transform_values("m", lambda k, v: F.to_json(v)).alias("found"))
-        hits = hits.unionByName(new)
-        kids = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.map_values("m"))
-        level = own.select(key, "path", F.posexplode(kids).alias("i", "v")).select(key, F.col("v"), F.concat("path", F.array("i")).alias("path")).where("v is not null")
-    return hits.groupBy(key).agg(F.min_by("found", "path").alias("found"))
+    best = owned.groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.min(F.when(F.col("n") == len(want), F.struct("begin", "end"))).alias("x")).where("x is not null")
+    own = best.select(F.col("row.key").alias(key), F.slice("row.tokens", F.col("x.begin") + 1, F.col("x.end") - F.col("x.begin") + 1).alias("_t"))
+    deep = _nesting(F.transform("_t", lambda x: F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)))["most"]
+    values = F.transform_values(F.from_json(F.array_join("_t", ""), "map<string,variant>"), lambda k, v: F.to_json(v))
+    return own.select(key, F.when(deep <= PLAIN_NESTING, values).alias("found"))
 
 
 def label_shares(body: Column, labels: Sequence[str]) -> Column:

@@ -55,6 +55,24 @@ def test_nested(spark):
     assert spark.range(1).select(extract.by_year(F.create_map(F.lit("2025"), F.lit("t")), "2024").alias("x")).first().x is None
 
 
+def test_nested_to_any_depth(spark):
+    """A text two thousand levels deep among shallow ones; the first object in pre-order counts, with its own keys only."""
+    want = '{"A":{"b":1},"B\\u0062":"x\\"}{","c":[{"a":0,"bb":0}]}'
+    rows = [
+        (1, '{"a":[1,' * 2000 + want + "]}" * 2000), (2, want), (3, '[{"a":1},{"bb":{"a":2}},{"bb":5,"z":[],"a":null}]'), (4, '{"a":1,"x":"\\"bb\\":2"}'), (5, '{"a":1,"bb":2'),
+        (6, '[{"a":{"a":1,"bb":1},"bb":2}]'), (7, None), (8, ""), (9, '{"a":1,"bb":2} x'), (13, '{"a":1},{"a":1,"bb":2}'), (10, '"a" : "bb"'), (2, want), (11, '{"' + "y" * 40_000 + '":"' + "z" * 200_000 + '", "a" : 1 ,\n"bb"\t: 2}'), (12, "[" * 9000 + want + "]" * 9000), (14, '{"a":1,"bb":' + "[" * 3000 + "]" * 3000 + "}"), (15, '{"a":1,"bb":2}]'),
+    ]
+    df = spark.createDataFrame(rows, "k int, j string").repartition(3)
+    got = {}
+    for r in extract.find_object(df, "k", "j", ["bb", "a"]).collect():
+        got.setdefault(r.k, []).append(r.found)
+    assert set(got) == {1, 2, 3, 6, 11, 12, 14} and len(got[2]) == 2 and got[14] == [None]
+    assert got[1] == got[12] == got[2][:1] == [{"A": '{"b":1}', "Bb": '"x\\"}{"', "c": '[{"a":0,"bb":0}]'}]
+    assert got[3] == [{"bb": "5", "z": "[]", "a": "null"}] and got[6][0]["bb"] == "2" and got[11][0]["bb"] == "2"
+    plan = extract.find_object(df, "k", "j", ["bb", "a"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan
+
+
 def test_incoming_lines(spark):
     lines = ["x - y", "East:", "", "Ann - Rice - S (Club (1))", "bad", "Bo - Duke"]
     df = spark.createDataFrame([(1, k, s) for k, s in enumerate(lines)], "f int, pos int, line string")
