@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from courtlens.functions.numbers import haversine_miles
 from courtlens.functions.text import coach_title, file_slug, index_key, phone, scorecard_key, text, to_null, words
+from courtlens.operators.lineage import checkpoint
 
 #: Similarities from which a token match is low and medium, and a sequence match counts (fixed values).
 LOW, MEDIUM, RATIO = 0.60, 0.80, 0.78
@@ -58,35 +61,53 @@ def two_step(left: DataFrame, key: str, fallback: str, dim: DataFrame, dim_key:
     return out.withColumn(value, F.coalesce("_v1", "_v2")[value]).drop("_k1", "_k2", "_v1", "_v2")
 
 
+#: Finer cells of a coarse one, along each axis.
+FINER = 8
+
+
 def nearest(points: DataFrame, point: str, sites: DataFrame, site: str, cell: float = 1.0) -> DataFrame:
     """(point, site, miles) of the nearest site to each point; of equals the one with the least id.
 
-    Both frames have lat and lon; rows without either are left out. Points and sites meet on a grid of cells (degrees):
-    a point takes the best site of its own and neighbouring cells if that is nearer than any other cell can be. The
-    remaining points try again with cells four times as wide; those that are left at the widest ones (near a pole or the
-    date line, or very far from any site) are compared with all sites.
+    Both frames have lat and lon; rows without either, or with one that is no number, are left out. Points and sites are
+    three numbers on the unit sphere, which has neither poles nor a date line, and meet on a grid of cubes, at first about
+    ``cell`` degrees wide: a site outside a point's own and the neighbouring cubes is a cube's width away, so what is found
+    nearer than that is final. Points that are left go on with cubes four times as wide, written out so that no round is
+    computed twice. Wide cubes may hold many sites: there a point looks at boxes around the sites of finer cubes first,
+    and only into those that can hold the nearest. At last the cubes are as wide as the sphere.
     """
-    p = points.where("lat is not null and lon is not null").select(F.col(point).alias("_p"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
-    s = sites.where("lat is not null and lon is not null").select(F.col(site).alias("_s"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    miles = haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        out = pairs.withColumn("_d", miles).groupBy("_p").agg(F.min(F.struct("_d", "_s")).alias("b"), F.first("_plat").alias("_plat"), F.first("_plon").alias("_plon"))
-        return out.select(F.col("_p").alias(point), F.col("b._s").alias(site), F.col("b._d").alias("miles"), "_plat", "_plon")
-
-    out, steps = None, F.array(*map(F.lit, (-1, 0, 1)))
-    while cell < 20:
-        at = lambda c, w=cell: F.floor(F.col(c) / w)
-        around = s.withColumn("_cy", F.explode(F.transform(steps, lambda d: at("_slat") + d))).withColumn("_cx", F.explode(F.transform(steps, lambda d: at("_slon") + d)))
-        near = best(p.withColumn("_cy", at("_plat")).withColumn("_cx", at("_plon")).join(around, ["_cy", "_cx"]))
-        # a site outside the nine cells is a cell of latitude or of longitude away, the latter shorter towards the poles
-        polar = F.least(F.abs("_plat") + cell, F.lit(90.0))
-        sure = F.asin(F.sin(F.radians(F.lit(cell))) * F.cos(F.radians(polar))) * (6371.0 * 0.621371) * 0.999
-        near = near.where((F.col("miles") < sure) & (F.abs("_plat") + cell < 89) & (F.abs("_plon") + cell < 180)).drop("_plat", "_plon")
-        out = near if out is None else out.unionByName(near)
-        p, cell = p.join(near.select(F.col(point).alias("_p")), "_p", "left_anti"), 4 * cell
-    left = best(p.join(s)).drop("_plat", "_plon")
-    return left if out is None else out.unionByName(left)
+    sphere = lambda: {"_x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "_y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "_z": F.sin(F.radians("lat"))}
+    axes, known = ("_x", "_y", "_z"), "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
+    p = points.where(known).select(F.col(point).alias("_p"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), *[v.alias(k) for k, v in sphere().items()])
+    s = checkpoint(sites.where(known).select(F.col(site).alias("_s"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), *[v.alias(k) for k, v in sphere().items()]))
+    miles, radius = haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon")), 6371.0 * 0.621371
+    cube = lambda width, shift=(0, 0, 0): F.struct(*[(F.floor((F.col(c) + 1.0) / width) + d).alias(c) for c, d in zip(axes, shift)])
+    around = lambda width: F.explode(F.array(*[cube(width, d) for d in product((-1, 0, 1), repeat=3)]))
+
+    def pairs(p: DataFrame, width: float, first: bool) -> DataFrame:
+        if first:
+            return p.withColumn("_c", cube(width)).join(s.select("_s", "_slat", "_slon", around(width).alias("_c")), "_c")
+        own = s.withColumn("_f", cube(width / FINER))
+        boxes = own.groupBy("_f").agg(*[f(c).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))])
+        # a finer cube lies in one wide one
+        boxes = boxes.withColumns({c: F.col(f"lo{c}") for c in axes}).select("_f", *[f"{n}{c}" for c in axes for n in ("lo", "hi")], around(width).alias("_c"))
+        near = reduce(lambda x, y: x + y, (F.pow(F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}")), F.lit(2)) for c in axes))
+        far = reduce(lambda x, y: x + y, (F.pow(F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(f"hi{c}") - F.col(c))), F.lit(2)) for c in axes))
+        met = p.withColumn("_c", cube(width)).join(boxes, "_c").select("_p", "_plat", "_plon", "_f", near.alias("_near"), far.alias("_far"))
+        seen = met.groupBy("_p", "_plat", "_plon").agg(F.collect_list(F.struct("_near", "_f")).alias("_b"), F.min("_far").alias("_most"))
+        few = seen.select("_p", "_plat", "_plon", F.explode(F.filter("_b", lambda b: b["_near"] <= F.col("_most") + 1e-9)).alias("_b"))
+        return few.select("_p", "_plat", "_plon", F.col("_b._f").alias("_f")).join(own.select("_s", "_slat", "_slon", "_f"), "_f")
+
+    width, out, first = 2 * math.sin(math.radians(cell) / 2), None, True
+    while True:
+        best = pairs(p, width, first).groupBy("_p").agg(F.min(F.struct(miles.alias("_d"), "_s")).alias("_b")).select(F.col("_p").alias(point), F.col("_b._s").alias(site), F.col("_b._d").alias("miles"))
+        best = checkpoint(best.where(2 * F.sin(F.col("miles") / (2 * radius)) < width * 0.999))
+        out = best if out is None else out.unionByName(best)
+        if width > 2.1:
+            return out
+        p = checkpoint(p.join(best.select(F.col(point).alias("_p")), "_p", "left_anti"))
+        if p.isEmpty():
+            return out
+        width, first = 4 * width, False
 
 
 def rarest(df: DataFrame, keys: Sequence[str], items: str, known: DataFrame, first: Callable[[Column], Column]) -> DataFrame:

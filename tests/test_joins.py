@@ -4,18 +4,27 @@ import random
 
 from pyspark.sql import functions as F
 
+from courtlens.functions.numbers import haversine_miles
 from courtlens.operators import filters, joins, score, store
 from courtlens.plans import QUERIES
 
 
-def test_nearest_on_a_grid_is_exact(spark):
+def test_nearest_is_exact_everywhere(spark):
+    """At the poles, over the date line, far from all sites, among ties; against all pairs."""
     rnd = random.Random(3)
-    make = lambda n, name: spark.createDataFrame([(k, rnd.uniform(-70, 70), rnd.choice([rnd.uniform(-179.9, 179.9), 179.95, -179.95])) for k in range(n)] + [(n, None, 1.0)], f"{name} int, lat double, lon double")
-    p, s = make(300, "p"), make(60, "s")
-    plain = {r.p: r.s for r in joins.nearest(p, "p", s, "s").collect()}
-    assert plain == {r.p: r.s for r in joins.nearest(p, "p", s, "s", cell=10.0).collect()}
-    assert len(plain) == 300
-    assert joins.nearest(p, "p", s.limit(0), "s", cell=5.0).count() == 0
+    place = lambda: (rnd.choice([rnd.uniform(-90, 90), 90.0, -90.0, 89.99, -89.99, 40.0]), rnd.choice([rnd.uniform(-180, 180), 179.999, -179.999, 180.0, -180.0, 0.0]))
+    crowd = [(rnd.uniform(39, 41), rnd.uniform(-87, -85)) for _ in range(80)]
+    points = [(k, *place()) for k in range(250)] + [(300, None, 1.0), (301, float("nan"), 0.0)]
+    for spots in ([place() for _ in range(40)] + crowd, crowd, [(90.0, 0.0), (90.0, 120.0), (-90.0, 7.0)]):
+        sites = [(k, *x) for k, x in enumerate(spots)] + [(900, 1.0, None)]
+        p, s = spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(sites, "s int, lat double, lon double")
+        pairs = p.join(s.select("s", F.col("lat").alias("a"), F.col("lon").alias("o"))).withColumn("d", haversine_miles(F.col("lat"), F.col("lon"), F.col("a"), F.col("o"))).where("d is not null and not isnan(d)")
+        want = {r.p: (r.x.s, r.x.d) for r in pairs.groupBy("p").agg(F.min(F.struct("d", "s")).alias("x")).collect()}
+        for cell in (1.0, 15.0):
+            got = joins.nearest(p, "p", s, "s", cell)
+            assert {r.p: (r.s, r.miles) for r in got.collect()} == want and len(want) == 250
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert joins.nearest(p, "p", s.limit(0), "s", cell=20.0).count() == 0
 
 
 def test_merge_fallback_fills_row_by_row(spark):
