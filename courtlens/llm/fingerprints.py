@@ -177,24 +177,33 @@ def fingerprint(cells: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(cells, part), "")))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], bucket_rows: int = BUCKET_ROWS, tie: list[str] | None = None) -> DataFrame:
     """Add ``next_<column>`` of the next row in descending order of the key; behind the last row comes the first.
 
     Rows are dealt to buckets of consecutive keys, whose limits are quantiles, and each bucket also gets the first row
-    of the bucket that follows. Equal keys go by the hash of the columns, by which a key with very many rows is dealt to
-    several buckets; null keys come last.
+    of the bucket that follows. Equal keys go by the hash of the columns ``tie`` (all, if none are named), by which a key
+    with very many rows is dealt to several buckets; null keys come last. Rows that are equal in key and hash, if very
+    many, stand for one row in that order: all but one of them have their own columns next, and they are made again from
+    it in many tasks. There are at most some 2 * MAX_BUCKETS buckets, and a row of fixed size for each is broadcast.
     """
     from pyspark.ml.feature import Bucketizer
 
-    rows = docs.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308))).withColumn("_tie", F.xxhash64(*columns))
+    rows = docs.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308))).withColumn("_tie", F.xxhash64(*(tie or columns)))
     n = docs.count()
-    number, heavy = max(1, min(MAX_BUCKETS, n // bucket_rows)), max(2 * bucket_rows, n // MAX_BUCKETS)
-    # at most MAX_BUCKETS keys have so many rows; keys that are one number as doubles are not split
-    hot = rows.groupBy("_at").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where((F.col("n") > heavy) & F.col("lo").eqNullSafe(F.col("hi")))
-    hot = checkpoint(hot.select("_at", F.ceil(F.col("n") / bucket_rows).alias("_parts")))
+    number, size = max(1, min(MAX_BUCKETS, n // bucket_rows)), max(bucket_rows, n // MAX_BUCKETS)
+    # at most MAX_BUCKETS / 2 keys have so many rows, and as many pairs of key and hash
+    same = checkpoint(rows.groupBy("_at", "_tie").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")))
+    # keys that are one number as doubles are not split
+    split = F.min("lo").eqNullSafe(F.max("hi"))
+    hot = same.groupBy("_at").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("n") > 2 * size) & F.col("lo").eqNullSafe(F.col("hi")), 1).otherwise(F.col("n"))).alias("left"), split.alias("_one")).where((F.col("n") > 2 * size) & F.col("_one"))
+    hot = checkpoint(hot.select("_at", F.ceil(F.col("left") / size).alias("_parts")))
+    many = same.where((F.col("n") > 2 * size) & F.col("lo").eqNullSafe(F.col("hi"))).select("_at", "_tie", F.lit(True).alias("_many"))
     cuts = {*(rows.approxQuantile("_at", [k / number for k in range(1, number)], 1 / (4 * number)) if number > 1 else [])}
     for x in hot.collect():
         cuts |= {x["_at"], math.nextafter(x["_at"], math.inf)}
+    rows = rows.join(F.broadcast(many), ["_at", "_tie"], "left")
+    once = rows.where("_many").groupBy(*docs.columns, "_at", "_tie").agg(F.count("*").alias("_times"))
+    rows = rows.where("_many is null").drop("_many").withColumn("_times", F.lit(1).cast("long")).unionByName(once)
     rows = Bucketizer(splits=[float("-inf"), *(sorted(cuts) or [0.0]), float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(rows)
     share = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * F.col("_parts"))
     rows = rows.join(F.broadcast(hot), "_at", "left").withColumn("_sub", F.coalesce(F.least(share, F.col("_parts") - 1), F.lit(0)))
@@ -208,9 +217,14 @@ def with_next(docs: DataFrame, key: str, columns: list[str], bucket_rows: int =
     to = lambda b, s, guest: F.struct(b.alias("b"), s.alias("s"), F.lit(guest).alias("guest"))
     own = to(F.col("_bucket"), F.col("_sub"), False)
     places = F.when(is_top, F.array(own, to(F.col("to.b"), F.col("to.s"), True))).otherwise(F.array(own))
-    dealt = marked.select(*docs.columns, "_tie", F.explode(places).alias("_to"))
+    dealt = marked.select(*docs.columns, "_tie", "_times", F.explode(places).alias("_to"))
     w = Window.partitionBy("_to.b", "_to.s").orderBy("_to.guest", *order)
-    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not _to.guest").drop("_tie", "_to")
+    out = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("not _to.guest").drop("_to")
+    # the copies of a row that stands for many, in lots that are made in tasks of their own
+    lots = out.where("_times > 1").withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 2) / size))))
+    lots = lots.repartition(*(F.col(c) for c in (key, "_tie", "_lot"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(size), F.col("_times") - 1 - F.col("_lot") * size))))
+    copies = lots.select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in columns))
+    return out.drop("_tie", "_times").unionByName(copies)
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +237,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     near_edited, near_next).
     """
     whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
-    rows = with_next(whole.withColumn("u", units(F.col("t"))), "doc_id", ["t", "u"])
+    rows = with_next(whole.withColumn("u", units(F.col("t"))), "doc_id", ["t", "u"], tie=["t"])
     k = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_t", F.lit(1), k))
     rows = rows.withColumn("n_chars", F.char_length("t").cast("long")).withColumn("edited", edited)

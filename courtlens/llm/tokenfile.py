@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtlens.llm import coder
-from courtlens.llm.common import map_column, shared_dir, ship, slices
+from courtlens.llm.common import column, map_column, shared_dir, ship, slices
 
 #: Ids of a record, characters that a task tokenises at a time, and pieces whose ids a worker remembers.
 RECORD, TEXT, CACHE = 65_536, 10_000_000, 1_200_000
@@ -136,18 +136,15 @@ def _write(path: str, end: int):
 def write(docs: DataFrame, to: str, path: str, end: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of every whole text, each with the id ``end`` behind it, in ascending order of the key.
 
-    ``path``: a byte-level vocabulary of the tokenizers library. Null texts are empty, null keys come first, and equal
-    keys go by the hash of their text. Shards are ranges of keys whose limits are quantiles. An empty table gives no record.
+    ``path``: a vocabulary of the tokenizers library. Null texts are empty, null keys come first, and equal keys go by the
+    hash of their text; very long texts are tokenised whole; repeated rows, whatever their number, are documents of their
+    own. Shards are ranges of key and hash, and of a number for each row, so that no key and no text makes one large. Other
+    columns, whatever their names, are ignored. An empty table gives no record.
     """
-    from pyspark.ml.feature import Bucketizer
-
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("double"), F.lit(-1.7e308)).alias("_at"))
+    rows = docs.select(column(key).cast("long").alias("key"), column(text).alias("text"), F.xxhash64(column(text)).alias("h"), F.monotonically_increasing_id().alias("row"))
     number = max(1, min(MAX_SHARDS, rows.count() // SHARD_ROWS))
-    cuts = sorted(set(rows.approxQuantile("_at", [k / number for k in range(1, number)], 1 / (4 * number)))) if number > 1 else []
-    rows = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_at", outputCol="_shard").transform(rows)
-    rows = rows.select(F.col("_shard").cast("long").alias("shard"), "key", "text")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "key", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(number, "key", "h", "row").sortWithinPartitions("key", "h", "row").select(F.spark_partition_id().cast("long").alias("shard"), "key", "text")
     dealt.mapInArrow(_write(path, end), "shard long, seq long, keys array<bigint>, n_tokens long, data binary").write.parquet(to)
 
 

@@ -62,17 +62,23 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprints.compare_edited(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first().near_next == 1.0
 
 
-def test_next_rows_with_hot_keys(spark):
-    """Keys with very many rows (null too) are dealt to several buckets; the order is that of key and hash all the same."""
+def test_next_rows_with_hot_keys(spark, monkeypatch):
+    """Keys with very many rows (null too) are dealt to several buckets, rows that are equal throughout as well; the order
+    is that of key and hash all the same, and no task holds more than a few times a bucket's rows."""
     rnd = random.Random(8)
     ids = [None] * 70 + [5] * 90 + [rnd.randint(0, 12) for _ in range(60)] + [-3] * 40
-    df = spark.createDataFrame([(k, f"t{n}") for n, k in enumerate(ids)] + [(5, "same")] * 3, "k long, t string").repartition(5)
+    df = spark.createDataFrame([(k, f"t{n}") for n, k in enumerate(ids)] + [(5, "same")] * 90 + [(None, None)] * 50, "k long, t string").repartition(5)
     tie = {r.t: r.h for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
     order = sorted(((r.k, r.t) for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
     want = sorted(map(str, zip(order, [t for _, t in order[1:] + order[:1]])))
     for bucket_rows in (3, 10, 1000):
-        got = fingerprints.with_next(df, "k", ["t"], bucket_rows).collect()
-        assert sorted(str(((r.k, r.t), r.next_t)) for r in got) == want
+        out = fingerprints.with_next(df, "k", ["t"], bucket_rows)
+        assert sorted(str(((r.k, r.t), r.next_t)) for r in out.collect()) == want
+    # how many rows meet in one window; the texts are larger numbers
+    monkeypatch.setattr(fingerprints.F, "lead", lambda c: F.count("*"))
+    large = df.withColumn("t", F.regexp_replace(F.coalesce("t", F.lit("t999")), "same|t", "1000000"))
+    seen = [int(r.next_t) for r in fingerprints.with_next(large, "k", ["t"], 3).collect()]
+    assert len(seen) == len(order) and 3 <= max(n for n in seen if n < 1_000_000) <= 30
 
 
 def test_larger_sketches_after_failure(spark):
@@ -290,6 +296,16 @@ def test_token_file(spark, docs, rows):
         start += len(ids)
     got = sorted(((str(r.key), r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.digests(spark, to).collect()), key=lambda x: x[1])
     assert got == want
+    # a key, or a text under one key, with very many rows is several shards all the same
+    many = spark.createDataFrame([(None, "x")] * 300 + [(4, None)] * 300 + [(5, "y")], "doc_id long, text string").repartition(3)
+    hot = tokenfile.scratch(spark)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenfile, "SHARD_ROWS", 20)
+        tokenfile.write(many, hot, BYTE)
+    sizes = [r["count"] for r in spark.read.parquet(hot).select("shard", F.explode("keys")).groupBy("shard").count().collect()]
+    assert sum(sizes) == 601 and max(sizes) <= 80
+    told = sorted((r.start, r.key, r.n_tokens) for r in tokenfile.digests(spark, hot).collect())
+    assert [x[1:] for x in told] == [(None, 2)] * 300 + [(4, 1)] * 300 + [(5, 2)] and told[300][0] == 600
     empty = tokenfile.scratch(spark)
     tokenfile.write(docs.limit(0), empty, BYTE)
     assert tokenfile.digests(spark, empty).count() == 0
