@@ -230,20 +230,57 @@ ORACLE_SQL["opportunity_score"] = f"""
 
 
 def program_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as schools, with the projected count of their nation's pivot row and the score that follows from it."""
-    p = team_pivot(spark, sf_dir).select("team", "conference", "offense_type", "projected_setter_count", "rank")
-    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = s.join(p, F.col("n_name") == F.col("team"), "left")
-    return rows.select("s_suppkey", "conference", "offense_type", "rank", score.opportunity_by_count("S", rows, F.lit(2.5)).alias("vb_opp_score"))
+    """Suppliers as schools, most of them an alias of their nation's team: what its pivot row tells, the opportunity that
+    follows from the projected count, and the coaches of the team and the school, merged."""
+    k, named = F.col("s_suppkey"), read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").join(named, F.col("s_nationkey") == F.col("n_nationkey"))
+    pivot = team_pivot(spark, sf_dir).select("team", "conference", "offense_type", "rank", "record", "projected_setter_count")
+    pivot = pivot.withColumn("politics_label", F.when(F.length("team") % 2 == 0, F.lit("Quite Conservative here")))
+    schools = s.select(
+        "s_suppkey", F.col("s_name").alias("name"), F.lit("own").alias("conference"), F.lit("?").alias("offense_type"), F.when(k % 3 == 0, 7.0).alias("rpi_rank"), F.lit("1-1").alias("record"),
+        F.when(k % 4 == 0, 2.9).alias("vb_opp_score"), F.when(k % 7 == 0, F.lit("mine")).alias("politics_label"),
+    )
+    aliases = s.where(k % 5 != 0).select(F.lower("s_name").alias("alias"), F.col("n_name").alias("canonical"), k.alias("ordinal"))
+    person = lambda team, source, ordinal, name, title, email, phone: (team.alias("team"), F.lit(source).alias("source"), F.lit(ordinal).alias("ordinal"), name.alias("name"), F.lit(title).alias("title"), F.lit(email).alias("email"), F.lit(phone).alias("phone"))
+    jo = F.concat(F.lit("Jo "), "n_name")
+    contacts = named.select(*person(F.col("n_name"), 1, 1, jo, "head coach", "jo@u.edu", "")).unionByName(s.select(*person(F.col("s_name"), 2, 1, F.upper(jo), "Head", "", "317.555.0100")))
+    contacts = contacts.unionByName(s.where(k % 2 == 0).select(*person(F.col("s_name"), 2, 2, F.lit("Al"), "Trainer", "", "")))
+    out = score.enrich_schools(schools, "name", pivot, aliases, contacts, "S")
+    told = F.array_join(F.transform("coaches", lambda c: F.concat_ws("|", c["name"], c["title"], c["email"], c["phone"])), ";")
+    return out.select("s_suppkey", "conference", "offense_type", "rpi_rank", "record", "vb_opp_score", "politics_label", told.alias("coaches"))
 
 
 QUERIES["program_enrich"] = program_enrich
 ORACLE_SQL["program_enrich"] = f"""
-    with pivot_ as ({_pivot_sql()})
-    select s_suppkey, conference, offense_type, rank,
-        case when projected_setter_count is null then 2.5 else greatest(2.0, least(3.0, case when projected_setter_count <= 1 then 3.0::double when projected_setter_count <= 2 then 2.7::double
-            when projected_setter_count <= 3 then 2.3::double else 2.0::double end - case when offense_type = '6-2' and projected_setter_count >= 2 then 0.2::double else 0 end)) end::double as vb_opp_score
-    from supplier join nation on s_nationkey = n_nationkey left join pivot_ on team = n_name
+    with pivot_ as ({_pivot_sql()}),
+    s as (select s_suppkey as k, n_name, p.*, s_suppkey % 5 <> 0 and p.team is not null as known, case when s_suppkey % 4 = 0 then 2.9::double else 2.5::double end as have
+        from supplier join nation on s_nationkey = n_nationkey left join pivot_ p on team = n_name)
+    select k as s_suppkey, case when known then conference else 'own' end as conference, case when known then offense_type else '?' end as offense_type,
+        case when known then cast(rank as double) when k % 3 = 0 then 7.0::double end as rpi_rank, case when known then coalesce(record, 'N/A') else '1-1' end as record,
+        case when not known then case when k % 4 = 0 then 2.9::double end when projected_setter_count is null then have
+            else greatest(2.0, least(3.0, case when projected_setter_count <= 1 then 3.0::double when projected_setter_count <= 2 then 2.7::double
+                when projected_setter_count <= 3 then 2.3::double else 2.0::double end - case when offense_type = '6-2' and projected_setter_count >= 2 then 0.2::double else 0 end)) end::double as vb_opp_score,
+        case when k % 7 = 0 then 'mine' when known and length(n_name) % 2 = 0 then 'Conservative' when known then '' end as politics_label,
+        case when known then 'Jo ' || n_name || '|Head Coach|jo@u.edu|(317) 555-0100' || case when k % 2 = 0 then ';Al|Trainer||' else '' end else '' end as coaches
+    from s
+"""
+
+
+def transfer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of transfers made of whole turns of conversations, with the header that the last user turn gives."""
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    head, moves = F.regexp_replace("text", "[^A-Za-z ]", ""), F.when(F.col("turn") % 4 == 1, " - OH transfer (Club - x)").otherwise(" - MB (Club)")
+    line = F.when(F.col("role") == "user", F.concat(F.lit("Conf "), head, F.lit(":"))).otherwise(F.concat(F.lit("Lee, P 12 - "), head, moves))
+    rows = incoming.parse_transfers(c.where("turn > 0").select("conv_id", "turn", line.alias("line")), ["conv_id"], "turn", "line")
+    return rows.select("conv_id", "turn", "conference", "name", "school", "position", "is_transfer")
+
+
+QUERIES["transfer_lines"] = transfer_lines
+ORACLE_SQL["transfer_lines"] = """
+    with h as (select conv_id, turn, role, regexp_replace(text, '[^A-Za-z ]', '', 'g') as head from conversations where turn > 0),
+    c as (select *, last_value(case when role = 'user' then trim('Conf ' || head) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as conference from h)
+    select conv_id, turn, coalesce(conference, '') as conference, 'P Lee' as name, trim(head) as school, case when turn % 4 = 1 then 'OH transfer' else 'MB' end as position, turn % 4 = 1 as is_transfer
+    from c where role <> 'user'
 """
 
 

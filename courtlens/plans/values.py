@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from courtlens.functions import classify, dates, numbers, text, validity
 from courtlens.operators import incoming
+from courtlens.operators.columns import base_name, season_row, side_tables
+from courtlens.operators.extract import by_year
 from courtlens.plans.binding import Query, cycle_sql, half_even_sql, literal_query
 from courtlens.sources.files import read_table
 
@@ -266,6 +268,46 @@ ORACLE_SQL["display_columns"] = f"""
 """
 
 
+def season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders a year as nested rows and as a map: those of one season, else of the first; and of a given year."""
+    o = read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey", F.year("o_orderdate").alias("season")).agg(F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct("season", "n"))).alias("stats")
+    nested = o.groupBy("o_custkey").agg(rows, F.map_from_entries(F.collect_list(F.struct(F.col("season").cast("string"), "n"))).alias("years"))
+    c = read_table(spark, sf_dir, "customer", "c_custkey").join(nested, F.col("c_custkey") == F.col("o_custkey"), "left")
+    row = season_row(F.col("stats"), 1996)
+    return c.select("c_custkey", row["season"].alias("season"), row["n"].alias("n"), by_year(F.col("years"), "1995").alias("of_1995"))
+
+
+QUERIES["season_rows"] = season_rows
+ORACLE_SQL["season_rows"] = """
+    with o as (select o_custkey, year(o_orderdate) as y, count(*) as n from orders group by 1, 2),
+    p as (select *, row_number() over (partition by o_custkey order by y <> 1996, y) as k from o)
+    select c_custkey, cast(p.y as integer) as season, p.n, q.n as of_1995 from customer left join p on p.o_custkey = c_custkey and k = 1 left join o q on q.o_custkey = c_custkey and q.y = 1995
+"""
+
+
+def side_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side tables of suppliers (logo, airport, first alias), one after the other."""
+    k = F.col("s_suppkey")
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name").withColumn("key", k.cast("string"))
+    path = F.when(k % 3 != 0, F.concat(F.lit("/a/b/"), "s_name", F.lit(".png"))).when(k % 2 == 0, " ")
+    airport = F.struct(F.when(k % 4 == 0, F.lit("IND")).alias("code"), F.when(k % 5 == 0, F.lit("Far")).otherwise("").alias("name"))
+    first = F.get(F.when(k % 2 == 0, F.array(F.lower("s_name"), F.lit("x"))), 0)
+    made = side_tables(s, "key", {"logo": base_name(path), "airport": airport, "alias": first})
+    text_of = {"logo": F.col("logo"), "airport": F.concat_ws("/", "airport.code", "airport.name"), "alias": F.col("alias")}
+    parts = [df.select("key", F.lit(name).alias("field"), text_of[name].alias("value")) for name, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES["side_rows"] = side_rows
+ORACLE_SQL["side_rows"] = """
+    with s as (select s_suppkey as k, cast(s_suppkey as varchar) as key, s_name from supplier)
+    select key, 'logo' as field, s_name || '.png' as value from s where k % 3 <> 0
+    union all select key, 'airport', case when k % 4 = 0 then 'IND/' else '' end || case when k % 5 = 0 then 'Far' else '' end from s where k % 4 = 0 or k % 5 = 0
+    union all select key, 'alias', lower(s_name) from s where k % 2 = 0
+"""
+
+
 def map_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtlens.operators.columns import map_position
 
