@@ -134,13 +134,19 @@ def encode(docs: DataFrame, path: str, pattern: str, key: Column | str = "doc_id
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_key, data): the bytes of (doc_key, ids)."""
+    """(doc_key, data): the bytes of (doc_key, ids), row by row: null keys and repeated rows are rows like others, no ids
+    (b"") decode to no bytes, any number of ids is decoded whole; an empty table gives an empty table, and other columns,
+    whatever their names, are ignored."""
     make = lambda rows: [[decode_ids(np.frombuffer(x, "<u4"), path, pattern) for x in rows]]
     return map_column(encoded.select("doc_key", "ids"), "ids", "data binary", make, 8_000_000)
 
 
 def digests(encoded: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids; with ``keep_ids`` also ids."""
+    """(doc_key, n_tokens, ids_sha256, decoded_sha256) of (doc_key, ids), decoding the ids; with ``keep_ids`` also ids.
+
+    Row by row: null keys and repeated rows are rows like others, no ids (b"") have the digests of nothing, any number of
+    ids is one row's; an empty table gives an empty table, and other columns, whatever their names, are ignored.
+    """
 
     def make(rows: list[bytes]) -> list:
         out: list[list] = [[], [], []]

@@ -34,7 +34,8 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ``nodes``: tree, node, parent, score. Ancestor pointers double in iterative self-joins (1, 2, 4, ... replies up)
     and sum the scores, so a tree of depth d takes log2(d) joins. Leaves rank by their path's score, then by length,
     longer first, then by the smaller id. A parent that is missing from its tree makes a root; nodes whose ancestors
-    form a circle reach no root and have no path; null scores count 0.
+    form a circle reach no root and have no path; null scores count 0; in a null tree each node is a root. An empty table gives
+    an empty table; other columns are ignored.
     """
     small = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = small.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))

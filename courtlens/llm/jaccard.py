@@ -249,8 +249,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row of each class of near-duplicates, the one with the least key (null only if all are); rows without words all stay, unless they
-    repeat a row's key and text."""
+    """One row of each class of near-duplicates, the one with the least key (null only if all are); rows without words
+    (null, empty) all stay, unless they repeat a row's key and text. Texts of any length count whole; an empty table gives
+    an empty table; other columns, whatever their names, pass unchanged."""
     found = join(docs, key, text, threshold).withColumnRenamed(key, "_key")
     best = found.where("not empty").groupBy("component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "row")).alias("x")).select(F.col("x.row").alias("_row"))
     kept = best.unionByName(found.where("empty").select(F.col("row").alias("_row"))).distinct()

@@ -57,7 +57,9 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stats): the statistics of every whole text."""
+    """(key, stats): the statistics of every whole text, very long ones too; a null text is an empty one, a null key a key
+    like others. Repeated rows are rows each; an empty table gives an empty table; other columns, whatever their names,
+    are ignored."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return map_column(rows, "text", "stats array<float>", lambda texts: [[statistics(x) for x in texts]])
 
@@ -125,7 +127,8 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, r
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Fit on (key, stats) joined with (key, label). At most ``sample`` labelled rows, those with the least key hashes.
 
-    Null labels and keys teach nothing; a key with several labels counts with their mean, rounded.
+    Null labels and keys teach nothing; a key with several labels counts with their mean, rounded; repeated rows of stats
+    count each. Without a labelled row the forest scores all alike. Other columns are ignored.
     """
     one = labels.where("key is not null and label is not null").groupBy("key").agg(F.round(F.avg("label")).cast("int").alias("label"))
     rows = (
@@ -144,6 +147,10 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(key, score) of every row of ``docs``; ``labels``: (key, label). Statistics are computed once and written."""
+    """(key, score) of every row of ``docs``; ``labels``: (key, label). Statistics are computed once and written.
+
+    Null and empty texts have statistics and so a score; texts of any length are read whole; repeated rows and null keys
+    are scored row by row; an empty table gives an empty table; other columns, whatever their names, are ignored.
+    """
     stats = checkpoint(features(docs, key, text))
     return score(stats, fit(stats, labels, sample))

@@ -2,11 +2,15 @@
 
 Reference blocks are chosen by content: each window of 35 words picks the 8-gram in it with the least hash, its anchor,
 and the windows in a row that pick the same anchor occurrence form one block. Every block of every document is indexed by
-its anchor, in a table that Spark deals by anchor, with the places of its first and last occurrence as references. A
-document is parsed greedily: a factor begins at the first block that the index has from elsewhere, and grows as long as
-the next block goes on at the same reference; then the next factor begins. Where occurrences of an anchor agree in the
-anchor but not in the whole block - at the boundaries of factors - the windows are checked one by one. Blocks and windows
-are equal if 128-bit digests of their words are; hashes of words only choose anchors.
+its anchor, in a table that Spark deals by anchor. What repeats is decided by that index: of blocks that share an anchor,
+those with equal digests repeat whole, and where they differ, which is at the boundaries of factors, the windows are
+checked one by one. Blocks and windows are equal if 128-bit digests of their words are; hashes only choose anchors.
+
+The greedy parse then puts a document's repeated blocks and windows together to factors, each with a reference, and the
+factors are the spans that go. It describes what goes and can't change it: the union of the parts is the same however
+they are chained. A parse that extends each factor against every indexed reference finds the same words, as a word goes
+exactly if it lies in a window that stands elsewhere too; it would compare a common passage with all its places, where
+equal digests meet once.
 """
 
 from __future__ import annotations

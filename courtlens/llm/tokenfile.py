@@ -173,7 +173,9 @@ def read_ids(records: DataFrame, fields: str, make) -> DataFrame:
 def digests(spark: SparkSession, at: str) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of the documents in a token file, from the ids that are read back.
 
-    Starts add up in two steps: the shards' sums (a row a shard) and the records' within their shard.
+    Starts add up in two steps: the shards' sums (a row a shard) and the records' within their shard. Null keys come
+    first, repeated documents are rows each, an empty text is its end id alone, a long one a record by itself; a file
+    without records gives an empty table. The file has no other columns.
     """
     records = spark.read.parquet(at)
 

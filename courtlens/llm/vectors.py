@@ -17,6 +17,8 @@ from courtlens.llm.components import components
 
 #: Vectors of a block that a task holds at once, and the most pivots (with their radii they bound what is broadcast).
 BLOCK, MAX_PIVOTS = 4_096, 1_024
+#: The most tasks that blocks are dealt to.
+MAX_TASKS = 20_000
 #: Vectors that are compared with all pivots at once.
 ROWS = 2_048
 #: Between cosines this near to the threshold the single-precision product doesn't decide.
@@ -133,7 +135,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         for x in cells.collect():
             parts[x["cell"]], near[x["cell"]], far[x["cell"]] = -(-x["n"] // block), x["near"], x["far"]
         radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        spread = max(2, int(parts.sum()))
+        # several blocks a task where there are very many
+        spread = max(2, min(MAX_TASKS, int(parts.sum())))
         dealt = (
             one.select("uid", "n", "v").mapInPandas(_deal(pivots, width, parts, near, far, radius, kind), "block long, guest boolean, uid long, n long, unit binary")
             .repartition(spread, "block").sortWithinPartitions("block", "guest", "uid")

@@ -205,6 +205,8 @@ def test_quality(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "key long, label int")
     out = quality.classify(odd, labels)
     assert out.count() == odd.count() and all(0 <= r.score <= 1 for r in out.collect())
+    clash = odd.withColumns({c: F.lit("x") for c in ("key", "stats", "label", "score", "h", "a.b")})
+    assert sorted(map(tuple, quality.classify(clash, labels).collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
     assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5} and quality.classify(odd.limit(0), labels).count() == 0
 
 
