@@ -9,7 +9,7 @@ from courtlens.functions import classify, dates, numbers, text, validity
 from courtlens.operators import incoming
 from courtlens.operators.columns import base_name, season_row, side_tables
 from courtlens.operators.extract import by_year
-from courtlens.plans.binding import Query, cycle_sql, half_even_sql, literal_query
+from courtlens.plans.binding import Query, cycle_sql, half_even_sql, literal_query, sql_literal
 from courtlens.sources.files import read_table
 
 QUERIES: dict[str, Query] = {}
@@ -220,6 +220,48 @@ ORACLE_SQL["numbers_in_text"] = rf"""
 """
 
 
+def classes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and position rules over whole texts of documents."""
+    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return df.select(
+        "doc_id", classify.class_year("text").alias("class"), classify.class_next("text").alias("next"), classify.graduating("text").alias("graduating"), classify.looks_graduating("text").alias("looks"),
+        F.md5(F.array_join(classify.position_keys("text"), ",")).alias("position_keys"),
+    )
+
+
+QUERIES["classes_in_text"] = classes_in_text
+_CLASS_CASES = " ".join(f"when regexp_matches(s, '{rule}') then '{code}'" for code, rule in classify.CLASS_STEPS)
+_KEY_CASES = " ".join(f"when t in ({', '.join(map(sql_literal, words))}) then '{code}'" for code, words in classify.POSITION_KEYS.items())
+_NEXT_CASES = " ".join(f"when '{a}' then '{b}'" for a, b in classify.NEXT.items())
+ORACLE_SQL["classes_in_text"] = rf"""
+    with d as (select doc_id, coalesce(text, '') as t, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g'))), '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')) as s from documents),
+    b as (select *, case {_CLASS_CASES} else '' end as base, regexp_matches(s, 'redshirt|^r[ -]') as red from d),
+    c as (select *, case when s in {classify.FIRST_YEAR} then 'Fr' when s in {classify.REDSHIRT_FIRST_YEAR} then 'R-Fr' when red and base in ('Fr', 'So', 'Jr', 'Sr') then 'R-' || base else base end as class from b),
+    k as (select doc_id, list_sort(list(distinct case {_KEY_CASES} else t end)) as keys from (select doc_id, unnest(list_filter(string_split(regexp_replace(lower(t), '[^a-zA-Z]+', ' ', 'g'), ' '), lambda x: x <> '')) as t from d) group by doc_id)
+    select doc_id, class, case class {_NEXT_CASES} else '' end as next, class in {classify.GRADUATING} as graduating,
+        regexp_matches(lower(trim(t)), '^gr|sr|senior|grad|gr\.|gr |gs') as looks, md5(coalesce(array_to_string(keys, ','), '')) as position_keys
+    from c left join k using (doc_id)
+"""
+
+
+def heights_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of numbers with a dash between in documents, as a height, in inches, and as those are shown."""
+    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    pairs = df.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]+ ?- ?[0-9]+)"), F.lit(1))).alias("pos", "raw"))
+    high = classify.height("raw")
+    return pairs.select("doc_id", "pos", "raw", high.alias("height"), classify.height_inches(high).alias("inches"), classify.inches_height(classify.height_inches(high)).alias("shown"))
+
+
+QUERIES["heights_in_text"] = heights_in_text
+ORACLE_SQL["heights_in_text"] = """
+    with p as (select doc_id, unnest(m) as raw, generate_subscripts(m, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '([0-9]+ ?- ?[0-9]+)', 1) as m from documents)),
+    n as (select *, try_cast(regexp_extract(raw, '^([0-9]+)', 1) as integer) as f, try_cast(regexp_extract(raw, '([0-9]+)$', 1) as integer) as i from p),
+    h as (select *, coalesce(f between 4 and 7 and i between 0 and 11, false) as fits from n)
+    select doc_id, cast(pos as integer) as pos, raw, case when fits then f || '-' || i else '' end as height, case when fits then f * 12 + i end as inches,
+        case when fits then f || chr(39) || ' ' || i || '"' else '' end as shown from h
+"""
+
+
 def season_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
     year = dates.season_year(F.col("o_orderdate"))
