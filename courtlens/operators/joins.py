@@ -128,14 +128,15 @@ def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame,
     """
     have = "override" in entities.columns
     e = entities.select(F.col(entity).alias("e"), names, (F.col("override") if have else F.lit(None)).alias("o"))
-    cand = e.select("e", F.posexplode(names).alias("c", "n")).withColumn("n", scorecard_key("n")).where("n <> ''")
-    r = rows.select(F.col(row).alias("r"), scorecard_key(name).alias("m")).where("m <> ''")
+    # keys are made once, as each step below goes through them again
+    cand = checkpoint(e.select("e", F.posexplode(names).alias("c", "n")).withColumn("n", scorecard_key("n")).where("n <> ''"))
+    r = checkpoint(rows.select(F.col(row).alias("r"), scorecard_key(name).alias("m")).where("m <> ''"))
     given = e.join(rows.select(F.col(row).alias("r")), F.col("o") == F.col("r")).select("e", "r", F.lit(1.0).alias("score"), F.lit("override").alias("confidence"))
     left = cand.join(given.select("e"), "e", "left_anti")
     hits = left.join(r, F.col("n") == F.col("m")).groupBy("e").agg(F.min(F.struct("c", "r")).alias("x"))
     exact = hits.select("e", F.col("x.r").alias("r"), F.lit(1.0).alias("score"), F.lit("high").alias("confidence"))
     tokens = lambda c: F.array_distinct(words(F.col(c)))
-    a = left.join(exact.select("e"), "e", "left_anti").select("e", "c", tokens("n").alias("ta"))
+    a = checkpoint(left.join(exact.select("e"), "e", "left_anti").select("e", "c", tokens("n").alias("ta")))
     b = r.select("r", tokens("m").alias("tb"))
     known = a.select(F.explode("ta").alias("w")).unionByName(b.select(F.explode("tb").alias("w"))).groupBy("w").agg(F.count("*").alias("times"))
     first = lambda n: n - F.ceil(LOW * n - 1e-9) + 1
@@ -159,8 +160,8 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
     meet by pairs of letters: those that reach the threshold differ in so few edits that some of each key's pairs, the
     rarest but for those that the edits can spoil, are left in common. Keys too short for that meet by their lengths.
     """
-    e = entities.select(F.col(entity).alias("e")).distinct().withColumn("k", index_key("e"))
-    r = rows.select(F.col(row).alias("r")).distinct().withColumn("m", index_key("r"))
+    e = checkpoint(entities.select(F.col(entity).alias("e")).distinct().withColumn("k", index_key("e")))
+    r = checkpoint(rows.select(F.col(row).alias("r")).distinct().withColumn("m", index_key("r")))
     exact = e.join(r, F.col("k") == F.col("m")).groupBy("e").agg(F.min("r").alias("r")).withColumns({"match_type": F.lit("exact"), "score": F.lit(1.0)})
     rest = e.join(exact.select("e"), "e", "left_anti").where("k <> ''")
     n, m = F.length("k"), F.length("m")
