@@ -79,21 +79,26 @@ def tiered_lookup(terms: DataFrame, term: str, targets: DataFrame, target: str)
     """(term, tier, matches, found, status): exact names first, else names that contain the term without case.
 
     status: ok for one match, none or several otherwise. Each term is answered from the best tier that matches. Terms
-    meet the names that have their rarest three letters in a row; only shorter terms are compared with all names.
+    meet the names that have their rarest three letters in a row, shorter ones those that have them in a row. The empty
+    term is in every name.
     """
     t = terms.select(F.col(term).alias("term")).distinct()
     names = targets.select(F.col(target).alias("found")).distinct()
     exact = t.join(names, F.col("term") == F.col("found")).withColumn("tier", F.lit(1))
     rest = t.join(exact.select("term"), "term", "left_anti")
-    threes = lambda c: F.when(F.length(c) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.lower(c), i, F.lit(3)))))
-    grams = names.select("found", F.explode(threes("found")).alias("w"))
+    size = F.length(F.lower("term"))
+    pieces = lambda c, n: F.when(F.length(F.lower(c)) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(F.lower(c)) - (n - 1)), lambda i: F.substring(F.lower(c), i, F.lit(n)))))
+    grams = names.select("found", F.explode(pieces("found", 3)).alias("w"))
     times = grams.groupBy("w").agg(F.count("*").alias("n"))
-    asked = rest.select("term", F.explode(threes("term")).alias("w")).join(times, "w", "left")
+    asked = rest.select("term", F.explode(pieces("term", 3)).alias("w")).join(times, "w", "left")
     asked = asked.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("x")).select("term", "x.w")
     holds = F.contains(F.lower("found"), F.lower("term"))
     loose = asked.join(grams, "w").where(holds).select("term", "found")
-    loose = loose.unionByName(rest.where(F.length("term") < 3).join(names, holds)).withColumn("tier", F.lit(2))
+    short = [rest.where(size == n).join(names.select("found", F.explode(pieces("found", n)).alias("w")), F.lower("term") == F.col("w")).select("term", "found") for n in (1, 2)]
+    loose = loose.unionByName(short[0]).unionByName(short[1]).withColumn("tier", F.lit(2))
     hits = exact.unionByName(loose).groupBy("term", "tier").agg(F.count("*").alias("matches"), F.min("found").alias("found"))
+    every = names.where("found is not null").agg(F.count("*").alias("matches"), F.min("found").alias("found")).where("matches > 0")
+    hits = hits.unionByName(rest.where(size == 0).join(every).select("term", F.lit(2).alias("tier"), "matches", "found"))
     out = t.join(hits, "term", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     status = F.when(F.col("matches") == 1, "ok").when(F.col("matches") == 0, "none").otherwise("several")
     return out.select("term", "tier", "matches", F.when(F.col("matches") == 1, F.col("found")).alias("found"), status.alias("status"))

@@ -85,3 +85,17 @@ def test_plans_stay_native(spark):
     for name in ("team_pivot", "dq_issues", "first_seen_dedup"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_lookup_of_short_and_long_terms(spark):
+    names = ["Ohio State", "Ohio", "oh", "Iowa", "A", "San José", "io", None]
+    terms = ["Ohio", "OHIO", "io", "IO", "a", "", "sé", "é", "zz", "q", "wa", "hio s", "o", None]
+    n, t = spark.createDataFrame([(x,) for x in [*names, "Iowa"]], "n string"), spark.createDataFrame([(x,) for x in [*terms, "a"]], "t string")
+    known = {x for x in names if x is not None}
+    df = filters.tiered_lookup(t, "t", n, "n")
+    got = {r.term: (r.tier, r.matches, r.found, r.status) for r in df.collect()}
+    assert set(got) == set(terms) and got[None][1] == 0
+    for x in (x for x in terms if x is not None):
+        exact, loose = {y for y in known if y == x}, {y for y in known if x.lower() in y.lower()}
+        hits = exact or loose
+        assert got[x] == (None if not hits else 1 if exact else 2, len(hits), min(hits) if len(hits) == 1 else None, {0: "none", 1: "ok"}.get(len(hits), "several")), x
