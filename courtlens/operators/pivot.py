@@ -11,6 +11,7 @@ from courtlens.functions.text import alias_key, player_name
 from courtlens.operators.aggregates import ordered_list
 from courtlens.operators.columns import pack_wide
 from courtlens.operators.joins import last_by
+from courtlens.operators.lineage import checkpoint
 
 #: Assists from which a returning player counts as a setter too, and a setter as one of the offense's (fixed values).
 BONUS, OFFENSE = 150, 350
@@ -58,6 +59,8 @@ def team_pivot(roster: DataFrame, incoming: DataFrame, transfers: DataFrame, fac
     ``facts``: team_key, roster_url, stats_url, rank, record, coaches (array of structs). One shuffle by team carries
     the roster; the other sides are aggregated to a row a team first.
     """
+    # both are gone through more than once
+    roster, transfers = checkpoint(roster), checkpoint(transfers)
     rows = roster_flags(roster, transfers)
     who = {"setter": F.col("is_setter"), "pin": F.col("is_pin"), "middle": F.col("is_middle"), "def": F.col("is_def")}
     aggs: list[Column] = []
