@@ -1,9 +1,11 @@
 """Jobs over page fragments."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from courtlens.operators import extract, incoming, quality
 from courtlens.operators.page_tables import table_rows
+from courtlens.plans import ORACLE_SQL, QUERIES
 
 PAGE = """<html><head><title>T</title><meta content="About us" name="description"></head><body>
 <table><tr><th>X</th></tr><tr><td>1</td></tr></table>
@@ -85,3 +87,15 @@ def test_log(spark):
     lines = ["Analyzing team: A", "ERROR 1", "Analyzing team: B", "WARNING", "Could not x"]
     df = spark.createDataFrame([("f", k, s) for k, s in enumerate(lines)], "source string, pos int, line string")
     assert tuple(quality.log_scan(df).first()) == (2, 1, 2, 2)
+
+
+def test_references_that_were_cut_off_stay_in_fields(spark, tmp_path):
+    """As the SQL of the page queries has it; the operators themselves read them as browsers do."""
+    cut = "<title>A &amp; b&amp</title><h1>c &am</h1><p>&copy 1 &#38 &lt;i&gt; &amp;lt; &amp;&amp</p><a href='/x'>q &amp</a>"
+    spark.createDataFrame([(1, "http://h/", cut)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_fields", "page_paragraphs", "page_links"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+        assert [tuple(r) for r in got.select(*want.columns).collect()] == want.fetchall()
+    assert spark.range(1).select(extract.inner(F.lit(cut), "title").alias("t")).first().t == "A & b&"
