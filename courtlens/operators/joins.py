@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,53 +59,66 @@ def two_step(left: DataFrame, key: str, fallback: str, dim: DataFrame, dim_key:
     return out.withColumn(value, F.coalesce("_v1", "_v2")[value]).drop("_k1", "_k2", "_v1", "_v2")
 
 
-#: Finer cells of a coarse one, along each axis.
-FINER = 8
+#: Sites that a point may be compared with one by one, and the width from which cubes are split no more.
+MOST_SITES, LEAST_WIDTH = 100, 2.0**-20
 
 
 def nearest(points: DataFrame, point: str, sites: DataFrame, site: str, cell: float = 1.0) -> DataFrame:
     """(point, site, miles) of the nearest site to each point; of equals the one with the least id.
 
-    Both frames have lat and lon; rows without either, or with one that is no number, are left out. Points and sites are
-    three numbers on the unit sphere, which has neither poles nor a date line, and meet on a grid of cubes, at first about
-    ``cell`` degrees wide: a site outside a point's own and the neighbouring cubes is a cube's width away, so what is found
-    nearer than that is final. Points that are left go on with cubes four times as wide, written out so that no round is
-    computed twice. Wide cubes may hold many sites: there a point looks at boxes around the sites of finer cubes first,
-    and only into those that can hold the nearest. At last the cubes are as wide as the sphere.
+    Both frames have lat and lon; rows without either, or with one that is no number, are left out. Equal places are
+    looked up once. Places are three numbers on the unit sphere, which has neither poles nor a date line, and stand in
+    cubes. A cube of points meets boxes around the sites of equally wide cubes and keeps those that can hold the nearest
+    site of any of its points; what is kept is split, points and sites alike, into cubes a quarter as wide, until a cube's
+    boxes hold at most MOST_SITES sites in all. So dense places are split far and empty ones hardly, and no group of
+    sites meets all points. ``cell`` is kept for callers: the widths follow from the tables.
     """
-    sphere = lambda: {"_x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "_y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "_z": F.sin(F.radians("lat"))}
     axes, known = ("_x", "_y", "_z"), "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
-    p = points.where(known).select(F.col(point).alias("_p"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), *[v.alias(k) for k, v in sphere().items()])
-    s = checkpoint(sites.where(known).select(F.col(site).alias("_s"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), *[v.alias(k) for k, v in sphere().items()]))
-    miles, radius = haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon")), 6371.0 * 0.621371
-    cube = lambda width, shift=(0, 0, 0): F.struct(*[(F.floor((F.col(c) + 1.0) / width) + d).alias(c) for c, d in zip(axes, shift)])
-    around = lambda width: F.explode(F.array(*[cube(width, d) for d in product((-1, 0, 1), repeat=3)]))
-
-    def pairs(p: DataFrame, width: float, first: bool) -> DataFrame:
-        if first:
-            return p.withColumn("_c", cube(width)).join(s.select("_s", "_slat", "_slon", around(width).alias("_c")), "_c")
-        own = s.withColumn("_f", cube(width / FINER))
-        boxes = own.groupBy("_f").agg(*[f(c).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))])
-        # a finer cube lies in one wide one
-        boxes = boxes.withColumns({c: F.col(f"lo{c}") for c in axes}).select("_f", *[f"{n}{c}" for c in axes for n in ("lo", "hi")], around(width).alias("_c"))
-        near = reduce(lambda x, y: x + y, (F.pow(F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(c), F.col(c) - F.col(f"hi{c}")), F.lit(2)) for c in axes))
-        far = reduce(lambda x, y: x + y, (F.pow(F.greatest(F.abs(F.col(c) - F.col(f"lo{c}")), F.abs(F.col(f"hi{c}") - F.col(c))), F.lit(2)) for c in axes))
-        met = p.withColumn("_c", cube(width)).join(boxes, "_c").select("_p", "_plat", "_plon", "_f", near.alias("_near"), far.alias("_far"))
-        seen = met.groupBy("_p", "_plat", "_plon").agg(F.collect_list(F.struct("_near", "_f")).alias("_b"), F.min("_far").alias("_most"))
-        few = seen.select("_p", "_plat", "_plon", F.explode(F.filter("_b", lambda b: b["_near"] <= F.col("_most") + 1e-9)).alias("_b"))
-        return few.select("_p", "_plat", "_plon", F.col("_b._f").alias("_f")).join(own.select("_s", "_slat", "_slon", "_f"), "_f")
-
-    width, out, first = 2 * math.sin(math.radians(cell) / 2), None, True
+
+    def on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        x, y = F.radians(lat), F.radians(lon)
+        return checkpoint(df.withColumns({"_x": F.cos(x) * F.cos(y), "_y": F.cos(x) * F.sin(y), "_z": F.sin(x)}))
+
+    placed = points.where(known).select(F.col(point).alias("_p"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
+    p = on_sphere(placed.select("_plat", "_plon").distinct(), "_plat", "_plon")
+    stand = sites.where(known).groupBy(F.col("lat").alias("_slat"), F.col("lon").alias("_slon")).agg(F.min(F.struct(F.col(site).alias("_s"))).alias("_b"))
+    s = on_sphere(stand.select("_slat", "_slon", "_b._s"), "_slat", "_slon")
+    miles = haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon"))
+    cube = lambda width: F.struct(*[F.floor((F.col(c) + 1.0) / width).alias(c) for c in axes])
+    total = lambda squares: reduce(lambda x, y: x + y, squares)
+    sure = 1e-12  # more than rounding changes in a squared distance
+
+    def cubes(df: DataFrame, width: float, t: str) -> DataFrame:
+        edges = [f(c).alias(f"{t}{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
+        found = df.groupBy(cube(width).alias(t)).agg(F.count("*").alias(f"{t}n"), *edges)
+        return found.withColumn(f"{t}up", F.struct(*[F.shiftright(F.col(t)[c], 2).alias(c) for c in axes]))
+
+    edge = lambda t, n, c: F.col(f"{t}{n}{c}")
+    near = total([F.pow(F.greatest(F.lit(0.0), edge("b", "lo", c) - edge("q", "hi", c), edge("q", "lo", c) - edge("b", "hi", c)), F.lit(2)) for c in axes])
+    far = total([F.pow(F.greatest(edge("b", "hi", c) - edge("q", "lo", c), edge("q", "hi", c) - edge("b", "lo", c)), F.lit(2)) for c in axes])
+    # widths are powers of two, so that a cube lies in one of the wider ones to the last bit
+    width, out = 4.0, None
+    met = cubes(p, width, "q").join(cubes(s, width, "b"), F.col("q") == F.col("b"))
     while True:
-        best = pairs(p, width, first).groupBy("_p").agg(F.min(F.struct(miles.alias("_d"), "_s")).alias("_b")).select(F.col("_p").alias(point), F.col("_b._s").alias(site), F.col("_b._d").alias("miles"))
-        best = checkpoint(best.where(2 * F.sin(F.col("miles") / (2 * radius)) < width * 0.999))
+        met = met.select("q", "b", "bn", near.alias("_near"), far.alias("_far"))
+        kept = checkpoint(met.join(met.groupBy("q").agg(F.min("_far").alias("_most")), "q").where(F.col("_near") <= F.col("_most") + sure).select("q", "b", "bn"))
+        kept = kept.join(kept.groupBy("q").agg(F.sum("bn").alias("_all")), "q")
+        last = width <= LEAST_WIDTH
+        done = kept if last else kept.where(F.col("_all") <= MOST_SITES)
+        chord = total([F.pow(F.col(f"_p{c}") - F.col(c), F.lit(2)) for c in axes])
+        own = p.withColumn("q", cube(width)).withColumnsRenamed({c: f"_p{c}" for c in axes})
+        pairs = own.join(done.select("q", "b"), "q").join(s.withColumn("b", cube(width)), "b").select("_plat", "_plon", "_slat", "_slon", "_s", chord.alias("_d"))
+        # ids are compared only where the distance leaves a choice, so the many pairs are grouped by numbers alone
+        close = pairs.join(pairs.groupBy("_plat", "_plon").agg(F.min("_d").alias("_least")), ["_plat", "_plon"]).where(F.col("_d") <= F.col("_least") + sure)
+        best = checkpoint(close.groupBy("_plat", "_plon").agg(F.min(F.struct(miles.alias("_d"), "_s")).alias("_b")))
         out = best if out is None else out.unionByName(best)
-        if width > 2.1:
-            return out
-        p = checkpoint(p.join(best.select(F.col(point).alias("_p")), "_p", "left_anti"))
-        if p.isEmpty():
-            return out
-        width, first = 4 * width, False
+        live = kept.where(F.col("_all") > MOST_SITES).select(F.col("q").alias("_q"), F.col("b").alias("_c"))
+        if last or live.isEmpty():
+            break
+        width /= 4
+        met = live.join(cubes(p, width, "q"), F.col("qup") == F.col("_q")).join(cubes(s, width, "b"), F.col("bup") == F.col("_c"))
+    found = placed.join(out, ["_plat", "_plon"]).groupBy("_p").agg(F.min("_b").alias("_b"))
+    return found.select(F.col("_p").alias(point), F.col("_b._s").alias(site), F.col("_b._d").alias("miles"))
 
 
 def rarest(df: DataFrame, keys: Sequence[str], items: str, known: DataFrame, first: Callable[[Column], Column]) -> DataFrame:

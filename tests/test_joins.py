@@ -1,5 +1,6 @@
 """Nulls, repeated rows, ties and empty tables in the joins; idempotence; plans."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -27,6 +28,30 @@ def test_nearest_is_exact_everywhere(spark):
     assert joins.nearest(p, "p", s.limit(0), "s", cell=20.0).count() == 0
 
 
+def test_nearest_in_a_crowd_measures_few(spark, monkeypatch):
+    """Many points and sites in one place, and places that repeat: not every pair is measured."""
+    rnd, seen = random.Random(5), spark.sparkContext.accumulator(0)
+
+    def counted(a, b, c, d):
+        def measure(*x):
+            seen.add(1)
+            a, b, c, d = map(math.radians, x)
+            h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+            return 6371.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h)) * 0.621371
+
+        return F.udf(measure, "double")(a, b, c, d)
+
+    spot = lambda: (rnd.uniform(40, 40.2), rnd.uniform(-86, -85.8))
+    points, sites = [spot() for _ in range(150)] * 2, [spot() for _ in range(150)] * 2
+    p = spark.createDataFrame([(k, *x) for k, x in enumerate(points)], "p int, lat double, lon double")
+    s = spark.createDataFrame([(k, *x) for k, x in enumerate(sites)], "s int, lat double, lon double")
+    want = {r.p: (r.s, r.miles) for r in joins.nearest(p, "p", s, "s").collect()}
+    pairs = p.join(s.select("s", F.col("lat").alias("a"), F.col("lon").alias("o"))).withColumn("d", haversine_miles(F.col("lat"), F.col("lon"), F.col("a"), F.col("o")))
+    assert want == {r.p: (r.x.s, r.x.d) for r in pairs.groupBy("p").agg(F.min(F.struct("d", "s")).alias("x")).collect()}
+    monkeypatch.setattr(joins, "haversine_miles", counted)
+    assert {r.p: r.s for r in joins.nearest(p, "p", s, "s").collect()} == {k: v[0] for k, v in want.items()} and seen.value < 3000
+
+
 def test_merge_fallback_fills_row_by_row(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, name string")
     one, two = spark.createDataFrame([(1, None), (2, 5)], "id int, v int"), spark.createDataFrame([("a", 7), ("b", 8), ("c", 9)], "name string, v int")
