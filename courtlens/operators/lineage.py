@@ -1,10 +1,11 @@
-"""Results kept in the shared folder, for operators that need the same rows twice."""
+"""Results kept in the shared folder, for operators that need the same rows twice; rows dealt to many tasks."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +22,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The frame as written to the shared folder: it is computed once, and a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over as many tasks as the session shuffles to.
+
+    A small or well compressed file is one task's or a few tasks' read, however much work each row is. Rows are dealt by
+    their number where they are read, which needs no sort and puts no key's rows together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_dealt", F.monotonically_increasing_id()).repartition(n, "_dealt").drop("_dealt")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtlens.operators import columns, extract, filters
+from courtlens.operators.lineage import spread
 from courtlens.operators.page_tables import table_rows
 from courtlens.plans.binding import Query
 from courtlens.sources.files import read_table
@@ -104,9 +105,10 @@ def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     review = F.when(k % 2 == 0, F.concat(F.lit("<div itemprop='reviewBody'>"), "c_name", F.lit("</div><div itemprop='reviewBody'> second </div><div itemprop='reviewBody'>third</div>"))).otherwise(F.concat(F.lit("<p>"), "c_mktsegment", F.lit("</p>")))
     shares = F.concat(F.lit("White "), (k % 60).cast("string"), F.lit("% Asian "), (k % 30).cast("string"), F.lit("%"))
     html = F.concat(script(F.lit('{"@type":"Thing"}')), script(F.concat(F.lit("["), school, F.lit("]"))), script(faq), review, F.lit("<span>"), grade, F.lit("</span> Overall Grade "), shares)
-    df = c.select("c_custkey", html.alias("html"), F.struct(F.when(k % 5 == 0, F.col("c_name")).alias("city"), F.lit("x").alias("other")).alias("block"))
-    school_of, asked, said = extract.organization("html"), extract.faqs("html"), extract.reviews("html", 2)
-    share = extract.label_shares(extract.page_text("html"), ["white", "asian"])
+    df = spread(c).select("c_custkey", html.alias("html"), F.struct(F.when(k % 5 == 0, F.col("c_name")).alias("city"), F.lit("x").alias("other")).alias("block"))
+    # each made once, as columns: several fields are taken from them
+    df = df.select("*", extract.organization("html").alias("school"), extract.faqs("html").alias("asks"), extract.reviews("html", 2).alias("reviewed"), extract.label_shares(extract.page_text("html"), ["white", "asian"]).alias("share"))
+    school_of, asked, said, share = (F.col(x) for x in ("school", "asks", "reviewed", "share"))
     return df.select(
         "c_custkey", school_of["phone"].alias("phone"), school_of["street"].alias("street"), school_of["city"].alias("city"), school_of["rating_value"].alias("rating"), school_of["rating_count"].alias("reviews"),
         F.array_join(F.transform(asked, lambda x: F.concat(x["question"], F.lit("="), x["answer"])), "|").alias("asked"), F.array_join(said, "|").alias("said"), extract.overall_grade("html").alias("grade"),
