@@ -9,6 +9,7 @@ from courtlens.functions import classify, dates, numbers, text, validity
 from courtlens.operators import incoming
 from courtlens.operators.columns import base_name, season_row, side_tables
 from courtlens.operators.extract import by_year
+from courtlens.operators.lineage import spread
 from courtlens.plans.binding import Query, cycle_sql, half_even_sql, literal_query, sql_literal
 from courtlens.sources.files import read_table
 
@@ -154,7 +155,7 @@ ORACLE_SQL["safe_numeric"] = f"""
 
 def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of whole texts in several languages."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    df = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return df.select("doc_id", text.canonical_name(F.col("text")).alias("canonical"), text.alias_key(F.col("text"), {}).alias("key"), text.hyphen_slug(F.col("text")).alias("slug"))
 
 
@@ -174,7 +175,7 @@ _BLANKS = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name keys and slugs of whole texts of documents."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    df = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return df.select(
         "doc_id", F.md5(text.clean("text")).alias("cleaned"), F.md5(text.school_key("text")).alias("school"), F.md5(text.scorecard_key("text")).alias("scorecard"),
         F.md5(F.array_join(text.wish_keys("text"), "|")).alias("wishes"), F.md5(text.file_slug("text")).alias("file"), F.md5(text.lower_slug("text")).alias("slug"),
@@ -202,7 +203,7 @@ ORACLE_SQL["document_keys"] = f"""
 
 def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every phone number in documents in its one form, and every amount of dollars and quantity, as numbers."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    df = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     every = lambda p: F.posexplode(F.regexp_extract_all("text", F.lit(p), F.lit(1)))
     dials = df.select("doc_id", every(PHONES).alias("pos", "raw")).select("doc_id", F.lit("phone").alias("kind"), "pos", text.phone("raw").alias("said"), F.lit(None).cast("double").alias("value"))
     sums = df.select("doc_id", every(AMOUNTS).alias("pos", "raw")).select("doc_id", F.lit("number").alias("kind"), "pos", F.col("raw").alias("said"), numbers.number(F.col("raw")).alias("value"))
@@ -222,7 +223,7 @@ ORACLE_SQL["numbers_in_text"] = rf"""
 
 def classes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class and position rules over whole texts of documents."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    df = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return df.select(
         "doc_id", classify.class_year("text").alias("class"), classify.class_next("text").alias("next"), classify.graduating("text").alias("graduating"), classify.looks_graduating("text").alias("looks"),
         F.md5(F.array_join(classify.position_keys("text"), ",")).alias("position_keys"),
@@ -246,7 +247,7 @@ ORACLE_SQL["classes_in_text"] = rf"""
 
 def heights_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of numbers with a dash between in documents, as a height, in inches, and as those are shown."""
-    df = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    df = spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     pairs = df.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]+ ?- ?[0-9]+)"), F.lit(1))).alias("pos", "raw"))
     high = classify.height("raw")
     return pairs.select("doc_id", "pos", "raw", high.alias("height"), classify.height_inches(high).alias("inches"), classify.inches_height(classify.height_inches(high)).alias("shown"))

@@ -8,7 +8,7 @@ from courtlens.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["page_objects"])
+@pytest.mark.parametrize("name", ["page_objects", "document_keys"])
 def test_rows_of_one_file_are_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
