@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from courtlens.functions.numbers import haversine_miles
 from courtlens.functions.text import coach_title, file_slug, index_key, phone, scorecard_key, text, to_null, words
-from courtlens.operators.lineage import checkpoint
+from courtlens.operators.lineage import beside, checkpoint, is_few, shuffled
 
 #: Similarities from which a token match is low and medium, and a sequence match counts (fixed values).
 LOW, MEDIUM, RATIO = 0.60, 0.80, 0.78
@@ -126,7 +126,7 @@ def rarest(df: DataFrame, keys: Sequence[str], items: str, known: DataFrame, fir
     rows = df.select(*keys, F.explode(items).alias("w")).join(known, "w")
     rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("times", "w"))).alias("_o"))
     kept = F.slice(F.transform("_o", lambda x: x["w"]), F.lit(1), F.greatest(F.lit(0), first(F.size("_o"))).cast("int"))
-    return df.join(rows.select(*keys, kept.alias("_o")), list(keys)).withColumn("w", F.explode("_o")).drop("_o")
+    return df.join(shuffled(rows.select(*keys, kept.alias("_o"))), list(keys)).withColumn("w", F.explode("_o")).drop("_o")
 
 
 def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame, row: str, name: str) -> DataFrame:
@@ -142,16 +142,18 @@ def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame,
     # keys are made once, as each step below goes through them again
     cand = checkpoint(e.select("e", F.posexplode(names).alias("c", "n")).withColumn("n", scorecard_key("n")).where("n <> ''"))
     r = checkpoint(rows.select(F.col(row).alias("r"), scorecard_key(name).alias("m")).where("m <> ''"))
-    given = e.join(rows.select(F.col(row).alias("r")), F.col("o") == F.col("r")).select("e", "r", F.lit(1.0).alias("score"), F.lit("override").alias("confidence"))
-    left = cand.join(given.select("e"), "e", "left_anti")
-    hits = left.join(r, F.col("n") == F.col("m")).groupBy("e").agg(F.min(F.struct("c", "r")).alias("x"))
+    few = is_few(r)
+    given = e.join(shuffled(rows.select(F.col(row).alias("r"))), F.col("o") == F.col("r")).select("e", "r", F.lit(1.0).alias("score"), F.lit("override").alias("confidence"))
+    left = cand.join(shuffled(given.select("e")), "e", "left_anti")
+    hits = left.join(beside(r, few), F.col("n") == F.col("m")).groupBy("e").agg(F.min(F.struct("c", "r")).alias("x"))
     exact = hits.select("e", F.col("x.r").alias("r"), F.lit(1.0).alias("score"), F.lit("high").alias("confidence"))
     tokens = lambda c: F.array_distinct(words(F.col(c)))
-    a = checkpoint(left.join(exact.select("e"), "e", "left_anti").select("e", "c", tokens("n").alias("ta")))
+    a = checkpoint(left.join(shuffled(exact.select("e")), "e", "left_anti").select("e", "c", tokens("n").alias("ta")))
     b = r.select("r", tokens("m").alias("tb"))
     known = a.select(F.explode("ta").alias("w")).unionByName(b.select(F.explode("tb").alias("w"))).groupBy("w").agg(F.count("*").alias("times"))
+    known = beside(known)
     first = lambda n: n - F.ceil(LOW * n - 1e-9) + 1
-    met = rarest(a, ["e", "c"], "ta", known, first).join(rarest(b, ["r"], "tb", known, first), "w")
+    met = rarest(a, ["e", "c"], "ta", known, first).join(beside(rarest(b, ["r"], "tb", known, first), few), "w")
     both = F.size(F.array_intersect("ta", "tb"))
     score = both / (F.size("ta") + F.size("tb") - both)
     best = met.withColumn("score", score).groupBy("e").agg(F.min(F.struct((-F.col("score")).alias("s"), "r", "c")).alias("x"))
@@ -160,7 +162,7 @@ def match_tokens(entities: DataFrame, entity: str, names: str, rows: DataFrame,
         .withColumn("confidence", F.when(F.col("score") >= MEDIUM, "medium").otherwise("low"))
     )
     out = given.unionByName(exact).unionByName(fuzzy)
-    return entities.select(F.col(entity).alias("e")).join(out, "e", "left").select(F.col("e").alias(entity), F.col("r").alias(row), "score", "confidence")
+    return entities.select(F.col(entity).alias("e")).join(shuffled(out), "e", "left").select(F.col("e").alias(entity), F.col("r").alias(row), "score", "confidence")
 
 
 def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str, method: str = "levenshtein", threshold: float = RATIO) -> DataFrame:
@@ -174,7 +176,7 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
     e = checkpoint(entities.select(F.col(entity).alias("e")).distinct().withColumn("k", index_key("e")))
     r = checkpoint(rows.select(F.col(row).alias("r")).distinct().withColumn("m", index_key("r")))
     exact = e.join(r, F.col("k") == F.col("m")).groupBy("e").agg(F.min("r").alias("r")).withColumns({"match_type": F.lit("exact"), "score": F.lit(1.0)})
-    rest = e.join(exact.select("e"), "e", "left_anti").where("k <> ''")
+    rest = e.join(shuffled(exact.select("e")), "e", "left_anti").where("k <> ''")
     n, m = F.length("k"), F.length("m")
     able = (F.least(n, m) / F.greatest(n, m) >= threshold) if method == "levenshtein" else (2 * F.least(n, m) / (n + m) >= threshold)
     pairs = near_keys(rest, r.where("m <> ''"), method, threshold).where(able)
@@ -184,7 +186,7 @@ def match_sequences(entities: DataFrame, entity: str, rows: DataFrame, row: str,
         scored = pairs.mapInPandas(_ratios, "e string, k string, r string, m string, score double")
     best = scored.where(F.col("score") >= threshold).groupBy("e").agg(F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("x"))
     close = best.select("e", F.col("x.r").alias("r"), F.lit("similar").alias("match_type"), (-F.col("x.s")).alias("score"))
-    out = e.select("e").join(exact.unionByName(close), "e", "left")
+    out = e.select("e").join(shuffled(exact.unionByName(close)), "e", "left")
     return out.select(F.col("e").alias(entity), F.col("r").alias(row), F.coalesce("match_type", F.lit("none")).alias("match_type"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -203,8 +205,9 @@ def near_keys(a: DataFrame, b: DataFrame, method: str, threshold: float) -> Data
 
     a, b = lettered(a, "k"), lettered(b, "m")
     known = a.select(F.explode("_g").alias("w")).unionByName(b.select(F.explode("_g").alias("w"))).groupBy("w").agg(F.count("*").alias("times"))
+    known = beside(known)
     few = lambda df, keys: rarest(df.where("not _short"), keys, "_g", known, lambda n: spoilt(n + 1) + 1).select(*keys, "w")
-    met = few(a, ["e", "k"]).join(few(b, ["r", "m"]), "w").select("e", "k", "r", "m").distinct()
+    met = few(a, ["e", "k"]).join(beside(few(b, ["r", "m"])), "w").select("e", "k", "r", "m").distinct()
     # a pair with a short key on either side: the other one is at most so much longer
     able = F.explode(F.sequence(F.floor(F.col("_n") / longest), F.ceil(F.col("_n") * longest))).alias("_m")
     own = F.col("_n").cast("long").alias("_m")

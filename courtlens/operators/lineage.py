@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that are sent whole to all executors, by way of the driver.
+FEW = 20_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none and runs on one machine."""
@@ -32,3 +35,26 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("_dealt", F.monotonically_increasing_id()).repartition(n, "_dealt").drop("_dealt")
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame as a side of joins that shuffle both sides by key, so that no row of it passes through the driver.
+
+    For joins on ids with a row or a few rows each. Else Spark sends a side of few compressed bytes to all executors by
+    way of the driver, and ids in order or repeated text compress to a small part of what then arrives there.
+    """
+    return df.hint("merge")
+
+
+def is_few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def beside(df: DataFrame, few: bool | None = None) -> DataFrame:
+    """The frame as a side of joins by words or names, whose frequent ones would be much work for one task: up to FEW
+    rows go to all executors, more are shuffled. Rows are counted, as Spark's guess by compressed bytes, or by which side
+    is done first, may send the larger side. ``few`` says it for a frame that is as small as one already counted."""
+    if few is None:
+        df = checkpoint(df)
+        few = is_few(df)
+    return F.broadcast(df) if few else shuffled(df)

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from courtlens.functions.numbers import haversine_miles
-from courtlens.operators import filters, joins, score, store
+from courtlens.operators import filters, joins, lineage, score, store
 from courtlens.plans import QUERIES
 
 
@@ -65,6 +65,23 @@ def test_token_match_tiers(spark):
     assert got == {1: (1, "high"), 2: (2, "medium"), 3: (None, None), 4: (None, None), 5: (3, "override"), 6: (None, None)}
 
 
+def test_token_match_sends_no_entities(spark, monkeypatch):
+    """Whichever side is done first or compresses well, only counted few rows go to all executors; many words are shuffled."""
+    words = ["red", "blue", "old", "new", "ring", "bolt", "plate", "gear"]
+    names = [f"{a} {b} {c}" for a in words[:4] for b in words for c in words[4:]]
+    rows = spark.createDataFrame([(n, n) for n in names], "r string, name string")
+    ask = spark.range(3000).select(F.col("id").alias("e"), F.array(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")), F.lit("old gear zz")).alias("names"))
+    ask = ask.withColumn("names", F.when(F.col("e") % 3 == 0, F.slice("names", 2, 1)).otherwise(F.transform("names", lambda x: F.concat(x, F.when(F.col("e") % 3 == 1, " more").otherwise("")))))
+    got = {}
+    for few in (20_000, 0):
+        monkeypatch.setattr(lineage, "FEW", few, raising=False)
+        df = joins.match_tokens(ask, "e", "names", rows, "r", "name")
+        got[few] = sorted(map(tuple, df.collect()))
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "BuildLeft" not in plan and ("BroadcastExchange" in plan) == (few > 0)
+    assert got[0] == got[20_000] and len(got[0]) == 3000 and {x[3] for x in got[0]} >= {"high", "low"}
+
+
 def test_sequence_methods(spark):
     e, r = spark.createDataFrame([("Ohio State",), ("texas tec",), ("zzz",)], "e string"), spark.createDataFrame([("ohio",), ("Texas Tech",)], "r string")
     for method in ("levenshtein", "ratio"):
