@@ -14,7 +14,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 from pathlib import Path
 
 import numpy as np
@@ -29,80 +30,111 @@ from courtlens.llm.common import column, map_column, shared_dir, ship, slices
 RECORD, TEXT, CACHE = 65_536, 10_000_000, 1_200_000
 #: Documents of a shard, and the most shards.
 SHARD_ROWS, MAX_SHARDS = 2_000, 20_000
-_ODD_SPACE = re.compile(r"\s ")
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: White space before a space, or beside the end of a line.
+_ODD_SPACE, _ODD_LINE = re.compile(r"\s "), re.compile(r"\s\n|\n\s")
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?*#$%&"
 #: A word of Latin letters and marks behind it: for a byte-level pre-tokenizer these are two pre-tokens.
-_PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([.,;:!?]*)")
+_PLAIN = re.compile(rf"(\0?[{_LETTERS}]+)([{_MARKS}]*)")
 _known: dict[str, dict[str, bytes]] = {}
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, with its own treatment of special tokens, and whether it goes by byte-level pre-tokens."""
+    """The tokenizer of a file, with its own treatment of special tokens, and the id of a line's end if it goes by byte-level
+    pre-tokens (else None)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     parts = json.loads(Path(path).read_text(encoding="utf-8"))
-    before, model, added = parts.get("pre_tokenizer") or {}, parts["model"], [x["content"] for x in parts.get("added_tokens", [])]
+    before, model, added = parts.get("pre_tokenizer") or {}, parts["model"], parts.get("added_tokens", [])
     level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-    alone = all(" " not in x and not re.search(f"[{_LETTERS}.,;:!?]$", x) for x in added)
+    alone = all(not re.search(rf"\s|[{_LETTERS}{_MARKS}]$", x["content"]) and not x.get("lstrip") and not x.get("rstrip") for x in added)
     plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-    return Tokenizer.from_file(path), bool(level and alone and plain and not parts.get("normalizer") and not parts.get("post_processor"))
-
-
-@lru_cache(maxsize=1)
-def _letters() -> dict[int, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in printable)}
+    tok = Tokenizer.from_file(path)
+    line = tok.encode("\n", add_special_tokens=False).ids
+    return tok, line[0] if level and alone and plain and len(line) == 1 and not parts.get("normalizer") and not parts.get("post_processor") else None
 
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _fresh(tok, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-    """(piece, ids) by the library: plain words straight by its model, all others through the whole of it."""
-    table, marks, rest = _letters(), {}, []
+def _said(piece: str) -> str:
+    """The text of a piece: it follows a space, unless a zero character says that it doesn't."""
+    return piece[1:] if piece[:1] == "\0" else " " + piece
+
+
+def _fresh(tok, line: int, pieces: set[str], known: dict[str, bytes]) -> dict[str, bytes]:
+    """Ids of pieces by the library: plain words a line each, so that many go to it at once, all others one by one."""
+    plain, stems, behind, rest, marks, got = [], [], [], [], {}, {}
     for p in pieces:
         found = _PLAIN.fullmatch(p)
-        if not found:
+        if found:
+            plain.append(p)
+            stems.append(found[1])
+            behind.append(found[2])
+        else:
             rest.append(p)
-            continue
-        word, mark = found.groups()
-        ids = [x.id for x in tok.model.tokenize(word.encode("utf-8").decode("latin-1").translate(table))]
+    words = list(set(stems).difference(known))
+    for a in range(0, len(words), 20_000):
+        part = words[a : a + 20_000]
+        ids = np.array(tok.encode_batch_fast(["\n".join(map(_said, part))], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts, data = (4 * np.flatnonzero(ids == line)).tolist(), ids.tobytes()
+        got.update(zip(part, (data[x:y] for x, y in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)), strict=True))
+    for p, word, mark in zip(plain, stems, behind):
         if mark:
             if mark not in marks:
-                marks[mark] = [x.id for x in tok.model.tokenize(mark)]
-            ids += marks[mark]
-        yield p, _packed(ids)
+                marks[mark] = _packed(tok.encode(mark, add_special_tokens=False).ids)
+            got[p] = (got.get(word) or known[word]) + marks[mark]
+        elif p not in got:
+            got[p] = known[p]
     for a in range(0, len(rest), 20_000):
         part = rest[a : a + 20_000]
-        yield from zip(part, (_packed(x.ids) for x in tok.encode_batch_fast(part, add_special_tokens=False)))
+        got.update(zip(part, (_packed(x.ids) for x in tok.encode_batch_fast([_said(p) for p in part], add_special_tokens=False))))
+    return got
+
+
+def _pieces(text: str) -> list[str] | None:
+    """A text cut in front of each space and around the end of each line, if no space or end of a line meets white space."""
+    lines = "\n" in text
+    if (text.replace("\n", "") if lines else text).isprintable():  # then it has no other white space
+        odd, odd_line = "  " in text or (lines and "\n " in text), lines and (" \n" in text or "\n\n" in text)
+    else:
+        odd, odd_line = "\0" in text or _ODD_SPACE.search(text), lines and _ODD_LINE.search(text)
+    if odd:
+        return None
+    if lines and not odd_line:
+        text = text.replace("\n", " \0\n \0")
+    return ("\0" + text).split(" ")
 
 
 def tokenize(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids (32 bits) of each whole text by the tokenizers library, which adds no special tokens; what of a text matches a
     special token gets that token's id, as the library's default is.
 
-    A byte-level pre-token never goes from a character on to a space, so under such a vocabulary a text falls into pieces
-    in front of each space that follows no white space, and each distinct piece needs the library only once. Other texts
-    go to it whole, as do all under other vocabularies.
+    A byte-level pre-token never goes from a character on to a space, nor over the end of a line with none beside it, so
+    under such a vocabulary a text falls into pieces there, and each distinct piece needs the library only once. Other
+    texts go to it whole, as do all under other vocabularies.
     """
-    tok, level = tokenizer(path)
+    tok, line = tokenizer(path)
     known = _known.setdefault(path, {})
-    pieces = [None if not level or (text and ("\0" in text or _ODD_SPACE.search(text))) else (text or "").replace(" ", "\0 ").split("\0") for text in texts]
-    wanted = set(chain.from_iterable(p for p in pieces if p))
-    fresh = list(wanted.difference(known))
-    if len(known) + len(fresh) > CACHE:
-        known.clear()
-        fresh = list(wanted)
-    known.update(_fresh(tok, fresh))
-    look = known.__getitem__
-    return [
-        np.frombuffer(b"".join(map(look, p)) if p is not None else _packed(tok.encode(text or "", add_special_tokens=False).ids), "<u4")
-        for text, p in zip(texts, pieces)
-    ]
+    pieces = [None if line is None else _pieces(text or "") for text in texts]
+    flat = list(chain.from_iterable(p for p in pieces if p))
+    found = list(map(known.get, flat))
+    lacking = list(compress(range(len(found)), map(is_, found, repeat(None))))
+    if lacking:
+        got = _fresh(tok, line, {flat[k] for k in lacking}, known)
+        for k in lacking:
+            found[k] = got[flat[k]]
+        if len(known) + len(got) > CACHE:
+            known.clear()
+        known.update(got)
+    at, out = 0, []
+    for text, p in zip(texts, pieces):
+        data = _packed(tok.encode(text or "", add_special_tokens=False).ids) if p is None else b"".join(found[at : at + len(p)])
+        out.append(np.frombuffer(data, "<u4"))
+        at += len(p or ())
+    return out
 
 
 def _write(path: str, end: int):

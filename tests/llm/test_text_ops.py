@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,45 @@ def test_coder_beats_counts_of_single_ids():
     assert own < 0.95 * order0_bytes(blocks) and own < sum(len(zlib.compress(x.astype("<u2").tobytes(), 9)) for x in blocks)
 
 
+def test_coder_learns_kinds_of_runs():
+    """Runs of other ids get their own counts, and whole blocks come back beside short ones, each coded by itself."""
+    rnd = np.random.RandomState(5)
+    half = [np.concatenate([rnd.randint(k * 500, k * 500 + 500, 4_096) for k in (0, 1) * 8]) for _ in range(4)]
+    blocks = [*half, rnd.randint(0, 2**32, 65_536), np.zeros(0, int), np.arange(700), *(rnd.zipf(1.2, n) % 50_000 for n in (65_536, 511, 513, 40_000))]
+    coded = coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(coded, [len(b) for b in blocks]), strict=True))
+    assert all(np.array_equal(a, coder.encode([b])[0]) for a, b in zip(coded, blocks))
+    assert all(16 * len(c) / len(b) < np.log2(500) + 0.35 for c, b in zip(coded, half))  # 1,000 ids, but 500 in a run
+
+
+def test_coding_an_id_costs_little():
+    """To code and decode an id costs less than 150 turns of a loop of the interpreter."""
+    many = coder.pack([(np.random.RandomState(6).zipf(1.2, 1_000_000) % 2_000).astype(np.uint32)])
+    began = time.process_time()
+    sum(range(50_000_000))
+    usual, began = time.process_time() - began, time.process_time()
+    coder.decode(coder.encode(many), [len(b) for b in many])
+    assert time.process_time() - began < 3 * usual  # of 50 turns an id
+
+
+def test_new_words_go_to_the_library_together():
+    tok, line = tokenfile.tokenizer(BYTE)
+    calls = []
+
+    class Counted:
+        model = property(lambda self: calls.append(1) or tok.model)
+        encode = lambda self, *a, **b: calls.append(1) or tok.encode(*a, **b)
+        encode_batch_fast = lambda self, *a, **b: calls.append(1) or tok.encode_batch_fast(*a, **b)
+
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choices("abcdeéß", k=rnd.randint(1, 9))) + rnd.choice(["", "", ",", ".\nNew", "$$$"]) for _ in range(200)) for _ in range(20)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenfile, "tokenizer", lambda path: (Counted(), line))
+        m.setattr(tokenfile, "_known", {})
+        got = tokenfile.tokenize(texts, BYTE)
+    assert [x.tolist() for x in got] == [tok.encode(x, add_special_tokens=False).ids for x in texts] and len(calls) < 10
+
+
 def test_carries_run_over_full_words():
     """Streams long enough to meet carries over 0xFFFF words, whatever the block."""
     rnd = np.random.RandomState(9)
